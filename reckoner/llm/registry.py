@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from reckoner.llm import substring, token_files
+from reckoner.llm import media_ts, packing, quality, substring, token_files, toxicity
 
 QUERIES = {
+    "op2_transport_streams": media_ts.op2_transport_streams,
+    "op3_toxic_spans": toxicity.op3_toxic_spans,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op6_line_quality": quality.op6_line_quality,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_token_files": token_files.op10_token_files,
 }
 
