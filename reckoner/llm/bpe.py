@@ -18,7 +18,7 @@ import pyarrow as pa
 from reckoner.llm import hashing
 from reckoner.llm.common import flat_text, slices
 
-CACHE = 1_000_000
+CACHE = 300_000
 #: White space outside ASCII, and controls that only some libraries count as such: such texts are encoded whole.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
