@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reckoner.llm import media_ts, packing, quality, substring, token_files, toxicity
+from reckoner.llm import media_ts, packing, pii, quality, substring, token_files, toxicity
 
 QUERIES = {
+    "op1_personal_data": pii.op1_personal_data,
     "op2_transport_streams": media_ts.op2_transport_streams,
     "op3_toxic_spans": toxicity.op3_toxic_spans,
     "op4_substring_dedup": substring.op4_substring_dedup,
