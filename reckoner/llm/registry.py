@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reckoner.llm import media_ts, packing, pii, quality, substring, token_files, toxicity
+from reckoner.llm import media_ts, packing, pieces, pii, quality, substring, token_files, toxicity
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op6_line_quality": quality.op6_line_quality,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_sampled_pieces": pieces.op9_sampled_pieces,
     "op10_token_files": token_files.op10_token_files,
 }
 
