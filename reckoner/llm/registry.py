@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from reckoner.llm import media_ts, packing, pieces, pii, quality, substring, token_files, toxicity
+from reckoner.llm import embeddings, jaccard, media_ts, packing, pieces, pii, quality, substring, token_files, toxicity
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
     "op2_transport_streams": media_ts.op2_transport_streams,
     "op3_toxic_spans": toxicity.op3_toxic_spans,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_embedding_forest": embeddings.op5_embedding_forest,
     "op6_line_quality": quality.op6_line_quality,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sampled_pieces": pieces.op9_sampled_pieces,
     "op10_token_files": token_files.op10_token_files,
