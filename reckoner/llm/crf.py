@@ -12,6 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Chains whose marginals are held at once in training.
+BLOCK = 1_000
+
 
 @dataclass
 class Chain:
@@ -64,10 +67,15 @@ def train(features: np.ndarray, states: np.ndarray, lengths: np.ndarray, size: i
     total = max(1, inside.sum())
     m = v = np.zeros(size + 5)
     for k in range(1, steps + 1):
-        marginal, joint = forward_backward(chain.emissions(features), lengths, chain.pairs)
-        gap = np.where(inside, truth - marginal, 0.0)
-        own = np.bincount(features.reshape(-1), np.repeat(gap.reshape(-1), features.shape[2]), size)
-        grad = np.concatenate([own, [gap.sum()], (seen - joint).reshape(-1)]) / total
+        grad = np.concatenate([np.zeros(size + 1), seen.reshape(-1)])
+        for a in range(0, len(features), BLOCK):
+            b = slice(a, a + BLOCK)
+            marginal, joint = forward_backward(chain.emissions(features[b]), lengths[b], chain.pairs)
+            gap = np.where(inside[b], truth[b] - marginal, 0.0)
+            grad[:size] += np.bincount(features[b].reshape(-1), np.repeat(gap.reshape(-1), features.shape[2]), size)
+            grad[size] += gap.sum()
+            grad[size + 1 :] -= joint.reshape(-1)
+        grad /= total
         now = np.concatenate([chain.weights, [chain.bias], chain.pairs.reshape(-1)])
         grad -= penalty * now / np.sqrt(total)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2

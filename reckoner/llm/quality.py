@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
         f, _ = model.lines(t)
         chunks += [(f[k : k + CHUNK], label) for k in range(0, len(f), CHUNK)]
     width = max(len(f) for f, _ in chunks)
-    feature, state = np.zeros((len(chunks), width, 3 * MEASURES), np.int64), np.zeros((len(chunks), width), int)
+    feature, state = np.zeros((len(chunks), width, 3 * MEASURES), np.int32), np.zeros((len(chunks), width), np.int8)
     for k, (f, label) in enumerate(chunks):
         feature[k, : len(f)], state[k, : len(f)] = f, label
     model.chain = crf.train(feature, state, np.array([len(f) for f, _ in chunks]), size, steps=50)

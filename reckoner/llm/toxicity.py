@@ -27,7 +27,7 @@ from reckoner.llm import crf
 from reckoner.llm.common import table
 
 #: Labelled documents of each class that a model is fitted on, at most.
-SAMPLE = 3_000
+SAMPLE = 1_500
 THRESHOLD, SPAN = 0.3, 0.5
 BEGINNINGS = (4, 5, 6)
 #: A mark occurs in so many toxic documents of the sample at least, with such log-odds; MARKS are kept at most.
@@ -128,10 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
     kinds = 1 + len(BEGINNINGS)
     chunks = []
     for words, label in zip(cut, y, strict=True):
-        f = np.array([model.features(w) for w in words], np.int64).reshape(-1, kinds)
+        f = np.array([model.features(w) for w in words], np.int32).reshape(-1, kinds)
         s = (f.any(1) & (label == 1)).astype(int)
         chunks += [(f[k : k + CHUNK], s[k : k + CHUNK]) for k in range(0, len(f), CHUNK) if f[k : k + CHUNK].any() or k == 0]
-    feature, state = np.zeros((len(chunks), CHUNK, kinds), np.int64), np.zeros((len(chunks), CHUNK), int)
+    del cut, seen, odds
+    feature, state = np.zeros((len(chunks), CHUNK, kinds), np.int32), np.zeros((len(chunks), CHUNK), np.int8)
     lengths = np.array([len(s) for _, s in chunks])
     for k, (f, s) in enumerate(chunks):
         feature[k, : len(f)], state[k, : len(s)] = f, s
