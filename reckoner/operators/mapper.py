@@ -60,8 +60,6 @@ def _translated(value: Column, kind: T.DataType, m: dict) -> tuple[Column, T.Dat
 
 def mapping_columns(df: DataFrame, m: dict) -> tuple[Column, Column]:
     """Value and error of one mapping. The order of steps is fixed: value, default, values, trim, case, prefix, suffix, replace, maxLength, required, type."""
-    if not m.get("to"):
-        raise ValueError("a mapping needs a target")
     value, kind = _value(df, m)
     if "values" in m:
         value, kind = _translated(value, kind, m)
@@ -103,6 +101,8 @@ def apply_mapping(df: DataFrame, spec: dict) -> DataFrame:
     """The targets of spec["mappings"] (all other fields too with keepUnmapped), the envelope and `_error`: the first mapping's error in the order of the spec."""
     if not spec.get("mappings"):
         raise ValueError("a mapper needs mappings")
+    if not all(m.get("to") for m in spec["mappings"]):
+        raise ValueError("a mapping needs a target")
     made = {m["to"]: mapping_columns(df, m) for m in spec["mappings"]}
     before = [F.col("_error")] if "_error" in df.columns else []
     error = F.coalesce(*before, *(e for _, e in made.values()))
