@@ -241,7 +241,7 @@ def scalar_sample(model, text, key, seed_words):
             total += forward[s] * w / forward[at]
             if u < total or (s, i, w) == edges[at][-1]:
                 break
-        out.append(i)
+        out.append(i if i >= 0 else int(model.byte[ord(text[s])]))
         at, k = s, k + 1
     return out[::-1]
 
