@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reckoner.sources.scratch import folder
+
 
 def record_key(df: DataFrame, columns: list[str], sep: str = "|") -> Column:
     """Key columns joined as text; null if any part is null."""
@@ -59,8 +61,10 @@ def after(df: DataFrame, key: str, cursor) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
-    """df with a number from 0 in the given order, over all rows, without one task holding them all: rows are ranged, and each range adds the counts of those before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """df with a number from 0 in the given order, over all rows, without one task holding them all: rows are ranged and written, and each range adds the counts of those before. Ranges are sampled, so they are written once rather than dealt out twice."""
+    path = folder(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     base = counts.withColumn("_base", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each range

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reckoner.operators.chunks import numbered
+
 DELIMITERS = {"tab": "\t", "pipe": "|"}
 
 
@@ -109,9 +110,8 @@ def typed_text(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 def dead_letters(errors: DataFrame, run_id, per_window: int) -> DataFrame:
     """A run's dead letters in order of chunk and seq, with the window in which each is read again; windows are not capped."""
-    own = errors.where(F.col("run_id") == run_id)
-    place = F.row_number().over(W.partitionBy("run_id").orderBy("chunk", "seq", "ordinal")) - 1
-    return own.withColumn("window", F.floor(place / per_window).cast("int")).withColumn("replay_of", F.col("run_id"))
+    own = numbered(errors.where(F.col("run_id") == run_id), ["chunk", "seq", "ordinal"])
+    return own.withColumn("window", F.floor(F.col("_row") / per_window).cast("int")).withColumn("replay_of", F.col("run_id")).drop("_row")
 
 
 def preview(df: DataFrame, n: int = 10) -> tuple[list, bool]:
