@@ -4,10 +4,13 @@ A text's set holds the hashes of its windows of SHINGLE words (a text of fewer w
 sequences of POSITIONS minimum hashes, so that tokens (place, minimum) are shared with a probability of the Jaccard
 similarity. A run samples tokens, each with probability 1 / (SIMILARITY * POSITIONS) by a hash of run and token, and every
 sampled token is a bucket of the sets that have it: a chosen path of length one. Buckets of more than LIMIT sets are split
-again by tokens sampled anew for each bucket, up to DEPTH times; buckets that stay large go through tiles, so none is
-capped. Runs are repeated until a pair at the threshold is missed with a probability of at most 1 - RECALL.
+by size first (a pair at the threshold has sizes within a factor SIMILARITY, so each set goes to the class of its size
+and the next one), then again and again by tokens sampled anew for each bucket, BRANCH times as many, so that a pair
+survives any number of splits with a fixed probability. A bucket that a split leaves with more than DENSE of its sets
+holds similar sets and is not split further; it goes through tiles, so none is capped. Runs are repeated until a pair at
+the threshold is missed with a probability of at most 1 - RECALL.
 
-Equal sets are one node with a weight. In a bucket, pairs whose minimum hashes agree in GUESS of the places or more (the
+Equal sets are one node with a weight. In a bucket, pairs whose minimum hashes' low bytes agree in GUESS of the places or more (the
 threshold less 4.5 standard deviations) mark their nodes; for these, exact sets are compared. Result: links are pairs of
 similarity SIMILARITY or more; texts without words and rows without a doc_id link with nothing. Rows of equal doc_ids are
 rows of their own; all rows stay.
@@ -27,7 +30,7 @@ from reckoner.llm.common import flat_text, saved, slices, table
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 POSITIONS, GUESS = 128, 0.64
-LIMIT, DEPTH = 1_000, 2
+LIMIT, BRANCH, DENSE, MOST_SPLITS = 1_000, 2.0, 0.6, 30
 #: Documents whose sets are compared exactly are picked out of all texts by a broadcast of their ids, up to so many; beyond, by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -36,12 +39,12 @@ _FACTORS = _random.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(
 _RUN = 0x8CB92BA72F3D8DD7
 
 
-def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has shared a bucket of full depth with the wanted probability."""
+def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Runs after which a pair at the threshold has shared a final bucket with the wanted probability, however often its buckets are split. A pair at the threshold shares one sampled token on average, BRANCH in later splits."""
     found = 1.0
-    for _ in range(depth):  # a shared token is sampled 1 time on average; each shared bucket goes on with what was found so far
-        found = 1 - math.exp(-found)
-    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+    for _ in range(MOST_SPLITS):
+        found = 1 - math.exp(-BRANCH * found)
+    return math.ceil(math.log(1 - recall) / -found)  # a run fails with probability exp(-found)
 
 
 def _shingles(texts: pa.Array, width: int):
@@ -68,29 +71,29 @@ def _identity(found: np.ndarray, at: np.ndarray, full: np.ndarray) -> np.ndarray
 
 
 def sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, node (the set's identity, null without words), n (distinct shingles) and minima (POSITIONS 16-bit values) of each row."""
+    """doc_id, node (the set's identity, null without words), n (distinct shingles), minima (POSITIONS 16-bit values) and sketch (their low bytes) of each row."""
 
     def run(batches):
         for b in batches:
             for first, found, at in _shingles(b.column("text"), width):
                 size = np.diff(at)
                 full = np.flatnonzero(size)
-                node, minima = np.zeros(len(size), np.int64), np.full(len(size), None, object)
+                node, minima, sketch = np.zeros(len(size), np.int64), np.full(len(size), None, object), np.full(len(size), None, object)
                 if len(full):
                     node[full] = _identity(found, at, full)
                     least = np.stack([np.minimum.reduceat(found * f >> np.uint64(24), at[:-1][full]) for f in _FACTORS], 1)
                     least = (hashing.mix(least) >> np.uint64(48)).astype(np.uint16)
                     for k, row in zip(full.tolist(), least, strict=True):
-                        minima[k] = row.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(size)), pa.array(node, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(minima, pa.binary())], ["doc_id", "node", "n", "minima"])
+                        minima[k], sketch[k] = row.tobytes(), row.astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(size)), pa.array(node, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(minima, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "node", "n", "minima", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, minima binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, minima binary, sketch binary")
 
 
-def _paths(rows: DataFrame, seeds: int) -> DataFrame:
-    """bucket and node for each sampled token of rows (node, minima and, for a further split, bucket)."""
+def _paths(rows: DataFrame, seeds: int, branch: float) -> DataFrame:
+    """bucket, node and parent (size of the bucket that was split) for each sampled token of rows (node, minima and, for a further split, bucket and size)."""
     split = "bucket" in rows.columns
-    limit = np.uint64(int(2**64 / (SIMILARITY * POSITIONS)))
+    limit = np.uint64(int(branch * 2**64 / (SIMILARITY * POSITIONS)))
 
     def run(batches):
         place = (np.arange(POSITIONS, dtype=np.uint64) << np.uint64(16))[None, :]
@@ -100,27 +103,38 @@ def _paths(rows: DataFrame, seeds: int) -> DataFrame:
                 node = part.column("node").to_numpy()
                 tokens = hashing.mix(np.frombuffer(b"".join(part.column("minima").to_pylist()), np.uint16).reshape(len(node), POSITIONS).astype(np.uint64) | place)
                 above = part.column("bucket").to_numpy().view(np.uint64) if split else np.zeros(len(node), np.uint64)
+                size = part.column("size").to_numpy() if split else np.zeros(len(node), np.int64)
                 for r in range(seeds):
                     h = hashing.mix(tokens ^ hashing.mix(above + np.uint64(_RUN * (r + 1) % (1 << 64)))[:, None])
                     who, what = np.nonzero(h < limit)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashing.mix(h[who, what] + np.uint64(1)).view(np.int64)), pa.array(node[who])], ["bucket", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashing.mix(h[who, what] + np.uint64(1)).view(np.int64)), pa.array(node[who]), pa.array(size[who])], ["bucket", "node", "parent"])
 
-    return rows.mapInArrow(run, "bucket long, node long")
+    return rows.mapInArrow(run, "bucket long, node long, parent long")
 
 
 def chosen_paths(nodes: DataFrame) -> DataFrame:
-    """bucket, node and size of all final buckets with two nodes or more; nodes: node, minima."""
-    level = saved(links.in_shared_buckets(_paths(nodes.select("node", "minima"), runs_needed()).distinct()), "paths")
+    """bucket, node and size of all final buckets with two nodes or more; nodes: node, n, minima."""
+    level = saved(links.in_shared_buckets(_paths(nodes.select("node", "minima"), runs_needed(), 1.0).distinct()), "paths").drop("parent")
     done = level.where(F.col("size") <= LIMIT)
-    for depth in range(2, DEPTH + 1):
-        large = level.where(F.col("size") > LIMIT).select("bucket", "node").join(nodes.select("node", "minima"), "node")
-        level = saved(links.in_shared_buckets(_paths(large.select("bucket", "node", "minima"), 1).distinct()), "paths")
-        done = done.unionByName(level if depth == DEPTH else level.where(F.col("size") <= LIMIT))
-    return done
+    kind = F.floor(F.log("n") / -math.log(SIMILARITY)).cast("long")
+    large = level.where(F.col("size") > LIMIT).select("bucket", "node").join(nodes.select("node", "n"), "node")
+    large = large.select(F.explode(F.array(F.xxhash64("bucket", kind), F.xxhash64("bucket", kind + 1))).alias("bucket"), "node").distinct()
+    level = saved(links.in_shared_buckets(large), "paths")
+    for _ in range(MOST_SPLITS):
+        done = done.unionByName(level.where(F.col("size") <= LIMIT))
+        level = level.where(F.col("size") > LIMIT)
+        if level.isEmpty():
+            return done
+        split = _paths(level.join(nodes.select("node", "minima"), "node"), 1, BRANCH).distinct()
+        level = saved(links.in_shared_buckets(split), "paths")
+        dense = F.col("size") > F.greatest(F.lit(LIMIT), DENSE * F.col("parent"))
+        done = done.unionByName(level.where(dense).drop("parent"))
+        level = level.where(~dense).drop("parent")
+    return done.unionByName(level)
 
 
 def _guess(left: dict, right: dict) -> np.ndarray:
-    a, b = (np.frombuffer(b"".join(x["minima"]), np.uint16).reshape(-1, POSITIONS) for x in (left, right))
+    a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(-1, POSITIONS) for x in (left, right))
     n, m = np.array(left["n"]), np.array(right["n"])
     out = np.zeros((len(n), len(m)), bool)
     for k in range(len(n)):
@@ -166,17 +180,17 @@ def join(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, node (class of equal sets), n_links (other rows linked directly), component_id (least doc_id reachable by links, itself included) and kept (doc_id = component_id)."""
     rows = saved(sets(docs), "sets")
     named = rows.where("node is not null and doc_id is not null")
-    nodes = saved(named.groupBy("node").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("minima").alias("minima")), "nodes")
+    nodes = saved(named.groupBy("node").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch")), "nodes")
     paths = saved(chosen_paths(nodes), "buckets")
     others = paths.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("others"))
-    about = nodes.select("node", "weight", "n", "minima").join(others, "node")
-    marked = saved(links.linked(paths.join(about, "node"), _guess, ["n", "minima"]).select("bucket", "node"), "marked")
+    about = nodes.select("node", "weight", "n", "sketch").join(others, "node")
+    marked = saved(links.linked(paths.join(about, "node"), _guess, ["n", "sketch"]).select("bucket", "node"), "marked")
     active = marked.select("node").distinct().join(nodes, "node").select(F.col("least").alias("doc_id"), F.col("node").alias("wanted"))
     active = saved(active, "active")
     chosen = docs.select("doc_id", "text").join(F.broadcast(active) if active.count() <= BROADCAST_IDS else active, "doc_id")
     held = _hashes(chosen, SHINGLE).dropDuplicates(["node"])
     again = marked.distinct().join(paths, ["bucket", "node"]).join(about.join(held, "node"), "node")
-    found = saved(links.linked(again, _exact, ["n", "minima", "hashes"]), "links")
+    found = saved(links.linked(again, _exact, ["n", "sketch", "hashes"]), "links")
     linked, component = links.summary(found)
     nodes = nodes.select("node", "weight", "least").join(linked, "node", "left").join(component, "node", "left")
     nodes = saved(nodes.select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least"), "classes")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reckoner.llm.common import saved
 
-TILE = 1_500
+TILE = 3_000
 #: Rows that one task of linked() takes, about.
 TASK_ROWS = 20_000
 
