@@ -1,9 +1,10 @@
 """Near-duplicate vectors by a forest of random-projection trees (operator 5).
 
 Vectors are compared only within a label (and a dimension). Each tree splits a node of more than LEAF vectors at the
-median of the projections on a random direction; vectors within SPILL of the median go to both sides. SPILL is 1.5
-standard deviations of the projected difference of two vectors at the threshold, so such a pair parts at a split only if
-its difference projects to more than 3 of them and the median falls between; TREES trees all have to part it. A node
+median of the projections on a random direction; vectors within SPILL of the median go to both sides. SPILL is one
+standard deviation of the projected difference of two vectors at the threshold, so such a pair parts at a split only if
+its difference projects to more than two of them and the median falls between with both margins, about once in a
+thousand splits; all TREES trees have to part it for a link to be missed. A node
 that spilling can't divide stays a leaf. Leaves compare all their pairs by exact cosines, large ones in tiles
 (links.py); every link is a verified pair.
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from reckoner.llm import links
 from reckoner.llm.common import saved, table
 
-COSINE, TREES, LEAF, MOST_LEVELS = 0.98, 3, 512, 40
-SPILL = 1.5
+COSINE, TREES, LEAF, MOST_LEVELS = 0.98, 3, 2_000, 40
+SPILL = 1.0
 
 
 def _usable() -> Column:
@@ -75,7 +76,7 @@ def forest(nodes: DataFrame) -> DataFrame:
         cuts = large.groupBy(*where).agg(F.percentile_approx("p", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(1000)).alias("q"), F.max("spill").alias("s"), F.count("*").alias("size"))
         large = saved(large.drop("spill").join(cuts, where), "forest")
         stuck = F.col("q")[2] - F.col("q")[0] < 4 * F.col("s")
-        done = saved(done.unionByName(large.where(stuck).select(bucket, "node", "size")), "leaves")
+        done = done.unionByName(large.where(stuck).select(bucket, "node", "size"))
         leaves = done if leaves is None else leaves.unionByName(done)
         left, right = F.col("p") <= F.col("q")[1] + F.col("s"), F.col("p") > F.col("q")[1] - F.col("s")
         # a path is its parent's with the side mixed in, so that depth does not end at 64 levels
