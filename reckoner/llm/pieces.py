@@ -204,7 +204,7 @@ def encode(docs: DataFrame, path: str, seed: int = SEED) -> DataFrame:
         for b in batches:
             data, offsets = flat_text(b.column("text"))
             keys = _keys(b.column("doc_id"), seed)
-            for first, last in slices(offsets, 4 << 20):
+            for first, last in slices(offsets, 1 << 20):
                 raw = data[offsets[first] : offsets[last]]
                 begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before each byte
                 ids, at = model._part(raw.tobytes().decode(), keys[first:last], begins[offsets[first : last + 1] - offsets[first]])
@@ -221,7 +221,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for first in range(0, b.num_rows, 500):
                 part = b.slice(first, 500)
-                texts = [None if x is None else model.decode(np.array(x, np.int64)) for x in part.column("tokens").to_pylist()]
+                texts = [None if x.values is None else model.decode(np.array(x.values)) for x in part.column("tokens")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "tokens")), pa.array(texts, pa.string())], ["doc_id", "tokens", "text"])
 
     return encoded.select("doc_id", "tokens").mapInArrow(run, "doc_id long, tokens array<int>, text string")
@@ -235,8 +235,11 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = [np.array(x, "<u4").tobytes() for x in b.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in b.column("text")])], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
+            for first in range(0, b.num_rows, 500):
+                part = b.slice(first, 500)
+                ids = [np.array(x.values, "<u4").tobytes() for x in part.column("tokens")]
+                sha = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(sha)], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
 
     decoded = decode(encode(table(spark, sf_dir, "documents"), path), path)
     return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
