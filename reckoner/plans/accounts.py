@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reckoner.functions import paths
@@ -46,8 +47,9 @@ def record_index(spark, sf_dir):
 
 def fanout_index_identity(spark, sf_dir):
     """Lines of orders as siblings of one record; indexing twice changes nothing."""
-    df = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").withColumn("_chunk", F.lit(0)).withColumn("_seq", F.col("l_orderkey"))
-    df = df.groupBy("_chunk", "_seq").agg(F.collect_list("l_linenumber").alias("lines")).select("_chunk", "_seq", F.posexplode("lines").alias("_ordinal", "line")).withColumns({"outcome": F.lit("WRITTEN"), "error_code": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")})
+    df = table(spark, sf_dir, "lineitem")
+    place = W.partitionBy("l_orderkey").orderBy("l_linenumber", *(c for c in df.columns if c not in ("l_orderkey", "l_linenumber")))
+    df = df.select(F.lit(0).alias("_chunk"), F.col("l_orderkey").alias("_seq"), (F.row_number().over(place) - 1).alias("_ordinal")).withColumns({"outcome": F.lit("WRITTEN"), "error_code": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")})
     one = ledger.record_index(df, F.col("_seq").cast("string"), F.lit("2024-01-01").cast("timestamp"))
     twice = ledger.latest_entries(one.unionByName(one), "occurred_at")
     return twice.groupBy("record_key").agg(F.count("*").alias("entries"), F.max("ordinal").cast("long").alias("last_ordinal"))

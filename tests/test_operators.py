@@ -223,3 +223,11 @@ def test_entry_without_corpus_operators(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_order_is_fanned_out(spark, sf):
+    from reckoner.plans import accounts
+
+    got = {(r.record_key, r.entries, r.last_ordinal) for r in accounts.fanout_index_identity(spark, sf).collect()}
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").count().collect()
+    assert got == {(str(r.l_orderkey), r["count"], r["count"] - 1) for r in lines}
