@@ -6,8 +6,8 @@ forward pass sums the weights of all segmentations of each beginning, the backwa
 exact conditional probabilities. Draws are hashes of the seed, the row's key, the place and the step, so a row gets
 the same segmentation wherever and whenever it is encoded.
 
-No piece has a space inside, or a line break, so the lattice is cut before spaces and around line breaks; what is still
-longer than LONGEST characters is cut every LONGEST. Equal parts of a batch share their forward pass. Spaces stand as U+2581
+No piece has a space inside, or a line break, so the lattice is cut before spaces and around line breaks, and nowhere else.
+Forward sums are kept as fractions and powers of two, so a part may have any length. Equal parts of a batch share their forward pass. Spaces stand as U+2581
 in pieces; a U+2581 of the text itself is spelled in bytes, and nothing is normalised, so decoding gives the text back
 without loss. A null text counts as empty and has no pieces. A null key is a key of its own; rows with equal keys and
 texts get equal pieces.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reckoner.llm import hashing
 from reckoner.llm.common import flat_text, slices, table
 
-THETA, SPELLED, LONGEST, SEED = 1.0, 1e-6, 48, 20240229
+THETA, SPELLED, SEED = 1.0, 1e-6, 20240229
 SPACE, NEWLINE, OWN_MARK = 0x2581, 0x0A, 0x110000
 _BASE = 0xA0761D6478BD642F | 1
 SLOTS = 20
@@ -101,16 +101,21 @@ class Pieces:
         order = np.argsort(end, kind="stable")
         start, end, ident, weight, at = start[order], end[order], ident[order], weight[order], at[order]
         depth = end - (first[part[at]] + part[at])  # the end's place in its part
-        forward = np.zeros(len(codes) + len(sizes))
+        forward, scale = np.zeros(len(codes) + len(sizes)), np.zeros(len(codes) + len(sizes), np.int32)  # a node's sum is forward * 2 ** scale
         forward[first[:-1] + np.arange(len(sizes))] = 1
-        by_depth = np.argsort(depth.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(depth[by_depth], np.arange(1, int(sizes.max(initial=0)) + 2))
-        mass = np.zeros(len(start))
+        longest = int(sizes.max(initial=0))
+        by_depth = np.argsort(depth.astype(np.min_scalar_type(longest)), kind="stable")
+        edges = np.searchsorted(depth, np.arange(1, longest + 2), sorter=by_depth)
+        share = np.zeros(len(start))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             e = by_depth[a:b]
-            mass[e] = forward[start[e]] * weight[e]
-            np.add.at(forward, end[e], mass[e])
-        share = mass / forward[end]
+            s, t = start[e], end[e]
+            mass = np.ldexp(forward[s] * weight[e], scale[s] - scale[t - 1])  # by the scale of the node before, which each node has an edge from
+            np.add.at(forward, t, mass)
+            share[e] = mass / forward[t]
+            own = t[ident[e] < 0]
+            forward[own], power = np.frexp(forward[own])
+            scale[own] = scale[own - 1] + power
         run = np.cumsum(share)
         new = np.append(True, end[1:] != end[:-1])
         begins = np.maximum.accumulate(np.where(new, np.arange(len(end)), 0))
@@ -135,10 +140,6 @@ class Pieces:
         cut[offsets[:-1][offsets[:-1] < n]] = True
         begin = np.flatnonzero(cut)
         size = np.diff(np.append(begin, n))
-        if size.max() > LONGEST:
-            more = [np.arange(b, b + s, LONGEST) for b, s in zip(begin[size > LONGEST].tolist(), size[size > LONGEST].tolist(), strict=True)]
-            begin = np.unique(np.concatenate([begin, *more]))
-            size = np.diff(np.append(begin, n))
         hashes = hashing._ranges(codes + np.uint64(1), _BASE, begin, begin + size)
         _, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         counts = size[sample]

@@ -259,6 +259,35 @@ def test_sampled_pieces_follow_the_scalar_version(docs):
             assert ids[at[k] : at[k + 1]].tolist() == scalar_sample(model, word, None, u)
 
 
+def test_long_runs_are_one_lattice():
+    from decimal import Decimal
+
+    from reckoner.llm import hashing
+
+    model = pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    weight = {model.raw[i].decode(): (int(i), Decimal(float(w))) for i, w in zip(model.ids, model.weights, strict=True)}
+    for text in ("https://example.org/" + "international/transportation-" * 14, "\u0e01" * 300, "x" * 700):
+        n, edges, forward = len(text), [[]], [Decimal(1)]
+        for end in range(1, n + 1):
+            edges.append([(end - 1, -1, Decimal(pieces.SPELLED))] + [(end - k, *weight[text[end - k : end]]) for k in range(1, 17) if k <= end and text[end - k : end] in weight])
+            forward.append(sum(forward[s] * w for s, _, w in edges[end]))
+        keys = hashing.mix(np.arange(20, dtype=np.uint64))
+        ids, at = model._part(text * 20, keys, np.arange(21) * n)
+        stream = hashing.mix(keys ^ hashing.mix(np.array([1], np.uint64)))
+        for d in range(20):
+            node, out, k = n, [], 0
+            while node:
+                u = float(hashing.mix(stream[d : d + 1] + np.uint64(k * 0xD1342543DE82EF95 % (1 << 64)))[0] >> np.uint64(11)) / 2**53
+                total = 0.0
+                for s, i, w in edges[node]:
+                    total += float(forward[s] * w / forward[node])
+                    if u < total or (s, i, w) == edges[node][-1]:
+                        break
+                out.append([i] if i >= 0 else model.byte[list(text[s].encode())].tolist())
+                node, k = s, k + 1
+            assert ids[at[d] : at[d + 1]].tolist() == [x for piece in out[::-1] for x in piece]
+
+
 def test_sampled_pieces_are_lossless(spark, sf, docs):
     got = {r.doc_id: r.decoded_sha256 for r in registry.QUERIES["op9_sampled_pieces"](spark, sf).collect()}
     assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in docs}
