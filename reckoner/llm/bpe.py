@@ -3,7 +3,8 @@
 Both vocabularies split a text before the merges, and no merge crosses a split. So the ids of a text are the ids of its
 pieces, if it is cut only where the vocabulary's own pattern is bound to split: before white space that follows
 something else, and between a letter and an ASCII character that is neither a letter nor white space. Each Python worker
-keeps the ids of the pieces that it has met, up to CACHE of them; equal pieces are found by 64-bit hashes.
+keeps the ids of the pieces that it has met, up to CACHE of them; equal pieces are found by 64-bit hashes. Texts that hold
+the literal of an added token are encoded whole, since the library looks for these before it splits.
 """
 
 from __future__ import annotations
@@ -45,8 +46,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.model._resize_cache(0)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        literals = [re.escape(t.content.encode()) for t in added]
+        if kind == "byte":
+            literals.append(_ODD_SPACE.pattern)
+        #: What a text that is encoded whole has in it; tokens that are looked for in the normalised text count in any case.
+        self.odd = re.compile(b"|".join(literals) or b"(?!)", re.IGNORECASE if any(t.normalized for t in added) else 0)
         self.kind, self.known, self.alphabet = kind, {}, _byte_level()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -100,15 +106,17 @@ class Encoder:
         data, offsets = flat_text(texts)
         for first, last in slices(offsets, 4 << 20):
             part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-            if self.kind == "byte" and _ODD_SPACE.search(part):
+            if self.odd.search(part):
                 raw = part.tobytes()
-                each = [raw[s:e] for s, e in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                for k, x in enumerate(each):
-                    if _ODD_SPACE.search(x):
-                        ids = np.frombuffer(self._whole([x.decode()])[0], "<u4")
+                whole = [k for k, (s, e) in enumerate(zip(own[:-1].tolist(), own[1:].tolist(), strict=True)) if self.odd.search(raw, s, e)]
+                done = 0
+                for k in [*whole, last - first]:
+                    if done < k:
+                        yield first + done, *self._slice(part[own[done] : own[k]], own[done : k + 1] - own[done])
+                    if k < last - first:
+                        ids = np.frombuffer(self._whole([raw[own[k] : own[k + 1]].decode()])[0], "<u4")
                         yield first + k, ids, np.array([0, len(ids)])
-                    else:
-                        yield first + k, *self._slice(part[own[k] : own[k + 1]], own[k : k + 2] - own[k])
+                    done = k + 1
             else:
                 yield first, *self._slice(part, own)
 

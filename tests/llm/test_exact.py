@@ -322,6 +322,20 @@ def test_token_files_layout(spark, sf, tmp_path):
     assert columns["tokens.list.element"].has_dictionary_page
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_added_tokens_are_found_as_by_the_library(name, kind):
+    import pyarrow as pa
+
+    from reckoner.llm import bpe
+
+    path = public_tokenizers.path(name)
+    texts = ["a <|endoftext|> b", "plain words", None, "<|startoftext|>x<|endoftext|>", "more, plain\u00a0words", "", "<|ENDOFTEXT|> <|endoftext", "last <|endoftext|>"]
+    tok, got = Tokenizer.from_file(path), {}
+    for first, ids, at in bpe.Encoder(path, kind).encode(pa.array(texts)):
+        got |= {first + k: ids[s:e].tolist() for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True))}
+    assert [got[k] for k in range(len(texts))] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("name", ["op3_toxic_spans", "op6_line_quality"])
 def test_scores_on_held_out_documents(spark, sf, labels, name):
     sf = sf.replace("sf0.001", "sf0.1")
