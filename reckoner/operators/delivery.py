@@ -4,28 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows of a chunk that one task folds by bytes, at least.
+FOLD = 20_000
+
+
 def assign_batches(df: DataFrame, max_records: int, max_bytes: int | None = None, size: str = "_bytes") -> DataFrame:
-    """df (`_chunk`, `_seq`) with `_batch`, from 0: a batch is full when a record makes it reach max_records or max_bytes. With bytes the rows of one chunk are folded in order; a chunk's size is bounded by its plan."""
+    """df (`_chunk`, `_seq` from 1 without gaps) with `_batch`, from 0: a batch is full when a record makes it reach max_records or max_bytes. With bytes (null counts as 0, none is negative) a chunk is folded in blocks of rows, however many it has: each block tells, for each place where its first batch may begin, where the first of the next block begins and how many batches lie between; these are chained, and blocks are numbered from the true places."""
     if max_bytes is None:
         return df.withColumn("_batch", F.floor((F.col("_seq") - 1) / max_records).cast("int"))
+    span = max(FOLD, 50 * max_records)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(sizes: pd.Series) -> np.ndarray:
+        """For each row, the place after the batch that begins there."""
+        held = np.concatenate([[0], np.cumsum(sizes.fillna(0).to_numpy())])
+        at = np.arange(len(sizes))
+        return np.minimum(np.maximum(np.searchsorted(held, held[:-1] + max_bytes), at + 1), at + max_records)
+
+    def offer(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_seq")
+        after, n = follow(pdf[size]).tolist(), int((~pdf["_ahead"]).sum())
+        hop, made = [0] * n, [0] * n
+        for k in range(n - 1, -1, -1):
+            t = after[k]
+            hop[k], made[k] = (t - n, 1) if t >= n else (hop[t], made[t] + 1)
+        return pd.DataFrame({"_chunk": pdf["_chunk"].iloc[:1], "_block": pdf["_block"].iloc[:1], "_hop": [hop[:max_records]], "_made": [made[:max_records]]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        entry, batch, out = 0, 0, []
+        for hop, made in zip(pdf["_hop"], pdf["_made"], strict=True):
+            out.append((entry, batch))
+            if entry < len(hop):  # else the chunk ends before
+                entry, batch = int(hop[entry]), batch + int(made[entry])
+        return pd.DataFrame({"_chunk": pdf["_chunk"], "_block": pdf["_block"], "_entry": [x for x, _ in out], "_base": [x for _, x in out]})
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seq")
-        batch, n, held, out = 0, 0, 0, []
-        for size_of in pdf[size].fillna(0):
-            out.append(batch)
-            n, held = n + 1, held + size_of
-            if n >= max_records or held >= max_bytes:
-                batch, n, held = batch + 1, 0, 0
-        return pd.DataFrame({"_chunk": pdf["_chunk"], "_seq": pdf["_seq"], "_batch": out})
-
-    places = df.select("_chunk", "_seq", size).groupBy("_chunk").applyInPandas(fold, "_chunk int, _seq long, _batch int")
+        after, begins, k = follow(pdf[size]).tolist(), np.zeros(len(pdf), np.int64), int(pdf["_entry"].iloc[0])
+        while k < len(begins):
+            begins[k], k = 1, after[k]
+        return pd.DataFrame({"_chunk": pdf["_chunk"], "_seq": pdf["_seq"], "_batch": pdf["_base"].iloc[0] - 1 + np.cumsum(begins)})
+
+    block = F.floor((F.col("_seq") - 1) / span).cast("long")
+    rows = df.select("_chunk", "_seq", size).withColumn("_block", block)
+    ahead = rows.where((F.col("_block") > 0) & ((F.col("_seq") - 1) % span < max_records)).withColumn("_block", F.col("_block") - 1)
+    both = rows.withColumn("_ahead", F.lit(False)).unionByName(ahead.withColumn("_ahead", F.lit(True)))
+    offers = both.groupBy("_chunk", "_block").applyInPandas(offer, "_chunk int, _block long, _hop array<int>, _made array<int>")
+    entries = offers.groupBy("_chunk").applyInPandas(chain, "_chunk int, _block long, _entry int, _base int")  # max_records entries for each block
+    places = rows.join(entries, ["_chunk", "_block"]).groupBy("_chunk", "_block").applyInPandas(number, "_chunk int, _seq long, _batch int")
     return df.join(places, ["_chunk", "_seq"])
 
 

@@ -14,7 +14,10 @@ from reckoner.sources.scratch import folder
 def _orders(spark, sf_dir):
     """orders in 10 chunks, with a place in each and the size of the record."""
     df = table(spark, sf_dir, "orders").withColumn("_chunk", (F.col("o_orderkey") % 10).cast("int"))
-    return chunks.sequence(df, ["o_orderkey"]).withColumn("_bytes", F.length("o_orderpriority") + 20)
+    rows = chunks.numbered(df, ["_chunk", "o_orderkey"])
+    first = rows.groupBy("_chunk").agg(F.min("_row").alias("_first"))  # a row for each chunk
+    df = rows.join(F.broadcast(first), "_chunk").withColumn("_seq", F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
+    return df.withColumn("_bytes", F.length("o_orderpriority") + 20)
 
 
 _ORDERS = "(SELECT *, CAST(o_orderkey % 10 AS INTEGER) AS chunk, row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) AS seq FROM orders)"

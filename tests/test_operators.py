@@ -231,3 +231,18 @@ def test_every_order_is_fanned_out(spark, sf):
     got = {(r.record_key, r.entries, r.last_ordinal) for r in accounts.fanout_index_identity(spark, sf).collect()}
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").count().collect()
     assert got == {(str(r.l_orderkey), r["count"], r["count"] - 1) for r in lines}
+
+
+def test_byte_batches_fold_a_chunk_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(delivery, "FOLD", 1)
+    sizes = {(c, k): (k * 7919 + c * 31) % 97 if k % 10 else None for c, n in ((0, 1403), (1, 250), (2, 3)) for k in range(1, n + 1)}
+    df = spark.createDataFrame([(c, k, x) for (c, k), x in sizes.items()], "_chunk int, _seq long, _bytes int")
+    made = delivery.assign_batches(df, 5, 190)
+    want, state = {}, {}
+    for (c, k), x in sizes.items():
+        batch, n, held = state.get(c, (0, 0, 0))
+        want[c, k] = batch
+        n, held = n + 1, held + (x or 0)
+        state[c] = (batch + 1, 0, 0) if n >= 5 or held >= 190 else (batch, n, held)
+    assert {(r._chunk, r._seq): r._batch for r in made.collect()} == want
+    assert "_block" in made._jdf.queryExecution().toString()  # no task folds a whole chunk
