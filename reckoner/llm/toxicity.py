@@ -83,12 +83,12 @@ class Model:
 
     def read(self, text: str) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
         """The document's features and its toxic spans (start, end, marginal); offsets in characters."""
-        words = _WORD.findall(text.lower())
+        words = _WORD.findall(text)
         get, marked = self.known, []
         for k, w in enumerate(words):
             f = get.get(w)
             if f is None:
-                f = get[w] = self.features(w)
+                f = get[w] = self.features(w.lower())
                 f = get[w] = f if any(f) else ()
             if f:
                 marked.append((k, f))
@@ -101,8 +101,7 @@ class Model:
         if (m >= SPAN).any():
             hit = {k: float(p) for (k, _), p in zip(marked, m, strict=True) if p >= SPAN}
             places = [x.span() for x in _WORD.finditer(text)]
-            if len(places) == len(words):  # lower case seldom changes the number of words
-                spans = [(*places[k], p) for k, p in sorted(hit.items())]
+            spans = [(*places[k], p) for k, p in sorted(hit.items())]
         return np.array([m.max(), math.log1p(m.sum()), m.sum() / len(words)]), spans
 
     @property
@@ -116,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
     texts, y, weight = crf.labelled_sample(docs, labels, "toxic", train_rows, SAMPLE)
     if not len(y) or y.min() == y.max():
         return Model(crf.Chain(np.zeros(1), 0.0, np.zeros((2, 2))))
-    cut = [_WORD.findall(t.lower()) for t in texts]
+    cut = [[w.lower() for w in _WORD.findall(t)] for t in texts]  # lower case of a whole text may have other words
     seen = [Counter(), Counter()]
     for words, label in zip(cut, y, strict=True):
         own = set(words)

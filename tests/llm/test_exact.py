@@ -322,6 +322,15 @@ def test_token_files_layout(spark, sf, tmp_path):
     assert columns["tokens.list.element"].has_dictionary_page
 
 
+def test_toxic_spans_beside_letters_that_lower_case_splits():
+    from reckoner.llm import crf, toxicity
+
+    chain = crf.Chain(np.array([0.0, 20.0]), -5.0, np.zeros((2, 2)))
+    model = toxicity.Model(chain, {"bad": 1})
+    text = "\u0130stanbul BAD \u0130zmir, bad"
+    assert [text[s:e] for s, e, _ in model.read(text)[1]] == ["BAD", "bad"]
+
+
 @pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_added_tokens_are_found_as_by_the_library(name, kind):
     import pyarrow as pa
