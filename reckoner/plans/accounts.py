@@ -162,7 +162,7 @@ ORACLE_SQL = {
     "chunk_counters": f"SELECT chunk, {_COUNTS} FROM {_OUTCOMES} GROUP BY 1",
     "dry_run_counts": f"SELECT {_COUNTS} FROM {_OUTCOMES}",
     "record_index": f"SELECT chunk || ':' || seq || ':0' AS id, chunk || '#0' AS trace_id, CAST(o_orderkey AS VARCHAR) AS record_key, outcome, o_orderdate AS occurred_at, o_orderdate + INTERVAL 365 DAY AS expires_at FROM {_SEQ}",
-    "fanout_index_identity": "SELECT CAST(l_orderkey AS VARCHAR) AS record_key, count(*) AS entries, count(*) - 1 AS last_ordinal FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1",
+    "fanout_index_identity": "SELECT CAST(l_orderkey AS VARCHAR) AS record_key, count(*) AS entries, count(*) - 1 AS last_ordinal FROM lineitem GROUP BY 1",
     "error_signatures": _ERR + "SELECT run_id, signature, count(*) AS errors, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, arg_min(message, (occurred_at, seq)) AS sample FROM err GROUP BY 1, 2",
     "signature_samples": _ERR + "SELECT run_id, signature, id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, signature ORDER BY chunk, seq, ordinal) AS n FROM err) WHERE n <= 2",
     "dead_letters": _ERR + "SELECT id, record_key, code, message FROM err WHERE run_id = 105 ORDER BY chunk, seq LIMIT 1000",
