@@ -54,6 +54,9 @@ class Pieces:
                 codes = np.array([ord(c) for c in piece], np.uint64)
                 by_size.setdefault(len(codes), []).append((int(hashing._ranges(codes, _BASE, np.array([0]), np.array([len(codes)]))[0]), k, (rank + 1.0) ** -THETA))
                 rank += 1
+        self.lengths = np.array([len(x) for x in self.raw])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.sizes = sorted(by_size)
         every = sorted(x for v in by_size.values() for x in v)
         self.hashes, self.ids, self.weights = (np.array([x[k] for x in every], t) for k, t in enumerate((np.uint64, np.int64, float)))
@@ -82,19 +85,19 @@ class Pieces:
         Part p has the characters codes[first[p]:first[p + 1]] and the nodes from first[p] + p on, one more than characters.
         """
         sizes = np.diff(first)
-        part = np.repeat(np.arange(len(sizes)), sizes)
+        part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         left = np.repeat(first[1:], sizes) - np.arange(len(codes))  # characters to the part's end
-        node = np.arange(len(codes)) + part
+        node = np.arange(len(codes), dtype=np.int32) + part
         power, inverse = hashing._tables(_BASE, len(codes) + 1)
         total = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * power[: len(codes)], dtype=np.uint64, out=total[1:])
-        at, size, ident, weight = [np.arange(len(codes))], [np.ones(len(codes), np.int64)], [np.full(len(codes), -1)], [np.full(len(codes), SPELLED)]
+        at, size, ident, weight = [np.arange(len(codes), dtype=np.int32)], [np.ones(len(codes), np.int32)], [np.full(len(codes), -1, np.int32)], [np.full(len(codes), SPELLED)]
         for n in self.sizes:
             places = np.flatnonzero(left >= n)
             hit, found = self._find(hashing.mix((total[places + n] - total[places]) * inverse[places]))
-            at.append(places[hit])
-            size.append(np.full(len(hit), n))
-            ident.append(self.ids[found])
+            at.append(places[hit].astype(np.int32))
+            size.append(np.full(len(hit), n, np.int32))
+            ident.append(self.ids[found].astype(np.int32))
             weight.append(self.weights[found])
         at, size, ident, weight = map(np.concatenate, (at, size, ident, weight))
         start, end = node[at], node[at] + size
@@ -180,9 +183,12 @@ class Pieces:
             return out, shift[owner]
         return ids, owner
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw = self.raw
-        return b"".join([raw[k] for k in ids.tolist()]).decode()
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of the texts whose ids begin at the offsets `at` (one more than texts), in one array, and each text's offset there."""
+        sizes = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        index = np.arange(ends[-1]) + np.repeat(self.begins[ids] - ends[:-1], sizes)
+        return self.bytes[index], ends[at]
 
 
 def pieces(path: str) -> Pieces:
@@ -197,19 +203,30 @@ def _keys(column: pa.Array, seed: int) -> np.ndarray:
     return hashing.mix(hashing.mix(values + np.uint64(seed)) ^ null.astype(np.uint64))
 
 
+#: UTF-8 bytes of text whose lattices a worker holds at once, about; a longer text stands alone.
+SLICE = 1 << 19
+
+
+def _sampled(batches, path: str, seed: int):
+    """Yields (doc_ids, ids of a run of texts in one array, offsets of the texts in it)."""
+    model = pieces(path)
+    for b in batches:
+        for begin in range(0, b.num_rows, 1_000):
+            rows = b.slice(begin, 1_000)
+            data, offsets = flat_text(rows.column("text"))
+            keys = _keys(rows.column("doc_id"), seed)
+            for first, last in slices(offsets, SLICE):
+                raw = data[offsets[first] : offsets[last]]
+                begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before each byte
+                yield rows.column("doc_id").slice(first, last - first), *model._part(raw.tobytes().decode(), keys[first:last], begins[offsets[first : last + 1] - offsets[first]])
+
+
 def encode(docs: DataFrame, path: str, seed: int = SEED) -> DataFrame:
     """doc_id and tokens (sampled piece ids) of each row of docs (doc_id, text)."""
 
     def run(batches):
-        model = pieces(path)
-        for b in batches:
-            data, offsets = flat_text(b.column("text"))
-            keys = _keys(b.column("doc_id"), seed)
-            for first, last in slices(offsets, 1 << 20):
-                raw = data[offsets[first] : offsets[last]]
-                begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before each byte
-                ids, at = model._part(raw.tobytes().decode(), keys[first:last], begins[offsets[first : last + 1] - offsets[first]])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, last - first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "tokens"])
+        for doc_id, ids, at in _sampled(batches, path, seed):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>")
 
@@ -222,25 +239,31 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for first in range(0, b.num_rows, 500):
                 part = b.slice(first, 500)
-                texts = [None if x.values is None else model.decode(np.array(x.values)) for x in part.column("tokens")]
+                lists = part.column("tokens")
+                data, at = model.decode(np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]))
+                raw = data.tobytes()
+                texts = [raw[s:e].decode() if x else None for s, e, x in zip(at[:-1].tolist(), at[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "tokens")), pa.array(texts, pa.string())], ["doc_id", "tokens", "text"])
 
     return encoded.select("doc_id", "tokens").mapInArrow(run, "doc_id long, tokens array<int>, text string")
 
 
-def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with piece_bpe_32k: doc_id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (of the text decoded from them)."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("piece_bpe_32k.model")
+def digests(docs: DataFrame, path: str, seed: int = SEED) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (sampled ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the text decoded from them): encode() and decode() in one pass of one Python worker, which holds one slice of texts at a time."""
 
     def run(batches):
-        for b in batches:
-            for first in range(0, b.num_rows, 500):
-                part = b.slice(first, 500)
-                ids = [np.array(x.values, "<u4").tobytes() for x in part.column("tokens")]
-                sha = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(sha)], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
+        for doc_id, ids, at in _sampled(batches, path, seed):
+            text, begins = pieces(path).decode(ids, at)
+            raw, text = ids.astype("<u4").tobytes(), text.tobytes()
+            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            sha = [hashlib.sha256(text[s:e]).hexdigest() for s, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+
+
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with piece_bpe_32k: doc_id, n_tokens, ids_crc32, decoded_sha256."""
+    import public_tokenizers
 
-    decoded = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
