@@ -10,7 +10,6 @@ the literal of an added token are encoded whole, since the library looks for the
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
@@ -20,9 +19,14 @@ from reckoner.llm import hashing
 from reckoner.llm.common import flat_text, slices
 
 CACHE = 300_000
-#: White space outside ASCII, and controls that only some libraries count as such: such texts are encoded whole.
-_ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: White space outside ASCII, and controls that only some libraries count as such: texts with these are encoded whole. By first byte, what follows.
+_ODD_SPACE = {
+    **{b: [b""] for b in range(0x1C, 0x20)},
+    0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE3: [b"\x80\x80"],
+    0xE2: [*(bytes([0x80, b]) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"],
+}
+#: UTF-8 bytes of text that are worked on at once; a longer text stands alone.
+SLICE = 1 << 20
 
 _letter = np.zeros(256, bool)
 _letter[[*range(65, 91), *range(97, 123)]] = True
@@ -30,6 +34,10 @@ _ascii_other = np.zeros(256, bool)
 _ascii_other[:128] = True
 _ascii_other &= ~_letter & ~hashing._SPACE
 
+_odd_first = np.zeros(256, bool)
+_odd_first[list(_ODD_SPACE)] = True
+_odd_rest = {(b, *(x + b"\0\0")[: len(x)]) for b, v in _ODD_SPACE.items() for x in v}
+
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -48,30 +56,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        literals = [re.escape(t.content.encode()) for t in added]
-        if kind == "byte":
-            literals.append(_ODD_SPACE.pattern)
-        #: What a text that is encoded whole has in it; tokens that are looked for in the normalised text count in any case.
-        self.odd = re.compile(b"|".join(literals) or b"(?!)", re.IGNORECASE if any(t.normalized for t in added) else 0)
+        #: Tokens that are looked for in the normalised text count in any case.
+        self.any_case = any(t.normalized for t in added)
+        self.literals = [t.content.encode().lower() if self.any_case else t.content.encode() for t in added]
         self.kind, self.known, self.alphabet = kind, {}, _byte_level()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        """Encodes new pieces; those that are one word, with or without a space before, go straight to the merges."""
-        hard, model, alphabet = [], self.tokenizer.model, self.alphabet
-        for key, piece in zip(keys, pieces, strict=True):
-            if _SIMPLE.fullmatch(piece):
-                if self.kind == "word":
-                    piece = piece.lower().lstrip()
-                word = piece.encode().decode("latin-1").translate(alphabet)
-                self.known[key] = array("I", [x.id for x in model.tokenize(word)]).tobytes()
-            else:
-                hard.append((key, piece))
+    def _odd_texts(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that are encoded whole: those with an added token's literal or, in a byte-level vocabulary, with odd white space."""
+        raw = data.tobytes()
+        if self.any_case:
+            raw = raw.lower()
+        at = []
+        for x in self.literals:
+            k = raw.find(x)
+            while k >= 0:
+                at.append(k)
+                k = raw.find(x, k + 1)
+        if self.kind == "byte":
+            for k in np.flatnonzero(_odd_first[data]).tolist():
+                if any(tuple(raw[k : k + n]) in _odd_rest for n in (1, 2, 3)):
+                    at.append(k)
+        return sorted(set((np.searchsorted(offsets, at, side="right") - 1).tolist()))
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letter: np.ndarray) -> None:
+        """Encodes new pieces; those that are letters only, with or without a space before, go straight to the merges."""
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        begin = starts + (data[starts] == 0x20)
+        plain = (others[ends] == others[begin]) & (ends > begin)
+        model, known = self.tokenizer.model, self.known
+        if plain.any():
+            first = begin[plain] if self.kind == "word" else starts[plain]
+            sizes = ends[plain] - first + 1  # with a line break after each
+            total = np.cumsum(sizes)
+            index = np.arange(total[-1]) + np.repeat(first - (total - sizes), sizes)
+            joined = np.append(data, np.uint8(10))[np.minimum(index, len(data))]
+            joined[total - 1] = 10
+            text = joined.tobytes()
+            if self.kind == "word":
+                text = text.decode().lower().encode()
+            words = text.decode("latin-1").translate(self.alphabet).split(self.alphabet[10])
+            for key, word in zip(keys[plain].tolist(), words, strict=False):
+                known[key] = array("I", [x.id for x in model.tokenize(word)]).tobytes()
+        hard = np.flatnonzero(~plain)
+        raw = data.tobytes() if len(hard) else b""
         for x in range(0, len(hard), 20_000):
             part = hard[x : x + 20_000]
-            self.known.update(zip([k for k, _ in part], self._whole([p for _, p in part]), strict=True))
+            texts = [raw[s:e].decode() for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            known.update(zip(keys[part].tolist(), self._whole(texts), strict=True))
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the slice in one array, and each text's offset in it."""
@@ -91,8 +125,8 @@ class Encoder:
         keys, known = distinct.tolist(), self.known
         new = [x for x, k in enumerate(keys) if k not in known]
         if new:
-            raw, at = data.tobytes(), sample[new]
-            self._learn([keys[x] for x in new], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            letter[:-1] |= (data[:-1] == 0xC3) & letter[1:]  # the first bytes of two-byte letters too
+            self._learn(distinct[new], data, starts[sample[new]], ends[sample[new]], letter)
         found = [known[k] for k in keys]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, at = np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
@@ -104,21 +138,16 @@ class Encoder:
     def encode(self, texts: pa.Array):
         """Yields (first text, ids of a run of texts in one array, offsets of the run's texts in it); null counts as empty."""
         data, offsets = flat_text(texts)
-        for first, last in slices(offsets, 4 << 20):
+        for first, last in slices(offsets, SLICE):
             part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-            if self.odd.search(part):
-                raw = part.tobytes()
-                whole = [k for k, (s, e) in enumerate(zip(own[:-1].tolist(), own[1:].tolist(), strict=True)) if self.odd.search(raw, s, e)]
-                done = 0
-                for k in [*whole, last - first]:
-                    if done < k:
-                        yield first + done, *self._slice(part[own[done] : own[k]], own[done : k + 1] - own[done])
-                    if k < last - first:
-                        ids = np.frombuffer(self._whole([raw[own[k] : own[k + 1]].decode()])[0], "<u4")
-                        yield first + k, ids, np.array([0, len(ids)])
-                    done = k + 1
-            else:
-                yield first, *self._slice(part, own)
+            done = 0
+            for k in [*self._odd_texts(part, own), last - first]:
+                if done < k:
+                    yield first + done, *self._slice(part[own[done] : own[k]], own[done : k + 1] - own[done])
+                if k < last - first:
+                    ids = np.frombuffer(self._whole([part[own[k] : own[k + 1]].tobytes().decode()])[0], "<u4")
+                    yield first + k, ids, np.array([0, len(ids)])
+                done = k + 1
 
 
 def encoder(path: str, kind: str) -> Encoder:

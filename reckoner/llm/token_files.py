@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,25 +59,43 @@ def encode(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_id: int = END_ID) -> None:
-    """Writes the token files; the texts are ranged by doc_id before they are encoded, so only texts are shuffled."""
+    """Writes the token files; the texts are ranged by doc_id before they are encoded, so only texts are shuffled. Rows of one doc_id are ranged by their texts, and rows that are the same at random, so that no task has to take all of them."""
     files = max(1, -(-text_bytes(docs) // FILE_BYTES))
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").withColumn("_any", F.rand(1)).repartitionByRange(files, *order, "_any").sortWithinPartitions(*order)
     encode(ordered, tokenizer, kind, end_id).write.options(**LAYOUT).parquet(folder)
 
 
-def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and the row's place, read without any token page.
+def part_number(file: Column) -> Column:
+    """The place of a file among those of one write, from its name; names themselves don't sort in that order from 100,000 files on."""
+    return F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+
+
+def _read(spark: SparkSession, folder: str) -> DataFrame:
+    place = (part_number(F.col("_metadata.file_name")).alias("part"), F.col("_metadata.row_index").alias("row"))
+    return spark.read.schema(SCHEMA).parquet(folder).select("*", *place)
+
+
+def _base(rows: DataFrame) -> DataFrame:
+    """part and base (ids of all files before): a row for each file, added up in thousands of files, and then over the thousands."""
+    before = lambda w: F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("thousand", F.floor(F.col("part") / 1000))
+    thousands = files.groupBy("thousand").agg(F.sum("n").alias("n")).withColumn("over", before(W.orderBy("thousand"))).drop("n")
+    files = files.withColumn("inside", before(W.partitionBy("thousand").orderBy("part"))).join(thousands, "thousand")
+    return files.select("part", (F.col("inside") + F.col("over")).alias("base"))
 
-    Offsets come from one sum for each file (the driver holds these sums, as many as there are files) and running sums
-    inside files.
-    """
-    rows = spark.read.schema(SCHEMA).parquet(folder).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    before, total = {}, 0
-    for name, n in sorted((r["file"], r["n"]) for r in rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()):
-        before[name], total = total, total + n
-    base = spark.createDataFrame(list(before.items()) or [("", 0)], "file string, base long")
-    inside = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.join(F.broadcast(base), "file").withColumn("start", F.col("base") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).select("doc_id", "start", "n_tokens", "file", "row")
+
+def with_start(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """rows (part, row, n_tokens) with start: the ids of all rows before."""
+    inside = W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = rows.withColumn("start", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
+    return own.join(base, "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
+
+
+def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and the row's place (number of its file, row in it), read without any token page."""
+    rows = _read(spark, folder).select("doc_id", "n_tokens", "part", "row")
+    return with_start(rows, _base(rows)).select("doc_id", "start", "n_tokens", "part", "row")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,8 +111,7 @@ def checksums(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             lists = b.column("tokens")
-            offsets = np.asarray(lists.offsets)
-            raw = np.asarray(lists.values).astype("<u4").tobytes()
+            offsets, raw = np.asarray(lists.offsets), memoryview(np.ascontiguousarray(lists.values).view(np.uint8))  # little-endian in Arrow as in the result
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
 
@@ -107,6 +124,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    place = ["file", "row"]
-    crc = checksums(read_tokens(spark, folder).select("tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")))
-    return read_metadata(spark, folder).join(crc, place).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = _read(spark, folder)
+    return with_start(checksums(rows), _base(rows)).select("doc_id", "start", "n_tokens", "ids_crc32")
