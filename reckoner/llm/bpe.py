@@ -3,7 +3,7 @@
 Both vocabularies split a text before the merges, and no merge crosses a split. So the ids of a text are the ids of its
 pieces, if it is cut only where the vocabulary's own pattern is bound to split: before white space that follows
 something else, and between a letter and an ASCII character that is neither a letter nor white space. Each Python worker
-keeps the ids of the pieces that it has met, up to CACHE of them; equal pieces are found by 64-bit hashes. Texts that hold
+keeps the ids of the pieces that it has met in a task, up to CACHE of them; equal pieces are found by 64-bit hashes. Texts that hold
 the literal of an added token are encoded whole, since the library looks for these before it splits.
 """
 

@@ -18,16 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or below the machine's temp folder where that is unset (local tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "reckoner-shared")
-    return f"{top.rstrip('/')}/reckoner/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset, below the machine's temp folder if driver and executors are one process (local tests); on a cluster that would lose rows, so it is an error there.
+
+    What is not deleted before lies below the application's own folder, which can be removed when the application has ended.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        top = os.path.join(tempfile.gettempdir(), "reckoner-shared")
+    return f"{top.rstrip('/')}/reckoner/{spark.conf.get('spark.app.id', 'application')}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: later stages start from files, not from lineage."""
     path = scratch(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of saved() tables that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -47,7 +65,7 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Runs (first, last) of texts of about `most` bytes; a longer text stands alone."""
     first = 0
     while first < len(offsets) - 1:

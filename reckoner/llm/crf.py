@@ -10,10 +10,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Chains whose marginals are held at once in training.
 BLOCK = 1_000
+#: UTF-8 bytes of all texts of a sample, at most.
+SAMPLE_BYTES = 128 << 20
 
 
 @dataclass
@@ -27,8 +30,8 @@ class Chain:
         return self.weights[features].sum(-1) + self.bias
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 [chains, positions] and expected counts of pairs [2, 2] for chains of given lengths, filled up to one width.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 [chains, positions] and expected counts of pairs [2, 2] for chains of given lengths, filled up to one width; each chain counts `times`, if given.
 
     Scores are those of state 1; positions past a chain's length are ignored.
     """
@@ -51,27 +54,30 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray)
     inside = np.arange(width) < lengths[:, None]
     joint = alpha[:, :-1, :, None] * step * (emit[:, 1:] * beta[:, 1:])[:, :, None, :]
     joint = joint / joint.sum((-1, -2), keepdims=True) * inside[:, 1:, None, None]
+    if times is not None:
+        joint = joint * times[:, None, None, None]
     return np.where(inside, marginal, 0.0), joint.sum((0, 1))
 
 
-def train(features: np.ndarray, states: np.ndarray, lengths: np.ndarray, size: int, steps: int = 60, rate: float = 0.3, penalty: float = 1e-3) -> Chain:
-    """Maximises the conditional likelihood of states [chains, positions] by Adam over all chains; size: number of weights."""
+def train(features: np.ndarray, states: np.ndarray, lengths: np.ndarray, size: int, steps: int = 60, rate: float = 0.3, penalty: float = 1e-3, times: np.ndarray | None = None) -> Chain:
+    """Maximises the conditional likelihood of states [chains, positions] by Adam over all chains; size: number of weights; times: how often each chain counts."""
     chain = Chain(np.zeros(size), 0.0, np.zeros((2, 2)))
+    times = np.ones(len(features)) if times is None else times
     inside = np.arange(features.shape[1]) < lengths[:, None]
     truth = np.where(inside, states, 0)
     seen = np.zeros((2, 2))
     after = inside[:, 1:]
     for x in (0, 1):
         for y in (0, 1):
-            seen[x, y] = ((truth[:, :-1] == x) & (truth[:, 1:] == y) & after).sum()
-    total = max(1, inside.sum())
+            seen[x, y] = (((truth[:, :-1] == x) & (truth[:, 1:] == y) & after).sum(1) * times).sum()
+    total = max(1.0, (inside.sum(1) * times).sum())
     m = v = np.zeros(size + 5)
     for k in range(1, steps + 1):
         grad = np.concatenate([np.zeros(size + 1), seen.reshape(-1)])
         for a in range(0, len(features), BLOCK):
             b = slice(a, a + BLOCK)
-            marginal, joint = forward_backward(chain.emissions(features[b]), lengths[b], chain.pairs)
-            gap = np.where(inside[b], truth[b] - marginal, 0.0)
+            marginal, joint = forward_backward(chain.emissions(features[b]), lengths[b], chain.pairs, times[b])
+            gap = np.where(inside[b], truth[b] - marginal, 0.0) * times[b, None]
             grad[:size] += np.bincount(features[b].reshape(-1), np.repeat(gap.reshape(-1), features.shape[2]), size)
             grad[size] += gap.sum()
             grad[size + 1 :] -= joint.reshape(-1)
@@ -108,7 +114,8 @@ def held_out(parts: int, part: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of at most `most` rows of each class, those with the least hashes of doc_id; weights restore the classes' shares.
 
-    Rows without a doc_id or a label are left out; a doc_id that is labelled twice counts with its larger label. Only
+    Rows without a doc_id or a label are left out; a doc_id that is labelled twice counts with its larger label, and one
+    with several texts with one of them. Texts are taken in the order of their hashes until they have SAMPLE_BYTES. Only
     these texts and counts come to the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train_rows).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -117,8 +124,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
     if not picked:
         return [], np.zeros(0), np.zeros(0)
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in picked], "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(size, F.xxhash64("text"))).alias("text"))
+    so_far = F.sum(size.cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))  # of 2 * most rows
+    rows = sorted(found.withColumn("_bytes", so_far).where(F.col("_bytes") <= SAMPLE_BYTES).collect(), key=lambda r: r["doc_id"])
+    if not rows:
+        return [], np.zeros(0), np.zeros(0)
     y = np.array([r["y"] for r in rows], float)
     number = {k: max(1, int((y == k).sum())) for k in shares}
     total = sum(shares.values())

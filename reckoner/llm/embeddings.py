@@ -1,10 +1,10 @@
 """Near-duplicate vectors by a forest of random-projection trees (operator 5).
 
 Vectors are compared only within a label (and a dimension). Each tree splits a node of more than LEAF vectors at the
-median of the projections on a random direction; vectors within SPILL of the median go to both sides. SPILL is one
-standard deviation of the projected difference of two vectors at the threshold, so such a pair parts at a split only if
-its difference projects to more than two of them and the median falls between with both margins, about once in a
-thousand splits; all TREES trees have to part it for a link to be missed. A node
+median of the projections on a random direction; vectors within SPILL standard deviations of the projected difference of
+two vectors at the threshold go to both sides. Such a pair parts at a split only if its difference projects to more than
+twice SPILL of them and the median falls between with both margins, less than once in a thousand splits; all TREES trees
+have to part it for a link to be missed. A node
 that spilling can't divide stays a leaf. Leaves compare all their pairs by exact cosines, large ones in tiles
 (links.py); every link is a verified pair.
 
@@ -14,8 +14,6 @@ those without a label, link with nothing; so do rows without a vec_id. Rows of e
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +23,7 @@ from reckoner.llm import links
 from reckoner.llm.common import saved, table
 
 COSINE, TREES, LEAF, MOST_LEVELS = 0.98, 3, 2_000, 40
-SPILL = 1.0
+SPILL = 1.5
 
 
 def _usable() -> Column:
@@ -45,18 +43,16 @@ def _project(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            tree, path = (b.column(c).to_numpy() for c in ("tree", "path"))
             vectors = b.column("vector").to_pylist()
-            p, spill = np.empty(len(vectors)), np.empty(len(vectors))
-            directions: dict[tuple, np.ndarray] = {}
-            for k, raw in enumerate(vectors):
-                v = np.frombuffer(raw, np.float64)
-                key = (int(tree[k]), int(path[k]), len(v))
-                if key not in directions:
-                    directions[key] = np.random.default_rng([key[0], key[1] & 0xFFFFFFFF, key[1] >> 32 & 0xFFFFFFFF, key[2]]).standard_normal(key[2])
-                    directions[key] /= np.linalg.norm(directions[key])
-                p[k] = directions[key] @ v
-                spill[k] = SPILL * math.sqrt((2 - 2 * COSINE) / len(v))
+            keys = np.stack([b.column("tree").to_numpy().astype(np.int64), b.column("path").to_numpy(), [len(v) // 8 for v in vectors]], 1)
+            p, spill = np.empty(len(vectors)), SPILL * np.sqrt((2 - 2 * COSINE) / np.maximum(keys[:, 2], 1))
+            nodes, who = np.unique(keys, axis=0, return_inverse=True)
+            order = np.argsort(who.reshape(-1), kind="stable")
+            ends = np.cumsum(np.bincount(who.reshape(-1), minlength=len(nodes)))
+            for (tree, path, size), rows in zip(nodes.tolist(), np.split(order, ends[:-1]), strict=True):
+                direction = np.random.default_rng([tree, path & 0xFFFFFFFF, path >> 32 & 0xFFFFFFFF, size]).standard_normal(size)
+                own = np.frombuffer(b"".join([vectors[k] for k in rows.tolist()]), np.float64).reshape(len(rows), size)
+                p[rows] = own @ (direction / np.linalg.norm(direction))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array(spill)], [*names, "p", "spill"])
 
     return rows.select(*names).mapInArrow(run, "tree int, path long, node long, part long, vector binary, p double, spill double")
@@ -103,9 +99,8 @@ def _unit(rows: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "node long, part long, weight long, vector binary")
 
 
-def _near(left: dict, right: dict) -> np.ndarray:
-    a, b = (np.frombuffer(b"".join(x["vector"]), np.float64).reshape(len(x["vector"]), -1) for x in (left, right))
-    return a @ b.T >= COSINE
+def _near(left: links.Side, right: links.Side) -> np.ndarray:
+    return left.matrix("vector", np.float64) @ right.matrix("vector", np.float64).T >= COSINE
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -114,7 +109,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = saved(_unit(rows), "vectors")
     leaves = saved(forest(nodes.select("node", "part", "vector")), "leaves")
     others = leaves.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("others"))
-    found = saved(links.linked(leaves.join(nodes.select("node", "weight", "vector").join(others, "node"), "node"), _near, ["vector"]), "links")
+    tiled = leaves.select("bucket", "node", links.tiles(F.col("size")).alias("tiles"))
+    found = saved(links.linked(tiled.join(nodes.select("node", "weight", "vector").join(others, "node"), "node"), _near, ["vector"]), "links")
     linked, component = links.summary(found)
     own = rows.groupBy("node").agg(F.min("vec_id").alias("least"))
     nodes = nodes.select("node", "weight").join(own, "node").join(linked, "node", "left").join(component, "node", "left")

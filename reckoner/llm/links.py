@@ -1,115 +1,179 @@
 """Links between rows that share buckets, without rows for pairs, and the components that links make.
 
 A node may be in several buckets. A pair is judged in its least common bucket only, so a link counts once. Buckets of more
-than TILE nodes are cut into tiles that meet two at a time in different tasks, so no bucket has to fit one task and none
-is capped.
+than TILE nodes, or of more than TILE_BYTES of payload, are cut into tiles that meet two at a time, so no bucket has to
+fit one task and none is capped. A task gets its tiles in order and holds the two that meet, whatever else it has to do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reckoner.llm.common import saved
+from reckoner.llm.common import forget, saved
 
-TILE = 3_000
-#: Rows that one task of linked() takes, about.
-TASK_ROWS = 20_000
+TILE, TILE_BYTES = 8_000, 8 << 20
+#: Rows of one tile that are held against all of the other at once.
+_STRIP = 250
 
 
-def in_shared_buckets(rows: DataFrame) -> DataFrame:
-    """rows (bucket, node, and more) of buckets with two nodes or more, with size."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(sizes, "bucket")
+def in_shared_buckets(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """rows (bucket, node, and more) of buckets with two nodes or more, with size. Of buckets (of at most `limit` nodes, if given) that hold the same nodes, only one stays."""
+    small = F.col("size") <= limit if limit else F.lit(True)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("content")).where("size > 1")
+    kept = sizes.where(small).groupBy("size", "content").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    return rows.join(kept.unionByName(sizes.where(~small).select("bucket", "size")) if limit else kept, "bucket")
 
 
-def _covered(left: list[np.ndarray], right: list[np.ndarray], bucket: int) -> np.ndarray:
+def tiles(size: Column, payload: Column | None = None) -> Column:
+    """Tiles of a bucket of so many nodes with so many bytes."""
+    need = F.ceil(size / TILE)
+    return (need if payload is None else F.greatest(need, F.ceil(payload / TILE_BYTES))).cast("int")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list or binary column in one array, and each row's offset there."""
+    if pa.types.is_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
+    return np.asarray(column.values), np.asarray(column.offsets)
+
+
+class Side:
+    """Rows of one tile: payload columns of numbers, and bytes as one array with offsets."""
+
+    def __init__(self, columns: dict, first: int, last: int):
+        self.columns, self.first, self.last = columns, first, last
+
+    def __len__(self) -> int:
+        return self.last - self.first
+
+    def numbers(self, name: str) -> np.ndarray:
+        return self.columns[name][self.first : self.last]
+
+    def flat(self, name: str, kind=np.uint8) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = self.columns[name]
+        own = offsets[self.first : self.last + 1]
+        return data[own[0] : own[-1]].view(kind), (own - own[0]) * data.itemsize // np.dtype(kind).itemsize
+
+    def matrix(self, name: str, kind=np.uint8) -> np.ndarray:
+        """Bytes of one length in all rows, as rows."""
+        return self.flat(name, kind)[0].reshape(len(self), -1)
+
+
+def _covered(left: Side, right: Side, bucket: int) -> np.ndarray:
     """Which pairs meet in a lesser bucket."""
     out = np.zeros((len(left), len(right)), bool)
     sides = []
-    for lists in (left, right):
-        own = np.concatenate([np.zeros(0, np.int64), *lists])
-        who = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    for s in (left, right):
+        own, offsets = s.flat("others", np.int64)
+        who = np.repeat(np.arange(len(s)), np.diff(offsets))
         keep = own < bucket
         order = np.argsort(own[keep], kind="stable")
         sides.append((own[keep][order], who[keep][order]))
     (a, x), (b, y) = sides
     for value in np.intersect1d(a, b):
         i, j = x[np.searchsorted(a, value) : np.searchsorted(a, value, side="right")], y[np.searchsorted(b, value) : np.searchsorted(b, value, side="right")]
-        if len(i) * len(j) > 1 or left is not right:
-            out[np.ix_(i, j)] = True
+        out[np.ix_(i, j)] = True
     return out
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric matrix, the least row that links lead to."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1, initial=len(label)))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def linked(rows: DataFrame, judge: Callable, payload: list[str], weights: bool = True) -> DataFrame:
-    """bucket, node, links (weight of the nodes that node is linked to, as found in one task) and root (a node reachable by links), only where there is a link.
-
-    rows: bucket, node, size (of the bucket), weight, others (all buckets of the node) and the payload columns.
-    judge(left, right): for two dicts of payload columns (lists of Python or binary values), the matrix of links.
+class Found:
+    """Links of the nodes of one tile, or of two, as strips of them are judged: weights of the linked nodes, and for each node the least one that links lead to."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.links, self.label = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
+
+    def add(self, hit: np.ndarray, row: int, column: int, both: bool) -> None:
+        """Links between the nodes from row on and those from column on; both: they count for the columns too."""
+        n, m = hit.shape
+        self.links[row : row + n] += hit @ self.weight[column : column + m]
+        if both:
+            self.links[column : column + m] += hit.T @ self.weight[row : row + n]
+        for k in np.flatnonzero(hit.any(1)):
+            near = self.label[column + np.flatnonzero(hit[k])]
+            least = min(int(near.min()), int(self.label[row + k]))
+            if self.label[row + k] != least or (near != least).any():
+                self.label[np.isin(self.label, np.append(near, self.label[row + k]))] = least
+
+
+KEY = ("bucket", "a", "b")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ordered by KEY, in batches that don't part a group."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(c).to_numpy() for c in KEY]
+        change = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1
+        ends = tuple(int(k[-1]) for k in keys)
+        begin = 0
+        if held and tuple(int(k[0]) for k in keys) == last:
+            begin = int(change[0]) if len(change) else b.num_rows
+            held.append(b.slice(0, begin))
+        if begin == b.num_rows:
+            continue
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        tail = int(change[-1]) if len(change) else 0
+        if tail > begin:
+            yield b.slice(begin, tail - begin)
+        held, last = [b.slice(max(tail, begin))], ends
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def linked(rows: DataFrame, judge: Callable[..., np.ndarray], payload: list[str], prepare: Callable[[Side], object] | None = None) -> DataFrame:
+    """bucket, node, links (weight of the nodes that node is linked to, as found for one pair of tiles) and root (a node reachable by links), only where there is a link.
+
+    rows: bucket, node, tiles (of the bucket), weight, others (all buckets of the node) and the payload columns (longs, or binary).
+    judge(left, right): the matrix of links between some rows of a tile and all of another, or of the same; it gets what prepare() makes of the latter, if given.
     """
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("node", F.lit(1)), tiles).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda k: F.struct(F.least(k, F.col("_t")).alias("a"), F.greatest(k, F.col("_t")).alias("b")))
-    n = rows.count()
-    dealt = rows.withColumn("_t", tile).withColumn("_p", F.explode(pairs)).select("bucket", "node", "weight", "others", *payload, "_t", "_p.a", "_p.b")
-    dealt = dealt.withColumn("_task", F.pmod(F.xxhash64("bucket", "a", "b"), F.lit(max(8, -(-n // TASK_ROWS) * 4))))
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("bucket", "ascending"), ("a", "ascending"), ("b", "ascending"), ("_t", "ascending"), ("node", "ascending")])
-        bucket, a, b, tile, node, weight = (t.column(c).to_numpy() for c in ("bucket", "a", "b", "_t", "node", "weight"))
-        change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
-        out = []
-        for s, e in zip([0, *change.tolist()], [*change.tolist(), len(bucket)], strict=True):
-            part = t.slice(s, e - s)
-            others = [np.array(x, np.int64) for x in part.column("others").to_pylist()]
-            values = {c: part.column(c).to_pylist() for c in payload}
-            cut = int(np.searchsorted(tile[s:e], b[s])) if a[s] != b[s] else 0
-            own, w = node[s:e], weight[s:e]
-            if a[s] == b[s]:
-                hit = judge(values, values)
-                np.fill_diagonal(hit, False)
-                if hit.any():
-                    hit &= ~_covered(others, others, int(bucket[s]))
-                if not hit.any():
+    tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("_t")).alias("a"), F.greatest(k, F.col("_t")).alias("b")))
+    dealt = rows.withColumn("_t", tile).withColumn("_p", F.explode(pairs)).select("bucket", "_p.a", "_p.b", "_t", "node", "weight", "others", *payload)
+    ordered = dealt.repartition(*KEY).sortWithinPartitions(*KEY, "_t", "node")
+
+    def run(batches):
+        for b in _whole_groups(batches):
+            bucket, a, both, tile, node, weight = (b.column(c).to_numpy() for c in (*KEY, "_t", "node", "weight"))
+            columns = {c: b.column(c).to_numpy() if pa.types.is_integer(b.column(c).type) else _flat(b.column(c)) for c in ("others", *payload)}
+            change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(a) != 0) | (np.diff(both) != 0)) + 1
+            out = []
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), len(bucket)], strict=True):
+                square = a[s] == both[s]
+                cut = e if square else s + int(np.searchsorted(tile[s:e], both[s]))
+                right = Side(columns, s if square else cut, e)
+                if not len(right) or cut - s < 1 + square:
                     continue
-                full = hit
-            else:
-                hit = judge({c: v[:cut] for c, v in values.items()}, {c: v[cut:] for c, v in values.items()})
-                if hit.any():
-                    hit &= ~_covered(others[:cut], others[cut:], int(bucket[s]))
-                if not hit.any():
-                    continue
-                full = np.zeros((e - s, e - s), bool)
-                full[:cut, cut:], full[cut:, :cut] = hit, hit.T
-            root = own[_roots(full)]
-            sums = full.astype(np.float64) @ w.astype(np.float64)
-            has = full.any(1)
-            out.append((np.full(int(has.sum()), bucket[s]), own[has], np.rint(sums[has]).astype(np.int64), root[has]))
-        cols = [np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in range(4)]
-        return pa.table(dict(zip(("bucket", "node", "links", "root"), map(pa.array, cols), strict=True)))
-
-    return dealt.groupBy("_task").applyInArrow(run, "bucket long, node long, links long, root long")
+                found, keep = Found(weight[s:e]), prepare(right) if prepare else None
+                for k in range(s, cut, _STRIP):
+                    left = Side(columns, k, min(k + _STRIP, cut))
+                    hit = judge(left, right, keep) if prepare else judge(left, right)
+                    if square:
+                        hit[np.arange(len(left)), k - s + np.arange(len(left))] = False
+                    if hit.any():
+                        hit &= ~_covered(left, right, int(bucket[s]))
+                        found.add(hit, k - s, right.first - s, not square)
+                has = found.links > 0
+                if has.any():
+                    out.append((np.full(int(has.sum()), bucket[s]), node[s:e][has], found.links[has], node[s:e][found.label][has]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]).astype(np.int64)) for k in range(4)], ["bucket", "node", "links", "root"])
+
+    return ordered.mapInArrow(run, "bucket long, node long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the least node that edges lead to) of all nodes of edges (node, root); edges are undirected.
 
-    Large-star and small-star steps in turns until nothing changes; each turn is written to the shared folder.
+    Large-star and small-star steps in turns until nothing changes; each turn is written to the shared folder, and the one before deleted.
     """
     pairs = edges.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).where("u != v").distinct()
     now, mark = saved(pairs, "edges"), None
@@ -119,7 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        now = saved(small, "edges")
+        before, now = now, saved(small, "edges")
+        forget(before)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == mark or not new[0]:
             break
@@ -128,5 +193,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def summary(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From linked(): node with links over all tasks, and node with component."""
+    """From linked(): node with links over all tiles, and node with component."""
     return found.groupBy("node").agg(F.sum("links").alias("links")), components(found.select("node", "root"))

@@ -58,6 +58,7 @@ def pieces(docs: DataFrame, path: str, kind: str = "word", capacity: int = CAPAC
                 length = np.minimum(size[doc] - start, capacity)
                 crc = [zlib.crc32(raw[4 * s : 4 * (s + k)]) for s, k in zip((at[doc] + start).tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, n).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], KEYS)
+        enc.known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

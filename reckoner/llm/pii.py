@@ -229,9 +229,11 @@ def redact(df: DataFrame) -> DataFrame:
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, counts of base spans by kind, base_sha256, spans."""
+    """All documents: doc_id, counts of base spans by kind, base_sha256, spans, and counts of all spans and of those that the method adds."""
     found = saved(candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "candidates")
     df = classify(found, fit(found)).withColumn("base", F.filter("spans", lambda x: x["base"]))
     names = F.transform("base", lambda x: x["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(names, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return df.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    every = F.transform("spans", lambda x: x["kind"])
+    added = [(F.size("spans") - F.size(F.array_remove(every, k))).cast("long").alias(f"n_{k}") for k in KINDS if k not in BASE]
+    return df.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *added)

@@ -46,6 +46,13 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _runs(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that sorted hashes fall into, and where each begins among the hashes (one more)."""
+    own = _bucket(hashes, buckets)
+    at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return own[at], np.append(at, len(own))
+
+
 def _bits(column: pa.Array, n: int, k: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(column[k].as_py(), np.uint8), count=n).astype(bool)
 
@@ -56,14 +63,13 @@ def repeated_windows(blocked: DataFrame, width: int, buckets: int) -> DataFrame:
     def emit(t: pa.Table) -> pa.Table:
         found = [h for _, _, h, _ in _windows(t.column("text"), width)]
         hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-        at = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(at))
+        full, at = _runs(hashes, buckets)
         block = t.column("_block")[0].as_py()
         return pa.table({
             "_block": pa.array([block] * len(full), pa.int64()),
             "_bucket": pa.array(full, pa.int64()),
-            "hashes": pa.array([hashes[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()),
-            "many": pa.array([np.packbits(counts[at[b] : at[b + 1]] > 1).tobytes() for b in full], pa.binary()),
+            "hashes": pa.array([hashes[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+            "many": pa.array([np.packbits(counts[s:e] > 1).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()),
         })
 
     def count(t: pa.Table) -> pa.Table:
@@ -90,8 +96,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         flag = {b: x.as_py() for b, x in zip(f.column("_bucket").to_pylist(), f.column("flags"), strict=True)}
         runs = list(_windows(t.column("text"), width))
         hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in runs)]))
-        at = np.searchsorted(_bucket(hashes, blocks), np.arange(blocks + 1))
-        twice = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(flag[b], np.uint8), count=at[b + 1] - at[b]).astype(bool) for b in np.flatnonzero(np.diff(at)))])
+        full, at = _runs(hashes, blocks)
+        twice = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(flag[b], np.uint8), count=n).astype(bool) for b, n in zip(full.tolist(), np.diff(at).tolist(), strict=True))])
         out = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
         texts = t.column("text")
         for first, start, own, begin in runs:

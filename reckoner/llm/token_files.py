@@ -54,6 +54,7 @@ def encode(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
                 at = (offsets + np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(closed))
                 yield pa.RecordBatch.from_arrays([doc_id.slice(first, n), pa.array(np.diff(at).astype(np.int64)), lists], ["doc_id", "n_tokens", "tokens"])
+        enc.known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -32,6 +32,7 @@ THRESHOLD, SPAN = 0.3, 0.5
 BEGINNINGS = (4, 5, 6)
 #: A mark occurs in so many toxic documents of the sample at least, with such log-odds; MARKS are kept at most.
 SEEN, ODDS, MARKS = 3, 2.5, 20_000
+#: Words of one chain in training; all chains of the sample's documents are trained on.
 CHUNK = 128
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -125,17 +126,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
     marks = sorted((w for w, z in odds.items() if z >= ODDS), key=lambda w: (-odds[w], w))[:MARKS]
     model = Model(crf.Chain(np.zeros(1), 0.0, np.zeros((2, 2))), {w: k + 1 for k, w in enumerate(marks)})
     kinds = 1 + len(BEGINNINGS)
-    chunks = []
+    chunks, plain = [], Counter()  # chunks without marks are alike: one for each length, with their number
     for words, label in zip(cut, y, strict=True):
         f = np.array([model.features(w) for w in words], np.int32).reshape(-1, kinds)
         s = (f.any(1) & (label == 1)).astype(int)
-        chunks += [(f[k : k + CHUNK], s[k : k + CHUNK]) for k in range(0, len(f), CHUNK) if f[k : k + CHUNK].any() or k == 0]
+        for k in range(0, len(f), CHUNK):
+            part = f[k : k + CHUNK]
+            if part.any():
+                chunks.append((part, s[k : k + CHUNK]))
+            else:
+                plain[len(part)] += 1
+    times = np.array([1.0] * len(chunks) + [float(plain[n]) for n in sorted(plain)])
+    chunks += [(np.zeros((n, kinds), np.int32), np.zeros(n, int)) for n in sorted(plain)]
     del cut, seen, odds
     feature, state = np.zeros((len(chunks), CHUNK, kinds), np.int32), np.zeros((len(chunks), CHUNK), np.int8)
     lengths = np.array([len(s) for _, s in chunks])
     for k, (f, s) in enumerate(chunks):
         feature[k, : len(f)], state[k, : len(s)] = f, s
-    model.chain = crf.train(feature, state, lengths, len(marks) + 1)
+    model.chain = crf.train(feature, state, lengths, len(marks) + 1, times=times)
     x = np.array([model.read(t)[0] for t in texts])
     model.head = crf.logistic(x, y, weight)
     model._powers.clear()
@@ -160,7 +168,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, held_out, score, predicted and n_spans."""
+    """All documents: doc_id, held_out, score, predicted, n_spans and spans (start, end, marginal)."""
     docs, out = table(spark, sf_dir, "documents"), crf.held_out(4, 2)
     found = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~out))
-    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), "spans")

@@ -96,14 +96,14 @@ def test_transport_streams(spark, sf, docs):
 @pytest.mark.parametrize("size", [0, 1, 100, 157, 158, 159, 168, 169, 170, 171, 183, 184, 5000, 16384, 16385, 100_000])
 def test_stream_round_trip(size):
     data = bytes(k * 7 % 256 for k in range(size))
-    out = media_ts.unpack(media_ts.pack(data))
+    out = media_ts.unpack(media_ts.pack(data)[0])
     assert out["payload"] == data and out["breaks"] == 0
     assert out["pts"] == [k * media_ts.TICKS for k in range(max(1, -(-size // media_ts.UNIT)))]
     assert len(out["key_packets"]) == -(-len(out["pts"]) // media_ts.KEY_EVERY)
 
 
 def test_damaged_stream_counts_breaks():
-    stream = media_ts.pack(bytes(5000))
+    stream = media_ts.pack(bytes(5000))[0]
     assert media_ts.unpack(stream[: 188 * 5] + stream[188 * 6 :])["breaks"] == 1
     assert media_ts.unpack(stream[: 188 * 5] + b"\0" * 188 + stream[188 * 6 :])["lost"] == 1
 
