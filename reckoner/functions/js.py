@@ -29,6 +29,15 @@ def text(c: Column, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
+def plain(v) -> str | None:
+    """String(v) of a value of a specification; None stays None."""
+    if v is None or isinstance(v, str):
+        return v
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return str(int(v)) if isinstance(v, float) and v.is_integer() and abs(v) < 1e18 else str(v)
+
+
 def _quoted(c: Column, rest: str) -> Column:
     return F.concat(F.lit('"'), c, F.lit(f'" {rest}'))
 
@@ -40,7 +49,8 @@ def number(c: Column, kind: T.DataType) -> tuple[Column, Column]:
         return c.cast("double"), none
     raw = text(c, kind)
     t = trim(raw)
-    value = F.when(t == "", F.lit(0.0)).when(t.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(t, 3, 15), 16, 10).cast("double")).when(t.rlike(_DECIMAL), t.try_cast("double"))
+    endless = F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    value = F.when(t == "", F.lit(0.0)).when(t.rlike("^[+-]?Infinity$"), endless).when(t.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(t, 3, 15), 16, 10).cast("double")).when(t.rlike(_DECIMAL), t.try_cast("double"))
     return value, F.when(c.isNotNull() & value.isNull(), _quoted(raw, "is not a number"))
 
 
@@ -52,7 +62,7 @@ def integer(c: Column, kind: T.DataType) -> tuple[Column, Column]:
 
 def boolean(c: Column, kind: T.DataType) -> tuple[Column, Column]:
     raw = text(c, kind)
-    t = F.lower(trim(raw))
+    t = F.lower(raw)  # white space around the word makes it another word
     value = F.when(t.isin(*TRUE), True).when(t.isin(*FALSE), False)
     return value, F.when(c.isNotNull() & value.isNull(), _quoted(raw, "is not true or false"))
 

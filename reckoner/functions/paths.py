@@ -25,8 +25,8 @@ def read(df: DataFrame, path: str) -> tuple[Column, T.DataType]:
     return found, kind
 
 
-def build(values: dict[str, Column]) -> list[Column]:
-    """Columns for dotted targets: `a.b` becomes the field b of a struct a; a target that is a value and a parent is a parent."""
+def build(values: dict[str, Column], over: DataFrame | None = None) -> list[Column]:
+    """Columns for dotted targets: `a.b` becomes the field b of a struct a, or is laid over the struct a that `over` has; a target that is a value and a parent is a parent."""
     tree: dict = {}
     for path, value in values.items():
         at = tree
@@ -38,10 +38,19 @@ def build(values: dict[str, Column]) -> list[Column]:
         if not isinstance(at.get(leaf), dict):
             at[leaf] = value
 
-    def column(name: str, x) -> Column:
-        return (F.struct(*(column(k, v) for k, v in x.items())) if isinstance(x, dict) else x).alias(name)
+    def column(x, found: Column | None, kind: T.DataType | None) -> Column:
+        if not isinstance(x, dict):
+            return x
+        if not isinstance(kind, T.StructType):
+            return F.struct(*(column(v, None, None).alias(k) for k, v in x.items()))
+        whole = F.coalesce(found, F.from_json(F.lit("{}"), kind))  # fields go into a missing object too
+        for k, v in x.items():
+            has = k in kind.names
+            whole = whole.withField(f"`{k}`", column(v, whole.getField(k) if has else None, kind[k].dataType if has else None))
+        return whole
 
-    return [column(k, v) for k, v in tree.items()]
+    there = {} if over is None else {f.name: f.dataType for f in over.schema}
+    return [column(v, F.col(f"`{k}`") if k in there else None, there.get(k)).alias(k) for k, v in tree.items()]
 
 
 def redact(df: DataFrame, pointers: dict[str, str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reckoner.sources.scratch import folder
 
@@ -23,15 +24,36 @@ def _ranges(bounds: DataFrame) -> DataFrame:
     return out.select("chunk", "first", F.least(F.col("first") + F.col("step") - 1, F.col("hi")).alias("last"))
 
 
+def _one(df: DataFrame) -> DataFrame:
+    """The plan of a source whose key has no order of numbers: one chunk, if there are rows."""
+    return df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(0).alias("chunk"), *(F.lit(None).cast("long").alias(c) for c in ("first", "last")))
+
+
+def _whole(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, (T.IntegralType, T.DecimalType))
+
+
 def plan_ranges(df: DataFrame, key: str, rows: int, max_chunks: int) -> DataFrame:
-    """Ranges of `rows` key values from the least key to the greatest; wider ones where there would be more than max_chunks. An empty source has none."""
+    """Ranges of `rows` key values from the least key to the greatest; wider ones where there would be more than max_chunks. A key that isn't a whole number makes one chunk without bounds. An empty source has none."""
+    if not _whole(df, key):
+        return _one(df)
     span = F.col("hi") - F.col("lo") + 1
     bounds = df.agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"))
     return _ranges(bounds.withColumn("step", F.when(F.ceil(span / rows) > max_chunks, F.ceil(span / max_chunks)).otherwise(rows).cast("long")))
 
 
 def plan_by_count(df: DataFrame, key: str, target: int, max_chunks: int) -> DataFrame:
-    """Equal slices of the key space, as many as `target` rows each need on average, max_chunks at most."""
+    """Equal slices of the key space, as many as `target` rows each need on average, max_chunks at most; decimal keys of any size too, and one chunk for a key that isn't a whole number."""
+    if not _whole(df, key):
+        return _one(df)
+    if isinstance(df.schema[key].dataType, T.DecimalType):
+        big = lambda c: c.cast("decimal(38,0)")
+        n = F.greatest(F.lit(1), F.least(F.lit(max_chunks), F.ceil(F.col("n") / target))).cast("int")
+        bounds = df.agg(F.count("*").alias("n"), big(F.min(key)).alias("lo"), big(F.max(key)).alias("hi")).where("lo is not null").withColumn("k", n)
+        bounds = bounds.withColumn("step", big(F.floor((F.col("hi") - F.col("lo")) / F.col("k"))) + 1)
+        first = big(F.col("lo") + F.col("chunk").cast("decimal(10,0)") * F.col("step"))
+        out = bounds.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("first", first).where("first <= hi")
+        return out.select("chunk", "first", big(F.least(F.col("first") + F.col("step") - 1, F.col("hi"))).alias("last"))
     bounds = df.agg(F.count("*").alias("n"), F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"))
     chunks = F.greatest(F.lit(1), F.least(F.lit(max_chunks), F.ceil(F.col("n") / target)))
     return _ranges(bounds.withColumn("step", F.ceil((F.col("hi") - F.col("lo") + 1) / chunks).cast("long")))
@@ -46,7 +68,10 @@ def object_id_number(c: Column) -> Column:
 def assign(df: DataFrame, key: str, plan: DataFrame) -> DataFrame:
     """df with `_chunk`: plan's ranges have one width, so the number follows from the key; keys outside the plan have none."""
     edge = plan.agg(F.min("first").alias("_lo"), F.max("last").alias("_hi"), F.max(F.col("last") - F.col("first") + 1).alias("_step"))
-    chunk = F.when(F.col(key).between(F.col("_lo"), F.col("_hi")), F.floor((F.col(key) - F.col("_lo")) / F.col("_step")).cast("int"))
+    if not _whole(df, key):
+        return df.withColumn("_chunk", F.lit(0))
+    place = F.col(key) - F.col("_lo")
+    chunk = F.when(F.col(key).between(F.col("_lo"), F.col("_hi")), ((place - place % F.col("_step")) / F.col("_step")).cast("int"))  # a quotient with a fraction would be rounded
     return df.crossJoin(F.broadcast(edge)).withColumn("_chunk", chunk).drop("_lo", "_hi", "_step")  # one row, always
 
 
@@ -55,6 +80,26 @@ def sequence(df: DataFrame, order: list[str], chunk: str = "_chunk") -> DataFram
     return df.withColumn("_seq", F.row_number().over(W.partitionBy(chunk).orderBy(*order)).cast("long"))
 
 
+def plan_offsets(bounds: DataFrame, rows: int) -> DataFrame:
+    """chunk, partition, first, last (exclusive) of a topic's read, frozen from bounds (partition, begin, end): `rows` offsets each, no chunk across partitions, none for an empty partition."""
+    full = bounds.where("end > begin").select("partition", "end", F.explode(F.sequence(F.col("begin"), F.col("end") - 1, F.lit(rows).cast("long"))).alias("first"))
+    per = full.groupBy("partition").agg(F.count("*").alias("_n"))
+    before = per.withColumn("_before", F.sum("_n").over(W.orderBy("partition")) - F.col("_n")).drop("_n")  # a row for each partition
+    own = F.row_number().over(W.partitionBy("partition").orderBy("first")) - 1
+    return full.withColumn("_own", own).join(F.broadcast(before), "partition").select((F.col("_before") + F.col("_own")).alias("chunk"), "partition", "first", F.least(F.col("first") + rows, F.col("end")).alias("last"))
+
+
+def cursor_pages(df: DataFrame, order: list[str], budget: int) -> DataFrame:
+    """Reads of a source that gives no counts: page N + 1 begins after page N's last key, each takes `budget` rows, and a page that takes fewer, or none, finds the source dry. page, records, cursor (key that the page began after, null for the first), last and dry."""
+    rows = numbered(df, order).withColumn("page", F.floor(F.col("_row") / budget))
+    key = F.struct(*order)
+    found = rows.groupBy("page").agg(F.count("*").alias("records"), F.max(key).alias("last"))
+    end = df.agg(F.floor(F.count("*") / budget).alias("page")).withColumns({"records": F.lit(0).cast("long"), "last": F.lit(None).cast(found.schema["last"].dataType)})
+    every = found.unionByName(end.join(found.select("page"), "page", "left_anti"))
+    before = found.select((F.col("page") + 1).alias("page"), F.col("last").alias("cursor"))
+    return every.join(before, "page", "left").withColumn("dry", F.col("records") < budget)
+
+
 def after(df: DataFrame, key: str, cursor) -> DataFrame:
     """The rows that a resumed read still has to take."""
     return df.where(F.col(key) > F.lit(cursor))

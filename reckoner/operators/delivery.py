@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 FOLD = 20_000
 
 
+def places(df: DataFrame) -> list[str]:
+    """What orders the records of a chunk: the place of the record that was read, then the ordinal among its siblings."""
+    return ["_seq", "_ordinal"] if "_ordinal" in df.columns else ["_seq"]
+
+
 def assign_batches(df: DataFrame, max_records: int, max_bytes: int | None = None, size: str = "_bytes") -> DataFrame:
-    """df (`_chunk`, `_seq` from 1 without gaps) with `_batch`, from 0: a batch is full when a record makes it reach max_records or max_bytes. With bytes (null counts as 0, none is negative) a chunk is folded in blocks of rows, however many it has: each block tells, for each place where its first batch may begin, where the first of the next block begins and how many batches lie between; these are chained, and blocks are numbered from the true places."""
+    """df (`_chunk`, `_seq` from 1 without gaps) with `_batch`, from 0: a batch is full when a record makes it reach max_records or max_bytes. With bytes (null counts as 0, none is negative) a chunk is folded in blocks of rows, however many it has: each block tells, for each place where its first batch may begin, where the first of the next block begins and how many batches lie between; these are chained, and blocks are numbered from the true places. Siblings count one by one by their bytes, and go with their record by max_records."""
     if max_bytes is None:
         return df.withColumn("_batch", F.floor((F.col("_seq") - 1) / max_records).cast("int"))
     span = max(FOLD, 50 * max_records)
@@ -53,13 +58,16 @@ def assign_batches(df: DataFrame, max_records: int, max_bytes: int | None = None
         return pd.DataFrame({"_chunk": pdf["_chunk"], "_seq": pdf["_seq"], "_batch": pdf["_base"].iloc[0] - 1 + np.cumsum(begins)})
 
     block = F.floor((F.col("_seq") - 1) / span).cast("long")
+    if "_ordinal" in df.columns:
+        df = df.withColumn("_own", F.col("_seq")).withColumn("_seq", F.row_number().over(W.partitionBy("_chunk").orderBy("_own", "_ordinal")).cast("long"))
     rows = df.select("_chunk", "_seq", size).withColumn("_block", block)
     ahead = rows.where((F.col("_block") > 0) & ((F.col("_seq") - 1) % span < max_records)).withColumn("_block", F.col("_block") - 1)
     both = rows.withColumn("_ahead", F.lit(False)).unionByName(ahead.withColumn("_ahead", F.lit(True)))
     offers = both.groupBy("_chunk", "_block").applyInPandas(offer, "_chunk int, _block long, _hop array<int>, _made array<int>")
     entries = offers.groupBy("_chunk").applyInPandas(chain, "_chunk int, _block long, _entry int, _base int")  # max_records entries for each block
-    places = rows.join(entries, ["_chunk", "_block"]).groupBy("_chunk", "_block").applyInPandas(number, "_chunk int, _seq long, _batch int")
-    return df.join(places, ["_chunk", "_seq"])
+    numbered = rows.join(entries, ["_chunk", "_block"]).groupBy("_chunk", "_block").applyInPandas(number, "_chunk int, _seq long, _batch int")
+    out = df.join(numbered, ["_chunk", "_seq"])
+    return out.withColumn("_seq", F.col("_own")).drop("_own") if "_ordinal" in df.columns else out
 
 
 def assign_groups(df: DataFrame, size: int | None = None, label: Column | None = None) -> DataFrame:
@@ -67,18 +75,20 @@ def assign_groups(df: DataFrame, size: int | None = None, label: Column | None =
     batch = W.partitionBy("_chunk", "_batch")
     if label is not None:
         df = df.withColumn("_label", F.coalesce(label.cast("string"), F.lit("")))
-        df = df.withColumn("_first", F.min("_seq").over(W.partitionBy("_chunk", "_batch", "_label")))
+        df = df.withColumn("_first", F.min(F.struct(*places(df))).over(W.partitionBy("_chunk", "_batch", "_label")))
         return df.withColumn("_group", F.dense_rank().over(batch.orderBy("_first")) - 1).drop("_first")
     if size is None:
         return df.withColumn("_group", F.lit(0))
-    return df.withColumn("_group", F.floor((F.row_number().over(batch.orderBy("_seq")) - 1) / size).cast("int"))
+    return df.withColumn("_group", F.floor((F.row_number().over(batch.orderBy(*places(df))) - 1) / size).cast("int"))
 
 
 def fan_out(df: DataFrame, outputs: Column, name: str = "item") -> DataFrame:
-    """One row for each non-null output of a record, with `_ordinal` from 0; a record without outputs is kept once, as filtered."""
+    """One row for each non-null output of a record, with `_ordinal` from 0; a record without outputs is kept once, as filtered. Siblings that are fanned out again are numbered through, in order."""
     left = F.filter(outputs, lambda x: x.isNotNull())
-    out = df.select("*", F.posexplode_outer(left).alias("_ordinal", name))
-    return out.withColumn("_filtered", F.col("_ordinal").isNull()).withColumn("_ordinal", F.coalesce("_ordinal", F.lit(0)))
+    out = df.select("*", F.posexplode_outer(left).alias("_at", name)).withColumn("_filtered", F.col("_at").isNull())
+    if "_ordinal" in df.columns:
+        return out.withColumn("_ordinal", F.row_number().over(W.partitionBy("_chunk", "_seq").orderBy("_ordinal", "_at")) - 1).drop("_at")
+    return out.withColumn("_ordinal", F.coalesce("_at", F.lit(0))).drop("_at")
 
 
 def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str) -> DataFrame:
@@ -97,7 +107,7 @@ def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str) -> Da
                     rows += [own | x | {"_ordinal": k, "_filtered": False} for k, x in enumerate(outs)] or [own | {"_ordinal": 0, "_filtered": True}]
                 except Exception as e:  # what a user's function throws is data
                     rows.append(own | {"_ordinal": 0, "_filtered": False, "_error": str(e)})
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     full = ", ".join([*(f"`{c}` {kinds[c]}" for c in envelope), schema, "_ordinal int, _filtered boolean, _error string"])
     names = df.sparkSession.createDataFrame([], full).columns
@@ -105,11 +115,11 @@ def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str) -> Da
 
 
 def apply_groups(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A function over each delivery group, in order of `_seq`: as many rows out as in, paired by position; else, or on an exception, the whole group carries `_error`."""
-    keys = ["_chunk", "_batch", "_group", "_seq"]
+    """A function over each delivery group, in order: as many rows out as in, paired by position; else, or on an exception, the whole group carries `_error`. The envelope passes through."""
+    keys, order, kinds = [c for c in df.columns if c.startswith("_") and c != "_error"], places(df), dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq").reset_index(drop=True)
+        pdf = pdf.sort_values(order).reset_index(drop=True)
         try:
             made = fn(pdf.drop(columns=[c for c in pdf.columns if c.startswith("_")])).reset_index(drop=True)
             if len(made) != len(pdf):
@@ -119,14 +129,14 @@ def apply_groups(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sche
             made = pd.DataFrame({"_error": [str(e)] * len(pdf)})
         return pd.concat([pdf[keys], made], axis=1).reindex(columns=names)
 
-    full = f"_chunk int, _batch int, _group int, _seq long, {schema}, _error string"
+    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), schema, "_error string"])
     names = df.sparkSession.createDataFrame([], full).columns
     return df.groupBy("_chunk", "_batch", "_group").applyInPandas(run, full)
 
 
 def envelopes(df: DataFrame, fields: list[str], wrap: str | None = None) -> DataFrame:
     """One request body for each delivery group: the records in order, as a JSON array or as a field of an object; a group is as large as the delivery policy makes it."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("_seq", F.struct(*fields).alias("r")))), lambda x: x["r"])
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*places(df), F.struct(*fields).alias("r")))), lambda x: x["r"])
     body = F.to_json(F.struct(rows.alias(wrap))) if wrap else F.to_json(rows)
     return df.groupBy("_chunk", "_batch", "_group").agg(F.count("*").alias("records"), body.alias("body"))
 
@@ -134,7 +144,7 @@ def envelopes(df: DataFrame, fields: list[str], wrap: str | None = None) -> Data
 def join_verdicts(df: DataFrame, answers: DataFrame) -> DataFrame:
     """df with the outcome of each record from answers (`_chunk`, `_batch`, `_group`, index, code, message): those named are REJECTED, the others WRITTEN; indexes that don't exist are ignored."""
     keys = ["_chunk", "_batch", "_group"]
-    placed = df.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy("_seq")) - 1)
+    placed = df.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy(*places(df))) - 1)
     out = placed.join(answers.select(*keys, "index", "code", "message"), [*keys, "index"], "left").drop("index")
     return out.withColumn("outcome", F.when(F.col("code").isNotNull() | F.col("message").isNotNull(), "REJECTED").otherwise("WRITTEN"))
 
@@ -173,3 +183,42 @@ def staged_export(df: DataFrame, folder: str, max_bytes: int, sep: str = "\n") -
     df.repartition(max(1, -(-total // max_bytes))).write.csv(folder, header=True, lineSep=sep, nullValue="", emptyValue="")
     back = df.sparkSession.read.csv(folder, header=True, schema=df.schema, nullValue="").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
     return back.groupBy("file", "bytes").agg(F.count("*").alias("rows"))
+
+
+def run_splitter(df: DataFrame, fn: Callable[[pd.DataFrame], list], name: str = "_label") -> DataFrame:
+    """df (`_chunk`, `_batch`) with the label that fn gives each record of a batch, in order; on an exception, on another number of labels or on a label that is neither text nor a number, the whole batch carries `_error`. A batch is as large as the delivery policy makes it."""
+    order, kinds = places(df), [f"`{c}` {t}" for c, t in df.dtypes if c not in (name, "_error")]
+    kept = [c for c in df.columns if c not in (name, "_error")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order).reset_index(drop=True)[kept]
+        labels, error = [None] * len(pdf), None
+        try:
+            made = list(fn(pdf.drop(columns=[c for c in kept if c.startswith("_")])))
+            wrong = next((type(x).__name__ for x in made if x is not None and (isinstance(x, bool) or not isinstance(x, (str, int, float, np.integer, np.floating)))), None)
+            if len(made) != len(pdf):
+                raise ValueError(f"{len(pdf)} records went in and {len(made)} labels came out")
+            if wrong:
+                raise ValueError(f"a label is a {wrong}")
+            labels = [None if x is None else str(x) for x in made]
+        except Exception as e:  # what a user's function throws is data
+            error = str(e)
+        return pdf.assign(**{name: labels, "_error": error})
+
+    return df.groupBy("_chunk", "_batch").applyInPandas(run, ", ".join([*kinds, f"`{name}` string", "_error string"]))
+
+
+def try_out(df: DataFrame, fn: Callable[[dict], object], schema: str, n: int = 10) -> DataFrame:
+    """A record function on the first n records (between 1 and 100) of df (`_seq`): what came out, and a note on each record that was dropped, fanned out or refused."""
+    sample = df.orderBy("_seq").limit(min(max(n, 1), 100))
+    out = apply_record(sample, fn, schema)
+    siblings = F.count("*").over(W.partitionBy("_seq"))
+    note = F.when(F.col("_error").isNotNull(), F.concat(F.lit("threw: "), F.col("_error"))).when(F.col("_filtered"), "dropped").when(siblings > 1, F.concat(F.lit("fanned out into "), siblings.cast("string")))
+    return out.withColumn("note", note)
+
+
+def to_messages(df: DataFrame, key: str | None = None, record_key: str = "_key") -> DataFrame:
+    """key and value of a message for each record: the value is the record as JSON, the key one of its fields, or the record's own key where there is none."""
+    fields = [c for c in df.columns if not c.startswith("_")]
+    own = F.col(record_key).cast("string")
+    return df.select((F.coalesce(F.col(key).cast("string"), own) if key else own).alias("key"), F.to_json(F.struct(*fields)).alias("value"))

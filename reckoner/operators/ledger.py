@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -144,7 +144,8 @@ def checks(runs: DataFrame) -> DataFrame:
     written = c("n_written") + c("n_sent")
     pairs = [("written", c("written"), written), ("failed", c("failed"), failed), ("filtered", c("filtered"), c("n_filtered")), ("total", c("produced") + c("filtered"), written + failed + c("n_filtered"))]
     rows = F.array(*(F.struct(F.lit(n).alias("check"), a.cast("long").alias("counted"), b.cast("long").alias("indexed"), (a == b).alias("passed")) for n, a, b in pairs))
-    return runs.select("run_id", F.explode(rows).alias("x")).select("run_id", "x.*")
+    indexed = c("n_written").isNotNull()  # a run that isn't indexed has nothing to compare
+    return runs.where(indexed).select("run_id", F.explode(rows).alias("x")).select("run_id", "x.*")
 
 
 def verdict(runs: DataFrame) -> Column:
@@ -156,3 +157,53 @@ def verdict(runs: DataFrame) -> Column:
     agree = F.when(c("n_written") + c("n_sent") + failed + c("n_filtered") == 0, True).otherwise(agree)
     wrong = (c("produced") - c("written") - c("failed") != 0) | (unexplained != 0) | ~agree
     return F.when(~c("state").isin("COMPLETED", "FAILED", "STOPPED"), "INCOMPLETE").when(wrong, "DISCREPANCY").otherwise("BALANCED")
+
+
+def write_index(entries: DataFrame, folder: str) -> dict[str, int]:
+    """Writes index entries and returns the counters of what went into the files: they are counted in the same pass, and not from what is there afterwards."""
+    seen = Observation("index")
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    first = F.count_if(F.col("ordinal") == 0)
+    entries.observe(seen, first.alias("read"), F.count("*").alias("entries"), *(n(o).alias(o) for o in OUTCOMES)).write.parquet(folder)
+    return seen.get
+
+
+def counted_run(spark: SparkSession, run_id: int, seen: dict[str, int], state: str = "COMPLETED") -> DataFrame:
+    """The row of a run from write_index()'s counters."""
+    failed = sum(seen[o] for o in FAILURES)
+    row = (run_id, state, seen["read"], seen[FILTERED], seen["entries"] - seen[FILTERED], seen[WRITTEN] + seen[SENT], failed)
+    return spark.createDataFrame([row], "run_id long, state string, read long, filtered long, produced long, written long, failed long")
+
+
+def replay(dead: DataFrame, source: DataFrame, key: str, run_id: int) -> DataFrame:
+    """The source's rows of a run's dead letters (key, `_chunk`, `_seq`, `_ordinal`), once for each record however many of its siblings failed, with their old places and `_replay_of`; they go through a pipeline like a first read."""
+    wanted = dead.groupBy(key).agg(F.min(F.struct("_chunk", "_seq")).alias("_p")).select(key, "_p.*")
+    return source.join(wanted, key).withColumn("_replay_of", F.lit(run_id))
+
+
+def audited(entries: DataFrame, level: str) -> DataFrame:
+    """What a level of auditing keeps of the index: COUNTERS nothing, ERRORS failures, INDEXED every record. FULL, which would copy all payloads, is refused."""
+    level = level.upper()
+    if level not in ("COUNTERS", "ERRORS", "INDEXED"):
+        raise ValueError(f"no audit level {level!r} here")
+    return entries.where(F.lit(False)) if level == "COUNTERS" else entries.where(F.col("outcome").isin(*FAILURES)) if level == "ERRORS" else entries
+
+
+def by_node(errors: DataFrame, nodes: DataFrame, run: str = "run_id") -> DataFrame:
+    """Errors (run, node_id) of each run by the node's name; nodes: node_id, name (a row for each node of a pipeline)."""
+    named = errors.groupBy(run, "node_id").agg(F.count("*").alias("errors")).join(nodes, "node_id", "left")
+    return named.groupBy(run, F.coalesce("name", "node_id").alias("node")).agg(F.sum("errors").alias("errors"))
+
+
+def stage_log(df: DataFrame, stages: list[tuple[str, Column, Column]]) -> DataFrame:
+    """One row for each stage of each batch (`_chunk`, `_batch`): trace_id, stage, records in and out; a stage is its name and what goes in and comes out."""
+    trace = F.concat_ws("#", F.col("_chunk").cast("string"), F.col("_batch").cast("string")).alias("trace_id")
+    counts = [c for k, (_, into, out) in enumerate(stages) for c in (F.count_if(into).alias(f"i{k}"), F.count_if(out).alias(f"o{k}"))]
+    rows = F.array(*(F.struct(F.lit(k).alias("number"), F.lit(name).alias("stage"), F.col(f"i{k}").alias("records_in"), F.col(f"o{k}").alias("records_out")) for k, (name, _, _) in enumerate(stages)))
+    return df.groupBy(trace).agg(*counts).select("trace_id", F.explode(rows).alias("x")).select("trace_id", "x.*")
+
+
+def cycles(entries: DataFrame, log: DataFrame) -> DataFrame:
+    """The stage log beside what the index says of the same trace: entries, and those written."""
+    own = entries.groupBy("trace_id").agg(F.count("*").alias("entries"), F.count_if(F.col("outcome") == WRITTEN).alias("written"))
+    return log.join(own, "trace_id").select("trace_id", "entries", "written", "stage", "records_in", "records_out")

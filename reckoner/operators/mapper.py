@@ -6,6 +6,8 @@ whose names begin with an underscore are the record's envelope and pass through.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
 
@@ -53,9 +55,9 @@ def _translated(value: Column, kind: T.DataType, m: dict) -> tuple[Column, T.Dat
     if not table:
         raise ValueError(f"the translation of {m['to']!r} is empty")
     key = js.text(value, kind)
-    other = F.lit(str(m["otherwise"])) if "otherwise" in m else key
-    found = F.try_element_at(F.create_map(*(F.lit(str(x)) for pair in table.items() for x in pair)), key)
-    return F.when(value.isNotNull(), F.coalesce(found, other)), STRING
+    other = F.lit(js.plain(m["otherwise"])).cast("string") if "otherwise" in m else key
+    known = F.create_map(*(F.lit(js.plain(x)).cast("string") for pair in table.items() for x in pair))
+    return F.when(value.isNotNull(), F.when(F.map_contains_key(known, key), F.try_element_at(known, key)).otherwise(other)), STRING
 
 
 def mapping_columns(df: DataFrame, m: dict) -> tuple[Column, Column]:
@@ -98,7 +100,7 @@ def mapping_columns(df: DataFrame, m: dict) -> tuple[Column, Column]:
 
 
 def apply_mapping(df: DataFrame, spec: dict) -> DataFrame:
-    """The targets of spec["mappings"] (all other fields too with keepUnmapped), the envelope and `_error`: the first mapping's error in the order of the spec."""
+    """The targets of spec["mappings"] (all other fields too with keepUnmapped, those beside a nested target included), the envelope and `_error`: the first mapping's error in the order of the spec."""
     if not spec.get("mappings"):
         raise ValueError("a mapper needs mappings")
     if not all(m.get("to") for m in spec["mappings"]):
@@ -106,21 +108,40 @@ def apply_mapping(df: DataFrame, spec: dict) -> DataFrame:
     made = {m["to"]: mapping_columns(df, m) for m in spec["mappings"]}
     before = [F.col("_error")] if "_error" in df.columns else []
     error = F.coalesce(*before, *(e for _, e in made.values()))
-    targets = paths.build({to: F.when(error.isNull(), v) if e is not None else v for to, (v, e) in made.items()})
+    targets = paths.build({to: F.when(error.isNull(), v) for to, (v, _) in made.items()}, df if spec.get("keepUnmapped") else None)
     names = {to.split(".")[0] for to in made}
     kept = [F.col(f"`{c}`") for c in df.columns if c != "_error" and (c.startswith("_") or spec.get("keepUnmapped") and c not in names)]
     return df.select(*kept, *targets, error.alias("_error"))
 
 
 def to_record(df: DataFrame, spec: dict) -> Column:
-    """JSON text of the mapped fields: missing ones are left out, or explicit nulls where the mapping says onMissing NULL."""
-    shown = {m["to"].split(".")[0]: m.get("onMissing", "OMIT").upper() == "NULL" for m in spec["mappings"]}
-    parts = []
-    for name, explicit in shown.items():
-        value = F.regexp_extract(F.to_json(F.struct(F.col(f"`{name}`").alias("v")), {"ignoreNullFields": "true"}), r"(?s)^\{(?:\"v\":(.*))?\}$", 1)
-        absent = F.lit(f'"{name}":null') if explicit else F.lit(None).cast("string")
-        parts.append(F.when(F.col(f"`{name}`").isNotNull(), F.concat(F.lit(f'"{name}":'), value)).otherwise(absent))
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    """JSON text of the mapped fields: missing ones are left out, or explicit nulls where the mapping says onMissing NULL, at any depth; an object without any field is left out."""
+    tree: dict = {}
+    for m in spec["mappings"]:
+        at = tree
+        *parents, leaf = m["to"].split(".")
+        for p in parents:
+            at = at.setdefault(p, {}) if isinstance(at.get(p, {}), dict) else at.update({p: {}}) or at[p]
+        if not isinstance(at.get(leaf), dict):
+            at[leaf] = m.get("onMissing", "OMIT").upper() == "NULL"
+
+    def name(text: str) -> Column:
+        return F.lit(json.dumps(text, ensure_ascii=False) + ":")
+
+    def fields(at: dict, value: Callable[[str], Column]) -> Column:
+        """The fields of one object, joined; null if there is none."""
+        parts = []
+        for k, x in at.items():
+            if isinstance(x, dict):
+                inner = fields(x, lambda c, k=k: value(k).getField(c))
+                parts.append(F.concat(name(k), F.lit("{"), inner, F.lit("}")))
+                continue
+            text = F.regexp_extract(F.to_json(F.struct(value(k).alias("v")), {"ignoreNullFields": "true"}), r"(?s)^\{(?:\"v\":(.*))?\}$", 1)
+            absent = F.concat(name(k), F.lit("null")) if x else F.lit(None).cast("string")
+            parts.append(F.when(value(k).isNotNull(), F.concat(name(k), text)).otherwise(absent))
+        return F.nullif(F.concat_ws(",", *parts), F.lit(""))
+
+    return F.concat(F.lit("{"), F.coalesce(fields(tree, lambda c: F.col(f"`{c}`")), F.lit("")), F.lit("}"))
 
 
 def _check(df: DataFrame, rule: dict) -> Column:

@@ -9,7 +9,10 @@ from reckoner.functions import paths
 from reckoner.operators import chunks, ledger
 from reckoner.operators.mapper import apply_mapping, apply_rules
 from reckoner.plans.common import WITH_RUNS, errors, index, runs, table
+from reckoner.sources.scratch import folder
 
+#: Keys of a chunk, the bound of its windows; their number grows with the table, far beyond any run's.
+CHUNK, MOST_CHUNKS = 1_000, 1_000_000_000
 _MAP = {"mappings": [{"from": "o_orderkey", "to": "orderNumber", "required": True}, {"from": "o_totalprice", "to": "amount", "type": "NUMBER"}, {"from": "o_orderstatus", "to": "stage", "values": {"P": "Pending", "F": "Finished", "O": "Open"}}, {"to": "source", "default": "orders"}]}
 _LEAST = {"rules": [{"field": "amount", "check": "MIN", "value": 20000}]}
 _OPEN = {"rules": [{"field": "stage", "check": "ONE_OF", "value": ["Pending", "Finished"]}], "onFail": "DROP"}
@@ -18,13 +21,13 @@ _OPEN = {"rules": [{"field": "stage", "check": "ONE_OF", "value": ["Pending", "F
 def outcomes(spark, sf_dir):
     """orders in chunks, mapped, judged, each with its outcome."""
     df = table(spark, sf_dir, "orders")
-    df = chunks.sequence(chunks.assign(df, "o_orderkey", chunks.plan_ranges(df, "o_orderkey", 200, 10)), ["o_orderkey"])
+    df = chunks.sequence(chunks.assign(df, "o_orderkey", chunks.plan_ranges(df, "o_orderkey", CHUNK, MOST_CHUNKS)), ["o_orderkey"])
     df = df.withColumns({"_key": F.col("o_orderkey").cast("string"), "_at": F.col("o_orderdate")})
     df = apply_rules(apply_rules(apply_mapping(df, _MAP), _OPEN).withColumnRenamed("_filtered", "_dropped"), _LEAST)
     return ledger.with_outcome(df.withColumn("_filtered", F.col("_dropped")).withColumn("_error", F.when(~F.col("_dropped"), F.col("_error"))))
 
 
-_OUTCOMES = "(SELECT o_orderkey, o_orderdate, CAST((o_orderkey - lo) // step AS INTEGER) AS chunk, CASE WHEN o_orderstatus = 'O' THEN 'FILTERED' WHEN o_totalprice < 20000 THEN 'TRANSFORM_FAILED' ELSE 'WRITTEN' END AS outcome FROM orders, (SELECT min(o_orderkey) AS lo, CASE WHEN ceil((max(o_orderkey) - min(o_orderkey) + 1) / 200.0) > 10 THEN CAST(ceil((max(o_orderkey) - min(o_orderkey) + 1) / 10.0) AS BIGINT) ELSE 200 END AS step FROM orders))"
+_OUTCOMES = "(SELECT o_orderkey, o_orderdate, CAST((o_orderkey - lo) // step AS INTEGER) AS chunk, CASE WHEN o_orderstatus = 'O' THEN 'FILTERED' WHEN o_totalprice < 20000 THEN 'TRANSFORM_FAILED' ELSE 'WRITTEN' END AS outcome FROM orders, (SELECT min(o_orderkey) AS lo, 1000 AS step FROM orders))"
 
 
 def outcome_counts(spark, sf_dir):
@@ -75,8 +78,8 @@ def rejection_breach(spark, sf_dir):
 def shortfall(spark, sf_dir):
     """Chunks whose planned rows differ from those read."""
     df = table(spark, sf_dir, "orders")
-    read = chunks.assign(df.where("o_orderkey % 311 <> 0"), "o_orderkey", chunks.plan_ranges(df, "o_orderkey", 200, 10)).groupBy(F.col("_chunk").alias("chunk")).agg(F.count("*").alias("read"))
-    plan = chunks.plan_ranges(df, "o_orderkey", 200, 10).select("chunk", (F.col("last") - F.col("first") + 1).alias("planned"))
+    read = chunks.assign(df.where("o_orderkey % 311 <> 0"), "o_orderkey", chunks.plan_ranges(df, "o_orderkey", CHUNK, MOST_CHUNKS)).groupBy(F.col("_chunk").alias("chunk")).agg(F.count("*").alias("read"))
+    plan = chunks.plan_ranges(df, "o_orderkey", CHUNK, MOST_CHUNKS).select("chunk", (F.col("last") - F.col("first") + 1).alias("planned"))
     return plan.join(read, "chunk", "left").where("planned <> coalesce(read, 0)").select("chunk", "planned", F.coalesce("read", F.lit(0)).alias("read"))
 
 
@@ -148,7 +151,45 @@ def reconciliation_sheet_orders(spark, sf_dir):
     return ledger.sheet(both).join(both.select("run_id", ledger.verdict(both).alias("verdict")), "run_id").drop("run_id")
 
 
-QUERIES = {f.__name__: f for f in (outcome_counts, chunk_counters, dry_run_counts, record_index, fanout_index_identity, error_signatures, signature_samples, dead_letters, rejection_breach, shortfall, redact_modes, payload_ceiling, retention_purge, record_search, key_history, stage_cycles, reconciliation_sheet, reconciliation_checks, reconciliation_verdict, reconciliation_report, reconciliation_sheet_orders)}
+def reconciliation_written_index(spark, sf_dir):
+    """Counters as they were when the index was written, against the index as it is read back."""
+    path = folder(spark, "index")
+    counted = ledger.write_index(ledger.record_index(outcomes(spark, sf_dir), F.col("_key"), F.col("_at")), path)
+    both = ledger.counted_run(spark, 1, counted).join(ledger.outcome_counts(spark.read.parquet(path).withColumn("run_id", F.lit(1).cast("long"))), "run_id", "left")
+    return ledger.sheet(both).join(both.select("run_id", ledger.verdict(both).alias("verdict")), "run_id").drop("run_id")
+
+
+def replay_run(spark, sf_dir):
+    """The failed orders of a run, read again with their amounts put right and sent through the same pipeline into a new run."""
+    dead = outcomes(spark, sf_dir).where(F.col("outcome").isin(*ledger.FAILURES)).select("_key", "_chunk", "_seq", F.lit(0).alias("_ordinal"))
+    source = table(spark, sf_dir, "orders").withColumn("_key", F.col("o_orderkey").cast("string"))
+    fixed = ledger.replay(dead, source.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") + 20000).otherwise(F.col("o_totalprice"))), "_key", 1)
+    again = ledger.with_outcome(apply_rules(apply_mapping(fixed, _MAP), _LEAST))
+    return again.select(F.col("_key").alias("record_key"), F.col("_replay_of").alias("replay_of"), "outcome")
+
+
+def audit_levels(spark, sf_dir):
+    """Entries that each level of auditing keeps of the index."""
+    entries = index(spark, sf_dir)
+    kept = [ledger.audited(entries, level).groupBy("outcome").agg(F.count("*").alias("entries")).withColumn("level", F.lit(level)) for level in ("COUNTERS", "ERRORS", "INDEXED")]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
+def errors_by_node(spark, sf_dir):
+    """Errors of runs by the name of the node that raised them; nodes without a name go by their id."""
+    nodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("E"), F.col("n_nationkey").cast("string")).alias("node_id"), F.when(F.col("n_nationkey") > 0, F.col("n_name")).alias("name"))
+    return ledger.by_node(errors(spark, sf_dir).withColumn("node_id", F.col("code")), nodes)
+
+
+def stage_log_cycles(spark, sf_dir):
+    """The index joined with the stage log on trace ids: what each cycle took in, lost and kept."""
+    df = outcomes(spark, sf_dir).withColumn("_batch", F.floor((F.col("_seq") - 1) / 50).cast("int"))
+    entries = ledger.record_index(df, F.col("_key"), F.col("_at"))
+    log = ledger.stage_log(df, [("TRANSFORM", F.lit(True), F.col("outcome") != ledger.TRANSFORM_FAILED), ("FILTER", F.col("outcome") != ledger.TRANSFORM_FAILED, F.col("outcome") == ledger.WRITTEN)])
+    return ledger.cycles(entries, log)
+
+
+QUERIES = {f.__name__: f for f in (outcome_counts, chunk_counters, dry_run_counts, record_index, fanout_index_identity, error_signatures, signature_samples, dead_letters, rejection_breach, shortfall, redact_modes, payload_ceiling, retention_purge, record_search, key_history, stage_cycles, reconciliation_sheet, reconciliation_checks, reconciliation_verdict, reconciliation_report, reconciliation_sheet_orders, reconciliation_written_index, replay_run, audit_levels, errors_by_node, stage_log_cycles)}
 
 _SEQ = f"(SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY o_orderkey) AS seq FROM {_OUTCOMES})"
 _COUNTS = "count(*) AS \"read\", count(*) FILTER (outcome = 'FILTERED') AS filtered, count(*) FILTER (outcome <> 'FILTERED') AS produced, count(*) FILTER (outcome = 'WRITTEN') AS written, count(*) FILTER (outcome = 'TRANSFORM_FAILED') AS failed"
@@ -174,6 +215,10 @@ ORACLE_SQL = {
     "retention_purge": f"SELECT chunk || ':' || seq || ':0' AS id, o_orderdate + INTERVAL 365 DAY AS expires_at FROM {_SEQ} WHERE o_orderdate + INTERVAL 365 DAY > TIMESTAMP '2000-01-01'",
     "record_search": WITH_RUNS + "d AS (SELECT * FROM idx WHERE outcome = 'REJECTED' AND occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at <= TIMESTAMP '2024-01-20' AND code = 'E1') SELECT id, record_key, occurred_at FROM d ORDER BY occurred_at DESC, id LIMIT 50 OFFSET 50",
     "key_history": WITH_RUNS + "d AS (SELECT * FROM idx WHERE record_key = '7') SELECT run_id, id, outcome, occurred_at FROM d",
+    "replay_run": "SELECT CAST(o_orderkey AS VARCHAR) AS record_key, 1 AS replay_of, CASE WHEN o_orderkey % 2 = 0 THEN 'WRITTEN' ELSE 'TRANSFORM_FAILED' END AS outcome FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice < 20000",
+    "audit_levels": WITH_RUNS + "d AS (SELECT outcome, count(*) AS entries FROM idx GROUP BY 1) SELECT outcome, entries, 'INDEXED' AS level FROM d UNION ALL SELECT outcome, entries, 'ERRORS' FROM d WHERE outcome = 'REJECTED'",
+    "errors_by_node": _ERR + "SELECT run_id, CASE WHEN n_nationkey > 0 THEN n_name ELSE code END AS node, count(*) AS errors FROM err LEFT JOIN nation ON code = 'E' || n_nationkey GROUP BY 1, 2",
+    "stage_log_cycles": f"SELECT trace_id, n AS entries, w AS written, unnest(['TRANSFORM', 'FILTER']) AS stage, unnest([n, n - t]) AS records_in, unnest([n - t, w]) AS records_out FROM (SELECT chunk || '#' || (seq - 1) // 50 AS trace_id, count(*) AS n, count(*) FILTER (outcome = 'WRITTEN') AS w, count(*) FILTER (outcome = 'TRANSFORM_FAILED') AS t FROM {_SEQ} GROUP BY 1)",
     "stage_cycles": f"SELECT trace_id, unnest(['TRANSFORM', 'WRITE']) AS stage, unnest([n, w]) AS records_in, unnest([w, w]) AS records_out, unnest([w - n, 0]) AS delta FROM (SELECT chunk || '#' || (seq - 1) // 50 AS trace_id, count(*) AS n, count(*) FILTER (outcome = 'WRITTEN') AS w FROM {_SEQ} GROUP BY 1)",
     "reconciliation_sheet": _BOTH + _SHEET.rstrip(", ") + " SELECT run_id, line, label, value FROM sheet",
     "reconciliation_checks": _BOTH + _CHECKS.rstrip(", ") + ' SELECT run_id, "check", counted, indexed, passed FROM checks',
@@ -181,3 +226,4 @@ ORACLE_SQL = {
     "reconciliation_report": _BOTH + _SHEET + _CHECKS + _VERDICT + "SELECT run_id, 'SHEET' AS section, label, CAST(value AS VARCHAR) AS value, '' AS detail FROM sheet UNION ALL SELECT run_id, 'CHECK', \"check\", CAST(counted AS VARCHAR), CAST(indexed AS VARCHAR) FROM checks UNION ALL SELECT run_id, 'VERDICT', '', verdict, '' FROM verdicts",
     "reconciliation_sheet_orders": f"SELECT CAST(unnest([1, 2, 3, 4, 5, 6, 7, 9]) AS INTEGER) AS line, unnest(['Read', 'Filtered', 'Produced', 'Written', 'Transform failed', 'Rejected', 'Call failed', 'Unaccounted']) AS label, unnest([\"read\", filtered, produced, written, failed, 0, 0, produced - written - failed]) AS value, 'BALANCED' AS verdict FROM (SELECT {_COUNTS} FROM {_OUTCOMES})",
 }
+ORACLE_SQL["reconciliation_written_index"] = ORACLE_SQL["reconciliation_sheet_orders"]

@@ -16,7 +16,7 @@ def chunk_ranges(spark, sf_dir):
 
 def chunk_assign(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    out = chunks.sequence(chunks.assign(df, "o_orderkey", chunks.plan_ranges(df, "o_orderkey", 1000, 12)), ["o_orderkey"])
+    out = chunks.sequence(chunks.assign(df, "o_orderkey", chunks.plan_ranges(df, "o_orderkey", 1000, 1_000_000_000)), ["o_orderkey"])
     return out.groupBy(F.col("_chunk").alias("chunk")).agg(F.count("*").alias("records"), F.max("_seq").alias("last_seq"), F.min("o_orderkey").alias("first_key"))
 
 
@@ -38,6 +38,32 @@ def greedy_pack(spark, sf_dir):
     return chunks.greedy_pack(parts, "status", "part", "n", 100, 1000).select("status", "part", "n", F.col("_pack").cast("long").alias("pack"))
 
 
+def text_key_chunk(spark, sf_dir):
+    """A text key makes one chunk."""
+    df = table(spark, sf_dir, "customer")
+    out = chunks.assign(df, "c_name", chunks.plan_ranges(df, "c_name", 100, 10))
+    return out.join(F.broadcast(chunks.plan_by_count(df, "c_name", 100, 10)), F.col("chunk") == F.col("_chunk")).groupBy("chunk").agg(F.count("*").alias("records"), F.count("first").alias("bounded"))
+
+
+def object_id_chunks(spark, sf_dir):
+    """24-digit ids in slices of their key space."""
+    df = table(spark, sf_dir, "events").select(chunks.object_id_number(F.substring(F.md5(F.col("event_id").cast("string")), 1, 24)).cast("decimal(38,0)").alias("id"))
+    out = chunks.assign(df, "id", chunks.plan_by_count(df, "id", 500, 1000))
+    return out.groupBy(F.col("_chunk").alias("chunk")).agg(F.count("*").alias("records"))
+
+
+def topic_offsets(spark, sf_dir):
+    """Reads of a topic's partitions in chunks of 700 offsets."""
+    bounds = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 3).alias("partition")).agg(F.min("event_id").alias("begin"), (F.max("event_id") + 1).alias("end"))
+    empty = bounds.select((F.col("partition") + 3).alias("partition"), "end", F.col("end").alias("begin"))
+    return chunks.plan_offsets(bounds.unionByName(empty), 700)
+
+
+def cursor_pages(spark, sf_dir):
+    out = chunks.cursor_pages(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 50)
+    return out.select("page", "records", F.col("cursor.c_custkey").alias("cursor"), "dry")
+
+
 def keyset_resume(spark, sf_dir):
     df = chunks.after(table(spark, sf_dir, "orders"), "o_orderkey", 1000)
     return df.select("o_orderkey", "o_custkey")
@@ -110,12 +136,17 @@ def replay_windows(spark, sf_dir):
     return readers.dead_letters(e, 105, 5).select("run_id", "chunk", "seq", F.col("window").cast("long").alias("window"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_ranges, chunk_assign, chunk_by_count, offset_windows, offset_rows, greedy_pack, keyset_resume, record_keys, csv_round_trip, sql_named_params, in_list_params, filter_document, page_extract, message_decode, message_lineage, typed_text, preview_limit, window_bounds, replay_windows)}
+QUERIES = {f.__name__: f for f in (text_key_chunk, object_id_chunks, topic_offsets, cursor_pages, chunk_ranges, chunk_assign, chunk_by_count, offset_windows, offset_rows, greedy_pack, keyset_resume, record_keys, csv_round_trip, sql_named_params, in_list_params, filter_document, page_extract, message_decode, message_lineage, typed_text, preview_limit, window_bounds, replay_windows)}
 
 _STEP = "(SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, CASE WHEN ceil((max(o_orderkey) - min(o_orderkey) + 1) / 1000.0) > 12 THEN CAST(ceil((max(o_orderkey) - min(o_orderkey) + 1) / 12.0) AS BIGINT) ELSE 1000 END AS step FROM orders)"
 ORACLE_SQL = {
+    "text_key_chunk": "SELECT 0 AS chunk, count(*) AS records, CAST(0 AS BIGINT) AS bounded FROM customer HAVING count(*) > 0",
+    "object_id_chunks": """WITH i AS (SELECT CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 12) AS BIGINT) AS HUGEINT) * 281474976710656 + CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 13, 12) AS BIGINT) AS id FROM events),
+      b AS (SELECT min(id) AS lo, (max(id) - min(id)) // CAST(greatest(1, least(1000, ceil(count(*) / 500.0))) AS HUGEINT) + 1 AS step FROM i) SELECT CAST((id - lo) // step AS INTEGER) AS chunk, count(*) AS records FROM i, b GROUP BY 1""",
+    "topic_offsets": "WITH b AS (SELECT event_id % 3 AS p, min(event_id) AS lo, max(event_id) + 1 AS hi FROM events GROUP BY 1) SELECT row_number() OVER (ORDER BY p, f) - 1 AS chunk, p AS partition, f AS first, least(f + 700, hi) AS last FROM (SELECT p, hi, unnest(range(lo, hi, 700)) AS f FROM b)",
+    "cursor_pages": "WITH r AS (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS page FROM customer), p AS (SELECT page, count(*) AS records, max(c_custkey) AS last FROM r GROUP BY 1), e AS (SELECT page, records, last FROM p UNION ALL SELECT n // 50, 0, NULL FROM (SELECT count(*) AS n FROM customer) WHERE n % 50 = 0) SELECT page, records, lag(last) OVER (ORDER BY page) AS cursor, records < 50 AS dry FROM e",
     "chunk_ranges": f"SELECT CAST(i AS INTEGER) AS chunk, lo + i * step AS first, least(lo + (i + 1) * step - 1, hi) AS last FROM {_STEP}, range(0, 12) r(i) WHERE lo + i * step <= hi",
-    "chunk_assign": f"SELECT CAST((o_orderkey - lo) // step AS INTEGER) AS chunk, count(*) AS records, count(*) AS last_seq, min(o_orderkey) AS first_key FROM orders, {_STEP} GROUP BY 1",
+    "chunk_assign": f"SELECT CAST((o_orderkey - lo) // 1000 AS INTEGER) AS chunk, count(*) AS records, count(*) AS last_seq, min(o_orderkey) AS first_key FROM orders, (SELECT min(o_orderkey) AS lo FROM orders) GROUP BY 1",
     "chunk_by_count": "SELECT CAST(i AS INTEGER) AS chunk, lo + i * step AS first, least(lo + (i + 1) * step - 1, hi) AS last FROM (SELECT min(c_custkey) AS lo, max(c_custkey) AS hi, CAST(ceil((max(c_custkey) - min(c_custkey) + 1) / CAST(greatest(1, least(16, ceil(count(*) / 400.0))) AS DOUBLE)) AS BIGINT) AS step FROM customer), range(0, 16) r(i) WHERE lo + i * step <= hi",
     "offset_windows": "SELECT CAST(i AS INTEGER) AS chunk, i * 7000 AS \"offset\", least(7000, n - i * 7000) AS rows FROM (SELECT count(*) AS n FROM lineitem), range(0, 100000) r(i) WHERE i * 7000 < n",
     "offset_rows": "SELECT w AS \"window\", count(*) AS rows, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key FROM (SELECT l_orderkey, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) - 1) // 7000 AS w FROM lineitem) GROUP BY 1",

@@ -11,16 +11,82 @@ from reckoner.sources import readers
 from reckoner.sources.scratch import folder
 
 
+#: Records of a chunk: the bound of every window and of every task that works on a chunk.
+CHUNK = 1_000
+
+
 def _orders(spark, sf_dir):
-    """orders in 10 chunks, with a place in each and the size of the record."""
-    df = table(spark, sf_dir, "orders").withColumn("_chunk", (F.col("o_orderkey") % 10).cast("int"))
-    rows = chunks.numbered(df, ["_chunk", "o_orderkey"])
-    first = rows.groupBy("_chunk").agg(F.min("_row").alias("_first"))  # a row for each chunk
-    df = rows.join(F.broadcast(first), "_chunk").withColumn("_seq", F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
+    """orders in chunks of CHUNK rows, as many as the table needs, with a place in each and the size of the record."""
+    rows = chunks.numbered(table(spark, sf_dir, "orders"), ["o_orderkey"])
+    df = rows.withColumns({"_chunk": F.floor(F.col("_row") / CHUNK).cast("int"), "_seq": F.col("_row") % CHUNK + 1}).drop("_row")
     return df.withColumn("_bytes", F.length("o_orderpriority") + 20)
 
 
-_ORDERS = "(SELECT *, CAST(o_orderkey % 10 AS INTEGER) AS chunk, row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) AS seq FROM orders)"
+_ORDERS = f"(SELECT * EXCLUDE (place), CAST((place - 1) // {CHUNK} AS INTEGER) AS chunk, (place - 1) % {CHUNK} + 1 AS seq FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders))"
+
+
+def _siblings(spark, sf_dir):
+    """Three siblings of each order, with values that fall."""
+    df = _orders(spark, sf_dir)
+    out = delivery.fan_out(df, F.array(F.lit("z"), F.col("o_orderstatus"), F.lit("A")))
+    return out.withColumn("_bytes", F.when(F.col("item") == "z", 300).otherwise(F.col("_bytes")))
+
+
+_SIBLINGS = f"(SELECT chunk, seq, ordinal, o_orderkey, ['z', o_orderstatus, 'A'][ordinal + 1] AS item, CASE WHEN ordinal = 0 THEN 300 ELSE length(o_orderpriority) + 20 END AS b FROM {_ORDERS}, range(0, 3) r(ordinal))"
+
+
+def fanout_byte_batches(spark, sf_dir):
+    df = delivery.assign_batches(_siblings(spark, sf_dir), 40, 1000)
+    return df.groupBy(F.col("_chunk").alias("chunk"), F.col("_batch").alias("batch")).agg(F.count("*").alias("records"), F.sum("_bytes").alias("bytes"), F.min("_seq").alias("first_seq"))
+
+
+def fanout_envelopes(spark, sf_dir):
+    df = delivery.assign_groups(delivery.assign_batches(_siblings(spark, sf_dir), 40), 30)
+    out = delivery.envelopes(df, ["o_orderkey", "item"])
+    return out.select(F.col("_chunk").alias("chunk"), F.col("_batch").alias("batch"), F.col("_group").cast("int").alias("grp"), "records", "body")
+
+
+def fanout_verdicts(spark, sf_dir):
+    """The second record of each request is refused, by its place in the body."""
+    df = delivery.assign_groups(delivery.assign_batches(_siblings(spark, sf_dir), 40), 30)
+    answers = df.select("_chunk", "_batch", "_group").distinct().select("*", F.lit(1).alias("index"), F.lit("E1").alias("code"), F.lit("refused").alias("message"))
+    return delivery.join_verdicts(df, answers).select("o_orderkey", F.col("_ordinal").alias("ordinal"), "item", "outcome")
+
+
+def fanout_twice(spark, sf_dir):
+    """Siblings that are fanned out again are numbered through."""
+    out = delivery.fan_out(_siblings(spark, sf_dir), F.array(F.col("item"), F.lower("item")), "part")
+    return out.select("o_orderkey", F.col("_ordinal").alias("ordinal"), "part")
+
+
+def fanout_groups(spark, sf_dir):
+    """A function over groups of siblings keeps each one's place and envelope."""
+    df = delivery.assign_groups(delivery.assign_batches(_siblings(spark, sf_dir), 40), 30)
+    out = delivery.apply_groups(df, lambda pdf: pdf[["o_orderkey", "item"]], "o_orderkey long, item string")
+    return out.select(F.col("_chunk").alias("chunk"), F.col("_seq").alias("seq"), F.col("_ordinal").alias("ordinal"), "o_orderkey", "item")
+
+
+def split_function(spark, sf_dir):
+    """A user's split function: labels by status; batches whose last record is low priority get one label too few."""
+    df = delivery.assign_batches(_orders(spark, sf_dir), 40)
+    out = delivery.run_splitter(df, lambda pdf: list(pdf["o_orderstatus"])[: len(pdf) - int(pdf["o_orderpriority"].iloc[-1].startswith("5"))])
+    return out.groupBy(F.col("_chunk").alias("chunk"), F.col("_batch").alias("batch"), F.col("_label").alias("label"), F.coalesce("_error", F.lit("")).alias("error")).agg(F.count("*").alias("records"))
+
+
+def script_test(spark, sf_dir):
+    """A record function tried on a sample, with notes."""
+    def fn(r):
+        if r["o_orderstatus"] == "O":
+            return None
+        return [{"label": r["o_orderstatus"]}, {"label": r["o_orderpriority"]}] if r["o_orderstatus"] == "F" else {"label": r["o_orderstatus"]}
+
+    df = _orders(spark, sf_dir).where("_chunk = 0").withColumn("_key", F.col("o_orderkey")).select("_key", "_seq", "o_orderstatus", "o_orderpriority")
+    return delivery.try_out(df, fn, "label string", 50).select(F.col("_key").alias("o_orderkey"), "label", F.coalesce("note", F.lit("")).alias("note"))
+
+
+def topic_messages(spark, sf_dir):
+    df = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("_key"), F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_custkey").alias("customer"))
+    return delivery.to_messages(df, "status")
 
 
 def fan_out_ordinals(spark, sf_dir):
@@ -123,7 +189,10 @@ def late_verdicts(spark, sf_dir):
 def staged_export_manifest(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     out = delivery.staged_export(df, folder(spark, "staged"), 64 << 10)
-    return out.agg(F.sum("rows").alias("rows"), (F.max("bytes") <= 80_000).alias("small"))
+    width = F.octet_length(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus")) + 1
+    header = len("o_orderkey,o_orderstatus\n")
+    told = out.agg(F.sum("rows").alias("rows"), F.sum(F.col("bytes") - header).alias("bytes"), F.max(F.col("bytes")).alias("largest"))
+    return told.join(F.broadcast(df.agg(F.sum(width).alias("data"))), F.col("bytes") == F.col("data"), "left").select("rows", "bytes", F.col("data").isNotNull().alias("whole"), (F.col("largest") <= 80_000).alias("small"))
 
 
 def jdbc_round_trip(spark, sf_dir):
@@ -133,11 +202,12 @@ def jdbc_round_trip(spark, sf_dir):
     return readers.read_jdbc(spark, url, "customers", ["\"c_custkey\"", "\"c_nationkey\"", "\"c_acctbal\""], "\"c_nationkey\" < 10", "\"c_custkey\"", 100, **driver)
 
 
-QUERIES = {f.__name__: f for f in (fan_out_ordinals, script_filter, batch_replace_stamp, batch_envelope, split_labels, split_running_total, fixed_groups, byte_batches, merge_upsert, merge_ignore, merge_replace, verdict_join, late_verdicts, staged_export_manifest)}
+QUERIES = {f.__name__: f for f in (fan_out_ordinals, script_filter, batch_replace_stamp, batch_envelope, split_labels, split_running_total, fixed_groups, byte_batches, merge_upsert, merge_ignore, merge_replace, verdict_join, late_verdicts, staged_export_manifest, fanout_byte_batches, fanout_envelopes, fanout_verdicts, fanout_twice, fanout_groups, split_function, script_test, topic_messages, jdbc_round_trip)}
 
 _LAST = "(SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS amount FROM orders GROUP BY 1)"
 _TARGET = "(SELECT c_custkey AS id, c_acctbal AS amount FROM customer WHERE c_custkey % 3 <> 0)"
 _G20 = f"(SELECT *, CAST((seq - 1) // 40 AS INTEGER) AS batch, CAST(((seq - 1) % 40) // 20 AS INTEGER) AS grp FROM {_ORDERS})"
+_S30 = f"(SELECT *, CAST((row_number() OVER (PARTITION BY chunk, batch ORDER BY seq, ordinal) - 1) // 30 AS INTEGER) AS grp FROM (SELECT *, CAST((seq - 1) // 40 AS INTEGER) AS batch FROM {_SIBLINGS}))"
 ORACLE_SQL = {
     "fan_out_ordinals": "SELECT o_orderkey, 0 AS ordinal, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS item, o_orderstatus = 'O' AS filtered FROM orders UNION ALL SELECT o_orderkey, 1, 'copy', false FROM orders WHERE o_orderstatus = 'P'",
     "script_filter": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' OR o_orderpriority LIKE '5%' THEN NULL ELSE o_orderstatus END AS label, 0 AS ordinal, o_orderstatus = 'O' AS filtered, CASE WHEN o_orderstatus <> 'O' AND o_orderpriority LIKE '5%' THEN 'low priority' END AS error FROM orders
@@ -154,5 +224,15 @@ ORACLE_SQL = {
     "merge_replace": f"SELECT id, coalesce(l.amount, t.amount) AS amount FROM {_TARGET} t LEFT JOIN {_LAST} l USING (id)",
     "verdict_join": f"SELECT o_orderkey, CASE WHEN (seq - 1) % 20 IN (0, 7) THEN 'REJECTED' ELSE 'WRITTEN' END AS outcome, CASE WHEN (seq - 1) % 20 IN (0, 7) THEN 'E1' END AS code FROM {_ORDERS}",
     "late_verdicts": "SELECT CASE WHEN o_orderstatus <> 'O' THEN 'FILTERED' WHEN o_orderkey % 7 = 0 THEN 'REJECTED' ELSE 'WRITTEN' END AS outcome, count(*) AS records, count(CASE WHEN o_orderkey % 7 = 0 THEN 1 END) AS verdicts FROM orders GROUP BY 1",
-    "staged_export_manifest": "SELECT count(*) AS rows, true AS small FROM orders",
+    "fanout_byte_batches": f"""WITH RECURSIVE o AS (SELECT chunk, seq, b, row_number() OVER (PARTITION BY chunk ORDER BY seq, ordinal) AS i FROM {_SIBLINGS}), f AS (SELECT chunk, seq, i, b, b AS held, 1 AS n, 0 AS batch FROM o WHERE i = 1 UNION ALL SELECT o.chunk, o.seq, o.i, o.b, CASE WHEN f.n >= 40 OR f.held >= 1000 THEN o.b ELSE f.held + o.b END, CASE WHEN f.n >= 40 OR f.held >= 1000 THEN 1 ELSE f.n + 1 END, f.batch + CASE WHEN f.n >= 40 OR f.held >= 1000 THEN 1 ELSE 0 END FROM f JOIN o ON o.chunk = f.chunk AND o.i = f.i + 1)
+      SELECT chunk, batch, count(*) AS records, CAST(sum(b) AS BIGINT) AS bytes, min(seq) AS first_seq FROM f GROUP BY 1, 2""",
+    "fanout_envelopes": f"""SELECT chunk, batch, grp, count(*) AS records, '[' || string_agg('{{"o_orderkey":' || o_orderkey || ',"item":"' || item || '"}}', ',' ORDER BY seq, ordinal) || ']' AS body FROM {_S30} GROUP BY 1, 2, 3""",
+    "fanout_verdicts": f"SELECT o_orderkey, CAST(ordinal AS INTEGER) AS ordinal, item, CASE WHEN row_number() OVER (PARTITION BY chunk, batch, grp ORDER BY seq, ordinal) = 2 THEN 'REJECTED' ELSE 'WRITTEN' END AS outcome FROM {_S30}",
+    "fanout_twice": f"SELECT o_orderkey, CAST(2 * ordinal + k AS INTEGER) AS ordinal, CASE WHEN k = 0 THEN item ELSE lower(item) END AS part FROM {_SIBLINGS}, range(0, 2) s(k)",
+    "fanout_groups": f"SELECT chunk, seq, CAST(ordinal AS INTEGER) AS ordinal, o_orderkey, item FROM {_SIBLINGS}",
+    "split_function": f"SELECT chunk, batch, CASE WHEN NOT low THEN o_orderstatus END AS label, CASE WHEN low THEN n || ' records went in and ' || (n - 1) || ' labels came out' ELSE '' END AS error, count(*) AS records FROM (SELECT *, count(*) OVER (PARTITION BY chunk, batch) AS n, last_value(o_orderpriority LIKE '5%') OVER (PARTITION BY chunk, batch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS low FROM {_G20}) GROUP BY 1, 2, 3, 4",
+    "script_test": f"SELECT o_orderkey, CASE WHEN k = 1 THEN o_orderpriority WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS label, CASE o_orderstatus WHEN 'O' THEN 'dropped' WHEN 'F' THEN 'fanned out into 2' ELSE '' END AS note FROM {_ORDERS}, range(0, 2) s(k) WHERE chunk = 0 AND seq <= 50 AND (k = 0 OR o_orderstatus = 'F')",
+    "topic_messages": """SELECT coalesce(nullif(o_orderstatus, 'P'), CAST(o_orderkey AS VARCHAR)) AS key, '{' || CASE WHEN o_orderstatus <> 'P' THEN '"status":"' || o_orderstatus || '",' ELSE '' END || '"customer":' || o_custkey || '}' AS value FROM orders""",
+    "jdbc_round_trip": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 10",
+    "staged_export_manifest": "SELECT count(*) AS rows, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + 2) AS BIGINT) AS bytes, true AS whole, true AS small FROM orders",
 }

@@ -71,6 +71,41 @@ def map_record_json(spark, sf_dir):
     return out.select("id", to_record(out, spec).alias("record"))
 
 
+def _nested(spark, sf_dir):
+    """events with an object, which some rows don't have."""
+    e = table(spark, sf_dir, "events")
+    own = F.struct(F.col("event_type").alias("kind"), F.struct(F.col("user_id").alias("user"), F.col("value").alias("value")).alias("by"))
+    return e.select("event_id", F.when(F.col("event_id") % 4 > 0, own).alias("what"), F.nullif("event_type", F.lit("view")).alias("state"))
+
+
+def map_over_object(spark, sf_dir):
+    """keepUnmapped with nested targets keeps the other fields of the object."""
+    spec = {"keepUnmapped": True, "mappings": [{"from": "state", "to": "what.state"}, {"from": "event_id", "to": "what.by.event"}, {"from": "state", "to": "more.state"}]}
+    out = apply_mapping(_nested(spark, sf_dir), spec)
+    return out.select("event_id", F.to_json("what").alias("what"), F.to_json("more").alias("more"))
+
+
+def map_nested_missing(spark, sf_dir):
+    """onMissing at any depth of the target."""
+    spec = {"mappings": [{"from": "event_id", "to": "id"}, {"from": "what.kind", "to": "p.q"}, {"from": "state", "to": "p.r", "onMissing": "NULL"}, {"from": "state", "to": "s.t"}]}
+    out = apply_mapping(_nested(spark, sf_dir), spec)
+    return out.select("id", to_record(out, spec).alias("record"))
+
+
+def map_translate_values(spark, sf_dir):
+    """Translations to null, truth values and numbers, of numbers."""
+    spec = {"mappings": [{"from": "n_nationkey", "to": "id"}, {"from": "n_regionkey", "to": "a", "values": {0: True, 1: 2.0, 2: None}, "otherwise": None}, {"from": "n_regionkey", "to": "b", "values": {"3": "three"}, "otherwise": False}]}
+    return apply_mapping(table(spark, sf_dir, "nation"), spec).drop("_error")
+
+
+def map_odd_values(spark, sf_dir):
+    """Words for numbers and truth values with white space, and endless numbers."""
+    df = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, "-Infinity").when(F.col("n_nationkey") % 3 == 1, " Infinity ").otherwise("7").alias("n"), F.when(F.col("n_nationkey") % 2 == 0, "YES").otherwise(" yes ").alias("b"))
+    number = apply_mapping(df.withColumn("_key", F.col("n_nationkey")), {"mappings": [{"from": "n", "to": "n", "type": "NUMBER"}, {"from": "b", "to": "b"}]})
+    out = apply_mapping(number.drop("_error"), {"mappings": [{"from": "n", "to": "n"}, {"from": "b", "to": "b", "type": "BOOLEAN"}]})
+    return out.select(F.col("_key").alias("id"), (F.col("n") > 1e300).alias("endless"), "b", F.coalesce("_error", F.lit("")).alias("error"))
+
+
 def _judged(spark, sf_dir, **more):
     return apply_rules(_orders(spark, sf_dir), {"rules": RULES} | more)
 
@@ -96,13 +131,18 @@ def validate_checks_matrix(spark, sf_dir):
     return df.select("p_partkey", *(f"c{k}" for k in range(len(checks))))
 
 
-QUERIES = {f.__name__: f for f in (map_orders_shape, map_keep_unmapped, map_nested_paths, map_join_default_const, map_translate_otherwise, map_text_tidy, map_coercions, map_required_errors, map_record_json, validate_all_labels, validate_first, validate_drop, validate_checks_matrix)}
+QUERIES = {f.__name__: f for f in (map_over_object, map_nested_missing, map_translate_values, map_odd_values, map_orders_shape, map_keep_unmapped, map_nested_paths, map_join_default_const, map_translate_otherwise, map_text_tidy, map_coercions, map_required_errors, map_record_json, validate_all_labels, validate_first, validate_drop, validate_checks_matrix)}
 
 _LABELS = """list_filter([CASE WHEN NOT o_totalprice >= 100000 THEN 'too small' END, CASE WHEN NOT o_totalprice <= 400000 THEN 'o_totalprice failed MAX' END,
   CASE WHEN o_orderstatus NOT IN ('P', 'F') THEN 'o_orderstatus failed ONE_OF' END, CASE WHEN NOT coalesce(regexp_matches(o_orderpriority, '^[1-3]'), false) THEN 'o_orderpriority failed MATCHES' END,
   CASE WHEN length(o_orderpriority) > 10 THEN 'o_orderpriority failed MAX_LENGTH' END, CASE WHEN coalesce(o_orderpriority, '') = '' THEN 'o_orderpriority failed NOT_BLANK' END], lambda x: x IS NOT NULL)"""
 
 ORACLE_SQL = {
+    "map_over_object": """SELECT event_id, '{' || CASE WHEN event_id % 4 > 0 THEN '"kind":"' || event_type || '",' ELSE '' END || '"by":{' || CASE WHEN event_id % 4 > 0 THEN '"user":' || user_id || ',"value":' || value || ',' ELSE '' END || '"event":' || event_id || '}' || CASE WHEN event_type <> 'view' THEN ',"state":"' || event_type || '"' ELSE '' END || '}' AS what,
+      CASE WHEN event_type <> 'view' THEN '{"state":"' || event_type || '"}' ELSE '{}' END AS more FROM events""",
+    "map_nested_missing": """SELECT event_id AS id, '{"id":' || event_id || ',"p":{' || CASE WHEN event_id % 4 > 0 THEN '"q":"' || event_type || '",' ELSE '' END || '"r":' || CASE WHEN event_type <> 'view' THEN '"' || event_type || '"' ELSE 'null' END || '}' || CASE WHEN event_type <> 'view' THEN ',"s":{"t":"' || event_type || '"}' ELSE '' END || '}' AS record FROM events""",
+    "map_translate_values": "SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'true' WHEN 1 THEN '2' END AS a, CASE n_regionkey WHEN 3 THEN 'three' ELSE 'false' END AS b FROM nation",
+    "map_odd_values": """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 3 = 1 END AS endless, CASE WHEN n_nationkey % 2 = 0 THEN true END AS b, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '" yes " is not true or false' END AS error FROM nation""",
     "map_orders_shape": "SELECT o_orderkey AS \"orderNumber\", CAST(o_custkey AS VARCHAR) AS customer, o_totalprice AS amount, CASE o_orderstatus WHEN 'P' THEN 'Pending' WHEN 'F' THEN 'Finished' ELSE 'Unknown' END AS stage, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS \"placedAt\", 'orders' AS source FROM orders",
     "map_keep_unmapped": "SELECT n_nationkey, n_regionkey, lower(n_name) AS n_name, CAST(n_regionkey AS VARCHAR) AS region FROM nation",
     "map_nested_paths": "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS kind, json_extract_string(props, '$.none') AS missing FROM events",

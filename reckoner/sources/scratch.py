@@ -10,6 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; below the machine's temp folder where that is unset (local tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "reckoner-shared")
-    return f"{top.rstrip('/')}/reckoner/{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, in the application's own. Where that is unset, below the machine's temp folder if driver and executors are one process (local tests); on a cluster that would lose rows, so it is an error there."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        top = os.path.join(tempfile.gettempdir(), "reckoner-shared")
+    return f"{top.rstrip('/')}/reckoner/{spark.conf.get('spark.app.id', 'application')}/{name}-{uuid.uuid4().hex}"

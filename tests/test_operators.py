@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -246,3 +247,63 @@ def test_byte_batches_fold_a_chunk_in_blocks(spark, monkeypatch):
         state[c] = (batch + 1, 0, 0) if n >= 5 or held >= 190 else (batch, n, held)
     assert {(r._chunk, r._seq): r._batch for r in made.collect()} == want
     assert "_block" in made._jdf.queryExecution().toString()  # no task folds a whole chunk
+
+
+def test_siblings_keep_their_order(spark):
+    df = spark.createDataFrame([(0, 1, "c"), (0, 2, "b")], "_chunk int, _seq long, v string")
+    out = delivery.fan_out(df, F.array(F.lit("z"), F.col("v"), F.lit("a"))).withColumn("_bytes", F.lit(10))
+    assert delivery.assign_batches(out, 10, 25).count() == 6
+    grouped = delivery.assign_groups(delivery.assign_batches(out, 10, 25), 2)
+    bodies = [json.loads(r.body) for r in delivery.envelopes(grouped, ["item"]).orderBy("_batch", "_group").collect()]
+    assert [[x["item"] for x in b] for b in bodies] == [["z", "c"], ["a"], ["z", "b"], ["a"]]
+
+
+def test_verdict_hits_the_sibling_at_its_place(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1, k, v) for k, v in enumerate("cba")], "_chunk int, _batch int, _group int, _seq long, _ordinal int, v string")
+    answers = spark.createDataFrame([(0, 0, 0, 0, "E1", "no")], "_chunk int, _batch int, _group int, index int, code string, message string")
+    assert {r.v: r.outcome for r in delivery.join_verdicts(df, answers).collect()} == {"a": "WRITTEN", "b": "WRITTEN", "c": "REJECTED"}
+
+
+def test_a_lost_part_of_the_index_is_a_discrepancy(spark, tmp_path):
+    import pathlib
+
+    df = spark.range(100).select(F.lit(0).alias("_chunk"), F.col("id").alias("_seq"), F.lit("WRITTEN").alias("outcome"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message")).repartition(4)
+    folder = str(tmp_path / "index")
+    seen = ledger.write_index(ledger.record_index(df, F.col("_seq").cast("string"), F.lit("2024-01-01").cast("timestamp")), folder)
+
+    def said():
+        both = ledger.counted_run(spark, 1, seen).join(ledger.outcome_counts(spark.read.parquet(folder).withColumn("run_id", F.lit(1).cast("long"))), "run_id", "left")
+        return both.select(ledger.verdict(both)).first()[0]
+
+    assert said() == "BALANCED"
+    next(pathlib.Path(folder).glob("part-*.parquet")).unlink()
+    assert said() == "DISCREPANCY"
+
+
+def test_a_run_that_is_not_indexed_has_no_checks(spark):
+    runs = spark.createDataFrame([(1, 5, 5, 0, 0)], "run_id long, produced long, written long, failed long, filtered long").selectExpr("*", *(f"CAST(NULL AS BIGINT) AS n_{o.lower()}" for o in ledger.OUTCOMES))
+    assert ledger.checks(runs).count() == 0
+
+
+def test_names_that_look_like_code_are_names(spark):
+    df = spark.createDataFrame([(1,)], ["a) OR (1=1"])
+    value, _ = paths.read(df, "a) OR (1=1")
+    assert df.select(value.alias("v")).first().v == 1
+
+
+def test_keys_at_the_edge_of_a_chunk(spark):
+    df = spark.createDataFrame([(Decimal(10**28 + k),) for k in range(7)], "id decimal(38,0)")
+    plan = chunks.plan_by_count(df, "id", 3, 100)
+    own = {int(r.id) - 10**28: r._chunk for r in chunks.assign(df, "id", plan).collect()}
+    edges = {r["chunk"]: (int(r["first"]) - 10**28, int(r["last"]) - 10**28) for r in plan.collect()}
+    assert all(edges[c][0] <= k <= edges[c][1] for k, c in own.items()) and len(own) == 7
+
+
+def test_scratch_on_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from reckoner.sources.scratch import folder
+
+    conf = SimpleNamespace(get=lambda k, d=None: {"spark.master": "spark://host:7077"}.get(k, d))
+    with pytest.raises(ValueError, match="checkpoint"):
+        folder(SimpleNamespace(conf=conf), "x")
