@@ -54,11 +54,11 @@ class Model:
             if len(self._powers) > 20_000:
                 self._powers.clear()
             plain = np.exp(self.chain.pairs) * np.array([1.0, math.exp(self.chain.bias)])
-            out = np.eye(2)
-            while n:
-                out = out @ plain if n & 1 else out
+            out, left = np.eye(2), n
+            while left:
+                out = out @ plain if left & 1 else out
                 plain = plain @ plain
-                plain, out, n = plain / plain.sum(), out / out.sum(), n >> 1
+                plain, out, left = plain / plain.sum(), out / out.sum(), left >> 1
             self._powers[n] = out
             return out
         return self._powers[n]
