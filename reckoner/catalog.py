@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of reckoner.plans that hold QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("mapping", "chunking", "delivering", "accounts", "operations", "streams")
+MODULES: tuple[str, ...] = ("mapping", "chunking", "delivering", "accounts", "operations", "streams", "interchange", "reporting")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

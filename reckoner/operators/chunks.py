@@ -105,6 +105,19 @@ def after(df: DataFrame, key: str, cursor) -> DataFrame:
     return df.where(F.col(key) > F.lit(cursor))
 
 
+def resume(df: DataFrame, key: str, entries: DataFrame) -> DataFrame:
+    """The rows that a run still has to take after the last key that its ledger (record_key) accounts for, in order of the key inside each task's range; all rows if it accounts for none."""
+    done = entries.agg(F.max(F.col("record_key").cast(df.schema[key].dataType))).first()[0]
+    rest = df if done is None else after(df, key, done)
+    return rest.orderBy(key)
+
+
+def packed(parts: DataFrame, group: str, rows: str) -> DataFrame:
+    """Packs of greedy_pack(): group, pack, parts and planned rows, which are 0 if any count is unknown."""
+    known = F.count(rows) == F.count("*")
+    return parts.groupBy(group, F.col("_pack").cast("long").alias("pack")).agg(F.count("*").alias("parts"), F.when(known, F.sum(rows)).otherwise(0).cast("long").alias("planned"))
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
     """df with a number from 0 in the given order, over all rows, without one task holding them all: rows are ranged and written, and each range adds the counts of those before. Ranges are sampled, so they are written once rather than dealt out twice."""
     path = folder(df.sparkSession, "ranges")
@@ -124,7 +137,7 @@ def offset_windows(df: DataFrame, rows: int) -> DataFrame:
 
 
 def greedy_pack(parts: DataFrame, group: str, order: str, rows: str, target: int, max_chunks: int) -> DataFrame:
-    """parts with `_pack`: consecutive parts of a group go together until they have `target` rows, which grows so that there are at most max_chunks packs; a count that is null makes the pack's planned rows 0."""
+    """parts with `_pack`: consecutive parts of a group go together until they have `target` rows, which grows so that there are at most max_chunks packs; a count that is null counts as none (see packed())."""
     total = F.sum(F.coalesce(F.col(rows), F.lit(0))).over(W.partitionBy(group))
     aim = F.greatest(F.lit(target), F.ceil(total / max_chunks))
     listed = parts.withColumn("_aim", aim).groupBy(group).agg(F.max("_aim").alias("_aim"), F.sort_array(F.collect_list(F.struct(order, rows))).alias("_parts"))

@@ -149,12 +149,84 @@ def join_verdicts(df: DataFrame, answers: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("code").isNotNull() | F.col("message").isNotNull(), "REJECTED").otherwise("WRITTEN"))
 
 
+def delivered(df: DataFrame, answers: DataFrame, calls: DataFrame, later: bool = False) -> DataFrame:
+    """df with the outcome of each record after its group's call. calls (`_chunk`, `_batch`, `_group`, failure): a group whose call failed is CALL_FAILED, since there was no verdict; of the others the records that answers name are REJECTED, and the rest WRITTEN, or SENT if the destination decides later."""
+    keys = ["_chunk", "_batch", "_group"]
+    out = join_verdicts(df, answers).join(calls.select(*keys, "failure"), keys, "left")
+    lost, rejected = F.col("failure").isNotNull(), F.col("outcome") == "REJECTED"
+    return out.withColumns({
+        "outcome": F.when(lost, "CALL_FAILED").when(rejected, "REJECTED").otherwise("SENT" if later else "WRITTEN"),
+        "code": F.when(lost, "CALL_FAILED").otherwise(F.col("code")), "message": F.when(lost, F.col("failure")).otherwise(F.col("message")),
+    }).drop("failure")
+
+
+def settle_counters(counters: DataFrame, settled: DataFrame, by: str) -> DataFrame:
+    """counters (by, written, failed) after late verdicts: each record of settled (by, outcome, verdict) that a verdict refused moves from written to failed."""
+    late = settled.where(F.col("verdict").isNotNull() & (F.col("outcome") == "REJECTED")).groupBy(by).agg(F.count("*").alias("_late"))
+    moved = F.coalesce("_late", F.lit(0))
+    return counters.join(late, by, "left").withColumns({"written": F.col("written") - moved, "failed": F.col("failed") + moved}).drop("_late")
+
+
+def bulk_write(target: DataFrame, batch: DataFrame, key: str, mode: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """target after an unordered write of documents, and batch with `_error` for each record that was refused while the others went through: no key, a key that exists (INSERT; also of a second one in the batch), or one that doesn't (REPLACE). UPSERT and REPLACE keep the last write of a key by `order`."""
+    mode = mode.upper()
+    if mode not in ("INSERT", "UPSERT", "REPLACE"):
+        raise ValueError(f"no write mode {mode!r}")
+    there = target.select(F.col(key).alias("_id")).distinct().withColumn("_there", F.lit(True))
+    judged = batch.join(there, F.col(key) == F.col("_id"), "left").drop("_id")
+    known, missing = F.coalesce("_there", F.lit(False)), F.col(key).isNull()
+    error = F.when(missing, "a document has no key")
+    if mode == "INSERT":
+        # rows without a key are dealt out by their order, so that they don't meet in one task
+        second = F.row_number().over(W.partitionBy(key, F.when(missing, F.col(order))).orderBy(order)) > 1
+        error = error.when(known | second, "a document with this key exists")
+    elif mode == "REPLACE":
+        error = error.when(~known, "no document has this key")
+    judged = judged.withColumn("_error", error).drop("_there")
+    good = judged.where("_error is null").drop("_error")
+    return _written_over(target, _last_writes(good, [key], order).select(*target.columns), [key], mode), judged
+
+
+def write_keyed(df: DataFrame, connect: Callable[[], object], statement: str, batch: int = 1_000) -> None:
+    """Runs a keyed statement (readers.keyed_statement) for each row, in transactions of `batch` rows, on a connection (Python's DB-API) for each partition. Keyed statements can be repeated, so a lost task is simply run again."""
+
+    def run(rows):
+        connection, held = connect(), []
+        try:
+            cursor = connection.cursor()
+            for row in rows:
+                held.append(tuple(row))
+                if len(held) == batch:
+                    cursor.executemany(statement, held)
+                    connection.commit()
+                    held = []
+            if held:
+                cursor.executemany(statement, held)
+                connection.commit()
+        finally:
+            connection.close()
+
+    df.foreachPartition(run)
+
+
 def settle(sent: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """Records that were SENT, with the verdict that came later: results (key, message) lists failures only."""
     bad = results.select(key, F.col("message").alias("_late")).dropDuplicates([key])
     return sent.join(bad, key, "left").withColumn("outcome", F.when(F.col("outcome") != "SENT", F.col("outcome")).when(F.col("_late").isNotNull(), "REJECTED").otherwise("WRITTEN")).withColumnRenamed("_late", "verdict")
 
 
+def _last_writes(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key."""
+    return batch.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def _written_over(target: DataFrame, last: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """target with the rows of last in place of those of the same keys; rows with other keys are added, unless mode is REPLACE."""
+    columns = target.columns
+    kept = target.join(last.select(*keys), keys, "left_anti").select(*columns)
+    return kept.unionByName(last.join(target.select(*keys), keys, "left_semi").select(*columns) if mode == "REPLACE" else last)
+
+
 def merge(target: DataFrame, batch: DataFrame, keys: list[str], mode: str, order: str) -> DataFrame:
     """target after a keyed write of batch: INSERT fails on keys that exist, UPSERT replaces or adds, IGNORE only adds, REPLACE only replaces. The last write of a key by `order` counts. A null key fails the job: it would put all such rows on one."""
     mode = mode.upper()
@@ -165,19 +237,19 @@ def merge(target: DataFrame, batch: DataFrame, keys: list[str], mode: str, order
         null = null | F.col(k).isNull()
     columns = target.columns
     batch = batch.withColumn(keys[0], F.when(null, F.raise_error(F.lit("a record has no key"))).otherwise(F.col(keys[0])))
-    last = batch.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").select(*columns)
+    last = _last_writes(batch, keys, order).select(*columns)
     if mode == "INSERT":
         clash = target.select(*keys).withColumn("_there", F.lit(True))
         checked = last.join(clash, keys, "left")
         return target.unionByName(checked.withColumn(keys[0], F.when(F.col("_there"), F.raise_error(F.lit("a key exists"))).otherwise(F.col(keys[0]))).select(*columns))
     if mode == "IGNORE":
         return target.unionByName(last.join(target.select(*keys), keys, "left_anti").select(*columns))
-    kept = target.join(last.select(*keys), keys, "left_anti").select(*columns)
-    return kept.unionByName(last if mode == "UPSERT" else last.join(target.select(*keys), keys, "left_semi").select(*columns))
+    return _written_over(target, last, keys, mode)
 
 
-def staged_export(df: DataFrame, folder: str, max_bytes: int, sep: str = "\n") -> DataFrame:
-    """Writes CSV files of about max_bytes and returns their manifest: file, rows, bytes."""
+def staged_export(df: DataFrame, folder: str, max_bytes: int, sep: str = "\n", delete: bool = False) -> DataFrame:
+    """Writes CSV files of about max_bytes and returns their manifest: file, rows, bytes. A job that deletes gets the column Id alone."""
+    df = df.select("Id") if delete else df
     width = F.octet_length(F.to_csv(F.struct(*df.columns))) + len(sep)
     total = df.agg(F.sum(width)).first()[0] or 0
     df.repartition(max(1, -(-total // max_bytes))).write.csv(folder, header=True, lineSep=sep, nullValue="", emptyValue="")

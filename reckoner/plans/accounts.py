@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reckoner.functions import paths
-from reckoner.operators import chunks, ledger
+from reckoner.operators import chunks, ledger, reports
 from reckoner.operators.mapper import apply_mapping, apply_rules
 from reckoner.plans.common import WITH_RUNS, errors, index, runs, table
 from reckoner.sources.scratch import folder
@@ -80,7 +80,7 @@ def shortfall(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     read = chunks.assign(df.where("o_orderkey % 311 <> 0"), "o_orderkey", chunks.plan_ranges(df, "o_orderkey", CHUNK, MOST_CHUNKS)).groupBy(F.col("_chunk").alias("chunk")).agg(F.count("*").alias("read"))
     plan = chunks.plan_ranges(df, "o_orderkey", CHUNK, MOST_CHUNKS).select("chunk", (F.col("last") - F.col("first") + 1).alias("planned"))
-    return plan.join(read, "chunk", "left").where("planned <> coalesce(read, 0)").select("chunk", "planned", F.coalesce("read", F.lit(0)).alias("read"))
+    return reports.shortfall(plan, read)
 
 
 def redact_modes(spark, sf_dir):

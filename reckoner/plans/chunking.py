@@ -121,7 +121,9 @@ def typed_text(spark, sf_dir):
 
 
 def preview_limit(spark, sf_dir):
-    return table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(10).select("n_nationkey", "n_name")
+    df = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name")
+    rows, _ = readers.preview(df)
+    return spark.createDataFrame(rows, df.schema)
 
 
 def window_bounds(spark, sf_dir):

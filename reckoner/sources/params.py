@@ -65,10 +65,11 @@ def bind_sql(sql: str, supplied: dict) -> tuple[str, dict]:
     return _NAME.sub(put, sql), args
 
 
-def run_sql(spark: SparkSession, sql: str, supplied: dict, **frames: DataFrame) -> DataFrame:
-    """A user's SQL text over frames (by `{name}`) with named parameters."""
+def run_sql(spark: SparkSession, sql: str, supplied: dict, row_limit: int | None = None, **frames: DataFrame) -> DataFrame:
+    """A user's SQL text over frames (by `{name}`) with named parameters, and at most row_limit rows if the source sets one."""
     text, args = bind_sql(sql, supplied)
-    return spark.sql(text, args=args, **frames)
+    out = spark.sql(text, args=args, **frames)
+    return out.limit(row_limit) if row_limit else out
 
 
 def in_list(df: DataFrame, column: str, values: list, literal: int = 1000) -> DataFrame:
@@ -128,3 +129,20 @@ def period(at: Column, zone: str, unit: str, back: int = 0, length: int = 1) ->
     return moved(-back), moved(length - back)
 
 
+def day_of_week(at: Column, zone: str) -> Column:
+    """1 (Monday) to 7 in a zone."""
+    return F.weekday(F.from_utc_timestamp(at, zone)) + 1
+
+
+def offset_text(at: Column, zone: str) -> Column:
+    """An instant (of a session in UTC) as ISO text with the zone's offset at that time."""
+    local = F.from_utc_timestamp(at, zone)
+    ahead = F.floor((F.unix_seconds(local) - F.unix_seconds(at)) / 60)
+    two = lambda n: F.lpad(F.floor(n).cast("string"), 2, "0")
+    offset = F.when(ahead == 0, "Z").otherwise(F.concat(F.when(ahead < 0, "-").otherwise("+"), two(F.abs(ahead) / 60), F.lit(":"), two(F.abs(ahead) % 60)))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
+def window_values(at: Column, zone: str, named: dict[str, tuple[str, int]]) -> dict[str, Column]:
+    """Named values of a schedule's window at the instant it fires, as offset text: each the start of the unit that lies so many units back (0: the one under way)."""
+    return {name: offset_text(period(at, zone, unit, back)[0], zone) for name, (unit, back) in named.items()}

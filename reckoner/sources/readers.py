@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reckoner.operators.chunks import numbered
+from reckoner.operators.chunks import numbered, record_key
 
 DELIMITERS = {"tab": "\t", "pipe": "|"}
 
 
-def read_delimited(spark: SparkSession, path: str, pattern: str = "*.csv", delimiter: str = ",", quote: str = '"', charset: str = "UTF-8", header: bool = True, empty_is_null: bool = False) -> DataFrame:
-    """All fields as text, trimmed; blank lines are skipped, missing trailing fields are null, and columns without a header are column_1 and so on. `_file` is the chunk: files are split and read in parallel, and `_row` is the place in a file as read."""
+def read_delimited(spark: SparkSession, path: str, pattern: str = "*.csv", delimiter: str = ",", quote: str = '"', charset: str = "UTF-8", header: bool = True, empty_is_null: bool = False, key: list[str] | None = None, rows: bool = False) -> DataFrame:
+    """All fields as text, trimmed; blank lines are skipped, missing trailing fields are null, and columns without a header are column_1 and so on. `_file` is the chunk: files are split and read in parallel. With key, `_key` is the record's key; with rows, `_row` is its place in the file from 1, which takes a window over each file."""
     read = spark.read.option("pathGlobFilter", pattern).option("sep", DELIMITERS.get(delimiter, delimiter)).option("quote", quote).option("encoding", charset)
     read = read.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("header", header).option("inferSchema", False)
     df = read.option("nullValue", "" if empty_is_null else "\0").option("emptyValue", "").csv(path)
     if not header:
         df = df.toDF(*(f"column_{k + 1}" for k in range(len(df.columns))))
-    return df.withColumn("_file", F.col("_metadata.file_name"))
+    out = df.withColumns({"_file": F.col("_metadata.file_name"), "_from": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    if rows:
+        out = out.withColumn("_row", F.row_number().over(W.partitionBy("_file").orderBy("_from", "_at")).cast("long"))
+    return (out.withColumn("_key", record_key(out, key)) if key else out).drop("_from", "_at")
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, by: str | None = None) -> None:

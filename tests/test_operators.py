@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reckoner.functions import js, paths
-from reckoner.operators import chunks, delivery, health, ledger
+from reckoner.operators import chunks, delivery, health, ledger, reports
 from reckoner.operators.mapper import apply_mapping, apply_rules, to_record
-from reckoner.sources import params, readers
+from reckoner.sources import normal, params, readers
 
 
 def mapped(spark, record, *mappings, **more):
@@ -307,3 +307,70 @@ def test_scratch_on_a_cluster_needs_a_shared_folder():
     conf = SimpleNamespace(get=lambda k, d=None: {"spark.master": "spark://host:7077"}.get(k, d))
     with pytest.raises(ValueError, match="checkpoint"):
         folder(SimpleNamespace(conf=conf), "x")
+
+
+def test_keyed_statements_run(spark, tmp_path):
+    path = str(tmp_path / "target.db")
+
+    def connect():
+        import sqlite3
+
+        return sqlite3.connect(path, timeout=60)
+
+    with connect() as c:
+        c.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT)")
+        c.execute("INSERT INTO t VALUES (1, 'old'), (2, 'old')")
+    rows = spark.createDataFrame([(2, "new"), (3, "new")], "id long, name string").repartition(2)
+    for mode, second in (("IGNORE", "old"), ("UPSERT", "new"), ("UPSERT", "new")):
+        delivery.write_keyed(rows, connect, readers.keyed_statement("postgresql", "t", ["id", "name"], ["id"], mode), 1)
+        with connect() as c:
+            assert c.execute("SELECT * FROM t ORDER BY id").fetchall() == [(1, "old"), (2, second), (3, "new")]
+
+
+def test_documents_are_refused_one_by_one(spark):
+    target = spark.createDataFrame([(1, "a")], "id long, v string")
+    batch = spark.createDataFrame([(1, "b", 1), (2, "c", 2), (2, "d", 3), (None, "e", 4)], "id long, v string, n long")
+    said = {}
+    for mode in ("INSERT", "UPSERT", "REPLACE"):
+        after, judged = delivery.bulk_write(target, batch, "id", mode, "n")
+        said[mode] = (sorted(map(tuple, after.collect())), [r["_error"] is None for r in judged.orderBy("n").collect()])
+    assert said == {"INSERT": ([(1, "a"), (2, "c")], [False, True, False, False]), "UPSERT": ([(1, "b"), (2, "d")], [True, True, True, False]), "REPLACE": ([(1, "b")], [True, False, False, False])}
+
+
+def test_texts_of_documents_and_binds(spark):
+    texts = ["oid:0123456789abcdef01234567", "oid:xyz", "2024-02-30T00:00:00Z", "2024-02-29T12:00:00.5Z", "2024-02-29T12:00Z", "2024-02-29", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = df.select(normal.document_value(F.col("t")).alias("d"), normal.bound_text(F.col("t")).alias("b")).orderBy("k").collect()
+    noon = dt.datetime(2024, 2, 29, 12, tzinfo=None)
+    assert [tuple(r["d"]) for r in rows[:4]] == [("0123456789abcdef01234567", None, None), (None, None, "xyz"), (None, None, texts[2]), (None, noon.replace(microsecond=500_000), None)]
+    assert [tuple(r["d"]) for r in rows[4:]] == [(None, None, texts[4]), (None, None, texts[5]), (None, None, None), (None, None, "")]
+    assert [r["b"]["at"] for r in rows] == [None, None, None, noon.replace(microsecond=500_000), noon, None, None, None]
+    assert rows[5]["b"]["day"] == dt.date(2024, 2, 29) and rows[2]["b"]["text"] == texts[2]
+
+
+def test_offsets_across_a_clock_change(spark):
+    at = spark.createDataFrame([(dt.datetime(2024, 3, 31, 12),), (dt.datetime(2024, 1, 1, 23, 30),)], "at timestamp")
+    values = params.window_values(F.col("at"), "Europe/Berlin", {"from": ("day", 0), "week": ("week", 0)})
+    out = at.select(*(v.alias(k) for k, v in values.items()), params.day_of_week(F.col("at"), "Europe/Berlin").alias("d"), params.offset_text(F.col("at"), "America/St_Johns").alias("s")).orderBy("at").collect()
+    assert [tuple(r) for r in out] == [("2024-01-02T00:00:00+01:00", "2024-01-01T00:00:00+01:00", 2, "2024-01-01T20:00:00-03:30"), ("2024-03-31T00:00:00+01:00", "2024-03-25T00:00:00+01:00", 7, "2024-03-31T09:30:00-02:30")]
+
+
+def test_duplicates_have_to_be_acknowledged(spark):
+    df = spark.createDataFrame([(1, 0, "FAILED", 5, 5), (1, 1, "RUNNING", 2, 2), (1, 2, "COMPLETED", 9, 9)], "run_id long, chunk int, state string, checkpoint long, written long")
+    with pytest.raises(ValueError, match="acknowledge"):
+        reports.retry_plan(df, resume=False, idempotent=False)
+    assert {(r["chunk"], r["after"]) for r in reports.retry_plan(df, resume=False, idempotent=False, acknowledged=True).collect()} == {(0, None), (1, None)}
+    assert {(r["chunk"], r["after"]) for r in reports.retry_plan(df, unfinished=False, idempotent=False).collect()} == {(0, 5)}
+
+
+def test_headlines_when_all_is_well(spark):
+    none = spark.createDataFrame([], "pipeline_id long, severity int, code string")
+    live, volume = spark.createDataFrame([(4,)], "pipeline_id long"), spark.createDataFrame([(1234,)], "written long")
+    out = reports.board(none, live, volume, "the last 24 hours", 5).orderBy("place").collect()
+    assert [(r["pipeline_id"], r["title"]) for r in out] == [(None, "Nothing has failed in the last 24 hours"), (4, "Running now"), (None, "1,234 records transferred in the last 24 hours")]
+
+
+def test_report_of_a_run_that_is_not_indexed(spark):
+    df = spark.createDataFrame([(1, "COMPLETED", False, 5, 1, 3, 2, 1, *(None,) * 5)], "run_id long, state string, dry_run boolean, read long, filtered long, produced long, written long, failed long, n_written long, n_sent long, n_rejected long, n_call_failed long, n_transform_failed long").withColumn("n_filtered", F.lit(None).cast("long"))
+    out = {r["label"]: r["value"] for r in reports.export_lines(df).collect()}
+    assert out == {"Verdict": "DISCREPANCY", "Run": "1", "Read from source": "5", "Filtered by rules": "1", "Produced by transforms": "3", "Written": "2", "Failed": "1", "Unaccounted": "0"}
