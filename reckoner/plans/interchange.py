@@ -122,7 +122,7 @@ _AT = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"
 _NEW = f"(SELECT o_custkey AS id FROM orders WHERE o_orderkey % 9 <> 0 AND o_custkey NOT IN (SELECT id FROM {_TARGET}))"
 ORACLE_SQL = {
     "sql_types": f"""SELECT o_orderkey AS whole, CAST(o_totalprice AS DECIMAL(12, 2)) AS exact, round(CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE), 0) AS near, o_orderkey % 2 = 0 AS flag, strftime(o_orderdate, '%Y-%m-%d') AS day,
-      {_AT} || CASE o_orderkey % 3 WHEN 1 THEN '.250' WHEN 2 THEN '.500' ELSE '' END || 'Z' AS at, base64(encode(o_orderpriority)) AS raw, CASE o_orderkey % 3 WHEN 0 THEN '{{"text":"{{not json"}}' WHEN 1 THEN '{{"n":' || o_orderkey || '}}' ELSE '{{"text":"text"}}' END AS other FROM orders""",
+      {_AT} || CASE o_orderkey % 3 WHEN 1 THEN '.250' WHEN 2 THEN '.500' ELSE '' END || 'Z' AS at, base64(encode(o_orderpriority)) AS raw, CASE o_orderkey % 3 WHEN 0 THEN '"{{not json"' WHEN 1 THEN '{{"n":' || o_orderkey || '}}' ELSE '"text"' END AS other FROM orders""",
     "document_types": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN h END AS object_id, CASE WHEN o_orderkey % 4 = 2 THEN CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) END AS at, CASE o_orderkey % 4 WHEN 1 THEN substr(h, 1, 8) WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS text FROM (SELECT *, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 24) AS h FROM orders)",
     "bind_types": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 4 = 1 THEN CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) END AS at, CASE o_orderkey % 4 WHEN 2 THEN strftime(o_orderdate, '%Y-%m') WHEN 3 THEN '2024-13-45' END AS text FROM orders",
     "page_requests": """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT o_custkey, unnest(range(0, CAST(ceil(n / 7.0) AS BIGINT))) AS page FROM s), r AS (SELECT 'PAGE' AS kind, o_custkey, page, page + 1 AS at FROM p UNION ALL SELECT 'OFFSET', o_custkey, page, page * 7 FROM p UNION ALL SELECT 'NONE', o_custkey, 0, NULL FROM s)

@@ -24,7 +24,7 @@ def instant_text(c: Column, zoned: bool = True) -> Column:
 
 
 def record_value(c: Column, kind: T.DataType, text_may_be_json: bool = False) -> Column:
-    """A database's value as a record holds it: whole numbers long, decimals exact, floats double, dates and instants ISO text, bytes base64; nested values stay. Text that is declared as JSON is parsed where it is an object or array, and stays text elsewhere."""
+    """A database's value as a record holds it: whole numbers long, decimals exact, floats double, dates and instants ISO text, bytes base64; nested values stay. Text that is declared as JSON becomes a variant: parsed where it is an object or array, and text elsewhere."""
     if isinstance(kind, T.IntegralType):
         return c.cast("long")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
@@ -37,7 +37,8 @@ def record_value(c: Column, kind: T.DataType, text_may_be_json: bool = False) ->
         return F.base64(c)
     if isinstance(kind, T.StringType) and text_may_be_json:
         nested = F.ltrim(c).rlike(r"^[\[{]") & F.try_parse_json(c).isNotNull()
-        return F.when(nested, F.try_parse_json(c)).otherwise(F.to_variant_object(F.struct(c.alias("text"))))
+        listed = F.to_json(F.array(c))
+        return F.when(nested, F.try_parse_json(c)).when(c.isNotNull(), F.parse_json(F.substring(listed, F.lit(2), F.length(listed) - 2)))
     return c
 
 
