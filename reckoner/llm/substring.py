@@ -30,6 +30,8 @@ from reckoner.llm.common import flat_text, slices, table, text_bytes
 
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
+#: Buckets of hashes, at least, where there are as many blocks.
+FEW = 64
 RESULTS = "n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept string"
 
 
@@ -53,6 +55,12 @@ def _runs(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return own[at], np.append(at, len(own))
 
 
+def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which hashes are among the wanted (sorted): the work grows with the hashes, not with what is wanted."""
+    at = np.searchsorted(wanted, hashes)
+    return np.append(wanted, np.uint64(0))[at] == hashes if len(wanted) else np.zeros(len(hashes), bool)
+
+
 def _bits(column: pa.Array, n: int, k: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(column[k].as_py(), np.uint8), count=n).astype(bool)
 
@@ -77,26 +85,32 @@ def repeated_windows(blocked: DataFrame, width: int, buckets: int) -> DataFrame:
         many = [_bits(t.column("many"), len(h), k) for k, h in enumerate(own)]
         every = np.sort(np.concatenate(own))
         twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(h[m] for h, m in zip(own, many, strict=True))]))
-        flags = [np.packbits(np.isin(h, twice, assume_unique=True)).tobytes() for h in own]
+        flags = [np.packbits(_among(h, twice)).tobytes() for h in own]
         return pa.table({"_block": t.column("_block"), "_bucket": t.column("_bucket"), "flags": pa.array(flags, pa.binary())})
 
     sent = blocked.groupBy("_block").applyInArrow(emit, "_block long, _bucket long, hashes binary, many binary")
     return sent.groupBy("_bucket").applyInArrow(count, "_block long, _bucket long, flags binary")
 
 
+def buckets_for(blocks: int) -> int:
+    """Buckets for so many blocks: as many as blocks up to FEW, an eighth of them for large inputs, so that rows between blocks and buckets stay large. A bucket gets about 48 MB of hashes at most."""
+    return min(blocks, max(FEW, -(-blocks // 8)))
+
+
 def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed, removed (intervals of word numbers, last exclusive) and kept (the words that stay, joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "removed", "kept", "_block")
     blocks = max(1, -(-text_bytes(docs) // BLOCK_BYTES))
     names = docs.columns
     blocked = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    flags = repeated_windows(blocked, width, blocks)
+    buckets = buckets_for(blocks)
+    flags = repeated_windows(blocked, width, buckets)
 
     def merge(t: pa.Table, f: pa.Table) -> pa.Table:
         flag = {b: x.as_py() for b, x in zip(f.column("_bucket").to_pylist(), f.column("flags"), strict=True)}
         runs = list(_windows(t.column("text"), width))
         hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in runs)]))
-        full, at = _runs(hashes, blocks)
+        full, at = _runs(hashes, buckets)
         twice = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(flag[b], np.uint8), count=n).astype(bool) for b, n in zip(full.tolist(), np.diff(at).tolist(), strict=True))])
         out = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
         texts = t.column("text")
