@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -72,3 +72,16 @@ def slices(offsets: np.ndarray, most: int = 1 << 20):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
         yield first, last
         first = last
+
+
+def running(values: Column, block: int = 128) -> Column:
+    """Running sums of an array of integers; blocks keep the copying of partial results small in long arrays."""
+    long = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / block).cast("int"), F.lit(0))), lambda k: F.slice(values, k * block + 1, F.lit(block)))
+
+    def sums(x: Column, total) -> Column:
+        return F.aggregate(x, F.array().cast("array<long>"), lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), long) + total(v))))
+
+    inner = F.transform(blocks, lambda b: sums(b, lambda v: v.cast("long")))
+    before = F.concat(F.array(long), sums(inner, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), long)))
+    return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, o: F.transform(b, lambda y: y + o)))

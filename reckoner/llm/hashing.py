@@ -37,12 +37,12 @@ def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word `[^\\x20\\x09-\\x0D]+`, and for each text the index of its first word (one more than texts)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each text the index of its first word (one more than texts); apart: for each byte, whether it stands between words (white space, if not given)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = apart[data]
     before = np.empty(n, bool)
     before[0], before[1:] = True, space[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = True
@@ -62,9 +62,9 @@ def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray)
     return mix((total[ends] - total[starts]) * inverse[starts])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the index of each text's first word."""
-    starts, ends, first = word_spans(data, offsets)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the index of each text's first word; apart as in word_spans()."""
+    starts, ends, first = word_spans(data, offsets, apart)
     return _ranges(data.astype(np.uint64) + np.uint64(1), BYTE_BASE, starts, ends), first
 
 

