@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +75,14 @@ def slices(offsets: np.ndarray, most: int = 1 << 20):
         first = last
 
 
-def running(values: Column, block: int = 128) -> Column:
-    """Running sums of an array of integers; blocks keep the copying of partial results small in long arrays."""
-    long = F.lit(0).cast("long")
+def running(values: Column, step: Callable[[Column, Column], Column] | None = None, block: int = 128) -> Column:
+    """Running sums of an array of integers, or what step makes of the result so far (null before the first) and a value; blocks keep the copying of partial results small in long arrays."""
+    step = step or (lambda so_far, v: F.coalesce(so_far, F.lit(0).cast("long")) + v)
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / block).cast("int"), F.lit(0))), lambda k: F.slice(values, k * block + 1, F.lit(block)))
 
-    def sums(x: Column, total) -> Column:
-        return F.aggregate(x, F.array().cast("array<long>"), lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), long) + total(v))))
+    def fold(x: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(x, F.array().cast("array<long>"), lambda acc, v: F.concat(acc, F.array(step(F.try_element_at(acc, F.lit(-1)), value(v)))))
 
-    inner = F.transform(blocks, lambda b: sums(b, lambda v: v.cast("long")))
-    before = F.concat(F.array(long), sums(inner, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), long)))
-    return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, o: F.transform(b, lambda y: y + o)))
+    inner = F.transform(blocks, lambda b: fold(b, lambda v: v.cast("long")))
+    before = F.concat(F.array(F.lit(None).cast("long")), fold(inner, lambda b: F.try_element_at(b, F.lit(-1))))
+    return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, o: F.transform(b, lambda y: step(o, y))))

@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reckoner.llm.common import forget, saved
+
 #: Chains whose marginals are held at once in training.
 BLOCK = 1_000
 #: UTF-8 bytes of all texts of a sample, at most.
@@ -115,8 +116,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
     """Texts, labels and weights of at most `most` rows of each class, those with the least hashes of doc_id; weights restore the classes' shares.
 
     Rows without a doc_id or a label are left out; a doc_id that is labelled twice counts with its larger label, and one
-    with several texts with one of them. Texts are taken in the order of their hashes until they have SAMPLE_BYTES. Only
-    these texts and counts come to the driver.
+    with several texts with one of them. Texts are taken in the order of their hashes; one that would go beyond SAMPLE_BYTES is
+    left out, and later ones that fit are taken. Only these texts, the sizes of 2 * most texts and counts come to the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train_rows).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -126,8 +127,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in picked], "doc_id long, y int")
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(size, F.xxhash64("text"))).alias("text"))
-    so_far = F.sum(size.cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))  # of 2 * most rows
-    rows = sorted(found.withColumn("_bytes", so_far).where(F.col("_bytes") <= SAMPLE_BYTES).collect(), key=lambda r: r["doc_id"])
+    found = saved(found, "sample")  # of 2 * most rows
+    fits, held = [], 0
+    for r in found.select("doc_id", size.cast("long").alias("size"), F.xxhash64("doc_id").alias("hash")).orderBy("hash", "doc_id").collect():
+        if held + r["size"] <= SAMPLE_BYTES:
+            fits.append(r["doc_id"])
+            held += r["size"]
+    rows = sorted(found.where(F.col("doc_id").isin(fits)).collect(), key=lambda r: r["doc_id"])
+    forget(found)
     if not rows:
         return [], np.zeros(0), np.zeros(0)
     y = np.array([r["y"] for r in rows], float)

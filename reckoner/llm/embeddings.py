@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import links
-from reckoner.llm.common import saved, table
+from reckoner.llm.common import forget, saved, table
 
 COSINE, TREES, LEAF, MOST_LEVELS = 0.98, 3, 2_000, 40
 SPILL = 1.5
+#: Nodes of a level whose sizes and cuts are broadcast (about 50 bytes each).
+BROADCAST_NODES = 20_000
 
 
 def _usable() -> Column:
@@ -58,19 +60,26 @@ def _project(rows: DataFrame) -> DataFrame:
     return rows.select(*names).mapInArrow(run, "tree int, path long, node long, part long, vector binary, p double, spill double")
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """bucket, node, size of all leaves with two nodes or more; nodes: node, part (hash of label and dimension), vector (unit, as bytes)."""
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small enough; a label that a third of all vectors have is one key of the first levels, which have few keys."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+
+
+def forest(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """bucket, node, size of all leaves with two nodes or more, and the written tables that they are read from; nodes: node, part (hash of label and dimension), vector (unit, as bytes)."""
     level = nodes.withColumn("tree", F.explode(F.array(*map(F.lit, range(TREES))))).withColumn("path", F.lit(1).cast("long")).select("tree", "path", "node", "part", "vector")
-    leaves, where = None, ["tree", "path", "part"]
+    leaves, where, made = None, ["tree", "path", "part"], []
     for depth in range(MOST_LEVELS + 1):
-        sizes = level.groupBy(*where).agg(F.count("*").alias("size"))
-        sized = level.join(sizes.where("size > 1"), where)
+        sizes = saved(level.groupBy(*where).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        sized = level.join(_few(sizes), where)
         small = F.col("size") <= LEAF if depth < MOST_LEVELS else F.lit(True)
         bucket = F.xxhash64("part", "tree", "path", F.lit(depth)).alias("bucket")
         done = sized.where(small).select(bucket, "node", "size")
         large = _project(sized.where(~small))
         cuts = large.groupBy(*where).agg(F.percentile_approx("p", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(1000)).alias("q"), F.max("spill").alias("s"), F.count("*").alias("size"))
-        large = saved(large.drop("spill").join(cuts, where), "forest")
+        cuts = saved(cuts, "cuts")
+        large = saved(large.drop("spill").join(_few(cuts), where), "forest")
+        made += [sizes, cuts, large]
         stuck = F.col("q")[2] - F.col("q")[0] < 4 * F.col("s")
         done = done.unionByName(large.where(stuck).select(bucket, "node", "size"))
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -79,7 +88,7 @@ def forest(nodes: DataFrame) -> DataFrame:
         sides = F.filter(F.array(F.when(left, F.xxhash64("path", F.lit(0))), F.when(right, F.xxhash64("path", F.lit(1)))), lambda x: x.isNotNull())
         level = large.where(~stuck).select("tree", F.explode(sides).alias("path"), "node", "part", "vector")
         if large.where(~stuck).isEmpty():
-            return leaves
+            return leaves, made
 
 
 def _unit(rows: DataFrame) -> DataFrame:
@@ -107,7 +116,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id (least vec_id reachable by links, itself included), kept."""
     rows = usable(vectors).select("vec_id", "label", "embedding", "node")
     nodes = saved(_unit(rows), "vectors")
-    leaves = saved(forest(nodes.select("node", "part", "vector")), "leaves")
+    leaves, levels = forest(nodes.select("node", "part", "vector"))
+    leaves = saved(leaves, "leaves")
+    forget(*levels)
     others = leaves.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("others"))
     tiled = leaves.select("bucket", "node", links.tiles(F.col("size")).alias("tiles"))
     found = saved(links.linked(tiled.join(nodes.select("node", "weight", "vector").join(others, "node"), "node"), _near, ["vector"]), "links")

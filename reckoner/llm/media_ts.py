@@ -6,8 +6,10 @@ random-access point with a clock reference. store() keeps the stream in a column
 the timestamp, the number of its first packet and whether it is a random-access point, so that a reader can seek by time
 without parsing the stream. unpack() reads the bytes of any such stream back: it parses both tables and
 their checksums, counts breaks of the continuity counters, reassembles the PES packets of the first program's first
-stream and lists timestamps and random-access points. A packet that is sent twice counts once; an adaptation field that
-says it is longer than its packet makes the packet damaged: it is counted and has no payload.
+stream and lists timestamps and random-access points. A break that a discontinuity indicator announces isn't counted. A packet that is sent twice counts once; an adaptation field that
+says it is longer than its packet makes the packet damaged: it is counted and has no payload. A unit that ends before its
+timestamp has none, and packets before the first unit start, or tables without a start, belong to nothing; no stream, however
+damaged, ends the job.
 
 Null texts count as empty. Equal bytes give equal streams. A null stream, or one that has no whole packet, has no payload,
 no programs and no units; packets that have lost their sync byte are skipped and counted. Null and repeated doc_ids are
@@ -106,7 +108,7 @@ def _sections(packets: np.ndarray, begin: np.ndarray, pid: np.ndarray, start: np
     """Tables of one pid whose checksums hold; a section may go on in the packets that follow, up to the next that begins one."""
     found, own = [], np.flatnonzero(pid == want)
     heads = np.flatnonzero(begin[own])
-    for h, after in zip(heads, [*heads[1:], len(own)], strict=True):
+    for h, after in zip(heads.tolist(), np.append(heads[1:], len(own)).tolist() if len(heads) else [], strict=True):
         raw = b"".join(packets[k, start[k] :].tobytes() for k in own[h:after])
         if raw:
             raw = raw[1 + raw[0] :]
@@ -164,21 +166,22 @@ def unpack(stream: bytes | None) -> dict:
     if again.any():
         out["repeated"] = int(again.sum())
         packets, start, begin, field, number, counter = (x[~again] for x in (packets, start, begin, field, number, counter))
-    out["breaks"] = int(((np.diff(counter) & 15) != 1).sum())
+    excused = field & (packets[:, 4] > 0) & (packets[:, 5] & 0x80 > 0)  # the stream says that its counter begins anew
+    out["breaks"] = int((((np.diff(counter) & 15) != 1) & ~excused[1:]).sum())
     key = field & (packets[:, 4] > 0) & (packets[:, 5] & 0x40 > 0)
     out["key_packets"] = number[key].tolist()
     body = packets[np.arange(PACKET)[None, :] >= start[:, None]].tobytes()
     ends = np.cumsum(PACKET - start)
     heads = (ends - (PACKET - start))[begin].tolist()
     whole = []
-    for s, e, at in zip(heads, [*heads[1:], len(body)], number[begin].tolist(), strict=True):
+    for s, e, at in zip(heads, [*heads[1:], len(body)] if heads else [], number[begin].tolist(), strict=True):
         pes = body[s:e]
         if pes[:3] == b"\x00\x00\x01" and len(pes) >= 9:
             length = int.from_bytes(pes[4:6], "big")
             whole.append(pes[9 + pes[8] : 6 + length if length else None])
             out["units"].append(len(whole[-1]))
-            if pes[7] & 0x80:
-                p = pes[9:14]
+            p = pes[9:14]
+            if pes[7] & 0x80 and len(p) == 5:
                 out["starts"].append(at)
                 out["pts"].append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
     out["payload"] = b"".join(whole)

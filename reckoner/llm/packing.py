@@ -11,8 +11,8 @@ driver needs to plan:
    fit to the sequences with the least sufficient room; new sequences open when none has room. This too is planned on
    counts and carried out by ranks.
 
-Ranks come from running numbers inside (length, salt) and sums over salts, so a length that a third of all pieces share is
-dealt out. Null texts count as empty; every document ends with END_ID, so an empty one is a piece of length 1. Documents
+Ranks come from running numbers inside (length, salt) and sums over salts, and the salt from a row's place in the written
+table of pieces; so a length that a third of all pieces share is dealt out, and so are rows that are the same. Null texts count as empty; every document ends with END_ID, so an empty one is a piece of length 1. Documents
 longer than CAPACITY are cut into pieces of CAPACITY tokens and a rest. Null and repeated doc_ids are rows like others. An
 empty table packs into no sequence. Other columns than doc_id and text are ignored.
 """
@@ -64,8 +64,9 @@ def pieces(docs: DataFrame, path: str, kind: str = "word", capacity: int = CAPAC
 
 
 def ranked(df: DataFrame, key: str, by: list[str | Column], rows: int, name: str) -> DataFrame:
-    """df with name: the running number from 0 of each row among those of equal key."""
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(max(16, -(-rows // SALTED)))))
+    """df with name: the running number from 0 of each row among those of equal key. Rows are dealt out by their place, if they have one, else by a hash of what orders them."""
+    place = F.col("_place") if "_place" in df.columns else F.xxhash64(*by)
+    df = df.withColumn("_salt", F.pmod(place, F.lit(max(16, -(-rows // SALTED)))))
     before = df.groupBy(key, "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.partitionBy(key).orderBy("_salt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).drop("_n")
     own = F.row_number().over(W.partitionBy(key, "_salt").orderBy(*by)) - 1
     return df.withColumn("_own", own).join(before, [key, "_salt"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_salt", "_own", "_before")
@@ -194,14 +195,17 @@ def _runs_of(rows: DataFrame, key: Column, runs: list[tuple], fields: list[str])
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """rows (KEYS) with sequence_id and offset. rows is read several times: pass a written table."""
+    """rows (KEYS, and `_place`: a number of each row's own) with sequence_id and offset. rows is read several times: pass a written table."""
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     tie = ["doc_id", "piece", "ids_crc32"]
+    by = [*tie, "_place"]
+    if "_place" not in rows.columns:
+        rows = rows.withColumn("_place", F.xxhash64(*tie))
     first, runs, sequences = plan_large(counts, capacity)
     starts = F.create_map(*(F.lit(x) for pair in first.items() for x in pair)) if first else F.create_map()
     large = F.col("length") > LARGE * capacity
-    place = _runs_of(ranked(rows.where(large), "length", tie, total, "_rank"), F.col("_rank") + F.element_at(starts, F.col("length")) if first else F.lit(0), runs, ["+sequence_id"]).drop("_rank")
+    place = _runs_of(ranked(rows.where(large), "length", by, total, "_rank"), F.col("_rank") + F.element_at(starts, F.col("length")) if first else F.lit(0), runs, ["+sequence_id"]).drop("_rank")
     placed = saved(place, "placed")
     used = saved(placed.where("sequence_id is not null").groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("room")), "rooms")
     rooms = {r["room"]: r["n"] for r in used.groupBy("room").agg(F.count("*").alias("n")).collect()}
@@ -209,18 +213,18 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fit, new = plan_best_fit(rooms, {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)
     width = total + 1  # keys of one length lie between those of the next
     flat = sorted((length * width + a, length * width + b, room, number) for length, r in fit.items() for a, b, room, number in r)
-    filled = _runs_of(ranked(rest, "length", tie, total, "_rank"), F.col("length") * width + F.col("_rank"), flat, ["room", "+number"]).drop("_rank")
+    filled = _runs_of(ranked(rest, "length", by, total, "_rank"), F.col("length") * width + F.col("_rank"), flat, ["room", "+number"]).drop("_rank")
     numbered = ranked(used, "room", ["sequence_id"], sequences, "number")
     small = filled.where("room >= 0").join(numbered, ["room", "number"]).select(*KEYS, "sequence_id")
     opened = filled.where("room < 0").select(*KEYS, (F.col("number") + sequences).alias("sequence_id"))
-    every = placed.where("sequence_id is not null").unionByName(small).unionByName(opened)
+    every = placed.where("sequence_id is not null").select(*KEYS, "sequence_id").unionByName(small).unionByName(opened)
     before = W.partitionBy("sequence_id").orderBy(F.desc("length"), *tie).rowsBetween(W.unboundedPreceding, W.currentRow)
     return every.withColumn("offset", F.sum("length").over(before) - F.col("length"))
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all pieces of docs."""
-    return pack(saved(pieces(docs, path), "pieces"))
+    return pack(saved(pieces(docs, path).withColumn("_place", F.monotonically_increasing_id()), "pieces"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

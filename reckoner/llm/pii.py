@@ -190,11 +190,15 @@ def classify(found: DataFrame, model: dict) -> DataFrame:
         return F.struct(x["start"].alias("start"), number.alias("number"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"), (1 / (1 + F.exp(-odds))).alias("probability"))
 
     df = found.withColumn("_pii_all", F.when(F.size("_pii") > 0, F.transform("_pii", scored)).otherwise(F.array()))
-    df = df.withColumn("_pii_base", F.filter("_pii_all", lambda x: x["base"]))
-    free = F.filter("_pii_all", lambda x: ~x["base"] & (x["probability"] >= ACCEPT) & ~F.exists("_pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    order = F.array_sort(F.concat(F.col("_pii_base"), free))
-    spans = F.transform(order, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), x["probability"].alias("probability")))
-    return df.withColumn("spans", spans).drop("_pii", "_pii_all", "_pii_base")
+    df = df.withColumn("_pii_all", F.sort_array(F.filter("_pii_all", lambda x: x["base"] | (x["probability"] >= ACCEPT))))
+    # in order of starts, a span touches a base span if one that began before ends after its start, or one that begins later does so before its end
+    ends, starts = F.transform("_pii_all", lambda x: F.when(x["base"], x["end"])), F.transform("_pii_all", lambda x: F.when(x["base"], x["start"]))
+    df = df.withColumns({"_pii_before": running(ends, F.greatest), "_pii_after": F.reverse(running(F.reverse(starts), F.least))})
+    told = F.zip_with(F.zip_with("_pii_all", "_pii_before", lambda x, b: F.struct(x.alias("x"), b.alias("before"))), "_pii_after", lambda x, a: F.struct(x["x"].alias("x"), x["before"].alias("before"), a.alias("after")))
+    free = F.filter(told, lambda t: t["x"]["base"] | ((F.coalesce(t["before"], t["x"]["start"]) <= t["x"]["start"]) & (F.coalesce(t["after"], t["x"]["end"]) >= t["x"]["end"])))
+    spans = F.transform(free, lambda t: F.struct(*(t["x"][c].alias(c) for c in ("kind", "start", "end", "base", "probability"))))
+    none = F.slice(F.transform("_pii_all", lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "base", "probability")))), F.lit(1), F.lit(0))
+    return df.withColumn("spans", F.when(F.size("_pii_all") > 0, spans).otherwise(none)).drop("_pii", "_pii_all", "_pii_before", "_pii_after")
 
 
 def _listed(spans: Column) -> Column:
@@ -203,16 +207,21 @@ def _listed(spans: Column) -> Column:
 
 def redact(df: DataFrame) -> DataFrame:
     """df (text, spans) with each span in text replaced by its kind in square brackets; of spans that overlap the later one loses its overlap."""
-    text = F.coalesce("text", F.lit(""))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, F.when(x["end"] > acc["at"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")).alias("out"))
-
-    end = F.aggregate("spans", start, add)
-    df = df.withColumn("_pii_end", F.when(F.size("spans") > 0, end))
-    return df.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.col("_pii_end.out"), F.substring(text, (F.col("_pii_end.at") + 1).cast("int"), F.length(text)))).otherwise(F.col("text"))).drop("_pii_end")
+    # texts are cut into blocks first: in a string of many bytes Spark finds a place by counting from its start
+    block = 4_096
+    df = df.withColumn("_pii_blocks", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))))
+
+    def cut(start: Column, end: Column) -> Column:
+        """The text from start to end."""
+        first, last = F.floor(start / block), F.floor((end - 1) / block)
+        own = F.array_join(F.slice("_pii_blocks", (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), "")
+        return F.when(end > start, F.substring(own, (start - first * block + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+    df = df.withColumn("_pii_ends", running(F.transform("spans", lambda x: x["end"]), F.greatest))
+    df = df.withColumn("_pii_marks", F.zip_with("spans", F.concat(F.array(F.lit(0).cast("long")), "_pii_ends"), lambda x, at: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), at.alias("at"))))
+    shown = F.transform(F.filter("_pii_marks", lambda x: x["kind"].isNotNull()), lambda x: F.concat(cut(x["at"], x["start"]), F.when(x["end"] > x["at"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")))
+    rest = cut(F.try_element_at("_pii_ends", F.lit(-1)), F.length("text").cast("long"))
+    return df.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join(shown, ""), rest)).otherwise(F.col("text"))).drop("_pii_blocks", "_pii_ends", "_pii_marks")
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
