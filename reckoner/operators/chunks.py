@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +21,55 @@ def record_key(df: DataFrame, columns: list[str], sep: str = "|") -> Column:
     return F.when(every, F.concat_ws(sep, *(F.col(c).cast("string") for c in columns)))
 
 
-def _ranges(bounds: DataFrame) -> DataFrame:
-    """chunk, first, last (inclusive) from one row of lo, hi, step."""
-    out = bounds.where("lo is not null").select("hi", "step", F.posexplode(F.sequence("lo", "hi", "step")).alias("chunk", "first"))
-    return out.select("chunk", "first", F.least(F.col("first") + F.col("step") - 1, F.col("hi")).alias("last"))
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of one width over the whole parts of a key: Python's numbers, so that no span overflows. A key with a fraction belongs to the range of its whole part."""
+
+    low: int
+    high: int
+    step: int
+    kind: str
+
+    @property
+    def chunks(self) -> int:
+        return -(-(self.high - self.low + 1) // self.step)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """chunk, first, last (inclusive): numbered by Spark, however many there are."""
+        n = self.chunks
+        big = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+        chunk = F.col("id").cast("decimal(19,0)")
+        first = (big(self.low) + chunk * big(self.step)).cast("decimal(38,0)")
+        rest = big(self.high) - first
+        out = spark.range(n).withColumn("first", first).withColumn("last", F.when(rest >= big(self.step - 1), first + big(self.step - 1)).otherwise(big(self.high)))
+        return out.select(F.col("id").cast("int" if n < 1 << 31 else "long").alias("chunk"), F.col("first").cast(self.kind), F.col("last").cast(self.kind))
+
+    def chunk_of(self, key: Column) -> Column:
+        """The range of a key, null outside of all."""
+        kind = "int" if self.chunks < 1 << 31 else "long"
+        if self.kind == "long" and self.high - self.low < 1 << 63:
+            inside = key.between(F.lit(self.low), F.lit(self.high))
+            return F.when(inside, F.call_function("div", key.cast("long") - F.lit(self.low), F.lit(self.step)).cast(kind))
+        whole = F.floor(key.cast("decimal(38,0)") if self.kind == "long" else key).cast("decimal(38,0)")
+        inside = whole.between(F.lit(str(self.low)).cast("decimal(38,0)"), F.lit(str(self.high)).cast("decimal(38,0)"))
+        return F.when(inside, F.call_function("div", (whole - F.lit(str(self.low)).cast("decimal(38,0)")).cast("decimal(38,0)"), F.lit(str(self.step)).cast("decimal(38,0)")).cast(kind))
+
+
+def _planned(df: DataFrame, key: str, step: Callable[[int, int], int]) -> DataFrame:
+    """The table of ranges whose width is step(span, rows); its bounds are read at once, and `ranges` of the result has them for assign()."""
+    n, low, high = df.agg(F.count(key), F.floor(F.min(key)), F.floor(F.max(key))).first()
+    kind = "decimal(38,0)" if isinstance(df.schema[key].dataType, T.DecimalType) else "long"
+    if not n:
+        out = df.sparkSession.createDataFrame([], f"chunk int, first {kind}, last {kind}")
+        out.ranges = None
+        return out
+    low, high = int(low), int(high)
+    if high - low >= 10**38:
+        raise ValueError(f"the span of {key} has more than 38 digits")
+    ranges = Ranges(low, high, step(high - low + 1, n), kind)
+    out = ranges.table(df.sparkSession)
+    out.ranges = ranges
+    return out
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -34,29 +82,32 @@ def _whole(df: DataFrame, key: str) -> bool:
 
 
 def plan_ranges(df: DataFrame, key: str, rows: int, max_chunks: int) -> DataFrame:
-    """Ranges of `rows` key values from the least key to the greatest; wider ones where there would be more than max_chunks. A key that isn't a whole number makes one chunk without bounds. An empty source has none."""
+    """Ranges of `rows` key values from the least key to the greatest; wider ones where there would be more than max_chunks. A key that isn't a number without a floating point makes one chunk without bounds. An empty source has none."""
     if not _whole(df, key):
         return _one(df)
-    span = F.col("hi") - F.col("lo") + 1
-    bounds = df.agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"))
-    return _ranges(bounds.withColumn("step", F.when(F.ceil(span / rows) > max_chunks, F.ceil(span / max_chunks)).otherwise(rows).cast("long")))
+    return _planned(df, key, lambda span, _: rows if -(-span // rows) <= max_chunks else -(-span // max_chunks))
 
 
 def plan_by_count(df: DataFrame, key: str, target: int, max_chunks: int) -> DataFrame:
-    """Equal slices of the key space, as many as `target` rows each need on average, max_chunks at most; decimal keys of any size too, and one chunk for a key that isn't a whole number."""
+    """Equal slices of the key space, as many as `target` rows each need on average, max_chunks at most; decimal keys of any size too, and one chunk for a key of another kind."""
     if not _whole(df, key):
         return _one(df)
-    if isinstance(df.schema[key].dataType, T.DecimalType):
-        big = lambda c: c.cast("decimal(38,0)")
-        n = F.greatest(F.lit(1), F.least(F.lit(max_chunks), F.ceil(F.col("n") / target))).cast("int")
-        bounds = df.agg(F.count("*").alias("n"), big(F.min(key)).alias("lo"), big(F.max(key)).alias("hi")).where("lo is not null").withColumn("k", n)
-        bounds = bounds.withColumn("step", big(F.floor((F.col("hi") - F.col("lo")) / F.col("k"))) + 1)
-        first = big(F.col("lo") + F.col("chunk").cast("decimal(10,0)") * F.col("step"))
-        out = bounds.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("first", first).where("first <= hi")
-        return out.select("chunk", "first", big(F.least(F.col("first") + F.col("step") - 1, F.col("hi"))).alias("last"))
-    bounds = df.agg(F.count("*").alias("n"), F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"))
-    chunks = F.greatest(F.lit(1), F.least(F.lit(max_chunks), F.ceil(F.col("n") / target)))
-    return _ranges(bounds.withColumn("step", F.ceil((F.col("hi") - F.col("lo") + 1) / chunks).cast("long")))
+    return _planned(df, key, lambda span, n: -(-span // max(1, min(max_chunks, -(-n // target)))))
+
+
+def plan_even(df: DataFrame, key: str, chunks: int, accuracy: int = 10_000) -> DataFrame:
+    """chunk, first, last (inclusive) of about `chunks` ranges that hold equally many rows: bounds come from a sketch of the key's quantiles, off by a share of 1 / accuracy of the rows each. Equal keys stay together, so there may be fewer."""
+    if not _whole(df, key):
+        return _one(df)
+    kind = "decimal(38,0)" if isinstance(df.schema[key].dataType, T.DecimalType) else "long"
+    whole = df.select(F.floor(key).cast(kind).alias("k"))
+    low, high, cuts = whole.agg(F.min("k"), F.max("k"), F.percentile_approx("k", [x / chunks for x in range(1, chunks)] or [1.0], accuracy)).first()
+    if low is None:
+        return df.sparkSession.createDataFrame([], f"chunk int, first {kind}, last {kind}")
+    ends = sorted({int(c) for c in cuts if int(c) < int(high)} | {int(high)})
+    firsts = [int(low), *(e + 1 for e in ends[:-1])]
+    rows = df.sparkSession.createDataFrame([(k, str(a), str(b)) for k, (a, b) in enumerate(zip(firsts, ends, strict=True))], "chunk int, first string, last string")
+    return rows.select("chunk", F.col("first").cast(kind), F.col("last").cast(kind))
 
 
 def object_id_number(c: Column) -> Column:
@@ -66,13 +117,13 @@ def object_id_number(c: Column) -> Column:
 
 
 def assign(df: DataFrame, key: str, plan: DataFrame) -> DataFrame:
-    """df with `_chunk`: plan's ranges have one width, so the number follows from the key; keys outside the plan have none."""
-    edge = plan.agg(F.min("first").alias("_lo"), F.max("last").alias("_hi"), F.max(F.col("last") - F.col("first") + 1).alias("_step"))
+    """df with `_chunk` by a plan of ranges of one width: the number follows from the key, without a join; keys outside the plan have none. A plan that was read from a file says its bounds itself."""
     if not _whole(df, key):
         return df.withColumn("_chunk", F.lit(0))
-    place = F.col(key) - F.col("_lo")
-    chunk = F.when(F.col(key).between(F.col("_lo"), F.col("_hi")), ((place - place % F.col("_step")) / F.col("_step")).cast("int"))  # a quotient with a fraction would be rounded
-    return df.crossJoin(F.broadcast(edge)).withColumn("_chunk", chunk).drop("_lo", "_hi", "_step")  # one row, always
+    if not hasattr(plan, "ranges"):
+        low, high, step = plan.agg(F.min("first"), F.max("last"), F.max(F.col("last") - F.col("first") + 1)).first()
+        plan.ranges = None if low is None else Ranges(int(low), int(high), int(step), "decimal(38,0)" if isinstance(df.schema[key].dataType, T.DecimalType) else "long")
+    return df.withColumn("_chunk", plan.ranges.chunk_of(F.col(key)) if plan.ranges else F.lit(None).cast("int"))
 
 
 def sequence(df: DataFrame, order: list[str], chunk: str = "_chunk") -> DataFrame:
@@ -80,13 +131,21 @@ def sequence(df: DataFrame, order: list[str], chunk: str = "_chunk") -> DataFram
     return df.withColumn("_seq", F.row_number().over(W.partitionBy(chunk).orderBy(*order)).cast("long"))
 
 
+def _steps(low: Column, last: Column, step: int, block: int = 1_000) -> tuple[Column, Callable[[Column], Column]]:
+    """low, low + step, ... up to last in two goes, so that no row holds more than a thousandth of it: an array of blocks, and the array of a block that begins at a given place."""
+    blocks = F.sequence(low.cast("long"), last.cast("long"), F.lit(step * block).cast("long"))
+    return blocks, lambda at: F.sequence(at, F.least(at + step * (block - 1), last.cast("long")), F.lit(step).cast("long"))
+
+
 def plan_offsets(bounds: DataFrame, rows: int) -> DataFrame:
     """chunk, partition, first, last (exclusive) of a topic's read, frozen from bounds (partition, begin, end): `rows` offsets each, no chunk across partitions, none for an empty partition."""
-    full = bounds.where("end > begin").select("partition", "end", F.explode(F.sequence(F.col("begin"), F.col("end") - 1, F.lit(rows).cast("long"))).alias("first"))
-    per = full.groupBy("partition").agg(F.count("*").alias("_n"))
+    blocks, inner = _steps(F.col("begin"), F.col("end") - 1, rows)
+    full = bounds.where("end > begin").select("partition", "begin", "end", F.explode(blocks).alias("block"))
+    full = full.repartition("partition", "block").select("partition", "begin", "end", F.explode(inner(F.col("block"))).alias("first"))
+    per = bounds.where("end > begin").select("partition", F.ceil((F.col("end") - F.col("begin")) / rows).alias("_n"))
     before = per.withColumn("_before", F.sum("_n").over(W.orderBy("partition")) - F.col("_n")).drop("_n")  # a row for each partition
-    own = F.row_number().over(W.partitionBy("partition").orderBy("first")) - 1
-    return full.withColumn("_own", own).join(F.broadcast(before), "partition").select((F.col("_before") + F.col("_own")).alias("chunk"), "partition", "first", F.least(F.col("first") + rows, F.col("end")).alias("last"))
+    chunk = F.col("_before") + F.expr(f"(first - begin) div {rows}")
+    return full.join(F.broadcast(before), "partition").select(chunk.alias("chunk"), "partition", "first", F.least(F.col("first") + rows, F.col("end")).alias("last"))
 
 
 def cursor_pages(df: DataFrame, order: list[str], budget: int) -> DataFrame:
@@ -105,11 +164,15 @@ def after(df: DataFrame, key: str, cursor) -> DataFrame:
     return df.where(F.col(key) > F.lit(cursor))
 
 
-def resume(df: DataFrame, key: str, entries: DataFrame) -> DataFrame:
-    """The rows that a run still has to take after the last key that its ledger (record_key) accounts for, in order of the key inside each task's range; all rows if it accounts for none."""
-    done = entries.agg(F.max(F.col("record_key").cast(df.schema[key].dataType))).first()[0]
+def resume(df: DataFrame, key: str, entries: DataFrame, sep: str = "|") -> DataFrame:
+    """The rows that a run still has to take after the last key that its ledger (record_key) accounts for, in order of the key inside each task's range; all rows if it accounts for none. A ledger whose keys are of another kind, as keys of several columns are, can't say where to go on."""
+    kind = df.schema[key].dataType
+    own = F.col("record_key").try_cast(kind)
+    done, odd = entries.agg(F.max(own), F.min(F.when(F.col("record_key").isNotNull() & own.isNull(), F.col("record_key")))).first()
+    if odd is not None:
+        raise ValueError(f"{odd!r} is a key of several columns" if sep in odd else f"{odd!r} is no key of the kind of {key}")
     rest = df if done is None else after(df, key, done)
-    return rest.orderBy(key)
+    return rest.repartitionByRange(key).sortWithinPartitions(key)
 
 
 def packed(parts: DataFrame, group: str, rows: str) -> DataFrame:
@@ -119,21 +182,22 @@ def packed(parts: DataFrame, group: str, rows: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
-    """df with a number from 0 in the given order, over all rows, without one task holding them all: rows are ranged and written, and each range adds the counts of those before. Ranges are sampled, so they are written once rather than dealt out twice."""
+    """df with a number from 0 in the given order, over all rows, without one task holding them all: rows are ranged, sorted and written once, a file for each range, and a row's number is its place in its file and the rows of the files before."""
     path = folder(df.sparkSession, "ranges")
-    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = counts.withColumn("_base", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each range
-    return ranged.join(F.broadcast(base), "_part").withColumn(name, own + F.col("_base")).drop("_part", "_base")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).parquet(path)
+    ranged = df.sparkSession.read.schema(df.schema).parquet(path)
+    ranged = ranged.select("*", F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).cast("int").alias("_range_file"), F.col("_metadata.row_index").alias("_range_at"))
+    counts = ranged.groupBy("_range_file").agg(F.count("*").alias("_n"))
+    base = counts.withColumn("_base", F.sum("_n").over(W.orderBy("_range_file")) - F.col("_n")).drop("_n")  # a row for each range
+    return ranged.join(F.broadcast(base), "_range_file").withColumn(name, F.col("_range_at") + F.col("_base")).drop("_range_file", "_range_at", "_base")
 
 
 def offset_windows(df: DataFrame, rows: int) -> DataFrame:
     """chunk, offset, rows of windows that cover df; the last one may be short."""
-    n = df.agg(F.count("*").alias("n")).where("n > 0")
-    out = n.select("n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows).cast("long"))).alias("chunk", "offset"))
-    return out.select("chunk", "offset", F.least(F.lit(rows), F.col("n") - F.col("offset")).cast("long").alias("rows"))
+    n = df.count()
+    chunks = -(-n // rows)
+    out = df.sparkSession.range(chunks).select(F.col("id").cast("int" if chunks < 1 << 31 else "long").alias("chunk"), (F.col("id") * rows).alias("offset"))
+    return out.select("chunk", "offset", F.least(F.lit(rows), F.lit(n) - F.col("offset")).cast("long").alias("rows"))
 
 
 def greedy_pack(parts: DataFrame, group: str, order: str, rows: str, target: int, max_chunks: int) -> DataFrame:

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from reckoner.sources.scratch import drop_folder, folder
+
+# Code and message of a rejection whose answer gives none.
+NO_CODE, NO_REASON = "REJECTED", "The destination refused this record"
 
 #: Rows of a chunk that one task folds by bytes, at least.
 FOLD = 20_000
@@ -24,6 +30,9 @@ def assign_batches(df: DataFrame, max_records: int, max_bytes: int | None = None
     """df (`_chunk`, `_seq` from 1 without gaps) with `_batch`, from 0: a batch is full when a record makes it reach max_records or max_bytes. With bytes (null counts as 0, none is negative) a chunk is folded in blocks of rows, however many it has: each block tells, for each place where its first batch may begin, where the first of the next block begins and how many batches lie between; these are chained, and blocks are numbered from the true places. Siblings count one by one by their bytes, and go with their record by max_records."""
     if max_bytes is None:
         return df.withColumn("_batch", F.floor((F.col("_seq") - 1) / max_records).cast("int"))
+    longest = df.groupBy("_chunk").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= FOLD:
+        return _folded(df, max_records, max_bytes, size)
     span = max(FOLD, 50 * max_records)
 
     def follow(sizes: pd.Series) -> np.ndarray:
@@ -70,6 +79,30 @@ def assign_batches(df: DataFrame, max_records: int, max_bytes: int | None = None
     return out.withColumn("_seq", F.col("_own")).drop("_own") if "_ordinal" in df.columns else out
 
 
+def _folded(df: DataFrame, max_records: int, max_bytes: int, size: str) -> DataFrame:
+    """assign_batches() for chunks of FOLD rows at most: tasks get whole chunks in order, and go through them once."""
+    names, order = df.columns, places(df)
+    at = {c: k for k, c in enumerate(names)}
+
+    def run(batches):
+        chunk = None
+        held = records = number = 0
+        for b in batches:
+            out = np.empty(b.num_rows, np.int32)
+            sizes = b.column(at[size]).fill_null(0).to_pylist()
+            for k, (own, n) in enumerate(zip(b.column(at["_chunk"]).to_pylist(), sizes, strict=True)):
+                if own != chunk:
+                    chunk, held, records, number = own, 0, 0, 0
+                elif held >= max_bytes or records >= max_records:
+                    held, records, number = 0, 0, number + 1
+                held, records = held + n, records + 1
+                out[k] = number
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*names, "_batch"])
+
+    dealt = df.repartition("_chunk").sortWithinPartitions("_chunk", *order)
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())]))
+
+
 def assign_groups(df: DataFrame, size: int | None = None, label: Column | None = None) -> DataFrame:
     """df with `_group`, from 0 in each batch: the whole batch, `size` records each, or one group for each label, in the order of first appearance; no label is a label of its own."""
     batch = W.partitionBy("_chunk", "_batch")
@@ -85,10 +118,10 @@ def assign_groups(df: DataFrame, size: int | None = None, label: Column | None =
 def fan_out(df: DataFrame, outputs: Column, name: str = "item") -> DataFrame:
     """One row for each non-null output of a record, with `_ordinal` from 0; a record without outputs is kept once, as filtered. Siblings that are fanned out again are numbered through, in order."""
     left = F.filter(outputs, lambda x: x.isNotNull())
-    out = df.select("*", F.posexplode_outer(left).alias("_at", name)).withColumn("_filtered", F.col("_at").isNull())
+    out = df.select("*", F.posexplode_outer(left).alias("_fan_place", name)).withColumn("_filtered", F.col("_fan_place").isNull())
     if "_ordinal" in df.columns:
-        return out.withColumn("_ordinal", F.row_number().over(W.partitionBy("_chunk", "_seq").orderBy("_ordinal", "_at")) - 1).drop("_at")
-    return out.withColumn("_ordinal", F.coalesce("_at", F.lit(0))).drop("_at")
+        return out.withColumn("_ordinal", F.row_number().over(W.partitionBy("_chunk", "_seq").orderBy("_ordinal", "_fan_place")) - 1).drop("_fan_place")
+    return out.withColumn("_ordinal", F.coalesce("_fan_place", F.lit(0))).drop("_fan_place")
 
 
 def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str) -> DataFrame:
@@ -142,17 +175,20 @@ def envelopes(df: DataFrame, fields: list[str], wrap: str | None = None) -> Data
 
 
 def join_verdicts(df: DataFrame, answers: DataFrame) -> DataFrame:
-    """df with the outcome of each record from answers (`_chunk`, `_batch`, `_group`, index, code, message): those named are REJECTED, the others WRITTEN; indexes that don't exist are ignored."""
+    """df with the outcome of each record from answers (`_chunk`, `_batch`, `_group`, index, code, message): those named are REJECTED, with NO_CODE and NO_REASON where the answer says nothing, the others WRITTEN; of several answers for a record the one with the least code and message counts, and indexes that don't exist are ignored."""
     keys = ["_chunk", "_batch", "_group"]
-    placed = df.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy(*places(df))) - 1)
-    out = placed.join(answers.select(*keys, "index", "code", "message"), [*keys, "index"], "left").drop("index")
-    return out.withColumn("outcome", F.when(F.col("code").isNotNull() | F.col("message").isNotNull(), "REJECTED").otherwise("WRITTEN"))
+    placed = df.withColumn("_index", F.row_number().over(W.partitionBy(*keys).orderBy(*places(df))) - 1)
+    said = F.struct(F.coalesce("code", F.lit(NO_CODE)).alias("code"), F.coalesce("message", F.lit(NO_REASON)).alias("message"))
+    named = answers.where("index is not null").groupBy(*keys, F.col("index").alias("_index")).agg(F.min(said).alias("_said"))
+    out = placed.join(named, [*keys, "_index"], "left").drop("_index", "code", "message")
+    return out.withColumns({"code": F.col("_said.code"), "message": F.col("_said.message"), "outcome": F.when(F.col("_said").isNotNull(), "REJECTED").otherwise("WRITTEN")}).drop("_said")
 
 
 def delivered(df: DataFrame, answers: DataFrame, calls: DataFrame, later: bool = False) -> DataFrame:
     """df with the outcome of each record after its group's call. calls (`_chunk`, `_batch`, `_group`, failure): a group whose call failed is CALL_FAILED, since there was no verdict; of the others the records that answers name are REJECTED, and the rest WRITTEN, or SENT if the destination decides later."""
     keys = ["_chunk", "_batch", "_group"]
-    out = join_verdicts(df, answers).join(calls.select(*keys, "failure"), keys, "left")
+    failed = calls.groupBy(*keys).agg(F.min("failure").alias("failure"))
+    out = join_verdicts(df, answers).join(failed, keys, "left")
     lost, rejected = F.col("failure").isNotNull(), F.col("outcome") == "REJECTED"
     return out.withColumns({
         "outcome": F.when(lost, "CALL_FAILED").when(rejected, "REJECTED").otherwise("SENT" if later else "WRITTEN"),
@@ -172,8 +208,8 @@ def bulk_write(target: DataFrame, batch: DataFrame, key: str, mode: str, order:
     mode = mode.upper()
     if mode not in ("INSERT", "UPSERT", "REPLACE"):
         raise ValueError(f"no write mode {mode!r}")
-    there = target.select(F.col(key).alias("_id")).distinct().withColumn("_there", F.lit(True))
-    judged = batch.join(there, F.col(key) == F.col("_id"), "left").drop("_id")
+    there = target.select(F.col(key).alias("_there_key")).distinct().withColumn("_there", F.lit(True))
+    judged = batch.join(there, F.col(key) == F.col("_there_key"), "left").drop("_there_key")
     known, missing = F.coalesce("_there", F.lit(False)), F.col(key).isNull()
     error = F.when(missing, "a document has no key")
     if mode == "INSERT":
@@ -247,14 +283,36 @@ def merge(target: DataFrame, batch: DataFrame, keys: list[str], mode: str, order
     return _written_over(target, last, keys, mode)
 
 
-def staged_export(df: DataFrame, folder: str, max_bytes: int, sep: str = "\n", delete: bool = False) -> DataFrame:
-    """Writes CSV files of about max_bytes and returns their manifest: file, rows, bytes. A job that deletes gets the column Id alone."""
-    df = df.select("Id") if delete else df
-    width = F.octet_length(F.to_csv(F.struct(*df.columns))) + len(sep)
-    total = df.agg(F.sum(width)).first()[0] or 0
-    df.repartition(max(1, -(-total // max_bytes))).write.csv(folder, header=True, lineSep=sep, nullValue="", emptyValue="")
-    back = df.sparkSession.read.csv(folder, header=True, schema=df.schema, nullValue="").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-    return back.groupBy("file", "bytes").agg(F.count("*").alias("rows"))
+def staged_export(df: DataFrame, path: str, max_bytes: int, sep: str = "\n", delete: bool = False, order: list[str] | None = None) -> DataFrame:
+    """Writes CSV files of max_bytes at most, header included, in the given order (or in that of the read), and returns their manifest: number, file (below path), rows, bytes; the rows of a file come before those of the next. A record that has more bytes than fit a file fails the job before anything is written. A job that deletes gets the column Id alone.
+
+    Rows are placed by the bytes of all rows before them, so that files are filled in parallel: a file takes the rows that begin in its stretch, which is shorter than max_bytes by one row of the largest size.
+    """
+    df = df.select("Id", *(c for c in order or [] if c != "Id")) if delete else df
+    columns = ["Id"] if delete else df.columns
+    sized = df.withColumn("_export_bytes", (F.octet_length(F.to_csv(F.struct(*columns), {"nullValue": "", "emptyValue": ""})) + len(sep.encode())).cast("long"))
+    stage = folder(df.sparkSession, "export")
+    (sized.repartitionByRange(*order).sortWithinPartitions(*order) if order else sized).write.option("maxRecordsPerFile", 0).parquet(stage)
+    held = df.sparkSession.read.schema(sized.schema).parquet(stage)
+    held = held.select("*", F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).cast("int").alias("_export_range"), F.col("_metadata.row_index").alias("_export_at"))
+    head = len(",".join(columns).encode()) + len(sep.encode())
+    largest = held.agg(F.max("_export_bytes")).first()[0] or 0
+    stretch = max_bytes - head - largest + 1
+    if stretch < 1:
+        raise ValueError(f"a record takes {largest} bytes beside a header of {head}, and a file {max_bytes}")
+    totals = held.groupBy("_export_range").agg(F.sum("_export_bytes").alias("_n"))
+    before = totals.withColumn("_before", F.sum("_n").over(W.orderBy("_export_range")) - F.col("_n")).drop("_n")  # a row for each range
+    inside = W.partitionBy("_export_range").orderBy("_export_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    begin = F.sum("_export_bytes").over(inside) - F.col("_export_bytes") + F.col("_before")
+    placed = held.join(F.broadcast(before), "_export_range").withColumn("export_file", F.floor(begin / stretch))
+    # all rows of a file are in one task, which writes it alone
+    spread = placed.repartition("export_file").sortWithinPartitions("export_file", "_export_range", "_export_at").select(*columns, "export_file")
+    spread.write.partitionBy("export_file").option("maxRecordsPerFile", 0).csv(path, header=True, lineSep=sep, nullValue="", emptyValue="")
+    drop_folder(df.sparkSession, stage)
+    schema = df.select(*columns).schema
+    back = df.sparkSession.read.csv(path, header=True, schema=schema, nullValue="", lineSep=sep if len(sep) == 1 else None, multiLine=False)
+    back = back.select(F.col("export_file").cast("long").alias("number"), F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return back.groupBy("number", "file", "bytes").agg(F.count("*").alias("rows"))
 
 
 def run_splitter(df: DataFrame, fn: Callable[[pd.DataFrame], list], name: str = "_label") -> DataFrame:

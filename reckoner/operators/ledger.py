@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reckoner.functions import paths
+
 WRITTEN, SENT, REJECTED, FILTERED, TRANSFORM_FAILED, CALL_FAILED = OUTCOMES = ("WRITTEN", "SENT", "REJECTED", "FILTERED", "TRANSFORM_FAILED", "CALL_FAILED")
 FAILURES = (REJECTED, TRANSFORM_FAILED, CALL_FAILED)
 #: Percentages of rejected records are judged from so many produced ones on, or at the end of a chunk.
@@ -101,19 +103,50 @@ def retained(index: DataFrame, now: Column) -> DataFrame:
     return index.where(F.col("expires_at") > now)
 
 
-def search(index: DataFrame, key=None, outcome=None, since=None, until=None, value=None, fields: list[str] | None = None) -> DataFrame:
-    """Entries by exact key, outcome, inclusive time range, and a value in any of the fields; newest first is the caller's order."""
+def search(index: DataFrame, key=None, outcome=None, since=None, until=None, value=None, fields: list[str] | None = None, run=None, pipeline=None, payloads: tuple[str, ...] = (), field: str | None = None) -> DataFrame:
+    """Entries by exact key, outcome, run, pipeline, inclusive time range, and a value; newest first is the caller's order.
+
+    The value is looked for in the text columns `fields` (all, if not given), or, with payloads (columns of JSON text, such as
+    the record and its source), in their leaves at any depth: in all of them, or in the one at a dotted path `field`.
+    """
     out = index
-    for c, x in (("record_key", key), ("outcome", outcome)):
+    for c, x in (("record_key", key), ("outcome", outcome), ("run_id", run), ("pipeline_id", pipeline)):
         out = out.where(F.col(c) == x) if x is not None else out
     out = out.where(F.col("occurred_at") >= F.lit(since).cast("timestamp")) if since is not None else out
     out = out.where(F.col("occurred_at") <= F.lit(until).cast("timestamp")) if until is not None else out
-    if value is not None:
-        hit = F.lit(False)
-        for f in fields or [c for c, t in index.dtypes if t == "string"]:
-            hit = hit | F.coalesce(F.col(f).cast("string") == str(value), F.lit(False))
-        out = out.where(hit)
-    return out
+    if value is None:
+        return out
+    if payloads:
+        return _with_leaf(out, str(value), payloads, field)
+    hit = F.lit(False)
+    for f in fields or [c for c, t in index.dtypes if t == "string"]:
+        hit = hit | F.coalesce(F.col(f).cast("string") == str(value), F.lit(False))
+    return out.where(hit)
+
+
+def _with_leaf(index: DataFrame, value: str, payloads: tuple[str, ...], field: str | None) -> DataFrame:
+    """Entries (id) one of whose payloads has a leaf of this value. Only entries whose text has the value's characters at all are taken apart."""
+    import json
+
+    bare, escaped = json.dumps(value, ensure_ascii=False)[1:-1], json.dumps(value)[1:-1]
+    found = None
+    for c in payloads:
+        likely = index.where(F.contains(c, F.lit(bare)) | F.contains(F.lower(c), F.lit(escaped.lower())) | F.contains(c, F.lit("\\u")) | F.contains(c, F.lit("\\/")) | (F.lit(_is_number(value)) & F.col(c).rlike("[0-9]")))
+        leaf = paths.leaves(likely.select("id", c), c, ["id"]).where(F.col("value") == value)
+        if field is not None:
+            pointer = "/" + "/".join(x.replace("~", "~0").replace("/", "~1") for x in field.split("."))
+            leaf = leaf.where(F.col("path") == pointer)
+        found = leaf.select("id") if found is None else found.unionByName(leaf.select("id"))
+    return index.join(found.distinct(), "id", "left_semi")
+
+
+def _is_number(value: str) -> bool:
+    """Whether numbers that are written otherwise could be this value."""
+    try:
+        float(value)
+    except ValueError:
+        return False
+    return True
 
 
 def page(df: DataFrame, order: list, size: int, number: int = 0) -> DataFrame:
@@ -175,12 +208,6 @@ def counted_run(spark: SparkSession, run_id: int, seen: dict[str, int], state: s
     return spark.createDataFrame([row], "run_id long, state string, read long, filtered long, produced long, written long, failed long")
 
 
-def replay(dead: DataFrame, source: DataFrame, key: str, run_id: int) -> DataFrame:
-    """The source's rows of a run's dead letters (key, `_chunk`, `_seq`, `_ordinal`), once for each record however many of its siblings failed, with their old places and `_replay_of`; they go through a pipeline like a first read."""
-    wanted = dead.groupBy(key).agg(F.min(F.struct("_chunk", "_seq")).alias("_p")).select(key, "_p.*")
-    return source.join(wanted, key).withColumn("_replay_of", F.lit(run_id))
-
-
 def audited(entries: DataFrame, level: str) -> DataFrame:
     """What a level of auditing keeps of the index: COUNTERS nothing, ERRORS failures, INDEXED every record. FULL, which would copy all payloads, is refused."""
     level = level.upper()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reckoner.functions import paths
-from reckoner.operators import chunks, ledger, reports
+from reckoner.operators import chunks, delivery, ledger, payloads, reports
 from reckoner.operators.mapper import apply_mapping, apply_rules
 from reckoner.plans.common import WITH_RUNS, errors, index, runs, table
 from reckoner.sources.scratch import folder
@@ -18,11 +19,15 @@ _LEAST = {"rules": [{"field": "amount", "check": "MIN", "value": 20000}]}
 _OPEN = {"rules": [{"field": "stage", "check": "ONE_OF", "value": ["Pending", "Finished"]}], "onFail": "DROP"}
 
 
-def outcomes(spark, sf_dir):
-    """orders in chunks, mapped, judged, each with its outcome."""
+def outcomes(spark, sf_dir, source=False):
+    """orders in chunks, mapped, judged, each with its outcome; with source, each carries what was read."""
     df = table(spark, sf_dir, "orders")
+    df = payloads.with_source(df) if source else df
     df = chunks.sequence(chunks.assign(df, "o_orderkey", chunks.plan_ranges(df, "o_orderkey", CHUNK, MOST_CHUNKS)), ["o_orderkey"])
-    df = df.withColumns({"_key": F.col("o_orderkey").cast("string"), "_at": F.col("o_orderdate")})
+    return judged(df.withColumns({"_key": F.col("o_orderkey").cast("string"), "_at": F.col("o_orderdate")}))
+
+
+def judged(df):
     df = apply_rules(apply_rules(apply_mapping(df, _MAP), _OPEN).withColumnRenamed("_filtered", "_dropped"), _LEAST)
     return ledger.with_outcome(df.withColumn("_filtered", F.col("_dropped")).withColumn("_error", F.when(~F.col("_dropped"), F.col("_error"))))
 
@@ -72,7 +77,7 @@ def dead_letters(spark, sf_dir):
 
 def rejection_breach(spark, sf_dir):
     batches = index(spark, sf_dir).groupBy("chunk", F.floor(F.col("event_id") / 500).alias("batch")).agg(F.count("*").alias("produced"), F.count_if(F.col("outcome") == "REJECTED").alias("failed"))
-    return ledger.first_breaches(batches, 400, 10)
+    return ledger.first_breaches(batches, 60, 8)
 
 
 def shortfall(spark, sf_dir):
@@ -160,12 +165,64 @@ def reconciliation_written_index(spark, sf_dir):
 
 
 def replay_run(spark, sf_dir):
-    """The failed orders of a run, read again with their amounts put right and sent through the same pipeline into a new run."""
-    dead = outcomes(spark, sf_dir).where(F.col("outcome").isin(*ledger.FAILURES)).select("_key", "_chunk", "_seq", F.lit(0).alias("_ordinal"))
-    source = table(spark, sf_dir, "orders").withColumn("_key", F.col("o_orderkey").cast("string"))
-    fixed = ledger.replay(dead, source.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") + 20000).otherwise(F.col("o_totalprice"))), "_key", 1)
-    again = ledger.with_outcome(apply_rules(apply_mapping(fixed, _MAP), _LEAST))
-    return again.select(F.col("_key").alias("record_key"), F.col("_replay_of").alias("replay_of"), "outcome")
+    """The failed orders of a run, out of its stored payloads, with their amounts put right and sent through the same pipeline into a new run."""
+    path = folder(spark, "payloads")
+    payloads.store(payloads.letters(outcomes(spark, sf_dir, source=True), F.col("_key"), F.col("_at")), path, 1)
+    waiting = payloads.replay(spark, path, 1)
+    read = waiting.select("_chunk", "_seq", "_wanted", "_replay_of", F.col("record_key").alias("_key"), payloads.from_json(F.col("payload"), table(spark, sf_dir, "orders").schema).alias("r")).select("*", "r.*").drop("r")
+    fixed = read.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") + 20000).otherwise(F.col("o_totalprice")))
+    again = payloads.only_failed(judged(fixed).withColumn("_ordinal", F.lit(0)))
+    return again.select(F.col("_key").alias("record_key"), F.col("_replay_of").cast("int").alias("replay_of"), "outcome")
+
+
+_ITEMS = [("A", "l_quantity < 10"), ("B", "l_returnflag = 'R'")]
+
+
+def _line_outputs(df):
+    """Two outputs of each line of an order, either of which may be refused."""
+    out = delivery.fan_out(df, F.array(*(F.lit(k) for k, _ in _ITEMS)))
+    refused = F.expr(" OR ".join(f"(item = '{k}' AND {rule})" for k, rule in _ITEMS))
+    return out.withColumns({"outcome": F.when(refused, "REJECTED").otherwise("WRITTEN"), "error_code": F.when(refused, "E1"), "error_message": F.when(refused, F.concat(F.lit("output "), "item", F.lit(" was refused")))})
+
+
+def replay_places(spark, sf_dir):
+    """Lines of orders, whose keys repeat or are null, as two outputs each: exactly those that failed are sent again, out of what was to be delivered, and out of what was read by way of the transform."""
+    path, names = folder(spark, "payloads"), ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    df = table(spark, sf_dir, "lineitem").select(*names, F.xxhash64("_metadata.file_name").alias("_chunk"), F.col("_metadata.row_index").alias("_seq"))
+    df = payloads.with_source(df, names).withColumn("_key", F.when(F.col("l_linenumber") != 3, F.col("l_orderkey").cast("string")))
+    payloads.store(payloads.letters(_line_outputs(df), F.col("_key"), F.lit("2024-01-01").cast("timestamp")), path, 1)
+    schema = table(spark, sf_dir, "lineitem").select(*names).schema
+    as_is = payloads.replay(spark, path, 1, transforms=False).select("record_key", payloads.from_json(F.col("payload"), T.StructType([*schema.fields, T.StructField("item", T.StringType())])).alias("r"))
+    again = payloads.replay(spark, path, 1).select("_chunk", "_seq", "_wanted", "record_key", payloads.from_json(F.col("payload"), schema).alias("r")).select("_chunk", "_seq", "_wanted", "record_key", "r.*")
+    again = payloads.only_failed(_line_outputs(again)).select("record_key", F.struct("l_quantity", "item").alias("r"))
+    both = as_is.select(F.lit("as it was").alias("sent"), "record_key", "r.l_quantity", "r.item").unionByName(again.select(F.lit("transformed").alias("sent"), "record_key", "r.l_quantity", "r.item"))
+    return both.groupBy("sent", "record_key", "item").agg(F.count("*").alias("records"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
+def _with_payloads(spark, sf_dir):
+    """Index entries with what was delivered (nested) and what was read (JSON of the source)."""
+    props = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    df = index(spark, sf_dir).withColumn("id", F.concat_ws("/", F.col("run_id").cast("string"), "id")).withColumn("pipeline_id", F.floor(F.col("run_id") / 100)).join(props, "event_id")
+    record = F.to_json(F.struct(F.struct(F.col("record_key").cast("long").alias("id"), F.array(F.struct(F.col("event_type").alias("kind")), F.struct(F.lit("a/b").alias("kind"))).alias("seen")).alias("user")))
+    return df.withColumns({"record": record, "source": F.col("props")})
+
+
+def payload_search(spark, sf_dir):
+    """Entries of a pipeline with a value in any field of either payload, those with it in one field, and the number of all: the first page."""
+    df = _with_payloads(spark, sf_dir)
+    anywhere = ledger.search(df, value="69", pipeline=9, payloads=("record", "source")).withColumn("asked", F.lit("any"))
+    one = ledger.search(df, value="click", run=105, payloads=("record", "source"), field="user.seen.0.kind").withColumn("asked", F.lit("one"))
+    return anywhere.unionByName(one).groupBy("asked", "run_id").agg(F.count("*").alias("entries"), F.min("id").alias("first_id"))
+
+
+def redact_nested(spark, sf_dir):
+    """Masks inside JSON text and inside elements of arrays."""
+    text = F.concat(F.lit('{"who": {"name":"'), "c_name", F.lit('", "n" : 1.50},"tags":[{"m":"'), "c_mktsegment", F.lit('"},{"m":7}],"last":null}'))
+    seen = F.array(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")), F.struct(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("nation")))
+    df = table(spark, sf_dir, "customer").select("c_custkey", text.alias("payload"), seen.alias("seen"))
+    out = paths.redact(df, {"/payload/who/name": "MASK", "/payload/tags/0/m": "HASH", "/payload/tags/1": "MASK", "/payload/who/none": "MASK", "/seen/1/name": "MASK", "/seen/0/nation": "MASK"})
+    out = paths.redact(out, {"/payload/last": "DROP"})
+    return out.select("c_custkey", "payload", F.to_json("seen").alias("seen"))
 
 
 def audit_levels(spark, sf_dir):
@@ -189,7 +246,7 @@ def stage_log_cycles(spark, sf_dir):
     return ledger.cycles(entries, log)
 
 
-QUERIES = {f.__name__: f for f in (outcome_counts, chunk_counters, dry_run_counts, record_index, fanout_index_identity, error_signatures, signature_samples, dead_letters, rejection_breach, shortfall, redact_modes, payload_ceiling, retention_purge, record_search, key_history, stage_cycles, reconciliation_sheet, reconciliation_checks, reconciliation_verdict, reconciliation_report, reconciliation_sheet_orders, reconciliation_written_index, replay_run, audit_levels, errors_by_node, stage_log_cycles)}
+QUERIES = {f.__name__: f for f in (outcome_counts, chunk_counters, dry_run_counts, record_index, fanout_index_identity, error_signatures, signature_samples, dead_letters, rejection_breach, shortfall, redact_modes, payload_ceiling, retention_purge, record_search, key_history, stage_cycles, reconciliation_sheet, reconciliation_checks, reconciliation_verdict, reconciliation_report, reconciliation_sheet_orders, reconciliation_written_index, replay_run, replay_places, payload_search, redact_nested, audit_levels, errors_by_node, stage_log_cycles)}
 
 _SEQ = f"(SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY o_orderkey) AS seq FROM {_OUTCOMES})"
 _COUNTS = "count(*) AS \"read\", count(*) FILTER (outcome = 'FILTERED') AS filtered, count(*) FILTER (outcome <> 'FILTERED') AS produced, count(*) FILTER (outcome = 'WRITTEN') AS written, count(*) FILTER (outcome = 'TRANSFORM_FAILED') AS failed"
@@ -208,7 +265,7 @@ ORACLE_SQL = {
     "signature_samples": _ERR + "SELECT run_id, signature, id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, signature ORDER BY chunk, seq, ordinal) AS n FROM err) WHERE n <= 2",
     "dead_letters": _ERR + "SELECT id, record_key, code, message FROM err WHERE run_id = 105 ORDER BY chunk, seq LIMIT 1000",
     "rejection_breach": WITH_RUNS + """t AS (SELECT chunk, event_id // 500 AS batch, count(*) AS p, count(*) FILTER (outcome = 'REJECTED') AS f FROM idx GROUP BY 1, 2), u AS (SELECT chunk, batch, CAST(sum(p) OVER w AS BIGINT) AS produced, CAST(sum(f) OVER w AS BIGINT) AS failed, batch = max(batch) OVER (PARTITION BY chunk) AS fin FROM t WINDOW w AS (PARTITION BY chunk ORDER BY batch)),
-      v AS (SELECT *, CASE WHEN failed >= 400 THEN 'COUNT:' || failed WHEN failed > 0 AND failed * 100 // produced >= 10 AND (fin OR produced >= 100) THEN 'PERCENT:' || failed * 100 // produced END AS breach FROM u) SELECT chunk, batch, produced, failed, breach FROM v WHERE breach IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY batch) = 1""",
+      v AS (SELECT *, CASE WHEN failed >= 60 THEN 'COUNT:' || failed WHEN failed > 0 AND failed * 100 // produced >= 8 AND (fin OR produced >= 100) THEN 'PERCENT:' || failed * 100 // produced END AS breach FROM u) SELECT chunk, batch, produced, failed, breach FROM v WHERE breach IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY batch) = 1""",
     "shortfall": f"SELECT chunk, count(*) AS planned, count(*) FILTER (o_orderkey % 311 <> 0) AS \"read\" FROM {_OUTCOMES} GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 311 = 0) > 0",
     "redact_modes": """SELECT c_custkey, '{"name":"***","nation":' || c_nationkey || '}' AS who, 'sha256:' || substr(sha256(c_name), 1, 16) AS name FROM customer""",
     "payload_ceiling": """SELECT o_orderkey, CASE WHEN length(p) > 48 THEN '{"_truncated":true,"_bytes":' || length(p) || ',"_id":"' || o_orderkey || '"}' ELSE p END AS payload FROM (SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}' AS p FROM orders)""",
@@ -216,6 +273,9 @@ ORACLE_SQL = {
     "record_search": WITH_RUNS + "d AS (SELECT * FROM idx WHERE outcome = 'REJECTED' AND occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at <= TIMESTAMP '2024-01-20' AND code = 'E1') SELECT id, record_key, occurred_at FROM d ORDER BY occurred_at DESC, id LIMIT 50 OFFSET 50",
     "key_history": WITH_RUNS + "d AS (SELECT * FROM idx WHERE record_key = '7') SELECT run_id, id, outcome, occurred_at FROM d",
     "replay_run": "SELECT CAST(o_orderkey AS VARCHAR) AS record_key, 1 AS replay_of, CASE WHEN o_orderkey % 2 = 0 THEN 'WRITTEN' ELSE 'TRANSFORM_FAILED' END AS outcome FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice < 20000",
+    "replay_places": "WITH f AS (SELECT CASE WHEN l_linenumber <> 3 THEN CAST(l_orderkey AS VARCHAR) END AS record_key, 'A' AS item, l_quantity FROM lineitem WHERE l_quantity < 10 UNION ALL SELECT CASE WHEN l_linenumber <> 3 THEN CAST(l_orderkey AS VARCHAR) END, 'B', l_quantity FROM lineitem WHERE l_returnflag = 'R') SELECT sent, record_key, item, count(*) AS records, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM f, (VALUES ('as it was'), ('transformed')) s(sent) GROUP BY 1, 2, 3",
+    "payload_search": WITH_RUNS + "d AS (SELECT idx.*, e.event_type, json_extract_string(e.props, '$.k') AS k, run_id || '/' || id AS full_id FROM idx JOIN events e USING (event_id)) SELECT 'any' AS asked, run_id, count(*) AS entries, min(full_id) AS first_id FROM d WHERE run_id // 100 = 9 AND (record_key = '69' OR k = '69') GROUP BY 1, 2 UNION ALL SELECT 'one', run_id, count(*), min(full_id) FROM d WHERE run_id = 105 AND event_type = 'click' GROUP BY 1, 2",
+    "redact_nested": """SELECT c_custkey, '{"who": {"name":"***", "n" : 1.50},"tags":[{"m":"sha256:' || substr(sha256(c_mktsegment), 1, 16) || '"},{"m":7}]}' AS payload, '[{"name":"' || c_name || '","nation":"***"},{"name":"***","nation":"' || c_nationkey || '"}]' AS seen FROM customer""",
     "audit_levels": WITH_RUNS + "d AS (SELECT outcome, count(*) AS entries FROM idx GROUP BY 1) SELECT outcome, entries, 'INDEXED' AS level FROM d UNION ALL SELECT outcome, entries, 'ERRORS' FROM d WHERE outcome = 'REJECTED'",
     "errors_by_node": _ERR + "SELECT run_id, CASE WHEN n_nationkey > 0 THEN n_name ELSE code END AS node, count(*) AS errors FROM err LEFT JOIN nation ON code = 'E' || n_nationkey GROUP BY 1, 2",
     "stage_log_cycles": f"SELECT trace_id, n AS entries, w AS written, unnest(['TRANSFORM', 'FILTER']) AS stage, unnest([n, n - t]) AS records_in, unnest([n - t, w]) AS records_out FROM (SELECT chunk || '#' || (seq - 1) // 50 AS trace_id, count(*) AS n, count(*) FILTER (outcome = 'WRITTEN') AS w, count(*) FILTER (outcome = 'TRANSFORM_FAILED') AS t FROM {_SEQ} GROUP BY 1)",

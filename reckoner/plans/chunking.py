@@ -38,6 +38,21 @@ def greedy_pack(spark, sf_dir):
     return chunks.greedy_pack(parts, "status", "part", "n", 100, 1000).select("status", "part", "n", F.col("_pack").cast("long").alias("pack"))
 
 
+def decimal_chunks(spark, sf_dir):
+    """Keys with fractions in ranges of whole numbers: each belongs to the range of its whole part, and none is lost."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("decimal(12,2)").alias("k"))
+    out = chunks.assign(df, "k", chunks.plan_ranges(df, "k", 7_000, 1_000_000))
+    return out.groupBy(F.col("_chunk").alias("chunk")).agg(F.count("*").alias("records"), F.min("k").cast("double").alias("least"))
+
+
+def even_chunks(spark, sf_dir):
+    """Ranges of about equally many rows of a key that is not spread evenly: they cover every row, and none has much more than its share."""
+    df = table(spark, sf_dir, "orders").select((F.col("o_custkey") * F.col("o_custkey")).alias("k"))
+    plan = chunks.plan_even(df, "k", 8)
+    held = df.join(F.broadcast(plan), df["k"].between(plan["first"], plan["last"])).groupBy("chunk").agg(F.count("*").alias("n"))  # eight rows
+    return held.agg(F.count("*").alias("chunks"), F.sum("n").alias("records"), (F.max("n") * 8 < F.sum("n") * 1.5).alias("even"))
+
+
 def text_key_chunk(spark, sf_dir):
     """A text key makes one chunk."""
     df = table(spark, sf_dir, "customer")
@@ -138,10 +153,12 @@ def replay_windows(spark, sf_dir):
     return readers.dead_letters(e, 105, 5).select("run_id", "chunk", "seq", F.col("window").cast("long").alias("window"))
 
 
-QUERIES = {f.__name__: f for f in (text_key_chunk, object_id_chunks, topic_offsets, cursor_pages, chunk_ranges, chunk_assign, chunk_by_count, offset_windows, offset_rows, greedy_pack, keyset_resume, record_keys, csv_round_trip, sql_named_params, in_list_params, filter_document, page_extract, message_decode, message_lineage, typed_text, preview_limit, window_bounds, replay_windows)}
+QUERIES = {f.__name__: f for f in (decimal_chunks, even_chunks, text_key_chunk, object_id_chunks, topic_offsets, cursor_pages, chunk_ranges, chunk_assign, chunk_by_count, offset_windows, offset_rows, greedy_pack, keyset_resume, record_keys, csv_round_trip, sql_named_params, in_list_params, filter_document, page_extract, message_decode, message_lineage, typed_text, preview_limit, window_bounds, replay_windows)}
 
 _STEP = "(SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, CASE WHEN ceil((max(o_orderkey) - min(o_orderkey) + 1) / 1000.0) > 12 THEN CAST(ceil((max(o_orderkey) - min(o_orderkey) + 1) / 12.0) AS BIGINT) ELSE 1000 END AS step FROM orders)"
 ORACLE_SQL = {
+    "decimal_chunks": "WITH p AS (SELECT CAST(o_totalprice AS DECIMAL(12, 2)) AS k FROM orders), b AS (SELECT CAST(floor(min(k)) AS BIGINT) AS lo FROM p) SELECT CAST((CAST(floor(k) AS BIGINT) - lo) // 7000 AS INTEGER) AS chunk, count(*) AS records, CAST(min(k) AS DOUBLE) AS least FROM p, b GROUP BY 1",
+    "even_chunks": "SELECT CAST(8 AS BIGINT) AS chunks, count(*) AS records, true AS even FROM orders",
     "text_key_chunk": "SELECT 0 AS chunk, count(*) AS records, CAST(0 AS BIGINT) AS bounded FROM customer HAVING count(*) > 0",
     "object_id_chunks": """WITH i AS (SELECT CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 12) AS BIGINT) AS HUGEINT) * 281474976710656 + CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 13, 12) AS BIGINT) AS id FROM events),
       b AS (SELECT min(id) AS lo, (max(id) - min(id)) // CAST(greatest(1, least(1000, ceil(count(*) / 500.0))) AS HUGEINT) + 1 AS step FROM i) SELECT CAST((id - lo) // step AS INTEGER) AS chunk, count(*) AS records FROM i, b GROUP BY 1""",

@@ -179,6 +179,19 @@ def verdict_join(spark, sf_dir):
     return out.select("o_orderkey", "outcome", "code")
 
 
+def verdict_twice(spark, sf_dir):
+    """Two answers for one record, answers without a code or a message, and one for a record that isn't there: each record has one outcome."""
+    df = delivery.assign_groups(delivery.assign_batches(_orders(spark, sf_dir), 40), 20)
+    groups = df.select("_chunk", "_batch", "_group").distinct()
+    none = F.lit(None).cast("string")
+    said = [(1, F.lit("E2"), F.lit("late")), (1, F.lit("E1"), F.lit("refused")), (4, none, none), (5, F.lit("E3"), none), (999, F.lit("E4"), none)]
+    answers = None
+    for k, code, message in said:
+        own = groups.select("*", F.lit(k).alias("index"), code.alias("code"), message.alias("message"))
+        answers = own if answers is None else answers.unionByName(own)
+    return delivery.join_verdicts(df, answers).groupBy("outcome", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("message", F.lit("")).alias("message")).agg(F.count("*").alias("records"))
+
+
 def late_verdicts(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     sent = df.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "SENT").otherwise("FILTERED").alias("outcome"))
@@ -188,11 +201,11 @@ def late_verdicts(spark, sf_dir):
 
 def staged_export_manifest(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    out = delivery.staged_export(df, folder(spark, "staged"), 64 << 10)
+    out = delivery.staged_export(df, folder(spark, "staged"), 64 << 10, order=["o_orderkey"])
     width = F.octet_length(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus")) + 1
     header = len("o_orderkey,o_orderstatus\n")
     told = out.agg(F.sum("rows").alias("rows"), F.sum(F.col("bytes") - header).alias("bytes"), F.max(F.col("bytes")).alias("largest"))
-    return told.join(F.broadcast(df.agg(F.sum(width).alias("data"))), F.col("bytes") == F.col("data"), "left").select("rows", "bytes", F.col("data").isNotNull().alias("whole"), (F.col("largest") <= 80_000).alias("small"))
+    return told.join(F.broadcast(df.agg(F.sum(width).alias("data"))), F.col("bytes") == F.col("data"), "left").select("rows", "bytes", F.col("data").isNotNull().alias("whole"), (F.col("largest") <= 64 << 10).alias("small"))
 
 
 def jdbc_round_trip(spark, sf_dir):
@@ -202,7 +215,7 @@ def jdbc_round_trip(spark, sf_dir):
     return readers.read_jdbc(spark, url, "customers", ["\"c_custkey\"", "\"c_nationkey\"", "\"c_acctbal\""], "\"c_nationkey\" < 10", "\"c_custkey\"", 100, **driver)
 
 
-QUERIES = {f.__name__: f for f in (fan_out_ordinals, script_filter, batch_replace_stamp, batch_envelope, split_labels, split_running_total, fixed_groups, byte_batches, merge_upsert, merge_ignore, merge_replace, verdict_join, late_verdicts, staged_export_manifest, fanout_byte_batches, fanout_envelopes, fanout_verdicts, fanout_twice, fanout_groups, split_function, script_test, topic_messages, jdbc_round_trip)}
+QUERIES = {f.__name__: f for f in (fan_out_ordinals, script_filter, batch_replace_stamp, batch_envelope, split_labels, split_running_total, fixed_groups, byte_batches, merge_upsert, merge_ignore, merge_replace, verdict_join, verdict_twice, late_verdicts, staged_export_manifest, fanout_byte_batches, fanout_envelopes, fanout_verdicts, fanout_twice, fanout_groups, split_function, script_test, topic_messages, jdbc_round_trip)}
 
 _LAST = "(SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS amount FROM orders GROUP BY 1)"
 _TARGET = "(SELECT c_custkey AS id, c_acctbal AS amount FROM customer WHERE c_custkey % 3 <> 0)"
@@ -223,6 +236,7 @@ ORACLE_SQL = {
     "merge_ignore": f"SELECT id, coalesce(t.amount, l.amount) AS amount FROM {_TARGET} t FULL JOIN {_LAST} l USING (id)",
     "merge_replace": f"SELECT id, coalesce(l.amount, t.amount) AS amount FROM {_TARGET} t LEFT JOIN {_LAST} l USING (id)",
     "verdict_join": f"SELECT o_orderkey, CASE WHEN (seq - 1) % 20 IN (0, 7) THEN 'REJECTED' ELSE 'WRITTEN' END AS outcome, CASE WHEN (seq - 1) % 20 IN (0, 7) THEN 'E1' END AS code FROM {_ORDERS}",
+    "verdict_twice": f"SELECT CASE WHEN i IN (1, 4, 5) THEN 'REJECTED' ELSE 'WRITTEN' END AS outcome, CASE i WHEN 1 THEN 'E1' WHEN 4 THEN 'REJECTED' WHEN 5 THEN 'E3' ELSE '' END AS code, CASE WHEN i = 1 THEN 'refused' WHEN i IN (4, 5) THEN 'The destination refused this record' ELSE '' END AS message, count(*) AS records FROM (SELECT (seq - 1) % 20 AS i FROM {_ORDERS}) GROUP BY 1, 2, 3",
     "late_verdicts": "SELECT CASE WHEN o_orderstatus <> 'O' THEN 'FILTERED' WHEN o_orderkey % 7 = 0 THEN 'REJECTED' ELSE 'WRITTEN' END AS outcome, count(*) AS records, count(CASE WHEN o_orderkey % 7 = 0 THEN 1 END) AS verdicts FROM orders GROUP BY 1",
     "fanout_byte_batches": f"""WITH RECURSIVE o AS (SELECT chunk, seq, b, row_number() OVER (PARTITION BY chunk ORDER BY seq, ordinal) AS i FROM {_SIBLINGS}), f AS (SELECT chunk, seq, i, b, b AS held, 1 AS n, 0 AS batch FROM o WHERE i = 1 UNION ALL SELECT o.chunk, o.seq, o.i, o.b, CASE WHEN f.n >= 40 OR f.held >= 1000 THEN o.b ELSE f.held + o.b END, CASE WHEN f.n >= 40 OR f.held >= 1000 THEN 1 ELSE f.n + 1 END, f.batch + CASE WHEN f.n >= 40 OR f.held >= 1000 THEN 1 ELSE 0 END FROM f JOIN o ON o.chunk = f.chunk AND o.i = f.i + 1)
       SELECT chunk, batch, count(*) AS records, CAST(sum(b) AS BIGINT) AS bytes, min(seq) AS first_seq FROM f GROUP BY 1, 2""",

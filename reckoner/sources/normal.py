@@ -66,10 +66,21 @@ def bound_text(c: Column) -> Column:
     return F.struct(day.alias("day"), at.alias("at"), F.when(day.isNull() & at.isNull(), c).alias("text"))
 
 
+# RFC 8288: a link is an address in angle brackets and parameters, whose values are tokens or quoted strings.
+_TOKEN, _QUOTED = r"[^\s;,=\x22<>]+", r"\x22(?:[^\x22\\]|\\.)*\x22"
+_LINK = rf"<[^>]*>(?:\s*;\s*{_TOKEN}(?:\s*=\s*(?:{_QUOTED}|{_TOKEN}))?)*"
+_NEXT = rf"(?i)(?:^|;)\s*rel\s*=\s*(?:\x22(?:[^\x22]*\s)?next(?:\s[^\x22]*)?\x22|next\s*(?:;|$))"
+
+
 def next_link(header: Column) -> Column:
-    """The address of the next page in a Link header, or null."""
-    links = F.filter(F.split(header, ","), lambda x: F.contains(x, F.lit('rel="next"')) & x.rlike("<[^>]*>"))
-    return F.when(F.size(links) > 0, F.regexp_extract(F.get(links, F.lit(0)), "<([^>]*)>", 1))
+    """The address of the first link of a Link header whose relations include `next`, or null: addresses may hold commas and semicolons, values may stand without quotes, and the first rel of a link counts."""
+    links = F.regexp_extract_all(header, F.lit(_LINK), F.lit(0))
+
+    def wanted(link: Column) -> Column:
+        first = F.regexp_extract(F.regexp_replace(link, "^<[^>]*>", ""), rf"(?i)(;\s*rel\s*=\s*(?:{_QUOTED}|{_TOKEN}))", 1)
+        return first.rlike(_NEXT)
+
+    return F.regexp_extract(F.get(F.filter(links, wanted), F.lit(0)), "^<([^>]*)>", 1)
 
 
 def page_numbers(df: DataFrame, total: str, size: int, kind: str) -> DataFrame:

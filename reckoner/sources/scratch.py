@@ -18,3 +18,9 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         top = os.path.join(tempfile.gettempdir(), "reckoner-shared")
     return f"{top.rstrip('/')}/reckoner/{spark.conf.get('spark.app.id', 'application')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later plan reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
