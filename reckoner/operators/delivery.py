@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,9 +126,9 @@ def fan_out(df: DataFrame, outputs: Column, name: str = "item") -> DataFrame:
     return out.withColumn("_ordinal", F.coalesce("_fan_place", F.lit(0))).drop("_fan_place")
 
 
-def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str) -> DataFrame:
-    """A Python function over records: a dict maps the record, a list fans it out, None filters it; an exception becomes `_error`. The envelope (names with an underscore) passes through. Columns do what they can; this is for the rest."""
-    envelope = [c for c in df.columns if c.startswith("_") and c not in ("_ordinal", "_error", "_filtered")]
+def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str, node: str | None = None) -> DataFrame:
+    """A Python function over records: a dict maps the record, a list fans it out, None filters it; an exception becomes `_error`, with the node's id as `_node` if one is given. The envelope (names with an underscore) passes through. Columns do what they can; this is for the rest."""
+    envelope = [c for c in df.columns if c.startswith("_") and c not in ("_ordinal", "_error", "_filtered", "_node")]
     kinds = dict(df.dtypes)
 
     def run(parts):
@@ -139,32 +141,76 @@ def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str) -> Da
                     outs = [x for x in (made if isinstance(made, list) else [made]) if x is not None]
                     rows += [own | x | {"_ordinal": k, "_filtered": False} for k, x in enumerate(outs)] or [own | {"_ordinal": 0, "_filtered": True}]
                 except Exception as e:  # what a user's function throws is data
-                    rows.append(own | {"_ordinal": 0, "_filtered": False, "_error": str(e)})
+                    rows.append(own | {"_ordinal": 0, "_filtered": False, "_error": str(e), "_node": node})
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in envelope), schema, "_ordinal int, _filtered boolean, _error string"])
+    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in envelope), schema, "_ordinal int, _filtered boolean, _error string", *(["_node string"] if node else [])])
     names = df.sparkSession.createDataFrame([], full).columns
     return df.mapInPandas(run, full)
 
 
-def apply_groups(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A function over each delivery group, in order: as many rows out as in, paired by position; else, or on an exception, the whole group carries `_error`. The envelope passes through."""
-    keys, order, kinds = [c for c in df.columns if c.startswith("_") and c != "_error"], places(df), dict(df.dtypes)
+def _by_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn over each group of keys, in the order of places; a task gets its groups one after another, many in one exchange with Python."""
+    texts = [f.name for f in df.sparkSession.createDataFrame([], schema).schema if isinstance(f.dataType, T.StringType)]
+
+    def run(parts):
+        rest = None
+        for pdf in parts:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            rest = pdf.iloc[starts[-1] :]
+            made = [fn(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            if made:
+                yield whole(pd.concat(made, ignore_index=True))
+        if rest is not None:
+            yield whole(fn(rest))
+
+    def whole(out: pd.DataFrame) -> pd.DataFrame:
+        """Texts as plain objects, as Arrow wants them; also those that are all missing."""
+        return out.assign(**{c: [x if isinstance(x, str) else None for x in out[c]] for c in texts}).astype(dict.fromkeys(texts, object))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *places(df)).mapInPandas(run, schema)
+
+
+def apply_groups(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, node: str | None = None) -> DataFrame:
+    """A function over each delivery group, in order: as many rows out as in, paired by position; else, or on an exception, the whole group carries `_error` (and `_node`, the node's id, if one is given). The envelope passes through."""
+    keys, kinds = [c for c in df.columns if c.startswith("_") and c not in ("_error", "_node")], dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
+        pdf = pdf.reset_index(drop=True)
         try:
             made = fn(pdf.drop(columns=[c for c in pdf.columns if c.startswith("_")])).reset_index(drop=True)
             if len(made) != len(pdf):
                 raise ValueError(f"{len(pdf)} records went in and {len(made)} came out")
             made["_error"] = None
         except Exception as e:
-            made = pd.DataFrame({"_error": [str(e)] * len(pdf)})
+            made = pd.DataFrame({"_error": [str(e)] * len(pdf), "_node": [node] * len(pdf)})
         return pd.concat([pdf[keys], made], axis=1).reindex(columns=names)
 
-    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), schema, "_error string"])
+    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), schema, "_error string", *(["_node string"] if node else [])])
     names = df.sparkSession.createDataFrame([], full).columns
-    return df.groupBy("_chunk", "_batch", "_group").applyInPandas(run, full)
+    return _by_group(df, ["_chunk", "_batch", "_group"], run, full)
+
+
+def apply_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame | dict | list], schema: str, single_request: bool, node: str | None = None) -> DataFrame:
+    """A function over each delivery group that rewrites its records (a frame, as in apply_groups()) or gives one payload for all of them (an object or array), which goes to `_envelope` as JSON beside the group's first record; that is for destinations that take a group in one request, and for others every record of the group carries the error that says so."""
+    kinds = {f.name: f.dataType for f in df.sparkSession.createDataFrame([], schema).schema}
+    fields = [c for c in df.columns if not c.startswith("_")]
+
+    def rewritten(own: pd.DataFrame) -> pd.DataFrame:
+        made = fn(own)
+        if isinstance(made, pd.DataFrame):
+            made["_envelope"] = None
+            return made
+        if not single_request:
+            raise ValueError("the function gave one payload for the whole group, and the destination writes records one by one")
+        out = own.reindex(columns=list(kinds)) if set(kinds) <= set(fields) else pd.DataFrame(index=own.index, columns=list(kinds), dtype=object)
+        out["_envelope"] = [json.dumps(made, ensure_ascii=False), *[None] * (len(own) - 1)]
+        return out
+
+    return apply_groups(df, rewritten, f"{schema}, _envelope string", node)
 
 
 def envelopes(df: DataFrame, fields: list[str], wrap: str | None = None) -> DataFrame:
@@ -317,11 +363,11 @@ def staged_export(df: DataFrame, path: str, max_bytes: int, sep: str = "\n", del
 
 def run_splitter(df: DataFrame, fn: Callable[[pd.DataFrame], list], name: str = "_label") -> DataFrame:
     """df (`_chunk`, `_batch`) with the label that fn gives each record of a batch, in order; on an exception, on another number of labels or on a label that is neither text nor a number, the whole batch carries `_error`. A batch is as large as the delivery policy makes it."""
-    order, kinds = places(df), [f"`{c}` {t}" for c, t in df.dtypes if c not in (name, "_error")]
+    kinds = [f"`{c}` {t}" for c, t in df.dtypes if c not in (name, "_error")]
     kept = [c for c in df.columns if c not in (name, "_error")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)[kept]
+        pdf = pdf.reset_index(drop=True)[kept]
         labels, error = [None] * len(pdf), None
         try:
             made = list(fn(pdf.drop(columns=[c for c in kept if c.startswith("_")])))
@@ -335,7 +381,7 @@ def run_splitter(df: DataFrame, fn: Callable[[pd.DataFrame], list], name: str =
             error = str(e)
         return pdf.assign(**{name: labels, "_error": error})
 
-    return df.groupBy("_chunk", "_batch").applyInPandas(run, ", ".join([*kinds, f"`{name}` string", "_error string"]))
+    return _by_group(df, ["_chunk", "_batch"], run, ", ".join([*kinds, f"`{name}` string", "_error string"]))
 
 
 def try_out(df: DataFrame, fn: Callable[[dict], object], schema: str, n: int = 10) -> DataFrame:
@@ -347,8 +393,87 @@ def try_out(df: DataFrame, fn: Callable[[dict], object], schema: str, n: int = 1
     return out.withColumn("note", note)
 
 
+def try_out_groups(df: DataFrame, fn: Callable, kind: str, schema: str = "", n: int = 10) -> DataFrame:
+    """A batch function (BATCH) or a splitter (SPLIT) on the first n records (between 1 and 100) of df (`_seq`) as one batch: what it makes of each, `call` (the number of the request it would go out in, from 0; labels in the order of their first records), calls (how many there would be) and a note on what went wrong."""
+    kind = kind.upper()
+    if kind not in ("BATCH", "SPLIT"):
+        raise ValueError(f"no kind of function {kind!r} over batches")
+    sample = df.orderBy("_seq").limit(min(max(n, 1), 100)).withColumns({"_chunk": F.lit(0), "_batch": F.lit(0), "_group": F.lit(0)})
+    if kind == "BATCH":
+        out = apply_batches(sample, fn, schema, single_request=True).withColumn("call", F.lit(0))
+    else:
+        out = assign_groups(run_splitter(sample, fn), label=F.col("_label")).withColumn("call", F.col("_group"))
+    calls = F.max(F.when(F.col("_error").isNull(), F.col("call"))).over(W.partitionBy("_chunk")) + 1  # of n records
+    return out.withColumns({"calls": F.coalesce(calls, F.lit(0)), "note": F.when(F.col("_error").isNotNull(), F.concat(F.lit("threw: "), F.col("_error")))})
+
+
 def to_messages(df: DataFrame, key: str | None = None, record_key: str = "_key") -> DataFrame:
     """key and value of a message for each record: the value is the record as JSON, the key one of its fields, or the record's own key where there is none."""
     fields = [c for c in df.columns if not c.startswith("_")]
     own = F.col(record_key).cast("string")
     return df.select((F.coalesce(F.col(key).cast("string"), own) if key else own).alias("key"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+def envelope_messages(df: DataFrame, body: str = "body", record_key: str = "_key") -> DataFrame:
+    """key and value of a message for each delivery group of df (envelope()'s bodies beside the records): the value is the group's body, and the key that of its first record."""
+    return df.groupBy("_chunk", "_batch", "_group").agg(F.min_by(F.col(record_key).cast("string"), F.struct(*places(df))).alias("key"), F.max(body).alias("value"))
+
+
+def write_staged(df: DataFrame, connect: Callable[[], object], table: str, job: str, commit: str | None = None, batch: int = 1_000) -> int:
+    """Writes the rows of df to a table so that they are there once, whatever tasks are repeated or run twice, for statements that can't be repeated. Returns the rows that were added: none if the job was committed before.
+
+    Tasks write to `<table>_staged` under (job, partition, attempt). The driver learns which attempt of each partition has
+    ended well, and one transaction of the server takes these rows over and notes the job in `<table>_jobs`; what other
+    attempts have left is deleted. connect gives a connection (Python's DB-API with `?` marks); commit: the statement that takes
+    the rows over, with {rows} for the chosen rows' query (an INSERT ... SELECT if not given; a MERGE or ON CONFLICT for upserts).
+    """
+    columns, staged, jobs, chosen = list(df.columns), f"{table}_staged", f"{table}_jobs", f"{table}_chosen"
+    names = ", ".join(columns)
+    connection = connect()
+    try:
+        cursor = connection.cursor()
+        for made in (f"CREATE TABLE IF NOT EXISTS {staged} AS SELECT '' AS stage_job, 0 AS stage_part, 0 AS stage_attempt, {names} FROM {table} WHERE 1 = 0", f"CREATE TABLE IF NOT EXISTS {chosen} (job VARCHAR(64), part BIGINT, attempt BIGINT)", f"CREATE TABLE IF NOT EXISTS {jobs} (job VARCHAR(64) PRIMARY KEY, added BIGINT)"):
+            cursor.execute(made)
+        connection.commit()
+        cursor.execute(f"SELECT added FROM {jobs} WHERE job = ?", (job,))
+        if cursor.fetchone():
+            return 0
+    finally:
+        connection.close()
+    statement = f"INSERT INTO {staged} (stage_job, stage_part, stage_attempt, {names}) VALUES ({', '.join('?' * (len(columns) + 3))})"
+
+    def run(batches):
+        context = TaskContext.get()
+        place = (job, context.partitionId(), context.taskAttemptId())
+        own, n = connect(), 0
+        try:
+            cursor = own.cursor()
+            for b in batches:
+                rows = [(*place, *r.values()) for r in b.to_pylist()]
+                for k in range(0, len(rows), batch):
+                    cursor.executemany(statement, rows[k : k + batch])
+                    own.commit()
+                n += len(rows)
+        finally:
+            own.close()
+        yield pa.RecordBatch.from_pydict({"part": [place[1]], "attempt": [place[2]], "rows": [n]}, pa.schema([("part", pa.int64()), ("attempt", pa.int64()), ("rows", pa.int64())]))
+
+    ended = df.mapInArrow(run, "part long, attempt long, rows long").collect()  # a row for each partition
+    connection = connect()
+    try:
+        cursor = connection.cursor()
+        cursor.execute(f"DELETE FROM {chosen} WHERE job = ?", (job,))
+        cursor.executemany(f"INSERT INTO {chosen} (job, part, attempt) VALUES (?, ?, ?)", [(job, r["part"], r["attempt"]) for r in ended])
+        rows = f"SELECT {', '.join('s.' + c for c in columns)} FROM {staged} s JOIN {chosen} c ON s.stage_job = c.job AND s.stage_part = c.part AND s.stage_attempt = c.attempt WHERE c.job = '{job.replace(chr(39), chr(39) * 2)}'"
+        cursor.execute((commit or f"INSERT INTO {table} ({names}) {{rows}}").format(rows=rows))
+        added = sum(r["rows"] for r in ended)
+        cursor.execute(f"INSERT INTO {jobs} (job, added) VALUES (?, ?)", (job, added))
+        for t, c in ((staged, "stage_job"), (chosen, "job")):
+            cursor.execute(f"DELETE FROM {t} WHERE {c} = ?", (job,))
+        connection.commit()
+        return added
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()

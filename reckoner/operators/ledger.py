@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,14 +39,15 @@ def counters(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def record_index(df: DataFrame, key: Column, occurred: Column, days: int = 365) -> DataFrame:
-    """One entry for each output record: id `chunk:seq:ordinal`, trace `chunk#batch`, key, outcome, error, time and expiry."""
+def record_index(df: DataFrame, key: Column, occurred: Column, days: int = 365, record: Column | None = None, source: Column | None = None) -> DataFrame:
+    """One entry for each output record: id `chunk:seq:ordinal`, trace `chunk#batch`, key, outcome, error, time and expiry; with record (JSON text), also what was to be delivered, and what had been read where a transform made a difference."""
+    kept = [] if record is None else [record.alias("record"), F.when(source != record, source).alias("source")]
     ordinal = F.col("_ordinal") if "_ordinal" in df.columns else F.lit(0)
     batch = F.col("_batch") if "_batch" in df.columns else F.lit(0)
     return df.select(
         F.concat_ws(":", F.col("_chunk").cast("string"), F.col("_seq").cast("string"), ordinal.cast("string")).alias("id"), F.concat_ws("#", F.col("_chunk").cast("string"), batch.cast("string")).alias("trace_id"),
         F.col("_chunk").alias("chunk"), F.col("_seq").alias("seq"), ordinal.alias("ordinal"), key.alias("record_key"), "outcome", "error_code", "error_message",
-        occurred.alias("occurred_at"), (occurred + F.make_interval(days=F.lit(days))).alias("expires_at"),
+        occurred.alias("occurred_at"), (occurred + F.make_interval(days=F.lit(days))).alias("expires_at"), *kept,
     )
 
 
@@ -230,6 +235,55 @@ def stage_log(df: DataFrame, stages: list[tuple[str, Column, Column]]) -> DataFr
     return df.groupBy(trace).agg(*counts).select("trace_id", F.explode(rows).alias("x")).select("trace_id", "x.*")
 
 
+class StageLog:
+    """What the stages of a run took in and gave, counted while they ran: wrap each stage with stage(), and what makes Spark run them with ran().
+
+    Counts are Spark's observations at the borders of stages, so nothing runs twice; a stage's time and duration are those of
+    the action that it was part of. position is a stage's place in the run.
+    """
+
+    _ROW = "run_id long, position int, stage string, node_id string, records_in long, records_out long, outcome string, error string, occurred_at timestamp, duration_ms long"
+
+    def __init__(self, spark: SparkSession, run_id: int):
+        self.spark, self.run_id, self.rows, self._made = spark, run_id, [], 0
+        self._open: list[tuple[str, str | None, Observation, Observation]] = []
+
+    def stage(self, name: str, df: DataFrame, made: Callable[[DataFrame], DataFrame], node_id: str | None = None) -> DataFrame:
+        """made(df), with what goes in and what comes out counted."""
+        self._made += 1
+        into, out = (Observation(f"{self._made}-{side}") for side in ("in", "out"))
+        after = made(df.observe(into, F.count("*").alias("n"))).observe(out, F.count("*").alias("n"))
+        self._open.append((name, node_id, into, out))
+        return after
+
+    def ran(self, action: Callable[[], object]) -> object:
+        """The action's result; the stages since the last action, and those that it makes itself, are logged, as failed if it fails."""
+        began, clock, error = time.time(), time.monotonic(), None
+        try:
+            return action()
+        except Exception as e:
+            error = str(e)[:_LONGEST]
+            raise
+        finally:
+            took = int((time.monotonic() - clock) * 1000)
+            stages, self._open = self._open, []
+            for name, node_id, into, out in stages:
+                counts = (None, None) if error else (into.get["n"], out.get["n"])
+                self.rows.append((self.run_id, len(self.rows), name, node_id, *counts, "FAILED" if error else "DONE", error, datetime.datetime.fromtimestamp(began), took))
+
+    def entries(self) -> DataFrame:
+        """The log, with delta: what came out less what went in."""
+        return self.spark.createDataFrame(self.rows, self._ROW).withColumn("delta", F.col("records_out") - F.col("records_in"))
+
+
+def find_stages(log: DataFrame, run=None, chunk=None, stage: str | None = None, outcome: str | None = None) -> DataFrame:
+    """Entries of a stage log by run, chunk, stage and outcome, in the order in which they happened: by time, then position."""
+    out = log
+    for c, x in (("run_id", run), ("chunk", chunk), ("stage", stage), ("outcome", outcome)):
+        out = out.where(F.col(c) == x) if x is not None else out
+    return out.orderBy("occurred_at", "position")
+
+
 def cycles(entries: DataFrame, log: DataFrame) -> DataFrame:
     """The stage log beside what the index says of the same trace: entries, and those written."""
     own = entries.groupBy("trace_id").agg(F.count("*").alias("entries"), F.count_if(F.col("outcome") == WRITTEN).alias("written"))

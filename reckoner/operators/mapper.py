@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from reckoner.functions import js, paths
 
 STRING = T.StringType()
+#: Lines of a lookup table that are broadcast: some MB of text.
+SMALL_LOOKUP = 50_000
 
 
 def _kind(df: DataFrame, c: Column) -> T.DataType:
@@ -180,3 +182,20 @@ def apply_rules(df: DataFrame, spec: dict, most: int = 5) -> DataFrame:
     drop = spec.get("onFail", "REJECT").upper() == "DROP"
     out = df.withColumn("_filtered", (before.isNull() & said.isNotNull()) if drop else F.lit(False))
     return out.withColumn("_error", before if drop else F.coalesce(before, said))
+
+
+def translated(df: DataFrame, column: str, lookup: DataFrame, source: str, target: str, name: str, otherwise: Column | None = None) -> DataFrame:
+    """df with name: what the lookup table (source, target) says of a column's value, compared as text; of several lines for a value the least target counts. A value that it doesn't list gets `otherwise`, or stays as it is, as text; null is a value that isn't listed.
+
+    A lookup of up to SMALL_LOOKUP lines is broadcast. A larger one is joined by a shuffle, in which rows without a value, or with one that isn't unique to few rows, are dealt out: null keys carry a salt that matches nothing, and frequent values are left to Spark's splitting of skewed partitions.
+    """
+    lines = lookup.where(F.col(source).isNotNull()).groupBy(F.col(source).cast("string").alias("_look")).agg(F.min(target).alias("_found"), F.lit(True).alias("_listed"))
+    small = lines.limit(SMALL_LOOKUP + 1).count() <= SMALL_LOOKUP
+    value = F.col(column).cast("string")
+    if small:
+        joined = df.withColumn("_look", value).join(F.broadcast(lines), "_look", "left")
+    else:
+        keyed = df.withColumn("_look", value).withColumn("_salt", F.when(F.col("_look").isNull(), F.monotonically_increasing_id() % 1_000).otherwise(F.lit(-1).cast("long")))
+        joined = keyed.join(lines.withColumn("_salt", F.lit(-1).cast("long")), ["_look", "_salt"], "left").drop("_salt")
+    rest = value if otherwise is None else otherwise
+    return joined.withColumn(name, F.when(F.col("_listed"), F.col("_found").cast("string")).otherwise(rest)).drop("_look", "_found", "_listed")

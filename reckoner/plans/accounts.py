@@ -246,7 +246,34 @@ def stage_log_cycles(spark, sf_dir):
     return ledger.cycles(entries, log)
 
 
-QUERIES = {f.__name__: f for f in (outcome_counts, chunk_counters, dry_run_counts, record_index, fanout_index_identity, error_signatures, signature_samples, dead_letters, rejection_breach, shortfall, redact_modes, payload_ceiling, retention_purge, record_search, key_history, stage_cycles, reconciliation_sheet, reconciliation_checks, reconciliation_verdict, reconciliation_report, reconciliation_sheet_orders, reconciliation_written_index, replay_run, replay_places, payload_search, redact_nested, audit_levels, errors_by_node, stage_log_cycles)}
+def index_payloads(spark, sf_dir):
+    """Index entries with what was delivered, and with what was read where mapping made a difference."""
+    df = outcomes(spark, sf_dir, source=True)
+    fields = [c for c in df.columns if not c.startswith("_") and c not in ("outcome", "error_code", "error_message")]
+    out = ledger.record_index(df, F.col("_key"), F.col("_at"), record=payloads.as_json(df, fields), source=F.col("_source"))
+    return out.select("record_key", F.get_json_object("record", "$.stage").alias("stage"), F.get_json_object("source", "$.o_orderstatus").alias("status"))
+
+
+def stage_log_run(spark, sf_dir):
+    """What each stage of a run took in and gave, counted while the run wrote its records."""
+    log = ledger.StageLog(spark, 1)
+    read = table(spark, sf_dir, "orders")
+    kept = log.stage("FILTER", read, lambda d: d.where("o_orderstatus <> 'O'"), "rules")
+    out = log.stage("FAN_OUT", kept, lambda d: d.select("o_orderkey", F.explode(F.array("o_orderstatus", "o_orderpriority")).alias("item")), "split")
+    path = folder(spark, "written")
+    log.ran(lambda: log.stage("WRITE", out, lambda d: d).write.parquet(path))
+    log.ran(lambda: log.stage("REPORT", spark.read.schema(out.schema).parquet(path), lambda d: d.groupBy("item").count()).collect())
+    found = ledger.find_stages(log.entries(), run=1, outcome="DONE")
+    return found.select("position", "stage", "node_id", "records_in", "records_out", "delta", (F.col("duration_ms") >= 0).alias("timed"))
+
+
+def error_list(spark, sf_dir):
+    """A page of a run's dead letters of one fault, with the number of all."""
+    own = reports.error_page(errors(spark, sf_dir), 105, 2, 1, "E1|value ? of user ? was refused")
+    return own.select("id", "code", "total")
+
+
+QUERIES = {f.__name__: f for f in (outcome_counts, chunk_counters, dry_run_counts, record_index, fanout_index_identity, error_signatures, signature_samples, dead_letters, rejection_breach, shortfall, redact_modes, payload_ceiling, retention_purge, record_search, key_history, stage_cycles, reconciliation_sheet, reconciliation_checks, reconciliation_verdict, reconciliation_report, reconciliation_sheet_orders, reconciliation_written_index, replay_run, replay_places, payload_search, redact_nested, index_payloads, stage_log_run, error_list, audit_levels, errors_by_node, stage_log_cycles)}
 
 _SEQ = f"(SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY o_orderkey) AS seq FROM {_OUTCOMES})"
 _COUNTS = "count(*) AS \"read\", count(*) FILTER (outcome = 'FILTERED') AS filtered, count(*) FILTER (outcome <> 'FILTERED') AS produced, count(*) FILTER (outcome = 'WRITTEN') AS written, count(*) FILTER (outcome = 'TRANSFORM_FAILED') AS failed"
@@ -276,6 +303,9 @@ ORACLE_SQL = {
     "replay_places": "WITH f AS (SELECT CASE WHEN l_linenumber <> 3 THEN CAST(l_orderkey AS VARCHAR) END AS record_key, 'A' AS item, l_quantity FROM lineitem WHERE l_quantity < 10 UNION ALL SELECT CASE WHEN l_linenumber <> 3 THEN CAST(l_orderkey AS VARCHAR) END, 'B', l_quantity FROM lineitem WHERE l_returnflag = 'R') SELECT sent, record_key, item, count(*) AS records, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM f, (VALUES ('as it was'), ('transformed')) s(sent) GROUP BY 1, 2, 3",
     "payload_search": WITH_RUNS + "d AS (SELECT idx.*, e.event_type, json_extract_string(e.props, '$.k') AS k, run_id || '/' || id AS full_id FROM idx JOIN events e USING (event_id)) SELECT 'any' AS asked, run_id, count(*) AS entries, min(full_id) AS first_id FROM d WHERE run_id // 100 = 9 AND (record_key = '69' OR k = '69') GROUP BY 1, 2 UNION ALL SELECT 'one', run_id, count(*), min(full_id) FROM d WHERE run_id = 105 AND event_type = 'click' GROUP BY 1, 2",
     "redact_nested": """SELECT c_custkey, '{"who": {"name":"***", "n" : 1.50},"tags":[{"m":"sha256:' || substr(sha256(c_mktsegment), 1, 16) || '"},{"m":7}]}' AS payload, '[{"name":"' || c_name || '","nation":"***"},{"name":"***","nation":"' || c_nationkey || '"}]' AS seen FROM customer""",
+    "index_payloads": "SELECT CAST(o_orderkey AS VARCHAR) AS record_key, CASE o_orderstatus WHEN 'P' THEN 'Pending' WHEN 'F' THEN 'Finished' ELSE 'Open' END AS stage, o_orderstatus AS status FROM orders",
+    "stage_log_run": "WITH n AS (SELECT count(*) AS a, count(*) FILTER (o_orderstatus <> 'O') AS b, (SELECT count(*) FROM (SELECT o_orderstatus FROM orders WHERE o_orderstatus <> 'O' UNION SELECT o_orderpriority FROM orders WHERE o_orderstatus <> 'O')) AS c FROM orders) SELECT 0 AS position, 'FILTER' AS stage, 'rules' AS node_id, a AS records_in, b AS records_out, b - a AS delta, true AS timed FROM n UNION ALL SELECT 1, 'FAN_OUT', 'split', b, 2 * b, b, true FROM n UNION ALL SELECT 2, 'WRITE', NULL, 2 * b, 2 * b, 0, true FROM n UNION ALL SELECT 3, 'REPORT', NULL, 2 * b, c, c - 2 * b, true FROM n",
+    "error_list": _ERR + "SELECT id, code, (SELECT count(*) FROM err WHERE run_id = 105 AND code = 'E1') AS total FROM err WHERE run_id = 105 AND code = 'E1' ORDER BY chunk, seq LIMIT 2 OFFSET 2",
     "audit_levels": WITH_RUNS + "d AS (SELECT outcome, count(*) AS entries FROM idx GROUP BY 1) SELECT outcome, entries, 'INDEXED' AS level FROM d UNION ALL SELECT outcome, entries, 'ERRORS' FROM d WHERE outcome = 'REJECTED'",
     "errors_by_node": _ERR + "SELECT run_id, CASE WHEN n_nationkey > 0 THEN n_name ELSE code END AS node, count(*) AS errors FROM err LEFT JOIN nation ON code = 'E' || n_nationkey GROUP BY 1, 2",
     "stage_log_cycles": f"SELECT trace_id, n AS entries, w AS written, unnest(['TRANSFORM', 'FILTER']) AS stage, unnest([n, n - t]) AS records_in, unnest([n - t, w]) AS records_out FROM (SELECT chunk || '#' || (seq - 1) // 50 AS trace_id, count(*) AS n, count(*) FILTER (outcome = 'WRITTEN') AS w, count(*) FILTER (outcome = 'TRANSFORM_FAILED') AS t FROM {_SEQ} GROUP BY 1)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from reckoner.operators import chunks, delivery
+from reckoner.operators import chunks, delivery, mapper
 from reckoner.plans.common import table
 from reckoner.sources import readers
 from reckoner.sources.scratch import folder
@@ -215,7 +215,41 @@ def jdbc_round_trip(spark, sf_dir):
     return readers.read_jdbc(spark, url, "customers", ["\"c_custkey\"", "\"c_nationkey\"", "\"c_acctbal\""], "\"c_nationkey\" < 10", "\"c_custkey\"", 100, **driver)
 
 
-QUERIES = {f.__name__: f for f in (fan_out_ordinals, script_filter, batch_replace_stamp, batch_envelope, split_labels, split_running_total, fixed_groups, byte_batches, merge_upsert, merge_ignore, merge_replace, verdict_join, verdict_twice, late_verdicts, staged_export_manifest, fanout_byte_batches, fanout_envelopes, fanout_verdicts, fanout_twice, fanout_groups, split_function, script_test, topic_messages, jdbc_round_trip)}
+def batch_payload(spark, sf_dir):
+    """A function that makes one payload of each group: for a destination that takes a group in one request, and refused for one that writes records one by one."""
+    df = delivery.assign_groups(delivery.assign_batches(_orders(spark, sf_dir).select("_chunk", "_seq", "o_orderkey", "o_orderstatus"), 40), 20)
+
+    def wrap(pdf):
+        return {"first": int(pdf["o_orderkey"].iloc[0]), "n": len(pdf)}
+
+    one = delivery.apply_batches(df, wrap, "o_orderkey long", single_request=True, node="wrap").where("_envelope is not null")
+    other = delivery.apply_batches(df, wrap, "o_orderkey long", single_request=False, node="wrap").where("_error is not null")
+    sent = one.select(F.col("_chunk").alias("chunk"), F.col("_batch").alias("batch"), F.col("_group").cast("int").alias("grp"), F.col("_envelope").alias("body"), F.lit(1).cast("long").alias("records"), F.lit(None).cast("string").alias("node"))
+    refused = other.groupBy(F.col("_chunk").alias("chunk"), F.col("_batch").alias("batch"), F.col("_group").cast("int").alias("grp"), F.col("_node").alias("node")).agg(F.count("*").alias("records"))
+    return sent.unionByName(refused.withColumn("body", F.lit(None).cast("string")))
+
+
+def group_messages(spark, sf_dir):
+    """A message for each group: its body under the key of its first record."""
+    df = delivery.assign_groups(delivery.assign_batches(_orders(spark, sf_dir), 40), 20).withColumn("_key", F.col("o_orderkey").cast("string"))
+    bodies = delivery.envelopes(df, ["o_orderkey"]).select("_chunk", "_batch", "_group", "body")
+    return delivery.envelope_messages(df.join(bodies, ["_chunk", "_batch", "_group"])).select("key", "value")
+
+
+def lookup_translation(spark, sf_dir):
+    """Customers of orders by a lookup table, which doesn't list all of them."""
+    lookup = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
+    out = mapper.translated(table(spark, sf_dir, "orders"), "o_custkey", lookup, "c_custkey", "c_mktsegment", "segment", F.lit("none"))
+    return out.groupBy("segment").agg(F.count("*").alias("orders"))
+
+
+def split_preview(spark, sf_dir):
+    """The calls that a splitter would make of the first records."""
+    out = delivery.try_out_groups(_orders(spark, sf_dir).where("_chunk = 0"), lambda pdf: pdf["o_orderstatus"].tolist(), "SPLIT", n=60)
+    return out.select("o_orderkey", F.col("call").cast("int").alias("call"), F.col("calls").cast("int").alias("calls"), "note")
+
+
+QUERIES = {f.__name__: f for f in (fan_out_ordinals, script_filter, batch_replace_stamp, batch_envelope, split_labels, split_running_total, fixed_groups, byte_batches, merge_upsert, merge_ignore, merge_replace, verdict_join, verdict_twice, late_verdicts, staged_export_manifest, fanout_byte_batches, fanout_envelopes, fanout_verdicts, fanout_twice, fanout_groups, split_function, script_test, topic_messages, jdbc_round_trip, batch_payload, group_messages, lookup_translation, split_preview)}
 
 _LAST = "(SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS amount FROM orders GROUP BY 1)"
 _TARGET = "(SELECT c_custkey AS id, c_acctbal AS amount FROM customer WHERE c_custkey % 3 <> 0)"
@@ -247,6 +281,10 @@ ORACLE_SQL = {
     "split_function": f"SELECT chunk, batch, CASE WHEN NOT low THEN o_orderstatus END AS label, CASE WHEN low THEN n || ' records went in and ' || (n - 1) || ' labels came out' ELSE '' END AS error, count(*) AS records FROM (SELECT *, count(*) OVER (PARTITION BY chunk, batch) AS n, last_value(o_orderpriority LIKE '5%') OVER (PARTITION BY chunk, batch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS low FROM {_G20}) GROUP BY 1, 2, 3, 4",
     "script_test": f"SELECT o_orderkey, CASE WHEN k = 1 THEN o_orderpriority WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS label, CASE o_orderstatus WHEN 'O' THEN 'dropped' WHEN 'F' THEN 'fanned out into 2' ELSE '' END AS note FROM {_ORDERS}, range(0, 2) s(k) WHERE chunk = 0 AND seq <= 50 AND (k = 0 OR o_orderstatus = 'F')",
     "topic_messages": """SELECT coalesce(nullif(o_orderstatus, 'P'), CAST(o_orderkey AS VARCHAR)) AS key, '{' || CASE WHEN o_orderstatus <> 'P' THEN '"status":"' || o_orderstatus || '",' ELSE '' END || '"customer":' || o_custkey || '}' AS value FROM orders""",
+    "batch_payload": f"""SELECT chunk, batch, grp, '{{"first": ' || arg_min(o_orderkey, seq) || ', "n": ' || count(*) || '}}' AS body, 1 AS records, NULL AS node FROM {_G20} GROUP BY 1, 2, 3 UNION ALL SELECT chunk, batch, grp, NULL, count(*), 'wrap' FROM {_G20} GROUP BY 1, 2, 3""",
+    "group_messages": f"""SELECT CAST(arg_min(o_orderkey, seq) AS VARCHAR) AS key, '[' || string_agg('{{"o_orderkey":' || o_orderkey || '}}', ',' ORDER BY seq) || ']' AS value FROM {_G20} GROUP BY chunk, batch, grp""",
+    "lookup_translation": "SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS orders FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON c_custkey = o_custkey GROUP BY 1",
+    "split_preview": f"WITH d AS (SELECT o_orderkey, o_orderstatus, seq FROM {_ORDERS} WHERE chunk = 0 AND seq <= 60), c AS (SELECT o_orderstatus, row_number() OVER (ORDER BY min(seq)) - 1 AS call FROM d GROUP BY 1) SELECT o_orderkey, CAST(call AS INTEGER) AS call, CAST((SELECT count(*) FROM c) AS INTEGER) AS calls, NULL AS note FROM d JOIN c USING (o_orderstatus)",
     "jdbc_round_trip": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 10",
     "staged_export_manifest": "SELECT count(*) AS rows, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + 2) AS BIGINT) AS bytes, true AS whole, true AS small FROM orders",
 }

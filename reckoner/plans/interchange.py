@@ -116,7 +116,16 @@ def staged_deletes(spark, sf_dir):
     return out.agg(F.sum("rows").alias("rows"), F.sum(F.col("bytes") - len("Id\r\n")).alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (sql_types, document_types, bind_types, page_requests, row_limit, window_values, packed_parts, resumed_read, csv_places, bulk_insert, delivery_outcomes, late_counters, staged_deletes)}
+def document_reads(spark, sf_dir):
+    """Documents with an id, nested values and bytes, read in a range of ids in their order, as records; and the ids turned back."""
+    hexed = F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 24)
+    docs = table(spark, sf_dir, "orders").select(hexed.alias("_id"), F.struct(F.upper(hexed).alias("oid")).alias("ref"), F.array(F.struct(F.col("o_totalprice").cast("decimal(12,2)").alias("exact"), F.to_date("o_orderdate").alias("day"))).alias("parts"), F.create_map(F.lit("raw"), F.col("o_orderstatus").cast("binary")).alias("more"), "o_orderkey")
+    rows = readers.read_documents(docs, F.col("o_orderkey") % 2 == 0, first="4", last="c", after="5")
+    made = normal.document_records(rows)
+    return made.select("o_orderkey", "_key", "ref", F.to_json("parts").alias("parts"), F.col("more")["raw"].alias("raw"), normal.document_value(F.col("ref"))["object_id"].alias("back"))
+
+
+QUERIES = {f.__name__: f for f in (sql_types, document_types, bind_types, page_requests, row_limit, window_values, packed_parts, resumed_read, csv_places, bulk_insert, delivery_outcomes, late_counters, staged_deletes, document_reads)}
 
 _AT = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"
 _NEW = f"(SELECT o_custkey AS id FROM orders WHERE o_orderkey % 9 <> 0 AND o_custkey NOT IN (SELECT id FROM {_TARGET}))"
@@ -138,5 +147,6 @@ ORACLE_SQL = {
       UNION ALL SELECT 'documents', (SELECT count(*) FROM {_TARGET}) + (SELECT count(DISTINCT id) FROM {_NEW})""",
     "delivery_outcomes": f"SELECT outcome, message, count(*) AS records FROM (SELECT CASE WHEN batch % 3 = 0 THEN 'CALL_FAILED' WHEN (seq - 1) % 20 = 3 THEN 'REJECTED' ELSE 'SENT' END AS outcome, CASE WHEN batch % 3 = 0 THEN 'timed out' WHEN (seq - 1) % 20 = 3 THEN 'refused' ELSE '' END AS message FROM {_G20}) GROUP BY 1, 2",
     "late_counters": "SELECT o_orderstatus AS status, count(*) FILTER (o_orderkey % 7 <> 0) AS written, count(*) FILTER (o_orderkey % 7 = 0) AS failed FROM orders GROUP BY 1",
+    "document_reads": """SELECT o_orderkey, h AS _key, 'oid:' || h AS ref, '[{"exact":' || CAST(o_totalprice AS DECIMAL(12, 2)) || ',"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}]' AS parts, base64(encode(o_orderstatus)) AS raw, h AS back FROM (SELECT *, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 24) AS h FROM orders) WHERE o_orderkey % 2 = 0 AND h > '5' AND h <= 'c'""",
     "staged_deletes": "SELECT count(*) AS rows, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 2) AS BIGINT) AS bytes FROM orders",
 }

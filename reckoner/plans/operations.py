@@ -56,6 +56,11 @@ def findings(spark, sf_dir):
     return health.findings(health_runs(spark, sf_dir), _at(SINCE))
 
 
+def findings_order(spark, sf_dir):
+    """Findings as people get them: each pipeline's worst first."""
+    return health.ordered(findings(spark, sf_dir)).select("pipeline_id", "code", "place")
+
+
 def severity_rank(spark, sf_dir):
     """Pipelines with their worst finding."""
     return findings(spark, sf_dir).groupBy("pipeline_id").agg(F.max("severity").alias("worst"), F.count("*").alias("findings"))
@@ -124,7 +129,7 @@ def idempotent_start(spark, sf_dir):
     return asked.join(there, "key", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (chunk_state_counts, records_at_risk, retry_selection, retry_chain, run_search_page, baseline_median, findings, severity_rank, headlines, did_not_run, volume, totals, trend, top_reasons, live_runs, throughput, audit_search, idempotent_start)}
+QUERIES = {f.__name__: f for f in (chunk_state_counts, records_at_risk, retry_selection, retry_chain, run_search_page, baseline_median, findings, findings_order, severity_rank, headlines, did_not_run, volume, totals, trend, top_reasons, live_runs, throughput, audit_search, idempotent_start)}
 
 _CH = WITH_RUNS + "ch AS (SELECT *, CASE WHEN (run_id + chunk) % 17 = 0 THEN 'ABANDONED' WHEN (run_id + chunk) % 19 = 0 THEN 'RUNNING' ELSE 'COMPLETED' END AS state FROM (SELECT (user_id % 12) * 100 + day(ts) AS run_id, event_id % 4 AS chunk, count(*) AS planned, count(*) FILTER (event_type <> 'error') AS written FROM events GROUP BY 1, 2)) "
 _NEW = WITH_RUNS + "h AS (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY created_at DESC, run_id DESC) AS age FROM health), u AS (SELECT * FROM h WHERE age BETWEEN 2 AND 15 AND NOT dry_run AND state = 'COMPLETED' QUALIFY row_number() OVER (PARTITION BY pipeline_id ORDER BY age) <= 10), base AS (SELECT pipeline_id, CASE WHEN count(*) >= 3 THEN list_sort(list(\"read\"))[count(*) // 2 + 1] END AS usual_rows, CASE WHEN count(*) >= 3 THEN list_sort(list(seconds))[count(*) // 2 + 1] END AS usual_seconds FROM u GROUP BY 1), "
@@ -141,6 +146,7 @@ ORACLE_SQL = {
     "run_search_page": WITH_RUNS + "p AS (SELECT * FROM runs WHERE state = 'COMPLETED' AND retry_of IS NULL AND created_at >= TIMESTAMP '2024-01-05' ORDER BY \"read\" DESC, run_id LIMIT 20 OFFSET 20) SELECT run_id, pipeline_id, \"read\" FROM p",
     "baseline_median": _NEW.rstrip(", ") + " SELECT * FROM base",
     "findings": _FIND + "SELECT pipeline_id, run_id, code, severity FROM g",
+    "findings_order": _FIND + "SELECT pipeline_id, code, CAST(row_number() OVER (PARTITION BY pipeline_id ORDER BY severity DESC, place) AS INTEGER) AS place FROM g",
     "severity_rank": _FIND + "SELECT pipeline_id, max(severity) AS worst, count(*) AS findings FROM g GROUP BY 1",
     "headlines": _FIND + ", w AS (SELECT pipeline_id, max(severity) AS severity, arg_min(code, place) AS code FROM g WHERE severity > 1 GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY severity DESC, pipeline_id) AS n FROM w) SELECT pipeline_id, code, CAST(0 AS BIGINT) AS more FROM o WHERE n <= 5 UNION ALL SELECT NULL, 'MORE', count(*) FROM o WHERE n > 5 HAVING count(*) > 0",
     "did_not_run": WITH_RUNS + f"s AS (SELECT pipeline_id, CASE WHEN pipeline_id % 3 = 0 THEN TIMESTAMP '2024-02-02' ELSE TIMESTAMP '2024-01-30' END AS expected_at, max(created_at) FILTER (pipeline_id % 2 = 0 OR dom < 30) AS last_run FROM runs GROUP BY 1) SELECT pipeline_id, expected_at FROM s WHERE expected_at + INTERVAL 30 MINUTE < TIMESTAMP '{NOW}' AND (last_run IS NULL OR last_run < expected_at)",

@@ -57,6 +57,33 @@ def document_value(c: Column) -> Column:
     return F.struct(F.when(is_id, rest).alias("object_id"), at.alias("at"), text.alias("text"))
 
 
+def _is_id(kind: T.DataType) -> bool:
+    """Whether a column holds ids of documents: a struct of their hexadecimal digits, as document stores' readers give it."""
+    return isinstance(kind, T.StructType) and kind.names in (["oid"], ["$oid"], ["object_id"])
+
+
+def from_document(c: Column, kind: T.DataType) -> Column:
+    """A document's value as a record holds it: ids as marked text, which document_value() turns back; decimals exact, dates and times ISO text, bytes base64, numbers and flags with the width that they have, and all that inside nested documents, lists and maps."""
+    if _is_id(kind):
+        return F.when(c.isNotNull(), F.concat(F.lit(ID_MARK), F.lower(c.getField(kind.names[0]))))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(from_document(c.getField(f"{f.name}"), f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: from_document(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: from_document(v, kind.valueType))
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)):
+        return record_value(c, kind)
+    return c.cast("string")
+
+
+def document_records(df: DataFrame) -> DataFrame:
+    """Documents as records: each column by from_document()."""
+    return df.select(*(from_document(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
 def bound_text(c: Column) -> Column:
     """A record's text as it is bound to a statement: one of day (an ISO date), at (an ISO time, in UTC without an offset) and text."""
     long_enough = F.length(c) >= DATE_LEAST

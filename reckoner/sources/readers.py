@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,15 +36,28 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, columns: list[str] | None = None, where: str | None = None, key: str | None = None, rows: int = 100_000, max_chunks: int = 1_000, **properties: str) -> DataFrame:
-    """A table in key-range chunks, planned from the key's bounds under the filter; without a key in one chunk. Each chunk is one task, and a filter on the result is pushed into its query."""
+    """A table in key-range chunks, planned from the key's bounds under the filter; without a key in one chunk. Each chunk is one task with its rows in the order of the key, and a filter on the result is pushed into its query. Keys of any kind of number have ranges of whole numbers; a key of another kind makes one chunk."""
     source = f"(SELECT {', '.join(columns) if columns else '*'} FROM {table}{f' WHERE {where}' if where else ''}) q"
     if not key:
         return spark.read.jdbc(url, source, properties=properties)
     lo, hi = spark.read.jdbc(url, f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {source}) b", properties=properties).first()
-    if lo is None or not isinstance(lo, int):
-        return spark.read.jdbc(url, source, properties=properties)
+    name = key.strip('"`[]')
+    if lo is None or isinstance(lo, bool) or not isinstance(lo, (int, float, Decimal)) or not math.isfinite(lo) or not math.isfinite(hi):
+        return spark.read.jdbc(url, source, properties=properties).sortWithinPartitions(F.col(f"`{name}`"))
+    lo, hi = math.floor(lo), math.floor(hi)
     step = max(rows, -(-(hi - lo + 1) // max_chunks))
-    return spark.read.jdbc(url, source, predicates=[f"{key} BETWEEN {a} AND {min(a + step - 1, hi)}" for a in range(lo, hi + 1, step)], properties=properties)
+    # the range of a key with a fraction is that of its whole part
+    parts = [f"{key} >= {a} AND {key} < {min(a + step, hi + 1)}" for a in range(lo, hi + 1, step)]
+    return spark.read.jdbc(url, source, predicates=parts, properties=properties).sortWithinPartitions(F.col(f"`{name}`"))
+
+
+def read_documents(df: DataFrame, matching: Column | None = None, key: str = "_id", first=None, last=None, after=None) -> DataFrame:
+    """A chunk of a collection: the documents that match, with keys from first to last (both included), after the last one that was accepted if the read goes on; in the order of the key, which is what makes that meaningful. `_key` is the key as text."""
+    out = df if matching is None else df.where(matching)
+    for bound, rule in ((first, lambda c, x: c >= x), (last, lambda c, x: c <= x), (after, lambda c, x: c > x)):
+        if bound is not None:
+            out = out.where(rule(F.col(f"`{key}`"), F.lit(bound)))
+    return out.withColumn("_key", F.col(f"`{key}`").cast("string")).sortWithinPartitions(F.col(f"`{key}`"))
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 5_000, **properties: str) -> None:

@@ -268,3 +268,87 @@ def test_times_and_decimals_of_payloads_come_back(spark):
     back = payloads.with_source(df).select(payloads.from_json(F.col("_source"), df.select(names).schema).alias("r")).select("r.*")
     a, b = df.select(names).first(), back.first()
     assert (a.at, a.ntz, a.d, a.day, a.none, a.m) == (b.at, b.ntz, b.d, b.day, b.none, b.m) and str(b.x) == "nan"
+
+
+# Writes that can't be repeated, functions over groups, the stage log
+
+
+def test_staged_writes_are_there_once(spark, tmp_path):
+    """A job whose task has failed half-way, is run again, and then once more."""
+    import sqlite3
+
+    path, flag = str(tmp_path / "db"), tmp_path / "failed"
+
+    def connect():
+        return sqlite3.connect(path, timeout=60)
+
+    with connect() as c:
+        c.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    df = spark.range(0, 1_000, 1, 4).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+
+    def breaks(batches):
+        for b in batches:
+            if b.num_rows and b.column("id")[0].as_py() >= 750 and not flag.exists():
+                yield b.slice(0, 100)
+                flag.touch()
+                raise RuntimeError("lost")
+            yield b
+
+    lossy = df.mapInArrow(breaks, df.schema)
+    with pytest.raises(Exception, match="lost"):
+        delivery.write_staged(lossy, connect, "t", "job-1", batch=30)
+    assert connect().execute("SELECT count(*) FROM t").fetchone() == (0,) and connect().execute("SELECT count(*) FROM t_staged").fetchone()[0] > 0
+    assert delivery.write_staged(lossy, connect, "t", "job-1", batch=30) == 1_000
+    assert delivery.write_staged(lossy, connect, "t", "job-1") == 0
+    assert connect().execute("SELECT count(*), count(DISTINCT id) FROM t").fetchone() == (1_000, 1_000)
+    assert connect().execute("SELECT count(*) FROM t_staged").fetchone() == (0,)
+    with connect() as c:
+        c.execute("CREATE UNIQUE INDEX u ON t (id)")
+    more = df.where("id < 10").select((F.col("id") + 995).alias("id"), F.lit("new").alias("v"))
+    with pytest.raises(sqlite3.IntegrityError):
+        delivery.write_staged(more, connect, "t", "job-2")
+    assert delivery.write_staged(more, connect, "t", "job-3", "INSERT INTO t (id, v) SELECT * FROM ({rows}) WHERE true ON CONFLICT (id) DO UPDATE SET v = excluded.v") == 10
+    assert connect().execute("SELECT count(*), count(*) FILTER (WHERE v = 'new') FROM t").fetchone() == (1_005, 10)
+    assert delivery.write_staged(df.limit(0), connect, "t", "job-4") == 0
+
+
+def test_functions_over_many_small_groups_and_a_large_one(spark):
+    rows = [(0, k // 3, 0, k + 1, k) for k in range(60)] + [(1, 0, 0, k + 1, k) for k in range(25_000)]
+    df = spark.createDataFrame(rows, "_chunk int, _batch int, _group int, _seq long, v long").repartition(5)
+    out = delivery.apply_groups(df, lambda pdf: pdf.assign(n=len(pdf), first=pdf["v"].iloc[0])[["v", "n", "first"]], "v long, n long, first long")
+    got = sorted((r["_chunk"], r["_batch"], r["_seq"], r.v, r.n, r["first"]) for r in out.collect())
+    assert got == sorted((c, b, s, v, 3 if c == 0 else 25_000, v - v % 3 if c == 0 else 0) for c, b, _, s, v in rows)
+    assert delivery.apply_groups(df.limit(0), lambda pdf: pdf, "v long").count() == 0
+
+
+def test_errors_name_their_node(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1, 5), (0, 0, 0, 2, 0)], "_chunk int, _batch int, _group int, _seq long, v long")
+    by_record = delivery.apply_record(df, lambda r: {"v": 10 // r["v"]}, "v long", node="divide").collect()
+    assert sorted((r["_seq"], r["_node"], r["_error"] is not None) for r in by_record) == [(1, None, False), (2, "divide", True)]
+    by_group = delivery.apply_groups(df, lambda pdf: pdf.head(1), "v long", node="cut").collect()
+    assert {(r["_node"], r["_error"]) for r in by_group} == {("cut", "2 records went in and 1 came out")}
+
+
+def test_a_failed_action_is_logged(spark):
+    log = ledger.StageLog(spark, 5)
+    df = log.stage("BREAK", spark.range(3), lambda d: d.select(F.raise_error(F.lit("no")).alias("x")), "n1")
+    with pytest.raises(Exception, match="no"):
+        log.ran(df.collect)
+    good = log.stage("PASS", spark.range(3), lambda d: d.where("id > 0"))
+    log.ran(good.collect)
+    rows = ledger.find_stages(log.entries(), run=5).collect()
+    assert [(r.position, r.stage, r.outcome, r.records_in, r.records_out, r.delta) for r in rows] == [(0, "BREAK", "FAILED", None, None, None), (1, "PASS", "DONE", 3, 2, -1)]
+    assert ledger.find_stages(log.entries(), stage="PASS").count() == 1 and "no" in rows[0].error
+
+
+@pytest.mark.parametrize("small", [10, 1])
+def test_lookups_of_any_size(spark, small, monkeypatch):
+    from reckoner.operators import mapper
+
+    monkeypatch.setattr(mapper, "SMALL_LOOKUP", small)
+    df = spark.createDataFrame([(k,) for k in (1, 2, 3, None, None, 2)], "k int").withColumn("_salt", F.lit("kept"))
+    lookup = spark.createDataFrame([("1", "one"), ("2", "zwei"), ("2", "two"), (None, "none"), ("9", None)], "code string, name string")
+    got = sorted(((r.k, r.said) for r in mapper.translated(df.drop("_salt"), "k", lookup, "code", "name", "said").collect()), key=str)
+    assert got == sorted([(1, "one"), (2, "two"), (3, "3"), (None, None), (None, None), (2, "two")], key=str)
+    other = {(r.k, r.said) for r in mapper.translated(df.drop("_salt"), "k", lookup, "code", "name", "said", F.lit("?")).collect()}
+    assert other == {(1, "one"), (2, "two"), (3, "?"), (None, "?")}
