@@ -4,7 +4,7 @@ Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Each word that a window of WINDOW w
 starts anywhere else (same document included), is removed; repeated windows merge into maximal intervals. Windows are
 judged on the input.
 
-How it is dealt out. Rows go to blocks of about BLOCK_BYTES of text by a hash of doc_id and text. A block hashes its
+How it is dealt out. Rows go to blocks of about block_bytes() of text by a hash of doc_id and text. A block hashes its
 windows and sends, for each bucket of hashes, one row: its distinct hashes and which of them it holds more than once.
 That is the pre-aggregation: a passage that a third of all documents share reaches its bucket once a block. A bucket
 answers each block with one bit a hash: counted twice or more over all blocks. The block, with its texts again from the
@@ -18,7 +18,7 @@ n_words, n_removed, removed and kept, which replace columns of these names.
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from reckoner.llm import hashing
 from reckoner.llm.common import flat_text, slices, table, text_bytes
 
 WINDOW = 35
-BLOCK_BYTES = 4 << 20
+#: Text of a block, at least and at most, and the input from which on blocks grow with its square root.
+BLOCK_BYTES, LARGEST_BLOCK, GROWS_FROM = 4 << 20, 64 << 20, 64 << 30
 #: Buckets of hashes, at least, where there are as many blocks.
 FEW = 64
 RESULTS = "n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept string"
@@ -92,6 +93,11 @@ def repeated_windows(blocked: DataFrame, width: int, buckets: int) -> DataFrame:
     return sent.groupBy("_bucket").applyInArrow(count, "_block long, _bucket long, flags binary")
 
 
+def block_bytes(total: int) -> int:
+    """Text of a block for so much text in all: rows that blocks and buckets exchange would else grow with the square of the input."""
+    return int(min(max(BLOCK_BYTES * math.sqrt(total / GROWS_FROM), BLOCK_BYTES), max(BLOCK_BYTES, LARGEST_BLOCK)))
+
+
 def buckets_for(blocks: int) -> int:
     """Buckets for so many blocks: as many as blocks up to FEW, an eighth of them for large inputs, so that rows between blocks and buckets stay large. A bucket gets about 48 MB of hashes at most."""
     return min(blocks, max(FEW, -(-blocks // 8)))
@@ -100,7 +106,8 @@ def buckets_for(blocks: int) -> int:
 def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed, removed (intervals of word numbers, last exclusive) and kept (the words that stay, joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "removed", "kept", "_block")
-    blocks = max(1, -(-text_bytes(docs) // BLOCK_BYTES))
+    total = text_bytes(docs)
+    blocks = max(1, -(-total // block_bytes(total)))
     names = docs.columns
     blocked = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     buckets = buckets_for(blocks)
