@@ -59,7 +59,10 @@ def _translated(value: Column, kind: T.DataType, m: dict) -> tuple[Column, T.Dat
     key = js.text(value, kind)
     other = F.lit(js.plain(m["otherwise"])).cast("string") if "otherwise" in m else key
     known = F.create_map(*(F.lit(js.plain(x)).cast("string") for pair in table.items() for x in pair))
-    return F.when(value.isNotNull(), F.when(F.map_contains_key(known, key), F.try_element_at(known, key)).otherwise(other)), STRING
+    found = F.try_element_at(known, key)
+    if all(js.plain(x) is not None for x in table.values()):
+        return F.when(value.isNotNull(), F.coalesce(found, other)), STRING
+    return F.when(value.isNotNull(), F.when(F.map_contains_key(known, key), found).otherwise(other)), STRING
 
 
 def mapping_columns(df: DataFrame, m: dict) -> tuple[Column, Column]:

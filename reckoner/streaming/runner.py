@@ -1,4 +1,4 @@
-"""Continuous runs: the batch functions, applied to each micro-batch, with writes that can be repeated."""
+"""Continuous runs: the batch functions, applied to each micro-batch, with writes that can be repeated. Keyed tables are in keyed.py."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckoner.operators.ledger import latest_entries
-
 
 def run_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, once: bool = True):
     """Each micro-batch goes through transform and to its own partition of folder, `batch_id`; a batch that is repeated after a failure overwrites its partition, so every record is there once."""
@@ -23,8 +21,3 @@ def run_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], f
 def index_entries(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """Index entries out of JSON messages; those that don't parse have a null id and keep their text."""
     return messages.withColumn("_entry", F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE"})).select(F.col(value).alias("raw"), "_entry.*")
-
-
-def upserted(folder_rows: DataFrame, key: str = "id", order: str = "occurred_at") -> DataFrame:
-    """The keyed state of an append-only index: the last entry of each id, whichever batch brought it."""
-    return latest_entries(folder_rows.withColumn("_order", F.struct(F.col(order), F.col("batch_id"))), "_order", (key,)).drop("_order")
