@@ -34,6 +34,8 @@ from reckoner.llm.common import flat_text, forget, saved, slices, table
 TOP = 50
 #: Documents of a block; terms of all queries of a set; places of each list that are read at first.
 BLOCK, SET_TERMS, STEP = 8_192, 100_000, 64
+#: Terms of a query times documents of a block, at most: blocks are smaller where a query is very long.
+CELLS = 1 << 24
 #: Fixed values of the score: 1000 times the ratio of lengths, and scales of weights and impacts.
 SCALE, WEIGHT, SLOPE, FLAT, LONG = 1_000_000_000, 1_000, 20, 50, 50
 
@@ -232,7 +234,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, set_terms: int = S
             continue
         df = document_counts(found, len(vocabulary))
         weight = np.array([math.floor(WEIGHT * math.log((2 * documents + 2) / (2 * x + 1))) for x in df.tolist()], np.int64)
-        own = saved(answer(found, [(item, np.searchsorted(vocabulary, t)) for item, t in asked], weight, documents, length, top, block), "best")
+        rows = max(1, min(block, CELLS // max(len(t) for _, t in asked)))
+        own = saved(answer(found, [(item, np.searchsorted(vocabulary, t)) for item, t in asked], weight, documents, length, top, rows), "best")
         forget(found)
         out = own if out is None else out.unionByName(own)
     if out is None:

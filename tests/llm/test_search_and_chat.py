@@ -105,6 +105,14 @@ def test_search(spark, top, block, set_terms, step, monkeypatch):
     assert sorted(map(tuple, got), key=str) == plain_search(docs, items, top)
 
 
+def test_a_query_of_very_many_terms(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "CELLS", 4_000)
+    docs = [(k, " ".join(f"w{x}" for x in range(k, 600, k + 1))) for k in range(60)]
+    items = [(0, " ".join(f"w{x}" for x in range(600))), (1, "w59 w3")]
+    got = lexical.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 7).collect()
+    assert sorted(map(tuple, got), key=str) == plain_search(docs, items, 7)
+
+
 def test_search_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     items = docs.withColumnRenamed("doc_id", "item_id")
