@@ -284,7 +284,7 @@ ORACLE_SQL = {
     "batch_payload": f"""SELECT chunk, batch, grp, '{{"first": ' || arg_min(o_orderkey, seq) || ', "n": ' || count(*) || '}}' AS body, 1 AS records, NULL AS node FROM {_G20} GROUP BY 1, 2, 3 UNION ALL SELECT chunk, batch, grp, NULL, count(*), 'wrap' FROM {_G20} GROUP BY 1, 2, 3""",
     "group_messages": f"""SELECT CAST(arg_min(o_orderkey, seq) AS VARCHAR) AS key, '[' || string_agg('{{"o_orderkey":' || o_orderkey || '}}', ',' ORDER BY seq) || ']' AS value FROM {_G20} GROUP BY chunk, batch, grp""",
     "lookup_translation": "SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS orders FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON c_custkey = o_custkey GROUP BY 1",
-    "split_preview": f"WITH d AS (SELECT o_orderkey, o_orderstatus, seq FROM {_ORDERS} WHERE chunk = 0 AND seq <= 60), c AS (SELECT o_orderstatus, row_number() OVER (ORDER BY min(seq)) - 1 AS call FROM d GROUP BY 1) SELECT o_orderkey, CAST(call AS INTEGER) AS call, CAST((SELECT count(*) FROM c) AS INTEGER) AS calls, NULL AS note FROM d JOIN c USING (o_orderstatus)",
+    "split_preview": f"WITH d AS (SELECT o_orderkey, o_orderstatus, seq FROM {_ORDERS} WHERE chunk = 0 AND seq <= 60), c AS (SELECT o_orderstatus, row_number() OVER (ORDER BY min(seq)) - 1 AS call FROM d GROUP BY 1) SELECT o_orderkey, CAST(call AS INTEGER) AS call, CAST((SELECT count(*) FROM c) AS INTEGER) AS calls, CAST(NULL AS VARCHAR) AS note FROM d JOIN c USING (o_orderstatus)",
     "jdbc_round_trip": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 10",
     "staged_export_manifest": "SELECT count(*) AS rows, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + 2) AS BIGINT) AS bytes, true AS whole, true AS small FROM orders",
 }
