@@ -193,7 +193,6 @@ def test_jaccard_links_in_a_large_group(spark):
 
 def test_packing(spark, sf, docs):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     expected = {}
     for d, t in docs:
         ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -303,7 +302,6 @@ def test_sampled_pieces_do_not_depend_on_partitions(spark, sf):
 
 def test_token_files(spark, sf, docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got, start = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.op10_token_files(spark, sf).collect()}, 0
     for d, t in docs:
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
