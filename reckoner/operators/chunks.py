@@ -55,11 +55,11 @@ class Ranges:
         return F.when(inside, F.call_function("div", (whole - F.lit(str(self.low)).cast("decimal(38,0)")).cast("decimal(38,0)"), F.lit(str(self.step)).cast("decimal(38,0)")).cast(kind))
 
 
-def _planned(df: DataFrame, key: str, step: Callable[[int, int], int]) -> DataFrame:
-    """The table of ranges whose width is step(span, rows); its bounds are read at once, and `ranges` of the result has them for assign()."""
-    n, low, high = df.agg(F.count(key), F.floor(F.min(key)), F.floor(F.max(key))).first()
+def _planned(df: DataFrame, key: str, step: Callable[[int, int], int], rows: bool = False) -> DataFrame:
+    """The table of ranges whose width is step(span, rows); its bounds (and the number of rows, if asked for) are read at once, and `ranges` of the result has them for assign()."""
+    n, low, high = df.agg(F.count(key) if rows else F.lit(None), F.floor(F.min(key)), F.floor(F.max(key))).first()
     kind = "decimal(38,0)" if isinstance(df.schema[key].dataType, T.DecimalType) else "long"
-    if not n:
+    if low is None:
         out = df.sparkSession.createDataFrame([], f"chunk int, first {kind}, last {kind}")
         out.ranges = None
         return out
@@ -92,7 +92,7 @@ def plan_by_count(df: DataFrame, key: str, target: int, max_chunks: int) -> Data
     """Equal slices of the key space, as many as `target` rows each need on average, max_chunks at most; decimal keys of any size too, and one chunk for a key of another kind."""
     if not _whole(df, key):
         return _one(df)
-    return _planned(df, key, lambda span, n: -(-span // max(1, min(max_chunks, -(-n // target)))))
+    return _planned(df, key, lambda span, n: -(-span // max(1, min(max_chunks, -(-n // target)))), rows=True)
 
 
 def plan_even(df: DataFrame, key: str, chunks: int, accuracy: int = 10_000) -> DataFrame:

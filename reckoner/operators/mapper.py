@@ -23,7 +23,10 @@ SMALL_LOOKUP = 50_000
 
 
 def _kind(df: DataFrame, c: Column) -> T.DataType:
-    return df.select(c.alias("c")).schema[0].dataType
+    """The type of an expression over df; asked of an empty table of the same columns, since analysing a long plan again and again takes time."""
+    if not hasattr(df, "_shape"):
+        df._shape = df.sparkSession.createDataFrame([], df.schema)
+    return df._shape.select(c.alias("c")).schema[0].dataType
 
 
 def _blank(c: Column, kind: T.DataType) -> Column:

@@ -29,7 +29,8 @@ def offset_windows(spark, sf_dir):
 
 
 def offset_rows(spark, sf_dir):
-    out = chunks.numbered(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
+    out = chunks.numbered(table(spark, sf_dir, "lineitem").select(*order), order)
     return out.groupBy(F.floor(F.col("_row") / 7000).alias("window")).agg(F.count("*").alias("rows"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"))
 
 

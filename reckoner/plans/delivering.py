@@ -17,7 +17,7 @@ CHUNK = 1_000
 
 def _orders(spark, sf_dir):
     """orders in chunks of CHUNK rows, as many as the table needs, with a place in each and the size of the record."""
-    rows = chunks.numbered(table(spark, sf_dir, "orders"), ["o_orderkey"])
+    rows = chunks.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
     df = rows.withColumns({"_chunk": F.floor(F.col("_row") / CHUNK).cast("int"), "_seq": F.col("_row") % CHUNK + 1}).drop("_row")
     return df.withColumn("_bytes", F.length("o_orderpriority") + 20)
 
