@@ -181,6 +181,13 @@ def packed(parts: DataFrame, group: str, rows: str) -> DataFrame:
     return parts.groupBy(group, F.col("_pack").cast("long").alias("pack")).agg(F.count("*").alias("parts"), F.when(known, F.sum(rows)).otherwise(0).cast("long").alias("planned"))
 
 
+def tasks(df: DataFrame, most: int = 250_000, least: int = 20_000) -> int:
+    """Into how many tasks a shuffle of df's rows is cut: `most` rows each at most, whatever they have in compressed bytes, and no fewer than `least` to make more of them than the session's number of shuffle partitions. Counting the rows of a table's files takes their footers alone."""
+    n = df.count()
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-n // most), min(usual, -(-n // least)))
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
     """df with a number from 0 in the given order, over all rows, without one task holding them all: rows are ranged, sorted and written once, a file for each range, and a row's number is its place in its file and the rows of the files before."""
     path = folder(df.sparkSession, "ranges")

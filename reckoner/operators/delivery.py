@@ -149,9 +149,44 @@ def apply_record(df: DataFrame, fn: Callable[[dict], object], schema: str, node:
     return df.mapInPandas(run, full)
 
 
-def _by_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """fn over each group of keys, in the order of places; a task gets its groups one after another, many in one exchange with Python."""
-    texts = [f.name for f in df.sparkSession.createDataFrame([], schema).schema if isinstance(f.dataType, T.StringType)]
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """What groups gave for a column, one after another; as objects where their kinds differ, so that whole numbers beside missing ones stay as they are."""
+    if len({x.dtype for x in parts}) > 1:
+        parts = [x if x.dtype == object else pd.Series(x).astype(object).to_numpy() for x in parts]
+    return np.concatenate(parts)
+
+
+def _by_group(df: DataFrame, keys: list[str], passed: list[str], call: Callable[[pd.DataFrame], dict], schema: str, node: str | None = None) -> DataFrame:
+    """What call makes of each group of keys (its fields, in the order of places): columns by name, as long as the group; an exception is the group's `_error`. Columns of `passed` go beside it as they are.
+
+    A task gets its groups one after another, many in one exchange with Python, and only the fields are cut up by group. That
+    a group is whole in a task is asked for by a window, so rows that lie together by chunk or batch aren't shuffled again.
+    """
+    kinds = {f.name: f.dataType for f in df.sparkSession.createDataFrame([], schema).schema}
+    fields = [c for c in df.columns if not c.startswith("_")]
+    own = [c for c in kinds if c not in (*passed, "_error", "_node")]
+
+    def block(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        sizes, made, errors = np.diff(starts), [], []
+        cut = pdf[fields]
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            group = cut.iloc[a:b].copy()
+            group.index = pd.RangeIndex(b - a)
+            try:
+                made.append(call(group))
+                errors.append(None)
+            except Exception as e:  # what a user's function throws is data
+                made.append({})
+                errors.append(str(e))
+        out = {c: pdf[c] for c in passed}
+        for c in own:
+            value = _joined([x[c] if c in x else np.full(n, None, object) for x, n in zip(made, sizes, strict=True)])
+            # texts as plain objects, as Arrow wants them; also those that are all missing
+            out[c] = np.array([*(x if isinstance(x, str) else None for x in value), None], object)[:-1] if isinstance(kinds[c], T.StringType) else value
+        out["_error"] = np.repeat(np.array([*errors, None], object)[:-1], sizes)
+        if "_node" in kinds:
+            out["_node"] = np.where(pd.notna(out["_error"]), node, None)
+        return pd.DataFrame(out)[list(kinds)]
 
     def run(parts):
         rest = None
@@ -159,58 +194,62 @@ def _by_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.Da
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
-            rest = pdf.iloc[starts[-1] :]
-            made = [fn(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            if made:
-                yield whole(pd.concat(made, ignore_index=True))
+            before = pdf[keys].shift()
+            starts = np.flatnonzero(((pdf[keys] != before) & ~(pdf[keys].isna() & before.isna())).any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0))
+            rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
+            if len(starts) > 1:
+                yield block(pdf.iloc[: starts[-1]].reset_index(drop=True), starts)
         if rest is not None:
-            yield whole(fn(rest))
+            yield block(rest, np.array([0, len(rest)]))
+
+    order = places(df)
+    dealt = df.withColumn("_group_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
 
-    def whole(out: pd.DataFrame) -> pd.DataFrame:
-        """Texts as plain objects, as Arrow wants them; also those that are all missing."""
-        return out.assign(**{c: [x if isinstance(x, str) else None for x in out[c]] for c in texts}).astype(dict.fromkeys(texts, object))
+def _frame(made: pd.DataFrame, n: int, columns: list[str]) -> dict:
+    """The columns of what a function made of n records, which have to be as many."""
+    if len(made) != n:
+        raise ValueError(f"{n} records went in and {len(made)} came out")
+    return {c: made[c].to_numpy() for c in columns if c in made.columns}
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *places(df)).mapInPandas(run, schema)
+
+def _grouped(df: DataFrame, call: Callable[[pd.DataFrame], dict], schema: str, node: str | None) -> DataFrame:
+    """call over each delivery group, beside the envelope."""
+    kinds = dict(df.dtypes)
+    kept = [c for c in df.columns if c.startswith("_") and c not in ("_error", "_node", "_envelope")]
+    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), schema, "_error string", *(["_node string"] if node else [])])
+    return _by_group(df, ["_chunk", "_batch", "_group"], kept, call, full, node)
 
 
 def apply_groups(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, node: str | None = None) -> DataFrame:
     """A function over each delivery group, in order: as many rows out as in, paired by position; else, or on an exception, the whole group carries `_error` (and `_node`, the node's id, if one is given). The envelope passes through."""
-    keys, kinds = [c for c in df.columns if c.startswith("_") and c not in ("_error", "_node")], dict(df.dtypes)
+    columns = df.sparkSession.createDataFrame([], schema).columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        try:
-            made = fn(pdf.drop(columns=[c for c in pdf.columns if c.startswith("_")])).reset_index(drop=True)
-            if len(made) != len(pdf):
-                raise ValueError(f"{len(pdf)} records went in and {len(made)} came out")
-            made["_error"] = None
-        except Exception as e:
-            made = pd.DataFrame({"_error": [str(e)] * len(pdf), "_node": [node] * len(pdf)})
-        return pd.concat([pdf[keys], made], axis=1).reindex(columns=names)
-
-    full = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), schema, "_error string", *(["_node string"] if node else [])])
-    names = df.sparkSession.createDataFrame([], full).columns
-    return _by_group(df, ["_chunk", "_batch", "_group"], run, full)
+    def call(own: pd.DataFrame) -> dict:
+        n = len(own)
+        return _frame(fn(own), n, columns)
+
+    return _grouped(df, call, schema, node)
 
 
 def apply_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame | dict | list], schema: str, single_request: bool, node: str | None = None) -> DataFrame:
     """A function over each delivery group that rewrites its records (a frame, as in apply_groups()) or gives one payload for all of them (an object or array), which goes to `_envelope` as JSON beside the group's first record; that is for destinations that take a group in one request, and for others every record of the group carries the error that says so."""
-    kinds = {f.name: f.dataType for f in df.sparkSession.createDataFrame([], schema).schema}
-    fields = [c for c in df.columns if not c.startswith("_")]
+    columns = df.sparkSession.createDataFrame([], schema).columns
+    known = {c for c in df.columns if not c.startswith("_")}.issuperset(columns)
 
-    def rewritten(own: pd.DataFrame) -> pd.DataFrame:
+    def call(own: pd.DataFrame) -> dict:
+        n = len(own)
         made = fn(own)
         if isinstance(made, pd.DataFrame):
-            made["_envelope"] = None
-            return made
+            return _frame(made, n, columns)
         if not single_request:
             raise ValueError("the function gave one payload for the whole group, and the destination writes records one by one")
-        out = own.reindex(columns=list(kinds)) if set(kinds) <= set(fields) else pd.DataFrame(index=own.index, columns=list(kinds), dtype=object)
-        out["_envelope"] = [json.dumps(made, ensure_ascii=False), *[None] * (len(own) - 1)]
-        return out
+        body = np.full(n, None, object)
+        body[0] = json.dumps(made, ensure_ascii=False)
+        return ({c: own[c].to_numpy() for c in columns} if known else {}) | {"_envelope": body}
 
-    return apply_groups(df, rewritten, f"{schema}, _envelope string", node)
+    return _grouped(df, call, f"{schema}, _envelope string", node)
 
 
 def envelopes(df: DataFrame, fields: list[str], wrap: str | None = None) -> DataFrame:
@@ -366,22 +405,17 @@ def run_splitter(df: DataFrame, fn: Callable[[pd.DataFrame], list], name: str =
     kinds = [f"`{c}` {t}" for c, t in df.dtypes if c not in (name, "_error")]
     kept = [c for c in df.columns if c not in (name, "_error")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)[kept]
-        labels, error = [None] * len(pdf), None
-        try:
-            made = list(fn(pdf.drop(columns=[c for c in kept if c.startswith("_")])))
-            wrong = next((type(x).__name__ for x in made if x is not None and (isinstance(x, bool) or not isinstance(x, (str, int, float, np.integer, np.floating)))), None)
-            if len(made) != len(pdf):
-                raise ValueError(f"{len(pdf)} records went in and {len(made)} labels came out")
-            if wrong:
-                raise ValueError(f"a label is a {wrong}")
-            labels = [None if x is None else str(x) for x in made]
-        except Exception as e:  # what a user's function throws is data
-            error = str(e)
-        return pdf.assign(**{name: labels, "_error": error})
-
-    return _by_group(df, ["_chunk", "_batch"], run, ", ".join([*kinds, f"`{name}` string", "_error string"]))
+    def call(own: pd.DataFrame) -> dict:
+        n = len(own)
+        made = list(fn(own))
+        wrong = next((type(x).__name__ for x in made if x is not None and (isinstance(x, bool) or not isinstance(x, (str, int, float, np.integer, np.floating)))), None)
+        if len(made) != n:
+            raise ValueError(f"{n} records went in and {len(made)} labels came out")
+        if wrong:
+            raise ValueError(f"a label is a {wrong}")
+        return {name: np.array([*(None if x is None else str(x) for x in made), None], object)[:-1]}
+
+    return _by_group(df, ["_chunk", "_batch"], kept, call, ", ".join([*kinds, f"`{name}` string", "_error string"]))
 
 
 def try_out(df: DataFrame, fn: Callable[[dict], object], schema: str, n: int = 10) -> DataFrame:

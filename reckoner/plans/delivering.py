@@ -17,8 +17,10 @@ CHUNK = 1_000
 
 def _orders(spark, sf_dir):
     """orders in chunks of CHUNK rows, as many as the table needs, with a place in each and the size of the record."""
-    rows = chunks.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    rows = chunks.numbered(orders, ["o_orderkey"])
     df = rows.withColumns({"_chunk": F.floor(F.col("_row") / CHUNK).cast("int"), "_seq": F.col("_row") % CHUNK + 1}).drop("_row")
+    df = df.repartition(chunks.tasks(orders), "_chunk")  # what goes on by chunk, batch or group stays there
     return df.withColumn("_bytes", F.length("o_orderpriority") + 20)
 
 
@@ -61,8 +63,8 @@ def fanout_twice(spark, sf_dir):
 
 def fanout_groups(spark, sf_dir):
     """A function over groups of siblings keeps each one's place and envelope."""
-    df = delivery.assign_groups(delivery.assign_batches(_siblings(spark, sf_dir), 40), 30)
-    out = delivery.apply_groups(df, lambda pdf: pdf[["o_orderkey", "item"]], "o_orderkey long, item string")
+    df = delivery.assign_groups(delivery.assign_batches(_siblings(spark, sf_dir).select("_chunk", "_seq", "_ordinal", "o_orderkey", "item"), 40), 30)
+    out = delivery.apply_groups(df, lambda pdf: pdf, "o_orderkey long, item string")
     return out.select(F.col("_chunk").alias("chunk"), F.col("_seq").alias("seq"), F.col("_ordinal").alias("ordinal"), "o_orderkey", "item")
 
 

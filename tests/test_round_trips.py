@@ -352,3 +352,11 @@ def test_lookups_of_any_size(spark, small, monkeypatch):
     assert got == sorted([(1, "one"), (2, "two"), (3, "3"), (None, None), (None, None), (2, "two")], key=str)
     other = {(r.k, r.said) for r in mapper.translated(df.drop("_salt"), "k", lookup, "code", "name", "said", F.lit("?")).collect()}
     assert other == {(1, "one"), (2, "two"), (3, "?"), (None, "?")}
+
+
+def test_groups_that_lie_by_chunk_are_not_shuffled_again(spark):
+    df = spark.range(200).select((F.col("id") % 2).cast("int").alias("_chunk"), F.floor(F.col("id") / 2).alias("_seq"), F.col("id").alias("v"))
+    df = delivery.assign_groups(delivery.assign_batches(df.withColumn("_seq", F.col("_seq") + 1).repartition(3, "_chunk"), 40), 30)
+    out = delivery.apply_groups(df, lambda pdf: pdf, "v long")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(r["v"] for r in out.collect()) == list(range(200))
