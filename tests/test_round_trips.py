@@ -360,3 +360,19 @@ def test_groups_that_lie_by_chunk_are_not_shuffled_again(spark):
     out = delivery.apply_groups(df, lambda pdf: pdf, "v long")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(r["v"] for r in out.collect()) == list(range(200))
+
+
+def test_payloads_keep_whole_numbers_beside_failed_groups(spark):
+    big = (1 << 60) + 1
+    df = spark.range(40).select(F.lit(0).alias("_chunk"), F.lit(0).alias("_batch"), F.floor(F.col("id") / 20).cast("int").alias("_group"), F.col("id").alias("_seq"), (F.col("id") + big).alias("v")).coalesce(1)
+
+    def wrap(pdf):
+        if pdf["v"].iloc[0] == big:
+            raise ValueError("no")
+        return {"n": len(pdf)}
+
+    out = delivery.apply_batches(df, wrap, "v long", single_request=True, node="w").orderBy("_seq").collect()
+    assert [r["v"] for r in out] == [None] * 20 + [big + k for k in range(20, 40)]
+    assert [r["_envelope"] for r in out] == [None] * 20 + ['{"n": 20}'] + [None] * 19
+    assert {(r["_error"], r["_node"]) for r in out} == {("no", "w"), (None, None)}
+    assert delivery.apply_batches(delivery.assign_groups(df.drop("_group").repartition(2, "_chunk"), 20), wrap, "v long", single_request=True)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
