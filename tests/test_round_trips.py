@@ -376,3 +376,11 @@ def test_payloads_keep_whole_numbers_beside_failed_groups(spark):
     assert [r["_envelope"] for r in out] == [None] * 20 + ['{"n": 20}'] + [None] * 19
     assert {(r["_error"], r["_node"]) for r in out} == {("no", "w"), (None, None)}
     assert delivery.apply_batches(delivery.assign_groups(df.drop("_group").repartition(2, "_chunk"), 20), wrap, "v long", single_request=True)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rewritten_groups_keep_whole_numbers_beside_failed_ones(spark):
+    big = (1 << 60) + 1
+    df = spark.range(30).select(F.lit(0).alias("_chunk"), F.lit(0).alias("_batch"), F.floor(F.col("id") / 10).cast("int").alias("_group"), F.col("id").alias("_seq"), (F.col("id") + big).alias("v")).coalesce(1)
+    out = delivery.apply_groups(df, lambda pdf: pdf.head(1) if pdf["v"].iloc[0] == big else pdf.assign(v=pdf["v"] + 1), "v long").orderBy("_seq").collect()
+    assert [r["v"] for r in out] == [None] * 10 + [big + k + 1 for k in range(10, 30)]
+    assert [r["_error"] for r in out] == ["10 records went in and 1 came out"] * 10 + [None] * 20
