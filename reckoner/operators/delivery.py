@@ -259,12 +259,14 @@ def envelopes(df: DataFrame, fields: list[str], wrap: str | None = None) -> Data
     return df.groupBy("_chunk", "_batch", "_group").agg(F.count("*").alias("records"), body.alias("body"))
 
 
-def join_verdicts(df: DataFrame, answers: DataFrame) -> DataFrame:
-    """df with the outcome of each record from answers (`_chunk`, `_batch`, `_group`, index, code, message): those named are REJECTED, with NO_CODE and NO_REASON where the answer says nothing, the others WRITTEN; of several answers for a record the one with the least code and message counts, and indexes that don't exist are ignored."""
+def join_verdicts(df: DataFrame, answers: DataFrame, tasks: int | None = None) -> DataFrame:
+    """df with the outcome of each record from answers (`_chunk`, `_batch`, `_group`, index, code, message): those named are REJECTED, with NO_CODE and NO_REASON where the answer says nothing, the others WRITTEN; of several answers for a record the one with the least code and message counts, and indexes that don't exist are ignored. tasks: into how many the join is cut (chunks.tasks()); Spark's choice goes by compressed bytes, of which places and codes have very few."""
     keys = ["_chunk", "_batch", "_group"]
     placed = df.withColumn("_index", F.row_number().over(W.partitionBy(*keys).orderBy(*places(df))) - 1)
     said = F.struct(F.coalesce("code", F.lit(NO_CODE)).alias("code"), F.coalesce("message", F.lit(NO_REASON)).alias("message"))
     named = answers.where("index is not null").groupBy(*keys, F.col("index").alias("_index")).agg(F.min(said).alias("_said"))
+    if tasks:
+        placed, named = (x.repartition(tasks, *keys, "_index") for x in (placed, named))
     out = placed.join(named, [*keys, "_index"], "left").drop("_index", "code", "message")
     return out.withColumns({"code": F.col("_said.code"), "message": F.col("_said.message"), "outcome": F.when(F.col("_said").isNotNull(), "REJECTED").otherwise("WRITTEN")}).drop("_said")
 

@@ -384,3 +384,13 @@ def test_rewritten_groups_keep_whole_numbers_beside_failed_ones(spark):
     out = delivery.apply_groups(df, lambda pdf: pdf.head(1) if pdf["v"].iloc[0] == big else pdf.assign(v=pdf["v"] + 1), "v long").orderBy("_seq").collect()
     assert [r["v"] for r in out] == [None] * 10 + [big + k + 1 for k in range(10, 30)]
     assert [r["_error"] for r in out] == ["10 records went in and 1 came out"] * 10 + [None] * 20
+
+
+def test_verdicts_in_tasks_by_rows(spark):
+    df = spark.range(40).select(F.lit(0).alias("_chunk"), F.lit(0).alias("_batch"), F.floor(F.col("id") / 20).cast("int").alias("_group"), F.col("id").alias("_seq"))
+    answers = df.select("_chunk", "_batch", "_group", F.lit(3).alias("index"), F.lit("E").alias("code"), F.lit("m").alias("message")).distinct()
+    out = delivery.join_verdicts(df, answers, 7)
+    assert out._jdf.queryExecution().toString().count("7), REPARTITION_BY_NUM") >= 2
+    assert [r["_seq"] for r in out.where("outcome = 'REJECTED'").orderBy("_seq").collect()] == [3, 23]
+    assert chunks.tasks(spark.range(1_000_001), most=250_000) == 5
+    assert chunks.tasks(spark.range(0)) == 1
