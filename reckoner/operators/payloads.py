@@ -2,7 +2,8 @@
 
 A run writes two tables below one folder. `letters` has a dead letter for each record that failed (`_chunk`, `_seq`,
 `_ordinal`), with the hash of what was to be delivered and the hash of what had been read, where a transform made a
-difference. `payloads` has each content once, under its hash. Both are partitioned by run_id: a repeated run overwrites its
+difference. `payloads` has each content once, under its hash (32 bytes, which no codec makes smaller, so that they are
+neither staged nor dealt out where the content is), with what it was: `sent`, to be delivered, or `read`. Both are partitioned by run_id: a repeated run overwrites its
 own partitions, and a run that expires takes its payloads along.
 
 A replay reads these tables alone. The source is not asked again, and records are told apart by their places and not by
@@ -57,18 +58,23 @@ def letters(df: DataFrame, key: Column, occurred: Column, redact: dict[str, str]
 def store(df: DataFrame, folder: str, run_id: int) -> None:
     """Writes letters() of one run: the letters with hashes, and each payload once."""
     spark = df.sparkSession
-    named = df.withColumns({f"{c}_hash": F.sha2(c, 256) for c in ("record", "source")}).withColumn("run_id", F.lit(run_id).cast("long"))
+    named = df.withColumn("run_id", F.lit(run_id).cast("long"))
+
+    def hashed(column: str) -> Column:
+        return F.unhex(F.sha2(column, 256))
 
     def write(rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{folder}/{name}")
+        rows.write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="zstd").partitionBy("run_id").parquet(f"{folder}/{name}")
 
     # contents are written first, with all that a letter needs: a letter never points at a payload that isn't there
     staged = f"{folder}/_staged/{run_id}"
-    named.write.mode("overwrite").parquet(staged)
+    named.write.mode("overwrite").option("compression", "zstd").parquet(staged)
     held = spark.read.schema(named.schema).parquet(staged)
-    every = held.select("run_id", F.explode(F.array(*(F.struct(F.col(f"{c}_hash").alias("hash"), F.col(c).alias("payload")) for c in ("record", "source")))).alias("x")).select("run_id", "x.*").where("hash is not null")
-    write(every.groupBy("run_id", "hash").agg(F.first("payload").alias("payload")), "payloads")
-    write(held.drop("record", "source"), "letters")
+    alone = F.col("source").isNull()  # what was read is what was to be delivered
+    contents = F.array(F.struct(F.col("record").alias("payload"), F.lit(True).alias("sent"), alone.alias("read")), F.struct(F.col("source").alias("payload"), F.lit(False).alias("sent"), F.lit(True).alias("read")))
+    every = held.select("run_id", F.inline(contents)).where("payload is not null")
+    write(every.groupBy("run_id", "payload").agg(F.max("sent").alias("sent"), F.max("read").alias("read")).withColumn("hash", hashed("payload")), "payloads")
+    write(held.withColumns({f"{c}_hash": hashed(c) for c in ("record", "source")}).drop("record", "source"), "letters")
     where = spark._jvm.org.apache.hadoop.fs.Path(staged)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -100,7 +106,7 @@ def replay(spark: SparkSession, folder: str, run_id: int, transforms: bool = Tru
         wanted = wanted.groupBy("_chunk", "_seq").agg(F.array_sort(F.collect_set("_ordinal")).alias("_wanted"), F.min("record_key").alias("record_key"), F.min("hash").alias("hash"))  # as many ordinals as siblings
     else:
         wanted = wanted.select(*PLACE, "record_key", "hash")
-    found = stored(spark, folder, run_id, "payloads").select("hash", "payload")
+    found = stored(spark, folder, run_id, "payloads").where("read" if transforms else "sent").select("hash", "payload")
     return wanted.join(found, "hash").drop("hash").withColumn("_replay_of", F.lit(run_id).cast("long"))
 
 

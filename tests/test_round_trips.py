@@ -394,3 +394,13 @@ def test_verdicts_in_tasks_by_rows(spark):
     assert [r["_seq"] for r in out.where("outcome = 'REJECTED'").orderBy("_seq").collect()] == [3, 23]
     assert chunks.tasks(spark.range(1_000_001), most=250_000) == 5
     assert chunks.tasks(spark.range(0)) == 1
+
+
+def test_payloads_are_stored_by_short_hashes_with_their_parts(spark, tmp_path):
+    rows = [(0, 1, 0, "k", None, "E", "m", "E m", "a", "s"), (0, 2, 0, "k", None, "E", "m", "E m", "a", None), (0, 3, 0, "k", None, "E", "m", "E m", "b", "s")]
+    df = spark.createDataFrame(rows, "_chunk int, _seq long, _ordinal int, record_key string, node_id string, code string, message string, signature string, record string, source string")
+    payloads.store(df, str(tmp_path), 1)
+    held = {r["payload"]: (r["sent"], r["read"], len(r["hash"])) for r in payloads.stored(spark, str(tmp_path), 1, "payloads").collect()}
+    assert held == {"a": (True, True, 32), "b": (True, False, 32), "s": (False, True, 32)}
+    assert sorted(r["payload"] for r in payloads.replay(spark, str(tmp_path), 1).collect()) == ["a", "s", "s"]
+    assert sorted(r["payload"] for r in payloads.replay(spark, str(tmp_path), 1, transforms=False).collect()) == ["a", "a", "b"]
