@@ -4,8 +4,9 @@ What is behind the topic is a client: a class with `bounds()` (for each partitio
 last), `schema()` and `read(partition, first, last)` (Arrow batches). ParquetTopic takes the Parquet files of a folder as
 the partitions, in the order of their names, and the place of a row in its file as its offset.
 
-A read is planned once: the ranges of offsets that it will take are frozen, cut into pieces of `rowsPerPartition`, and a
-task that is run again takes the same rows. A stream takes `rowsPerBatch` rows at most from all partitions together in a
+A read is planned once: the ranges of offsets that it will take are frozen, cut into pieces of `rowsPerPartition` (wider
+ones where there would be more than MOST_PIECES, since each is a task of its own that opens its partition), and a
+task that is run again takes the same rows; it passes them on in batches, however many they are. A stream takes `rowsPerBatch` rows at most from all partitions together in a
 micro-batch; its offsets are the cursors in its checkpoint, so a restart goes on where the last committed batch ended. A
 batch that is planned before the position is known (the first after a restart may be) has no budget: it takes what there is,
 in pieces of the same size. A run that ends with what is there (availableNow) asks once how far to go, and so should have no
@@ -18,6 +19,7 @@ import importlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -27,6 +29,8 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 NAME = "reckoner_log"
+#: Pieces of a read, about.
+MOST_PIECES = 256
 #: Columns that say where a row comes from.
 PLACE = [StructField("_partition", StringType()), StructField("_offset", LongType())]
 
@@ -65,6 +69,8 @@ class ParquetTopic:
                 if at < last and end > first:  # other groups aren't read
                     place = at
                     for b in parquet.iter_batches(10_000, row_groups=[k]):
+                        if place >= last:
+                            return
                         low, high = max(first - place, 0), min(last - place, b.num_rows)
                         if low < high:
                             yield b.slice(low, high - low)
@@ -85,8 +91,9 @@ class Piece(InputPartition):
 
 
 def pieces(start: dict[str, int], end: dict[str, int], rows: int) -> list[Piece]:
-    """The ranges from start to end in pieces of `rows`; a partition that start doesn't name is new, and taken from 0."""
+    """The ranges from start to end in pieces of `rows`, or of as many as keep their number near MOST_PIECES; a partition that start doesn't name is new, and taken from 0."""
     out = []
+    rows = max(rows, -(-sum(max(0, end[p] - start.get(p, 0)) for p in end) // MOST_PIECES))
     for p in sorted(end):
         at = start.get(p, 0)
         while at < end[p]:
@@ -119,7 +126,7 @@ class _Rows:
         arrow, at = to_arrow_schema(self.schema), piece.first
         for b in _client(self.options).read(piece.partition, piece.first, piece.last):
             own = pa.Table.from_batches([b]).select([f.name for f in self.schema.fields[: -len(PLACE)]]).cast(pa.schema(list(arrow)[: -len(PLACE)])).combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([piece.partition] * b.num_rows, pa.string()), pa.array(range(at, at + b.num_rows), pa.int64())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.repeat(piece.partition, b.num_rows), pa.array(np.arange(at, at + b.num_rows))], schema=arrow)
             at += b.num_rows
         if at != piece.last:
             raise ValueError(f"partition {piece.partition} has no rows from {at} to {piece.last} any more")

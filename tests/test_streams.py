@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from reckoner.plans import streams
 from reckoner.sources import log
 from reckoner.streaming.keyed import KeyedTable, deduplicated, run_upserts
 from reckoner.streaming.runner import index_entries, run_stream
@@ -165,3 +166,12 @@ def test_repeats_within_a_delay_are_gone_and_late_ones_are_upserted(spark, tmp_p
     run_stream(deduplicated(stream, "id", "at", "10 minutes"), lambda b: b, str(tmp_path / "out"), str(tmp_path / "at")).awaitTermination()
     got = [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert set(got) == set(range(30)) and all(got.count(k) == 1 for k in range(3, 30))
+
+
+def test_pieces_of_a_large_topic_are_wider():
+    out = log.pieces({"a": 100}, {"a": 10_000_000, "b": 5_000}, 700)
+    assert len(out) <= log.MOST_PIECES + 2
+    assert [(p.first, p.last) for p in out if p.partition == "b"] == [(0, 5_000)]
+    own = [p for p in out if p.partition == "a"]
+    assert own[0].first == 100 and own[-1].last == 10_000_000 and all(x.last == y.first for x, y in zip(own, own[1:]))
+    assert [p.last - p.first for p in log.pieces({}, {"a": 1_500}, 700)] == [700, 700, 100]
