@@ -12,11 +12,21 @@ from reckoner.streaming.keyed import KeyedTable, deduplicated, run_upserts
 from reckoner.streaming.runner import index_entries, run_stream
 
 
+#: Messages of a file, at most: what one task gets.
+MESSAGES = 250_000
+
+
+def _sent(spark, df, rows: int, parts: int):
+    """df, of about `rows` rows, written as `parts` files, or as many times more as keep each at MESSAGES rows, and read as a stream, two of `parts` in a batch: so there are as many batches however large df is."""
+    source, times = folder(spark, "stream-in"), max(1, -(-rows // (parts * MESSAGES)))
+    df.repartition(parts * times).write.parquet(source)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2 * times).parquet(source)
+
+
 def _streamed(spark, df, transform, parts: int):
     """df written as files and read back as a stream, through transform, until there is nothing more."""
-    source, out, checkpoint = (folder(spark, k) for k in ("stream-in", "stream-out", "stream-at"))
-    df.repartition(parts).write.parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    out, checkpoint = (folder(spark, k) for k in ("stream-out", "stream-at"))
+    stream = _sent(spark, df, df.count(), parts)
     run_stream(stream, transform, out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
 
@@ -35,9 +45,8 @@ def stream_index_upsert(spark, sf_dir):
     """Messages of index entries, each sent twice, some broken, into a keyed table: it has each entry once, and the broken ones are dead letters."""
     every = _messages(spark, sf_dir)
     messages, broken = every.select("value"), every.where("event_id % 50 = 0").select(F.substring("value", 2, 40).alias("value"))
-    source, out, dead, checkpoint = (folder(spark, k) for k in ("stream-in", "keyed", "dead", "stream-at"))
-    messages.unionByName(messages).unionByName(broken).repartition(6).write.parquet(source)
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    out, dead, checkpoint = (folder(spark, k) for k in ("keyed", "dead", "stream-at"))
+    stream = _sent(spark, messages.unionByName(messages).unionByName(broken), 2 * table(spark, sf_dir, "events").count(), 6)
     kept = KeyedTable(spark, out, most_deltas=1)
     run_upserts(stream, lambda b: index_entries(b, _ENTRY), kept, dead, checkpoint).awaitTermination()
     counted = kept.read().groupBy("run_id", "outcome").agg(F.count("*").alias("records"))
@@ -48,9 +57,8 @@ def stream_index_upsert(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Entries that are sent again within the delay are gone before the upsert."""
     rows = _messages(spark, sf_dir).drop("event_id")
-    source, out, checkpoint = (folder(spark, k) for k in ("stream-in", "stream-out", "stream-at"))
-    rows.unionByName(rows).repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    out, checkpoint = (folder(spark, k) for k in ("stream-out", "stream-at"))
+    stream = _sent(spark, rows.unionByName(rows), 2 * table(spark, sf_dir, "events").count(), 4)
     run_stream(deduplicated(stream, "value", "occurred_at", "60 days"), lambda b: b, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).agg(F.count("*").alias("records"), F.countDistinct("value").alias("entries"))
 

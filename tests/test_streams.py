@@ -175,3 +175,14 @@ def test_pieces_of_a_large_topic_are_wider():
     own = [p for p in out if p.partition == "a"]
     assert own[0].first == 100 and own[-1].last == 10_000_000 and all(x.last == y.first for x, y in zip(own, own[1:]))
     assert [p.last - p.first for p in log.pieces({}, {"a": 1_500}, 700)] == [700, 700, 100]
+
+
+def test_messages_of_a_stream_are_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "folder", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(streams, "MESSAGES", 100)
+    batches = []
+    stream = streams._sent(spark, spark.range(1_000), 1_000, 4)
+    stream.writeStream.foreachBatch(lambda b, k: batches.append(b.count())).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    files = list((tmp_path / "stream-in").glob("*.parquet"))
+    assert len(files) == 12 and max(spark.read.parquet(str(f)).count() for f in files) <= 100
+    assert len(batches) == 2 and sum(batches) == 1_000
