@@ -32,6 +32,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/reckoner/{spark.conf.get('spark.app.id', 'application')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that goes to Python, at most.
+BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand rows to Python in batches of BATCH at most: a batch of texts is held several times over, outside of the heap by the executor and by its Python workers, and all of a pipeline's stages run in the same ones. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: later stages start from files, not from lineage."""
     path = scratch(df.sparkSession, name)

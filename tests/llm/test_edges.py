@@ -84,3 +84,18 @@ def test_stages_of_odd_rows(spark, odd, sf):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, df, sf).count() > 0, name
         assert stage(spark, df.limit(0), sf).count() == 0, name
+
+
+def test_stages_hand_small_batches_to_python(spark, monkeypatch):
+    from reckoner.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for held, then in (("10000", common.BATCH), ("0", common.BATCH), ("70", 70)):
+            spark.conf.set(name, held)
+            corpus_pipeline.drop_repeated_passages(spark, docs, "")
+            assert int(spark.conf.get(name)) == then
+    finally:
+        spark.conf.set(name, usual)
