@@ -208,10 +208,9 @@ def staged_export_manifest(spark, sf_dir):
 
 
 def jdbc_round_trip(spark, sf_dir):
-    url = f"jdbc:derby:memory:{abs(hash(folder(spark, 'db')))};create=true"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    readers.write_jdbc(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").coalesce(1), url, "customers", "overwrite", **driver)
-    return readers.read_jdbc(spark, url, "customers", ["\"c_custkey\"", "\"c_nationkey\"", "\"c_acctbal\""], "\"c_nationkey\" < 10", "\"c_custkey\"", 100, **driver)
+    """Customers in a database that every executor can open, read back in ranges of the key."""
+    url = readers.pack_derby(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "customers", "\"c_custkey\"")
+    return readers.read_jdbc(spark, url, "customers", ["\"c_custkey\"", "\"c_nationkey\"", "\"c_acctbal\""], "\"c_nationkey\" < 10", "\"c_custkey\"", 100, **readers.DERBY)
 
 
 def batch_payload(spark, sf_dir):

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import glob
 import math
+import os
+import tempfile
+import zipfile
 from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reckoner.operators.chunks import numbered, record_key
+from reckoner.sources.scratch import drop_folder, folder
 
 DELIMITERS = {"tab": "\t", "pipe": "|"}
 
+#: Connection properties of Derby, the one database whose driver Spark brings along.
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
 
 def read_delimited(spark: SparkSession, path: str, pattern: str = "*.csv", delimiter: str = ",", quote: str = '"', charset: str = "UTF-8", header: bool = True, empty_is_null: bool = False, key: list[str] | None = None, rows: bool = False) -> DataFrame:
     """All fields as text, trimmed; blank lines are skipped, missing trailing fields are null, and columns without a header are column_1 and so on. `_file` is the chunk: files are split and read in parallel. With key, `_key` is the record's key; with rows, `_row` is its place in the file from 1, which takes a window over each file."""
@@ -66,6 +76,58 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
     df.withColumns(nested).write.mode(mode).option("batchsize", batch).jdbc(url, table, properties=properties)
 
 
+def pack_derby(df: DataFrame, table: str, key: str) -> str:
+    """df as a table of a new Derby database, with an index on the key (quoted as in SQL); the URL (with DERBY) under which all processes of the application read it. Derby is a library: a database that is written belongs to the one process that opened it, and what executors write into one of that name is another. One that is closed and packed into a file can be read by any number of processes.
+
+    Tasks write the rows as files to the folder that driver and executors share, in ranges of the key. The driver makes the
+    table and has Derby load file after file: a stream, of which it holds Derby's pages in cache (1,000) and no rows, but in
+    one process; a table that has outgrown that belongs in a database on the network, which write_jdbc() fills from all
+    tasks. Columns of numbers, text, booleans and dates.
+    """
+    odd = [f.name for f in df.schema if not isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType))]
+    if odd:
+        raise ValueError(f"no columns of numbers, text, booleans or dates: {odd}")
+    spark = df.sparkSession
+    shared = folder(spark, "derby")
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared)
+    where = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    if where.getScheme() != "file":
+        raise ValueError(f"Derby can't open files at {where.toString()}: it takes a file system that driver and executors have mounted, or a database on the network")
+    path = where.getPath()
+    name = key.strip('"')
+    # texts in quotes, since Derby trims the others; nothing at all for null
+    text = lambda f: F.concat(F.lit('"'), F.replace(F.col(f"`{f.name}`"), F.lit('"'), F.lit('""')), F.lit('"')) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`").cast("string")
+    lines = df.repartitionByRange(F.col(f"`{name}`")).sortWithinPartitions(F.col(f"`{name}`")).select(F.concat_ws(",", *(F.coalesce(text(f), F.lit("")) for f in df.schema)))
+    lines.write.option("maxRecordsPerFile", 0).text(f"{shared}/rows")
+    with tempfile.TemporaryDirectory() as own:
+        url = f"jdbc:derby:{own}/db"
+        write_jdbc(df.where(F.lit(False)), f"{url};create=true", table, **DERBY)  # no task: the table alone
+        connect = spark._jvm.java.sql.DriverManager.getConnection
+        connection = connect(url)
+        try:
+            load = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(null, ?, ?, ',', '\"', 'UTF-8', 0)")
+            load.setString(1, table.upper())
+            for file in sorted(glob.glob(f"{glob.escape(path)}/rows/part-*.txt")):
+                load.setString(2, file)
+                load.execute()
+            connection.createStatement().execute(f"CREATE INDEX by_key ON {table} ({key})")
+        finally:
+            connection.close()
+            try:
+                connect(f"{url};shutdown=true")
+            except Py4JJavaError as e:
+                if e.java_exception.getSQLState() != "08006":  # which says that it is closed
+                    raise
+        # stored as it is: pages are read by their place in the file
+        with zipfile.ZipFile(f"{path}/db.jar", "w", zipfile.ZIP_STORED) as pack:
+            for top, _, files in os.walk(f"{own}/db"):
+                for file in files:
+                    if not file.endswith(".lck"):
+                        pack.write(os.path.join(top, file), os.path.relpath(os.path.join(top, file), own))
+    drop_folder(spark, f"{shared}/rows")
+    return f"jdbc:derby:jar:({path}/db.jar)db"
+
+
 def keyed_statement(dialect: str, table: str, columns: list[str], keys: list[str], mode: str) -> str:
     """One parametrised statement that inserts, or updates or ignores where the key exists, in a database's own words."""
     mode, rest = mode.upper(), [c for c in columns if c not in keys]

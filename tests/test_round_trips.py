@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import json
+import os
 import random
+import sys
+from datetime import date
 from decimal import Decimal
 from pathlib import Path
 
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reckoner.functions import paths
 from reckoner.operators import chunks, delivery, ledger, payloads, reports
-from reckoner.sources import normal
+from reckoner.sources import normal, readers
 
 # Chunk plans
 
@@ -404,3 +407,33 @@ def test_payloads_are_stored_by_short_hashes_with_their_parts(spark, tmp_path):
     assert held == {"a": (True, True, 32), "b": (True, False, 32), "s": (False, True, 32)}
     assert sorted(r["payload"] for r in payloads.replay(spark, str(tmp_path), 1).collect()) == ["a", "s", "s"]
     assert sorted(r["payload"] for r in payloads.replay(spark, str(tmp_path), 1, transforms=False).collect()) == ["a", "a", "b"]
+
+
+def test_packed_database_holds_any_text(spark):
+    texts = ["plain", "", None, "a,b", 'say "x"', "two\nlines", "cr\r\nlf", " spaces ", "\\", 'back\\"q', "ünï 漢 😀", '"', '""', "tab\t", "\r", "null", "'"]
+    rows = [(k, t, 0.1 * k if k % 2 else None, Decimal(10**17 + k) if k % 3 else None, k % 2 == 0 if k % 5 else None, date(1999, 12, 1 + k)) for k, t in enumerate(texts)]
+    rows += [(None, "no key", 1e-300, Decimal("1.25"), None, None), (3, "same key", None, None, True, None)]
+    df = spark.createDataFrame(rows, "`a key` long, t string, d double, n decimal(20,2), b boolean, day date")
+    back = spark.read.jdbc(readers.pack_derby(df, "odd", '"a key"'), "odd", properties=readers.DERBY)
+    assert back.dtypes == df.dtypes and sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    assert readers.read_jdbc(spark, readers.pack_derby(df.limit(0), "nothing", '"a key"'), "nothing", key='"a key"', **readers.DERBY).collect() == []
+    with pytest.raises(ValueError, match="when"):
+        readers.pack_derby(df.withColumn("when", F.current_timestamp()), "odd", '"a key"')
+
+
+def test_database_of_several_processes(sf, duck, tmp_path):
+    """Executors that are other processes than the driver read the database, too."""
+    import subprocess
+
+    code = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+e.queries()["jdbc_round_trip"](s, {sf!r}).write.parquet({str(tmp_path / "out")!r})
+s.stop()
+"""
+    top = str(Path(__file__).resolve().parent.parent)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": os.pathsep.join([top, os.environ.get("PYTHONPATH", "")])}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    got = duck.execute(f"SELECT c_custkey, c_nationkey, c_acctbal FROM '{tmp_path}/out/*.parquet' ORDER BY 1").fetchall()
+    assert got == duck.execute("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 10 ORDER BY 1").fetchall()
