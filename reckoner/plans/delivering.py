@@ -15,13 +15,13 @@ from reckoner.sources.scratch import folder
 CHUNK = 1_000
 
 
-def _orders(spark, sf_dir):
-    """orders in chunks of CHUNK rows, as many as the table needs, with a place in each and the size of the record."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+def _orders(spark, sf_dir, columns=("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")):
+    """orders in chunks of CHUNK rows, as many as the table needs, with a place in each and the size of the record; of all columns that a query may need, or of those that it names (without the priority there is no size)."""
+    orders = table(spark, sf_dir, "orders").select(*columns)
     rows = chunks.numbered(orders, ["o_orderkey"])
     df = rows.withColumns({"_chunk": F.floor(F.col("_row") / CHUNK).cast("int"), "_seq": F.col("_row") % CHUNK + 1}).drop("_row")
     df = df.repartition(chunks.tasks(orders), "_chunk")  # what goes on by chunk, batch or group stays there
-    return df.withColumn("_bytes", F.length("o_orderpriority") + 20)
+    return df.withColumn("_bytes", F.length("o_orderpriority") + 20) if "o_orderpriority" in columns else df
 
 
 _ORDERS = f"(SELECT * EXCLUDE (place), CAST((place - 1) // {CHUNK} AS INTEGER) AS chunk, (place - 1) % {CHUNK} + 1 AS seq FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders))"
@@ -215,7 +215,7 @@ def jdbc_round_trip(spark, sf_dir):
 
 def batch_payload(spark, sf_dir):
     """A function that makes one payload of each group: for a destination that takes a group in one request, and refused for one that writes records one by one."""
-    df = delivery.assign_groups(delivery.assign_batches(_orders(spark, sf_dir).select("_chunk", "_seq", "o_orderkey", "o_orderstatus"), 40), 20)
+    df = delivery.assign_groups(delivery.assign_batches(_orders(spark, sf_dir, ["o_orderkey"]), 40), 20)
 
     def wrap(pdf):
         return {"first": int(pdf["o_orderkey"].iloc[0]), "n": len(pdf)}

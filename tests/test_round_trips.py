@@ -437,3 +437,15 @@ s.stop()
     assert done.returncode == 0, done.stderr[-3000:]
     got = duck.execute(f"SELECT c_custkey, c_nationkey, c_acctbal FROM '{tmp_path}/out/*.parquet' ORDER BY 1").fetchall()
     assert got == duck.execute("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 10 ORDER BY 1").fetchall()
+
+
+@pytest.mark.parametrize(("name", "fields"), [("batch_payload", ["o_orderkey"])])
+def test_groups_take_along_what_their_function_reads(spark, sf, monkeypatch, name, fields):
+    from reckoner.plans import delivering
+
+    staged, grouped = [], []
+    numbered, by_group = chunks.numbered, delivery._by_group
+    monkeypatch.setattr(chunks, "numbered", lambda df, *a: staged.append(df.columns) or numbered(df, *a))
+    monkeypatch.setattr(delivery, "_by_group", lambda df, *a: grouped.append([c for c in df.columns if c not in ("_chunk", "_seq", "_batch", "_group")]) or by_group(df, *a))
+    delivering.QUERIES[name](spark, sf)
+    assert [sorted(c) for c in staged] == [fields] and grouped and all(sorted(c) == fields for c in grouped)
