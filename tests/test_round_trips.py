@@ -439,7 +439,7 @@ s.stop()
     assert got == duck.execute("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 10 ORDER BY 1").fetchall()
 
 
-@pytest.mark.parametrize(("name", "fields"), [("batch_payload", ["o_orderkey"])])
+@pytest.mark.parametrize(("name", "fields"), [("batch_payload", ["o_orderkey"]), ("batch_replace_stamp", ["o_custkey", "o_orderkey"])])
 def test_groups_take_along_what_their_function_reads(spark, sf, monkeypatch, name, fields):
     from reckoner.plans import delivering
 
