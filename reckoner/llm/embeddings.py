@@ -1,32 +1,46 @@
 """Near-duplicate vectors by a forest of random-projection trees (operator 5).
 
 Vectors are compared only within a label (and a dimension). Each tree splits a node of more than LEAF vectors at the
-median of the projections on a random direction; vectors within SPILL standard deviations of the projected difference of
-two vectors at the threshold go to both sides. Such a pair parts at a split only if its difference projects to more than
+median of the projections on a random direction, one for each level; vectors within SPILL standard deviations of the projected
+difference of two vectors at the threshold go to both sides. Such a pair parts at a split only if its difference projects to more than
 twice SPILL of them and the median falls between with both margins, less than once in a thousand splits; all TREES trees
 have to part it for a link to be missed. A node
 that spilling can't divide stays a leaf. Leaves compare all their pairs by exact cosines, large ones in tiles
 (links.py); every link is a verified pair.
 
+The cuts of the trees are fitted on FIT vectors for each LEAF of a label, FIT_MOST at most (FIT_BYTES of them), chosen by their hashes; they
+say only where a node is divided, and a cut beside the median makes one side larger, but loses nothing. All vectors then go down all trees at once,
+in batches, and are written and dealt out once, with the leaves that they came to. A label of more than about FIT_MOST / FIT_LEAST leaves
+has larger ones, which are cut into tiles. The driver holds 24 bytes for each cut.
+
 Equal vectors of a label are one node with a weight. Vectors that are null, zero or hold null or non-finite components, and
 those without a label, link with nothing; so do rows without a vec_id. Rows of equal vec_ids are rows of their own.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reckoner.llm import links
 from reckoner.llm.common import forget, saved, table
+from reckoner.llm.hashing import mix
 
-COSINE, TREES, LEAF, MOST_LEVELS = 0.98, 3, 2_000, 40
+COSINE, TREES, LEAF, MOST_LEVELS = 0.98, 3, 6_000, 40
 SPILL = 1.5
-#: Nodes of a level whose sizes and cuts are broadcast (about 50 bytes each).
+#: Vectors that a leaf's share of the fit has, all that a label has at most, in number and bytes, and the least that are divided further where they stand for more.
+FIT, FIT_MOST, FIT_BYTES, FIT_LEAST = 500, 50_000, 64 << 20, 32
+#: Labels or large leaves whose sizes are broadcast (about 50 bytes each).
 BROADCAST_NODES = 20_000
 
+#: Cuts of a part's trees: for each tree the paths of the nodes that are divided, in order, and their cuts.
+Model = dict[int, list[tuple[np.ndarray, np.ndarray]]]
+
 
 def _usable() -> Column:
     named = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -39,92 +53,184 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", "embedding").where(_usable()).withColumn("node", F.xxhash64("label", "embedding"))
 
 
-def _project(rows: DataFrame) -> DataFrame:
-    """rows (tree, path, node, part, vector) with p (projection on the direction of tree and path) and spill (the margin on each side)."""
-    names = ["tree", "path", "node", "part", "vector"]
+def _vectors(rows: DataFrame, kind: type) -> DataFrame:
+    """node, part (hash of label and dimension), weight, least (vec_id), vector (components as bytes, of the given kind): one row for each node."""
+    nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    numbers = F.col("embedding").cast("array<float>" if kind is np.float32 else "array<double>")
+    nodes = nodes.select("node", F.xxhash64("label", F.size("embedding")).alias("part"), "weight", "least", numbers.alias("embedding"))
+    names, size = ["node", "part", "weight", "least"], np.dtype(kind).itemsize
 
     def run(batches):
         for b in batches:
-            vectors = b.column("vector").to_pylist()
-            keys = np.stack([b.column("tree").to_numpy().astype(np.int64), b.column("path").to_numpy(), [len(v) // 8 for v in vectors]], 1)
-            p, spill = np.empty(len(vectors)), SPILL * np.sqrt((2 - 2 * COSINE) / np.maximum(keys[:, 2], 1))
-            nodes, who = np.unique(keys, axis=0, return_inverse=True)
-            order = np.argsort(who.reshape(-1), kind="stable")
-            ends = np.cumsum(np.bincount(who.reshape(-1), minlength=len(nodes)))
-            for (tree, path, size), rows in zip(nodes.tolist(), np.split(order, ends[:-1]), strict=True):
-                direction = np.random.default_rng([tree, path & 0xFFFFFFFF, path >> 32 & 0xFFFFFFFF, size]).standard_normal(size)
-                own = np.frombuffer(b"".join([vectors[k] for k in rows.tolist()]), np.float64).reshape(len(rows), size)
-                p[rows] = own @ (direction / np.linalg.norm(direction))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array(spill)], [*names, "p", "spill"])
+            lists = b.column("embedding")
+            at = (np.asarray(lists.offsets) - lists.offsets[0].as_py()) * size if len(lists) else np.zeros(1)
+            data = np.ascontiguousarray(np.asarray(lists.flatten()), kind)
+            vectors = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), vectors], [*names, "vector"])
+
+    return nodes.mapInArrow(run, f"node long, part long, weight long, least {rows.schema['vec_id'].dataType.simpleString()}, vector binary")
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    unit = vectors.astype(np.float64)
+    unit /= np.abs(unit).max(1, keepdims=True)
+    unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
+    return unit
+
+
+def _projections(unit: np.ndarray, tree: int, levels: int) -> np.ndarray:
+    """The rows' projections on the tree's directions, one for each level."""
+    size = unit.shape[1]
+    directions = np.array([np.random.default_rng([tree, level, size]).standard_normal(size) for level in range(levels)]).reshape(levels, size)
+    return unit @ (directions / np.linalg.norm(directions, axis=1, keepdims=True)).T
+
+
+def _margin(size: int) -> float:
+    return SPILL * np.sqrt((2 - 2 * COSINE) / size)
+
+
+def _grown(p: np.ndarray, margin: float, stands_for: float, leaf: int) -> tuple[list[int], list[float]]:
+    """Paths and cuts of the nodes of one tree that are divided; p: projections of some vectors on the directions of all levels, stands_for: vectors that each of them stands for."""
+    paths, cuts, open_nodes = [], [], [(1, 0, np.arange(len(p)))]
+    while open_nodes:
+        path, level, own = open_nodes.pop()
+        if len(own) * stands_for <= leaf or level == p.shape[1] or stands_for > 1 and len(own) < FIT_LEAST:
+            continue
+        low, cut, high = np.quantile(x := p[own, level], (0.1, 0.5, 0.9))
+        left, right = own[x <= cut + margin], own[x > cut - margin]
+        if high - low < 4 * margin or len(left) + len(right) > 1.4 * len(own):  # spilling can't divide it
+            continue
+        paths.append(path)
+        cuts.append(cut)
+        open_nodes += [(2 * path, level + 1, left), (2 * path + 1, level + 1, right)]
+    return paths, cuts
+
+
+def forest(nodes: DataFrame, kind: type) -> tuple[Model, list[DataFrame]]:
+    """Cuts of the trees of all parts with more vectors than a leaf, and the written tables that they were made from; nodes: node, part, vector."""
+    item, most_levels = np.dtype(kind).itemsize, MOST_LEVELS
+    sizes = nodes.groupBy("part").agg(F.count("*").alias("size"), F.first(F.octet_length("vector")).alias("bytes"))
+    leaf = F.least(F.lit(LEAF), F.greatest(F.lit(100), F.floor(F.lit(links.TILE_BYTES) / F.col("bytes")).cast("int")))  # fewer if they are long
+    share = F.least(F.lit(1.0), F.lit(FIT) / leaf, F.lit(FIT_MOST) / F.col("size"), F.lit(FIT_BYTES) / (F.col("size") * F.col("bytes")))
+    sizes = saved(sizes.where(F.col("size") > leaf).select("part", "size", leaf.alias("leaf"), share.alias("share")), "sizes")
+    chosen = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    some = nodes.join(_few(sizes), "part").where(chosen).select("part", "size", "leaf", "vector")
+
+    def grow(group: pa.Table) -> pa.Table:
+        width = len(group.column("vector")[0].as_py()) // item
+        one, size, leaf = (group.column(c)[0].as_py() for c in ("part", "size", "leaf"))
+        flat = [np.frombuffer(b"".join(c.to_pylist()), kind).reshape(-1, width) for c in group.column("vector").chunks if len(c)]
+        out = []
+        for tree in range(TREES):
+            p = np.concatenate([_projections(_unit(x[k : k + 1_000]), tree, most_levels) for x in flat for k in range(0, len(x), 1_000)])
+            paths, cuts = _grown(p, _margin(width), size / len(p), leaf)
+            out += [(tree, *x) for x in zip(paths, cuts, strict=True)]
+        trees, paths, cuts = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"part": pa.array([one] * len(out), pa.int64()), "tree": pa.array(trees, pa.int32()), "path": pa.array(paths, pa.int64()), "cut": pa.array(cuts, pa.float64())})
+
+    cuts = saved(some.groupBy("part").applyInArrow(grow, "part long, tree int, path long, cut double"), "cuts")
+    model: Model = {}
+    found = cuts.orderBy("part", "tree", "path").toArrow()
+    part, tree, path, cut = (found.column(c).to_numpy() for c in ("part", "tree", "path", "cut"))
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for s, e in itertools.pairwise(edges if len(part) else []):
+        at = [slice(s + int(np.searchsorted(tree[s:e], t)), s + int(np.searchsorted(tree[s:e], t, side="right"))) for t in range(TREES)]
+        if all(a.stop > a.start for a in at):  # a tree of one leaf compares all pairs of its part: the others have nothing to add
+            model[int(part[s])] = [(path[a].copy(), cut[a].copy()) for a in at]
+    return model, [sizes, cuts]
+
+
+def _reached(unit: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, trees and paths of all leaves that the rows come to."""
+    margin, out = _margin(unit.shape[1]), []
+    for tree, (paths, cuts) in enumerate(trees):
+        p = _projections(unit, tree, int(paths[-1]).bit_length())
+        row, path = np.arange(len(unit)), np.ones(len(unit), np.int64)
+        for level in range(p.shape[1] + 1):
+            at = np.minimum(np.searchsorted(paths, path), len(paths) - 1)
+            inner = paths[at] == path
+            out.append((row[~inner], np.full(int((~inner).sum()), tree), path[~inner]))
+            row, path, cut = row[inner], path[inner], cuts[at[inner]]
+            if not len(row):
+                break
+            left, right = p[row, level] <= cut + margin, p[row, level] > cut - margin
+            row, path = np.concatenate([row[left], row[right]]), np.concatenate([2 * path[left], 2 * path[right] + 1])
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
+
+def reach(nodes: DataFrame, model: Model, kind: type) -> DataFrame:
+    """node, weight, least, vector, others (all leaves that the node comes to, in order)."""
+    kept, item = ["node", "weight", "least", "vector"], np.dtype(kind).itemsize
+    known = np.sort(np.array(list(model), np.int64))
 
-    return rows.select(*names).mapInArrow(run, "tree int, path long, node long, part long, vector binary, p double, spill double")
+    def run(batches):
+        for b in batches:
+            part, vectors = b.column("part").to_numpy(), b.column("vector")
+            offsets = np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset : vectors.offset + len(vectors) + 1]
+            data = np.frombuffer(vectors.buffers()[2] or b"", np.uint8)
+            whole = np.flatnonzero(~np.isin(part, known))
+            rows, buckets = [whole], [mix(part[whole])]
+            for one in np.intersect1d(part, known):
+                own = np.flatnonzero(part == one)
+                size = int(offsets[own[0] + 1] - offsets[own[0]])
+                raw = np.lib.stride_tricks.sliding_window_view(data, size)[offsets[own]]
+                row, tree, path = _reached(_unit(raw.view(kind).reshape(len(own), size // item)), model[int(one)])
+                rows.append(own[row])
+                buckets.append(mix(mix(part[own[row]]) ^ (path.astype(np.uint64) * np.uint64(TREES) + tree.astype(np.uint64))))
+            row, bucket = np.concatenate(rows), np.concatenate(buckets).view(np.int64)
+            order = np.lexsort((bucket, row))
+            at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket[order]))], [*kept, "others"])
+
+    return nodes.select("part", *kept).mapInArrow(run, f"node long, weight long, least {nodes.schema['least'].dataType.simpleString()}, vector binary, others array<long>")
 
 
 def _few(rows: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is small enough; a label that a third of all vectors have is one key of the first levels, which have few keys."""
+    """A written table, to be broadcast if it is small enough."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
 
 
-def forest(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """bucket, node, size of all leaves with two nodes or more, and the written tables that they are read from; nodes: node, part (hash of label and dimension), vector (unit, as bytes)."""
-    level = nodes.withColumn("tree", F.explode(F.array(*map(F.lit, range(TREES))))).withColumn("path", F.lit(1).cast("long")).select("tree", "path", "node", "part", "vector")
-    leaves, where, made = None, ["tree", "path", "part"], []
-    for depth in range(MOST_LEVELS + 1):
-        sizes = saved(level.groupBy(*where).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        sized = level.join(_few(sizes), where)
-        small = F.col("size") <= LEAF if depth < MOST_LEVELS else F.lit(True)
-        bucket = F.xxhash64("part", "tree", "path", F.lit(depth)).alias("bucket")
-        done = sized.where(small).select(bucket, "node", "size")
-        large = _project(sized.where(~small))
-        cuts = large.groupBy(*where).agg(F.percentile_approx("p", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(1000)).alias("q"), F.max("spill").alias("s"), F.count("*").alias("size"))
-        cuts = saved(cuts, "cuts")
-        large = saved(large.drop("spill").join(_few(cuts), where), "forest")
-        made += [sizes, cuts, large]
-        stuck = F.col("q")[2] - F.col("q")[0] < 4 * F.col("s")
-        done = done.unionByName(large.where(stuck).select(bucket, "node", "size"))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        left, right = F.col("p") <= F.col("q")[1] + F.col("s"), F.col("p") > F.col("q")[1] - F.col("s")
-        # a path is its parent's with the side mixed in, so that depth does not end at 64 levels
-        sides = F.filter(F.array(F.when(left, F.xxhash64("path", F.lit(0))), F.when(right, F.xxhash64("path", F.lit(1)))), lambda x: x.isNotNull())
-        level = large.where(~stuck).select("tree", F.explode(sides).alias("path"), "node", "part", "vector")
-        if large.where(~stuck).isEmpty():
-            return leaves, made
-
-
-def _unit(rows: DataFrame) -> DataFrame:
-    """node, part, weight, vector: one row for each node, the vector of length 1 in double precision."""
-    nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("weight"))
-    nodes = nodes.select("node", "weight", F.xxhash64("label", F.size("embedding")).alias("part"), F.col("embedding").cast("array<double>").alias("embedding"))
-
-    def run(batches):
-        for b in batches:
-            unit = []
-            for x in b.column("embedding").to_pylist():
-                v = np.array(x)
-                v /= np.abs(v).max()
-                unit.append((v / np.sqrt(v @ v)).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "part", "weight")), pa.array(unit, pa.binary())], ["node", "part", "weight", "vector"])
+def _judge(kind: type) -> tuple:
+    """What links.linked() asks for: cosines in single precision, and in double precision where those could be on the wrong side."""
 
-    return nodes.mapInArrow(run, "node long, part long, weight long, vector binary")
+    def ready(right: links.Side) -> np.ndarray:
+        return _unit(right.matrix("vector", kind)).astype(np.float32)
 
+    def near(left: links.Side, right: links.Side, known: np.ndarray) -> np.ndarray:
+        mine = _unit(left.matrix("vector", kind))
+        error = (known.shape[1] + 8) * 2.0**-23  # of a sum of so many products whose sizes sum up to 1
+        rough = mine.astype(np.float32) @ known.T
+        hit = rough >= np.float32(COSINE - error)
+        sure = rough >= np.float32(COSINE + error)
+        if np.count_nonzero(hit) > np.count_nonzero(sure):
+            row, column = np.nonzero(hit & ~sure)
+            theirs = right.matrix("vector", kind)
+            for k in range(0, len(row), 10_000):
+                i, j = row[k : k + 10_000], column[k : k + 10_000]
+                hit[i, j] = np.einsum("ij,ij->i", mine[i], _unit(theirs[j])) >= COSINE
+        return hit
 
-def _near(left: links.Side, right: links.Side) -> np.ndarray:
-    return left.matrix("vector", np.float64) @ right.matrix("vector", np.float64).T >= COSINE
+    return near, ready
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id (least vec_id reachable by links, itself included), kept."""
+    kind = np.float32 if isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType) else np.float64
     rows = usable(vectors).select("vec_id", "label", "embedding", "node")
-    nodes = saved(_unit(rows), "vectors")
-    leaves, levels = forest(nodes.select("node", "part", "vector"))
-    leaves = saved(leaves, "leaves")
-    forget(*levels)
-    others = leaves.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("others"))
-    tiled = leaves.select("bucket", "node", links.tiles(F.col("size")).alias("tiles"))
-    found = saved(links.linked(tiled.join(nodes.select("node", "weight", "vector").join(others, "node"), "node"), _near, ["vector"]), "links")
+    nodes = saved(_vectors(rows, kind), "vectors")
+    model, spent = forest(nodes, kind)
+    leaves = saved(reach(nodes, model, kind).withColumn("bytes", F.octet_length("vector")), "leaves")
+    forget(nodes, *spent)
+    one = leaves.withColumn("bucket", F.explode("others"))
+    tiles = links.tiles(F.count("*"), F.sum("bytes")).alias("tiles")
+    large = saved(one.groupBy("bucket").agg(tiles).where("tiles > 1"), "sizes")
+    tiled = one.join(_few(large), "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    near, ready = _judge(kind)
+    found = saved(links.linked(tiled, near, ["vector"], ready), "links")
+    forget(large)
     linked, component = links.summary(found)
-    own = rows.groupBy("node").agg(F.min("vec_id").alias("least"))
-    nodes = nodes.select("node", "weight").join(own, "node").join(linked, "node", "left").join(component, "node", "left")
+    nodes = leaves.select("node", "weight", "least").join(linked, "node", "left").join(component, "node", "left")
     nodes = nodes.select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least")
     nodes = saved(nodes, "classes")
     classes = nodes.join(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "n_links", "component_id")

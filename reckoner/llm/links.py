@@ -65,14 +65,16 @@ class Side:
         return self.flat(name, kind)[0].reshape(len(self), -1)
 
 
-def _covered(left: Side, right: Side, bucket: int) -> np.ndarray:
-    """Which pairs meet in a lesser bucket."""
-    out = np.zeros((len(left), len(right)), bool)
+def _covered(left: Side, right: Side, bucket: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Which pairs of the given rows of both sides meet in a lesser bucket."""
+    out = np.zeros((len(rows), len(columns)), bool)
     sides = []
-    for s in (left, right):
+    for s, some in ((left, rows), (right, columns)):
         own, offsets = s.flat("others", np.int64)
-        who = np.repeat(np.arange(len(s)), np.diff(offsets))
-        keep = own < bucket
+        place = np.full(len(s), -1)
+        place[some] = np.arange(len(some))
+        who = np.repeat(place, np.diff(offsets))
+        keep = (own < bucket) & (who >= 0)
         order = np.argsort(own[keep], kind="stable")
         sides.append((own[keep][order], who[keep][order]))
     (a, x), (b, y) = sides
@@ -88,17 +90,16 @@ class Found:
     def __init__(self, weight: np.ndarray):
         self.weight, self.links, self.label = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
 
-    def add(self, hit: np.ndarray, row: int, column: int, both: bool) -> None:
-        """Links between the nodes from row on and those from column on; both: they count for the columns too."""
-        n, m = hit.shape
-        self.links[row : row + n] += hit @ self.weight[column : column + m]
+    def add(self, hit: np.ndarray, rows: np.ndarray, columns: np.ndarray, both: bool) -> None:
+        """Links between the nodes at rows and those at columns; both: they count for the columns too."""
+        self.links[rows] += hit @ self.weight[columns]
         if both:
-            self.links[column : column + m] += hit.T @ self.weight[row : row + n]
+            self.links[columns] += hit.T @ self.weight[rows]
         for k in np.flatnonzero(hit.any(1)):
-            near = self.label[column + np.flatnonzero(hit[k])]
-            least = min(int(near.min()), int(self.label[row + k]))
-            if self.label[row + k] != least or (near != least).any():
-                self.label[np.isin(self.label, np.append(near, self.label[row + k]))] = least
+            near, own = self.label[columns[hit[k]]], int(self.label[rows[k]])
+            least = min(int(near.min()), own)
+            if own != least or (near != least).any():
+                self.label[np.isin(self.label, np.append(near, own))] = least
 
 
 KEY = ("bucket", "a", "b")
@@ -158,9 +159,10 @@ def linked(rows: DataFrame, judge: Callable[..., np.ndarray], payload: list[str]
                     hit = judge(left, right, keep) if prepare else judge(left, right)
                     if square:
                         hit[np.arange(len(left)), k - s + np.arange(len(left))] = False
-                    if hit.any():
-                        hit &= ~_covered(left, right, int(bucket[s]))
-                        found.add(hit, k - s, right.first - s, not square)
+                    if len(rows := np.flatnonzero(hit.any(1))):
+                        across = np.flatnonzero(hit[rows].any(0))
+                        hit = hit[np.ix_(rows, across)] & ~_covered(left, right, int(bucket[s]), rows, across)
+                        found.add(hit, rows + k - s, across + right.first - s, not square)
                 has = found.links > 0
                 if has.any():
                     out.append((np.full(int(has.sum()), bucket[s]), node[s:e][has], found.links[has], node[s:e][found.label][has]))
