@@ -10,7 +10,9 @@ that spilling can't divide stays a leaf. Leaves compare all their pairs by exact
 
 The cuts of the trees are fitted on FIT vectors for each LEAF of a label, FIT_MOST at most (FIT_BYTES of them), chosen by their hashes; they
 say only where a node is divided, and a cut beside the median makes one side larger, but loses nothing. All vectors then go down all trees at once,
-in batches, and are written and dealt out once, with the leaves that they came to. A label of more than about FIT_MOST / FIT_LEAST leaves
+in batches, and are written once, with the leaves that they came to. They are dealt out by groups, the first nodes of a tree that have GROUP_BYTES of
+vectors at most (less where that gives too few groups for all cores), or all trees of a smaller label: whoever gets a group compares the leaves below. A group of over
+twice as much, a leaf that wasn't divided, is cut into tiles. A label of more than about FIT_MOST / FIT_LEAST leaves
 has larger ones, which are cut into tiles. The driver holds 24 bytes for each cut.
 
 Equal vectors of a label are one node with a weight. Vectors that are null, zero or hold null or non-finite components, and
@@ -35,11 +37,14 @@ COSINE, TREES, LEAF, MOST_LEVELS = 0.98, 3, 6_000, 40
 SPILL = 1.5
 #: Vectors that a leaf's share of the fit has, all that a label has at most, in number and bytes, and the least that are divided further where they stand for more.
 FIT, FIT_MOST, FIT_BYTES, FIT_LEAST = 500, 50_000, 64 << 20, 32
+#: Vectors that go to one task together for all leaves that they come to there, and groups for each core where they are fewer.
+GROUP_BYTES, GROUPS = 24 << 20, 3
 #: Labels or large leaves whose sizes are broadcast (about 50 bytes each).
 BROADCAST_NODES = 20_000
 
-#: Cuts of a part's trees: for each tree the paths of the nodes that are divided, in order, and their cuts.
-Model = dict[int, list[tuple[np.ndarray, np.ndarray]]]
+#: Cuts of a part's trees: for each tree the paths of the nodes that are divided, in order, their cuts, and about how many vectors they have.
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
+Model = dict[int, list[Tree]]
 
 
 def _usable() -> Column:
@@ -90,9 +95,9 @@ def _margin(size: int) -> float:
     return SPILL * np.sqrt((2 - 2 * COSINE) / size)
 
 
-def _grown(p: np.ndarray, margin: float, stands_for: float, leaf: int) -> tuple[list[int], list[float]]:
-    """Paths and cuts of the nodes of one tree that are divided; p: projections of some vectors on the directions of all levels, stands_for: vectors that each of them stands for."""
-    paths, cuts, open_nodes = [], [], [(1, 0, np.arange(len(p)))]
+def _grown(p: np.ndarray, margin: float, stands_for: float, leaf: int) -> list[tuple[int, float, float]]:
+    """Paths, cuts and sizes of the nodes of one tree that are divided; p: projections of some vectors on the directions of all levels, stands_for: vectors that each of them stands for."""
+    divided, open_nodes = [], [(1, 0, np.arange(len(p)))]
     while open_nodes:
         path, level, own = open_nodes.pop()
         if len(own) * stands_for <= leaf or level == p.shape[1] or stands_for > 1 and len(own) < FIT_LEAST:
@@ -101,19 +106,18 @@ def _grown(p: np.ndarray, margin: float, stands_for: float, leaf: int) -> tuple[
         left, right = own[x <= cut + margin], own[x > cut - margin]
         if high - low < 4 * margin or len(left) + len(right) > 1.4 * len(own):  # spilling can't divide it
             continue
-        paths.append(path)
-        cuts.append(cut)
+        divided.append((path, float(cut), len(own) * stands_for))
         open_nodes += [(2 * path, level + 1, left), (2 * path + 1, level + 1, right)]
-    return paths, cuts
+    return divided
 
 
-def forest(nodes: DataFrame, kind: type) -> tuple[Model, list[DataFrame]]:
-    """Cuts of the trees of all parts with more vectors than a leaf, and the written tables that they were made from; nodes: node, part, vector."""
+def forest(nodes: DataFrame, kind: type) -> tuple[Model, int, list[DataFrame]]:
+    """Cuts of the trees of all parts with more vectors than a leaf, bytes of their vectors, and the written tables that they were made from; nodes: node, part, vector."""
     item, most_levels = np.dtype(kind).itemsize, MOST_LEVELS
     sizes = nodes.groupBy("part").agg(F.count("*").alias("size"), F.first(F.octet_length("vector")).alias("bytes"))
     leaf = F.least(F.lit(LEAF), F.greatest(F.lit(100), F.floor(F.lit(links.TILE_BYTES) / F.col("bytes")).cast("int")))  # fewer if they are long
     share = F.least(F.lit(1.0), F.lit(FIT) / leaf, F.lit(FIT_MOST) / F.col("size"), F.lit(FIT_BYTES) / (F.col("size") * F.col("bytes")))
-    sizes = saved(sizes.where(F.col("size") > leaf).select("part", "size", leaf.alias("leaf"), share.alias("share")), "sizes")
+    sizes = saved(sizes.where(F.col("size") > leaf).select("part", "size", "bytes", leaf.alias("leaf"), share.alias("share")), "sizes")
     chosen = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     some = nodes.join(_few(sizes), "part").where(chosen).select("part", "size", "leaf", "vector")
 
@@ -124,43 +128,50 @@ def forest(nodes: DataFrame, kind: type) -> tuple[Model, list[DataFrame]]:
         out = []
         for tree in range(TREES):
             p = np.concatenate([_projections(_unit(x[k : k + 1_000]), tree, most_levels) for x in flat for k in range(0, len(x), 1_000)])
-            paths, cuts = _grown(p, _margin(width), size / len(p), leaf)
-            out += [(tree, *x) for x in zip(paths, cuts, strict=True)]
-        trees, paths, cuts = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"part": pa.array([one] * len(out), pa.int64()), "tree": pa.array(trees, pa.int32()), "path": pa.array(paths, pa.int64()), "cut": pa.array(cuts, pa.float64())})
+            out += [(one, tree, *x) for x in _grown(p, _margin(width), size / len(p), leaf)]
+        columns = zip(*out, strict=True) if out else [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["part", "tree", "path", "cut", "vectors"])
 
-    cuts = saved(some.groupBy("part").applyInArrow(grow, "part long, tree int, path long, cut double"), "cuts")
+    cuts = saved(some.groupBy("part").applyInArrow(grow, "part long, tree int, path long, cut double, vectors double"), "cuts")
     model: Model = {}
     found = cuts.orderBy("part", "tree", "path").toArrow()
-    part, tree, path, cut = (found.column(c).to_numpy() for c in ("part", "tree", "path", "cut"))
+    part, tree, path, cut, vectors = (found.column(c).to_numpy() for c in found.column_names)
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
     for s, e in itertools.pairwise(edges if len(part) else []):
         at = [slice(s + int(np.searchsorted(tree[s:e], t)), s + int(np.searchsorted(tree[s:e], t, side="right"))) for t in range(TREES)]
         if all(a.stop > a.start for a in at):  # a tree of one leaf compares all pairs of its part: the others have nothing to add
-            model[int(part[s])] = [(path[a].copy(), cut[a].copy()) for a in at]
-    return model, [sizes, cuts]
+            model[int(part[s])] = [(path[a].copy(), cut[a].copy(), vectors[a].copy()) for a in at]
+    return model, sizes.agg(F.sum(F.col("size") * F.col("bytes"))).first()[0] or 0, [sizes, cuts]
 
 
-def _reached(unit: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, trees and paths of all leaves that the rows come to."""
+def _reached(unit: np.ndarray, trees: list[Tree], group: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, trees and paths of all leaves that the rows come to, and the path of the first node above each that has at most so many vectors as a group, or of the leaf."""
     margin, out = _margin(unit.shape[1]), []
-    for tree, (paths, cuts) in enumerate(trees):
+    for tree, (paths, cuts, vectors) in enumerate(trees):
         p = _projections(unit, tree, int(paths[-1]).bit_length())
-        row, path = np.arange(len(unit)), np.ones(len(unit), np.int64)
+        row, path, above = np.arange(len(unit)), np.ones(len(unit), np.int64), np.zeros(len(unit), np.int64)
         for level in range(p.shape[1] + 1):
             at = np.minimum(np.searchsorted(paths, path), len(paths) - 1)
             inner = paths[at] == path
-            out.append((row[~inner], np.full(int((~inner).sum()), tree), path[~inner]))
-            row, path, cut = row[inner], path[inner], cuts[at[inner]]
+            above = np.where((above == 0) & (~inner | (vectors[at] <= group)), path, above)
+            out.append((row[~inner], np.full(int((~inner).sum()), tree), path[~inner], above[~inner]))
+            row, path, above, cut = row[inner], path[inner], above[inner], cuts[at[inner]]
             if not len(row):
                 break
             left, right = p[row, level] <= cut + margin, p[row, level] > cut - margin
-            row, path = np.concatenate([row[left], row[right]]), np.concatenate([2 * path[left], 2 * path[right] + 1])
-    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+            row, above = np.concatenate([row[left], row[right]]), np.concatenate([above[left], above[right]])
+            path = np.concatenate([2 * path[left], 2 * path[right] + 1])
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
 
 
-def reach(nodes: DataFrame, model: Model, kind: type) -> DataFrame:
-    """node, weight, least, vector, others (all leaves that the node comes to, in order)."""
+def _named(part: np.ndarray, tree: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Names of nodes of trees; the root has one name in all trees of a part."""
+    return mix(mix(part) ^ np.where(path == 1, 1, path * TREES + tree).astype(np.uint64)).view(np.int64)
+
+
+def reach(nodes: DataFrame, model: Model, kind: type, group_bytes: int) -> DataFrame:
+    """node, weight, least, vector, others (all leaves that the node comes to, in order) and dealt (its groups, and which of its leaves are within each)."""
     kept, item = ["node", "weight", "least", "vector"], np.dtype(kind).itemsize
     known = np.sort(np.array(list(model), np.int64))
 
@@ -170,20 +181,28 @@ def reach(nodes: DataFrame, model: Model, kind: type) -> DataFrame:
             offsets = np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset : vectors.offset + len(vectors) + 1]
             data = np.frombuffer(vectors.buffers()[2] or b"", np.uint8)
             whole = np.flatnonzero(~np.isin(part, known))
-            rows, buckets = [whole], [mix(part[whole])]
-            for one in np.intersect1d(part, known):
-                own = np.flatnonzero(part == one)
+            one = np.ones(len(whole), np.int64)
+            found = [(whole, _named(part[whole], 0 * one, one), _named(part[whole], 0 * one, one))]
+            for k in np.intersect1d(part, known):
+                own = np.flatnonzero(part == k)
                 size = int(offsets[own[0] + 1] - offsets[own[0]])
                 raw = np.lib.stride_tricks.sliding_window_view(data, size)[offsets[own]]
-                row, tree, path = _reached(_unit(raw.view(kind).reshape(len(own), size // item)), model[int(one)])
-                rows.append(own[row])
-                buckets.append(mix(mix(part[own[row]]) ^ (path.astype(np.uint64) * np.uint64(TREES) + tree.astype(np.uint64))))
-            row, bucket = np.concatenate(rows), np.concatenate(buckets).view(np.int64)
-            order = np.lexsort((bucket, row))
+                row, tree, path, above = _reached(_unit(raw.view(kind).reshape(len(own), size // item)), model[int(k)], group_bytes / size)
+                found.append((own[row], _named(part[own[row]], tree, path), _named(part[own[row]], tree, above)))
+            row, leaf, group = (np.concatenate([x[k] for x in found]) for k in range(3))
+            order = np.lexsort((leaf, row))
             at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket[order]))], [*kept, "others"])
+            others = pa.ListArray.from_arrays(pa.array(at), pa.array(leaf[order]))
+            order = np.lexsort((leaf, group, row))
+            row, leaf, group = row[order], leaf[order], group[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(group) != 0)])[: len(row)])
+            within = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(leaf))
+            groups = pa.StructArray.from_arrays([pa.array(group[first]), within], ["bucket", "within"])
+            at = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(part)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), others, pa.ListArray.from_arrays(pa.array(at), groups)], [*kept, "others", "dealt"])
 
-    return nodes.select("part", *kept).mapInArrow(run, f"node long, weight long, least {nodes.schema['least'].dataType.simpleString()}, vector binary, others array<long>")
+    least = nodes.schema["least"].dataType.simpleString()
+    return nodes.select("part", *kept).mapInArrow(run, f"node long, weight long, least {least}, vector binary, others array<long>, dealt array<struct<bucket:long,within:array<long>>>")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -191,24 +210,44 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
 
 
+def _part(unit: np.ndarray, other: bool) -> np.ndarray:
+    """A fourth of the components, and two more, by which the product of a vector and another is minus half of the squared distance in these."""
+    some = unit[:, ::4]
+    half, one = -np.einsum("ij,ij->i", some, some)[:, None] / 2, np.ones((len(unit), 1))
+    return np.hstack([some, one, half] if other else [some, half, one]).astype(np.float32)
+
+
 def _judge(kind: type) -> tuple:
-    """What links.linked() asks for: cosines in single precision, and in double precision where those could be on the wrong side."""
-
-    def ready(right: links.Side) -> np.ndarray:
-        return _unit(right.matrix("vector", kind)).astype(np.float32)
-
-    def near(left: links.Side, right: links.Side, known: np.ndarray) -> np.ndarray:
-        mine = _unit(left.matrix("vector", kind))
-        error = (known.shape[1] + 8) * 2.0**-23  # of a sum of so many products whose sizes sum up to 1
-        rough = mine.astype(np.float32) @ known.T
-        hit = rough >= np.float32(COSINE - error)
-        sure = rough >= np.float32(COSINE + error)
-        if np.count_nonzero(hit) > np.count_nonzero(sure):
-            row, column = np.nonzero(hit & ~sure)
-            theirs = right.matrix("vector", kind)
-            for k in range(0, len(row), 10_000):
-                i, j = row[k : k + 10_000], column[k : k + 10_000]
-                hit[i, j] = np.einsum("ij,ij->i", mine[i], _unit(theirs[j])) >= COSINE
+    """What links.linked() asks for. A fourth of the components rules most pairs out, since two vectors at the threshold are not farther apart in these than in all.
+    The others are judged in double precision, or, where they are many, all pairs in single precision and in double where that could be on the wrong side."""
+
+    def ready(right: links.Side) -> tuple[np.ndarray, np.ndarray, int]:
+        unit = _unit(right.matrix("vector", kind))
+        part = _part(unit, True)
+        none = np.zeros((7, part.shape[1]), np.float32)
+        none[:, -1] = -2  # rows by eights have no pairs beyond the tile
+        return np.vstack([part, none]), unit.astype(np.float32), right.first
+
+    def near(left: links.Side, right: links.Side, known: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+        part, unit, first = known
+        mine, begin, n = _unit(left.matrix("vector", kind)), right.first - first, len(right)
+        error = (unit.shape[1] + 8) * 2.0**-23  # of a sum of so many products whose sizes sum up to 1
+        wide = -(-n // 8) * 8
+        maybe = (_part(mine, False) @ part[begin : begin + wide].T >= np.float32(COSINE - 1 - 2 * error)).view(np.uint64)
+        at = np.flatnonzero(maybe)
+        row, column = np.divmod(at, wide // 8)
+        bit, byte = np.nonzero(maybe.reshape(-1)[at][:, None].view(bool))
+        row, column = row[bit], column[bit] * 8 + byte
+        row, column = row[column < n], column[column < n]
+        hit = np.zeros((len(left), n), bool)
+        if len(row) * 50 > hit.size:
+            rough = mine.astype(np.float32) @ unit[begin : begin + n].T
+            hit = rough >= np.float32(COSINE + error)
+            row, column = np.nonzero((rough >= np.float32(COSINE - error)) & ~hit)
+        theirs = right.matrix("vector", kind)
+        for k in range(0, len(row), 10_000):
+            i, j = row[k : k + 10_000], column[k : k + 10_000]
+            hit[i, j] = np.einsum("ij,ij->i", mine[i], _unit(theirs[j])) >= COSINE
         return hit
 
     return near, ready
@@ -219,12 +258,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     kind = np.float32 if isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType) else np.float64
     rows = usable(vectors).select("vec_id", "label", "embedding", "node")
     nodes = saved(_vectors(rows, kind), "vectors")
-    model, spent = forest(nodes, kind)
-    leaves = saved(reach(nodes, model, kind).withColumn("bytes", F.octet_length("vector")), "leaves")
+    model, divided, spent = forest(nodes, kind)
+    group = min(GROUP_BYTES, divided // (GROUPS * vectors.sparkSession.sparkContext.defaultParallelism))
+    leaves = saved(reach(nodes, model, kind, group).withColumn("bytes", F.octet_length("vector")), "leaves")
     forget(nodes, *spent)
-    one = leaves.withColumn("bucket", F.explode("others"))
-    tiles = links.tiles(F.count("*"), F.sum("bytes")).alias("tiles")
-    large = saved(one.groupBy("bucket").agg(tiles).where("tiles > 1"), "sizes")
+    one = leaves.withColumn("_d", F.explode("dealt")).select("node", "weight", "vector", "bytes", "others", "_d.bucket", "_d.within")
+    large = one.groupBy("bucket").agg(links.tiles(F.count("*"), F.sum("bytes")).alias("tiles"), F.sum("bytes").alias("all"), F.max("bytes").alias("bytes"))
+    leaf = F.least(LEAF * F.col("bytes"), F.lit(links.TILE_BYTES))
+    large = saved(large.where(F.col("all") > 2 * F.greatest(leaf, F.lit(group))).select("bucket", "tiles"), "sizes")
     tiled = one.join(_few(large), "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     near, ready = _judge(kind)
     found = saved(links.linked(tiled, near, ["vector"], ready), "links")

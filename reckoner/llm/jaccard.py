@@ -158,16 +158,17 @@ def _guess(left: links.Side, right: links.Side) -> np.ndarray:
     return out
 
 
-def _numbered(right: links.Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct hashes of a tile, and its sets as numbers of these with their offsets."""
+def _numbered(right: links.Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The distinct hashes of a tile, its sets as numbers of these with their offsets, and the tile's first row."""
     flat, at = right.flat("hashes", np.uint64)
     every, inverse = np.unique(flat, return_inverse=True)
-    return every, inverse.astype(np.int32), at
+    return every, inverse.astype(np.int32), at, right.first
 
 
 def _exact(left: links.Side, right: links.Side, numbered: tuple) -> np.ndarray:
     """Links among the guessed pairs, by exact sets."""
-    out, (every, b, bt) = _guess(left, right), numbered
+    out, (every, b, bt, first) = _guess(left, right), numbered
+    bt = bt[right.first - first :]
     a, at = left.flat("hashes", np.uint64)
     mark = np.zeros(len(every), bool)
     for k in np.flatnonzero(out.any(1)):

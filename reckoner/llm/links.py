@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from reckoner.llm.common import forget, saved
 
 TILE, TILE_BYTES = 8_000, 8 << 20
-#: Rows of one tile that are held against all of the other at once.
-_STRIP = 250
+#: Rows of one tile that are held against rows of the other at once, and so many of these.
+_STRIP, _BLOCK = 250, 16_000
 
 
 def in_shared_buckets(rows: DataFrame, limit: int | None = None) -> DataFrame:
@@ -67,20 +67,19 @@ class Side:
 
 def _covered(left: Side, right: Side, bucket: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Which pairs of the given rows of both sides meet in a lesser bucket."""
-    out = np.zeros((len(rows), len(columns)), bool)
-    sides = []
+    out, sides = np.zeros((len(rows), len(columns)), bool), []
     for s, some in ((left, rows), (right, columns)):
         own, offsets = s.flat("others", np.int64)
-        place = np.full(len(s), -1)
-        place[some] = np.arange(len(some))
-        who = np.repeat(place, np.diff(offsets))
-        keep = (own < bucket) & (who >= 0)
-        order = np.argsort(own[keep], kind="stable")
-        sides.append((own[keep][order], who[keep][order]))
-    (a, x), (b, y) = sides
-    for value in np.intersect1d(a, b):
-        i, j = x[np.searchsorted(a, value) : np.searchsorted(a, value, side="right")], y[np.searchsorted(b, value) : np.searchsorted(b, value, side="right")]
-        out[np.ix_(i, j)] = True
+        count = offsets[some + 1] - offsets[some]
+        own = own[np.repeat(offsets[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        keep = np.flatnonzero(own < bucket)
+        order = keep[np.argsort(own[keep], kind="stable")]
+        values, first = np.unique(own[order], return_index=True)
+        sides.append((values, [*first.tolist(), len(order)], np.repeat(np.arange(len(some)), count)[order]))
+    (a, x, i), (b, y, j) = sides
+    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    for p, q in zip(at.tolist(), to.tolist(), strict=True):
+        out[i[x[p] : x[p + 1], None], j[y[q] : y[q + 1]]] = True
     return out
 
 
@@ -90,11 +89,10 @@ class Found:
     def __init__(self, weight: np.ndarray):
         self.weight, self.links, self.label = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
 
-    def add(self, hit: np.ndarray, rows: np.ndarray, columns: np.ndarray, both: bool) -> None:
-        """Links between the nodes at rows and those at columns; both: they count for the columns too."""
+    def add(self, hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        """Links between the nodes at rows and those at columns, each pair once."""
         self.links[rows] += hit @ self.weight[columns]
-        if both:
-            self.links[columns] += hit.T @ self.weight[rows]
+        self.links[columns] += hit.T @ self.weight[rows]
         for k in np.flatnonzero(hit.any(1)):
             near, own = self.label[columns[hit[k]]], int(self.label[rows[k]])
             least = min(int(near.min()), own)
@@ -130,19 +128,39 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group by the buckets that `within` lists, one batch for each of them, in the same order."""
+    for b in batches:
+        group = np.cumsum(np.concatenate([[False], np.logical_or.reduce([np.diff(b.column(c).to_numpy()) != 0 for c in KEY])]))
+        inner, offsets = _flat(b.column("within"))
+        inner = inner[offsets[0] : offsets[-1]]
+        who = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        order = np.lexsort((who, inner, group[who]))
+        inner, who = inner[order], who[order]
+        edges = np.flatnonzero((np.diff(inner) != 0) | (np.diff(group[who]) != 0)) + 1
+        names = [c for c in b.schema.names if c != "within"]
+        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(who)], strict=True):
+            if e - s > 1:
+                some = b.select(names).take(pa.array(who[s:e]))
+                yield pa.RecordBatch.from_arrays([pa.array(inner[s:e]) if c == "bucket" else some.column(c) for c in names], names)
+
+
 def linked(rows: DataFrame, judge: Callable[..., np.ndarray], payload: list[str], prepare: Callable[[Side], object] | None = None) -> DataFrame:
     """bucket, node, links (weight of the nodes that node is linked to, as found for one pair of tiles) and root (a node reachable by links), only where there is a link.
 
-    rows: bucket, node, tiles (of the bucket), weight, others (all buckets of the node) and the payload columns (longs, or binary).
-    judge(left, right): the matrix of links between some rows of a tile and all of another, or of the same; it gets what prepare() makes of the latter, if given.
+    rows: bucket, node, tiles (of the bucket), weight, others (all buckets of the node) and the payload columns (longs, or binary). If they have `within`, the buckets that it lists count,
+    and all rows of one are to have the same bucket; so a node's payload goes once to several of its buckets.
+    judge(left, right): the matrix of links between some rows of a tile and rows of another, or of the same from there on; it gets what prepare() makes of the whole tile on the right, if given.
     """
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("_t")).alias("a"), F.greatest(k, F.col("_t")).alias("b")))
-    dealt = rows.withColumn("_t", tile).withColumn("_p", F.explode(pairs)).select("bucket", "_p.a", "_p.b", "_t", "node", "weight", "others", *payload)
+    open_them = "within" in rows.columns
+    dealt = rows.withColumn("_t", tile).withColumn("_p", F.explode(pairs)).select("bucket", "_p.a", "_p.b", "_t", "node", "weight", "others", *payload, *["within"] * open_them)
     ordered = dealt.repartition(*KEY).sortWithinPartitions(*KEY, "_t", "node")
 
     def run(batches):
-        for b in _whole_groups(batches):
+        whole = _whole_groups(batches)
+        for b in _opened(whole) if open_them else whole:
             bucket, a, both, tile, node, weight = (b.column(c).to_numpy() for c in (*KEY, "_t", "node", "weight"))
             columns = {c: b.column(c).to_numpy() if pa.types.is_integer(b.column(c).type) else _flat(b.column(c)) for c in ("others", *payload)}
             change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(a) != 0) | (np.diff(both) != 0)) + 1
@@ -156,13 +174,15 @@ def linked(rows: DataFrame, judge: Callable[..., np.ndarray], payload: list[str]
                 found, keep = Found(weight[s:e]), prepare(right) if prepare else None
                 for k in range(s, cut, _STRIP):
                     left = Side(columns, k, min(k + _STRIP, cut))
-                    hit = judge(left, right, keep) if prepare else judge(left, right)
-                    if square:
-                        hit[np.arange(len(left)), k - s + np.arange(len(left))] = False
-                    if len(rows := np.flatnonzero(hit.any(1))):
-                        across = np.flatnonzero(hit[rows].any(0))
-                        hit = hit[np.ix_(rows, across)] & ~_covered(left, right, int(bucket[s]), rows, across)
-                        found.add(hit, rows + k - s, across + right.first - s, not square)
+                    for c in range(k if square else cut, e, _BLOCK):
+                        rest = Side(columns, c, min(c + _BLOCK, e))
+                        hit = judge(left, rest, keep) if prepare else judge(left, rest)
+                        if c == k:  # each pair once
+                            hit[:, : len(left)] = np.triu(hit[:, : len(left)], 1)
+                        if len(rows := np.flatnonzero(hit.any(1))):
+                            across = np.flatnonzero(hit[rows].any(0))
+                            hit = hit[np.ix_(rows, across)] & ~_covered(left, rest, int(bucket[s]), rows, across)
+                            found.add(hit, rows + k - s, across + c - s)
                 has = found.links > 0
                 if has.any():
                     out.append((np.full(int(has.sum()), bucket[s]), node[s:e][has], found.links[has], node[s:e][found.label][has]))

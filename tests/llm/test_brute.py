@@ -82,28 +82,31 @@ def test_small_leaves_split_and_find_all_links(spark, monkeypatch):
 
 
 def test_deep_trees_are_fitted_and_passed_at_once(spark, monkeypatch):
-    """Two dimensions and two labels, doubles, most cuts fitted on some vectors only: no more tables are written for 8 levels than for one, and links are whole."""
+    """Two dimensions and two labels, doubles, most cuts fitted on some vectors only, large groups and small ones, leaves cut into tiles: no more tables are written for 8 levels than for one, and links are whole."""
     rng = np.random.default_rng(7)
     rows = []
     for size, label in ((16, 0), (24, 0), (16, 1)):
         centers = rng.standard_normal((400, size))
         rows += [(len(rows) + k, [float(x) for x in centers[k % 400] + rng.standard_normal(size) * 0.07], label) for k in range(1_000)]
+    rows += [(len(rows) + k, [float(x) for x in centers[0] + rng.standard_normal(16) * 0.03], 1) for k in range(90)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     found, n = brute_vectors([r for r in rows if len(r[1]) == 16])
     more, m = brute_vectors([r for r in rows if len(r[1]) == 24])
     of, n = components([r[0] for r in rows], found + more), n + m
     assert len(found) > 400 and len(more) > 200
-    written = {}
-    for leaf, most in ((600, 50_000), (20, 50_000), (20, 500)):
+    written = []
+    for leaf, most, group, tile in ((600, 50_000, 1 << 24, 8_000), (20, 50_000, 1 << 24, 8_000), (20, 500, 128 * 100, 8_000), (20, 50_000, 128 * 6, 10)):
         names = []
         monkeypatch.setattr(embeddings, "LEAF", leaf)
         monkeypatch.setattr(embeddings, "FIT_MOST", most, raising=False)
+        monkeypatch.setattr(embeddings, "GROUP_BYTES", group, raising=False)
+        monkeypatch.setattr(links, "TILE", tile)
         monkeypatch.setattr(embeddings, "saved", lambda table, name, names=names: names.append(name) or saved(table, name))
         got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
-        written[leaf, most] = names
+        written.append(names)
         assert sum(got[r[0]].n_links for r in rows) >= 0.999 * 2 * len(found + more)
         assert sum((got[r[0]].n_links, got[r[0]].component_id) == (n[r[0]], of[r[0]]) for r in rows) >= 0.998 * len(rows)
-    assert written[600, 50_000] == written[20, 50_000] == written[20, 500]
+    assert written == [written[0]] * 4
 
 
 def shingles(text):
